@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 PRICE_RE = r"#price \$([0-9]+(\.[0-9]+)?)"
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_ws(c) -> Column:
-    """Python-style ``strip()``: all leading/trailing whitespace."""
+    """Python-style ``strip()`` of ASCII whitespace (a plain trim, no regex)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def sql_strip_ws(e: str) -> str:
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({e}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
 
 def price_after_marker(c) -> Column:

@@ -137,3 +137,84 @@ def with_views(*names: str) -> str:
 
 
 EXTRA_VIEWS: dict[str, str] = {}
+
+
+# --------------------------------------------------------------------------
+# tagged: rendered nego turns, each expanded to 3 candidate replies
+#   cand 0 = the training example, cand 1 = the example cut before its
+#   'with intent:' marker, cand 2 = the example with the turn's own intent
+# --------------------------------------------------------------------------
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import dialogue as D
+    r = D.role_id(D.next_turn_lead(D.turn_render(D.price_locf(nego(spark, sf_dir)))))
+    r = D.example_build(r, ablation=False)
+    own = F.concat(F.col("text"),
+                   F.when(F.substring("text", 1, 1) == "A", F.lit(D.NEXT_FOR_BUYER_TURN))
+                   .otherwise(F.lit(D.NEXT_FOR_SELLER_TURN)),
+                   F.col("next_utterance"), F.lit(D.WITH_INTENT), F.col("intent"), F.lit(D.TURN_ENDING))
+    c = D.expand_candidates(r, 3)
+    return c.select("conv_id", "turn_no", "speaker", "role_id", "utterance", "text", "cand",
+                    F.when(F.col("cand") == 0, F.col("example"))
+                    .when(F.col("cand") == 1, F.substring_index("example", "with intent:", 1))
+                    .otherwise(own).alias("cand_text"))
+
+
+def sql_example(ablation: bool = False) -> str:
+    cue = ("CASE WHEN substr(text, 1, 1) = 'A' THEN 'next seller response ' || chr(9) "
+           "WHEN substr(text, 1, 1) = 'B' THEN 'next buyer response ' || chr(9) ELSE chr(9) END")
+    end = "' <|end|>' || " if ablation else ""
+    return (f"text || {cue} || next_utterance || 'with intent: ' || chr(9) || next_intent || {end}"
+            f"chr(10) || chr(10) || chr(10)")
+
+
+def _tagged_sql() -> str:
+    cue = ("CASE WHEN substr(text, 1, 1) = 'A' THEN 'next seller response ' || chr(9) "
+           "ELSE 'next buyer response ' || chr(9) END")
+    return f"""
+SELECT conv_id, turn_no, speaker, role_id, utterance, text, cand,
+       CASE cand WHEN 0 THEN example WHEN 1 THEN split_part(example, 'with intent:', 1)
+            ELSE text || {cue} || next_utterance || 'with intent: ' || chr(9) || intent
+                 || chr(10) || chr(10) || chr(10) END AS cand_text
+FROM (SELECT *, CAST(unnest(range(0, 3)) AS INTEGER) AS cand FROM (
+  SELECT *, CAST(CASE WHEN substr(text, 1, 1) = 'A' THEN 0 ELSE 1 END AS INTEGER) AS role_id,
+         {sql_example(False)} AS example
+  FROM nego_x))"""
+
+
+# --------------------------------------------------------------------------
+# logits / tokens: embeddings seen as score vectors and token arrays
+# --------------------------------------------------------------------------
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("grp"), "label",
+                    F.posexplode("embedding").alias("item", "logit")) \
+            .withColumn("logit", F.col("logit").cast("double"))
+
+
+LOGITS_SQL = """
+SELECT vec_id AS grp, label, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS item,
+       CAST(unnest(embedding) AS DOUBLE) AS logit
+FROM embeddings"""
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids in -1 (pad), 628 (end), 197 (tab) or 303..339 and a
+    log-prob -|x| per position."""
+    e = table(spark, sf_dir, "embeddings")
+
+    def tok(x):
+        v = F.pmod(F.floor(x.cast("double") * 100000.0), F.lit(40))
+        return (F.when(v == 0, -1).when(v == 1, 628).when(v == 2, 197).otherwise(v + 300)).cast("int")
+    return e.select("vec_id", F.transform("embedding", tok).alias("tokens"),
+                    F.transform("embedding", lambda x: -F.abs(x.cast("double"))).alias("logp"))
+
+
+TOKENS_SQL = """
+SELECT vec_id,
+       list_transform(embedding, lambda x: CAST(CASE ((CAST(floor(CAST(x AS DOUBLE) * 100000.0) AS BIGINT) % 40) + 40) % 40
+            WHEN 0 THEN -1 WHEN 1 THEN 628 WHEN 2 THEN 197
+            ELSE ((CAST(floor(CAST(x AS DOUBLE) * 100000.0) AS BIGINT) % 40) + 40) % 40 + 300 END AS INTEGER)) AS tokens,
+       list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE))) AS logp
+FROM embeddings"""
