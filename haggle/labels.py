@@ -115,8 +115,21 @@ LABEL_SCHEMA = T.StructType([
 ])
 
 
+def local_table(spark: SparkSession, rows, cols: list[str], types: list[str]) -> DataFrame:
+    """Small fixed table as a JVM-side local relation (an inline VALUES
+    list): no Python worker, no RDD, and the optimizer knows its size."""
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in zip(cols, types))
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({', '.join(cols)})")
+
+
 def label_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(label_rows(), LABEL_SCHEMA)
+    return local_table(spark, label_rows(), ["role", "label_id", "label", "alias", "alias_lower"],
+                       ["int", "int", "string", "string", "string"])
 
 
 def canonical_labels(spark: SparkSession) -> DataFrame:
@@ -125,12 +138,13 @@ def canonical_labels(spark: SparkSession) -> DataFrame:
 
 
 def variant_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        VARIANTS, "variant string, use_intent int, use_gap int, use_strategy int, use_similarity int")
+    return local_table(spark, VARIANTS, ["variant", "use_intent", "use_gap", "use_strategy", "use_similarity"],
+                       ["string", "int", "int", "int", "int"])
 
 
 def reply_intent_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REPLY_INTENTS, "phase string, buyer_intent int, seller_intent int")
+    return local_table(spark, REPLY_INTENTS, ["phase", "buyer_intent", "seller_intent"],
+                       ["string", "int", "int"])
 
 
 def sql_values(rows, cols, alias: str = "t") -> str:

@@ -43,21 +43,31 @@ def after_marker(df: DataFrame, *, text: str = "text", out: str = "after") -> Da
     return df.withColumn(out, after_marker_expr(text))
 
 
+def _any_label_word(labels: list[str]) -> str:
+    """Regex for one space-delimited word containing any of ``labels``."""
+    import re
+    return "[^ ]*(?:" + "|".join(re.escape(x.lower()) for x in labels) + ")[^ ]*"
+
+
 def intent_tag_last(df: DataFrame, *, text: str = "text", role: str = "role_id",
                     out: str = "tag") -> DataFrame:
     """Tag from the end: the last word (after the ``next`` marker, lower
     case, split on single spaces, stripped) that contains any label of the
     role; among the labels it contains (label-id order) the first with the
-    same number of ``_`` parts, else ``NA``.  Per-row array functions only;
-    intermediate arrays are materialised once as columns."""
+    same number of ``_`` parts, else ``NA``.
+
+    The words holding a label are found by one regex pass per row
+    (``regexp_extract_all``); only that last word is then tested against the
+    fixed label list, so the per-row cost is linear in the text length.
+    """
+    low = F.lower(after_marker_expr(text))
+    hits = F.when(F.col(role) == 0, F.regexp_extract_all(low, F.lit(_any_label_word(BUYER_INTENTS)), 0)) \
+            .otherwise(F.regexp_extract_all(low, F.lit(_any_label_word(SELLER_INTENTS)), 0))
+    d = df.withColumn("_last", strip_ws(F.get(hits, F.size(hits) - 1)))
     labs = _role_labels(F.col(role))
-    words = F.transform(F.split(F.lower(after_marker_expr(text)), " "), lambda w: strip_ws(w))
-    d = df.withColumn("_hits", F.filter(words, lambda w: F.exists(labs, lambda k: F.instr(w, k) > 0)))
-    d = d.withColumn("_last", F.get(F.col("_hits"), F.size("_hits") - 1))
-    d = d.withColumn("_parts", F.size(F.split(F.col("_last"), "_")))
     pick = F.get(F.filter(labs, lambda k: (F.instr(F.col("_last"), k) > 0)
-                          & (F.size(F.split(k, "_")) == F.col("_parts"))), 0)
-    return d.withColumn(out, F.coalesce(pick, F.lit("NA"))).drop("_hits", "_last", "_parts")
+                          & (F.size(F.split(k, "_")) == F.size(F.split(F.col("_last"), "_")))), 0)
+    return d.withColumn(out, F.coalesce(pick, F.lit("NA"))).drop("_last")
 
 
 def intent_tag_marked_expr(text, role) -> Column:
@@ -129,7 +139,7 @@ def reservation_price(df: DataFrame, *, out: str = "reservation_price",
 
 
 def final_outcome(df: DataFrame, *, text: str = "text", role: str = "role_id", keys=CONV,
-                  pos=POS) -> DataFrame:
+                  pos=POS, keep_text: bool = False) -> DataFrame:
     """Per conversation, from its last turn: buyer last -> ``Reject``, seller
     last -> ``Accept``; the price stated there is the final price; with
     opening/reservation price at that turn and ``prize_diff``.  Expects the
@@ -137,7 +147,7 @@ def final_outcome(df: DataFrame, *, text: str = "text", role: str = "role_id", k
     last = F.max_by(F.struct(F.col(role).alias("role"), price_after_marker(text).alias("price"),
                              F.col("opening_price").alias("opening"),
                              F.col("reservation_price").alias("minimum"),
-                             F.col(pos).alias("last_turn")), F.col(pos))
+                             F.col(pos).alias("last_turn"), F.col(text).alias("text")), F.col(pos))
     r = df.groupBy(keys).agg(last.alias("_l"))
     return r.select(*([keys] if isinstance(keys, str) else keys),
                     F.col("_l.last_turn").alias("last_turn"),
@@ -145,7 +155,9 @@ def final_outcome(df: DataFrame, *, text: str = "text", role: str = "role_id", k
                     F.col("_l.price").alias("final_price"),
                     F.col("_l.opening").alias("opening_price"),
                     F.col("_l.minimum").alias("reservation_price"),
-                    (F.col("_l.price") - F.col("_l.minimum")).alias("prize_diff"))
+                    (F.col("_l.price") - F.col("_l.minimum")).alias("prize_diff"),
+                    *([F.col("_l.text").alias("last_text"), F.col("_l.role").alias("last_role")]
+                      if keep_text else []))
 
 
 def truncate_at_eos(df: DataFrame, *, tokens: str = "tokens", logp: str = "logp") -> DataFrame:

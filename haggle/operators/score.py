@@ -36,23 +36,29 @@ def negotiation_strategy(df: DataFrame, *, buyer_price: str = "final_price",
     return df.withColumn(out, negotiation_strategy_expr(buyer_price, minimum, outcome))
 
 
-def _word_counts(df: DataFrame, keys: list[str], text: Column, prefix: str) -> DataFrame:
-    """(keys, word, n) for a lower-cased text split on single spaces, empty
-    words kept; pre-aggregated before any join."""
-    return (df.select(*keys, F.explode(F.split(F.lower(text), " ", -1)).alias("word"))
-            .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias(prefix)))
-
-
 def _pair_cosine(pairs: DataFrame, pair_keys: list[str], a: str, b: str) -> DataFrame:
-    """Word-count cosine of texts ``a`` and ``b`` on each pair row."""
-    ca = _word_counts(pairs, pair_keys, F.col(a), "na")
-    cb = _word_counts(pairs, pair_keys, F.col(b), "nb")
-    na = ca.groupBy(*pair_keys).agg(F.sum(F.col("na") * F.col("na")).alias("sa"))
-    nb = cb.groupBy(*pair_keys).agg(F.sum(F.col("nb") * F.col("nb")).alias("sb"))
-    dot = (ca.join(cb, [*pair_keys, "word"], "inner")
-           .groupBy(*pair_keys).agg(F.sum(F.col("na") * F.col("nb")).alias("dot")))
-    return (na.join(nb, pair_keys, "inner").join(dot, pair_keys, "left")
-            .select(*pair_keys, (F.coalesce("dot", F.lit(0)) / (F.sqrt("sa") * F.sqrt("sb"))).alias("cos")))
+    """Word-count cosine of texts ``a`` and ``b`` on each pair row (lower
+    case, split on single spaces, empty words kept).
+
+    One pass: both texts are exploded together as (side, word), counted per
+    (pair, word) with a partial aggregate, then reduced per pair to the dot
+    product and the two squared norms; no join and no second read of
+    ``pairs``.  A pair with a NULL ``b`` gets a NULL cosine.
+    """
+    def side(col, tag):
+        return F.transform(F.split(F.lower(F.col(col)), " ", -1),
+                           lambda w: F.struct(F.lit(tag).alias("s"), w.alias("w")))
+    ex = pairs.select(*pair_keys, F.when(F.col(b).isNull(), F.lit(None))
+                      .otherwise(F.concat(side(a, 0), side(b, 1))).alias("_ws"))
+    ex = ex.select(*pair_keys, F.explode_outer("_ws").alias("_x"))
+    wc = ex.groupBy(*pair_keys, F.col("_x.w").alias("word")).agg(
+        F.sum(F.when(F.col("_x.s") == 0, 1).otherwise(0)).alias("na"),
+        F.sum(F.when(F.col("_x.s") == 1, 1).otherwise(0)).alias("nb"))
+    per = wc.groupBy(*pair_keys).agg(F.sum(F.col("na") * F.col("nb")).alias("dot"),
+                                     F.sum(F.col("na") * F.col("na")).alias("sa"),
+                                     F.sum(F.col("nb") * F.col("nb")).alias("sb"))
+    return per.select(*pair_keys, F.when(F.col("sb") > 0, F.col("dot") / (F.sqrt("sa") * F.sqrt("sb")))
+                      .alias("cos"))
 
 
 def surface_similarity(cands: DataFrame, context: DataFrame, *, keys=("conv_id", "turn_no"),
@@ -62,29 +68,30 @@ def surface_similarity(cands: DataFrame, context: DataFrame, *, keys=("conv_id",
 
     ``cands`` (keys, cand, cand_text); ``context`` (keys, ctx_pos, ctx_text),
     the few past sentences of the turn (bounded, e.g. from
-    :func:`sliding_context`).  Walking the context in order, the candidate
-    is cut to the shortest context sentence seen so far (characters).  With
-    ``accumulate`` the score of candidate j is the mean over all (candidate
-    <= j, context) pairs of the turn, as the original never resets its list;
-    otherwise the plain mean per candidate.  Candidates of a turn with no
-    context score 0.
+    :func:`sliding_context`), so pairs per turn are candidates x context,
+    never all pairs of a conversation.  Walking the context in order, the
+    candidate is cut to the shortest context sentence seen so far
+    (characters).  With ``accumulate`` the score of candidate j is the mean
+    over all (candidate <= j, context) pairs of the turn, as the original
+    never resets its list; otherwise the plain mean per candidate.
+    Candidates of a turn with no context score 0.
     """
     keys = list(keys)
     wmin = Window.partitionBy(*keys).orderBy(ctx_pos).rowsBetween(UNB, 0)
-    ctx = context.withColumn("_minlen", F.min(F.length(ctx_text)).over(wmin))
-    pairs = (cands.join(ctx, keys, "inner")
-             .withColumn("_a", F.expr(f"substring({text}, 1, least(length({text}), _minlen))"))
-             .select(*keys, cand, ctx_pos, "_a", F.col(ctx_text).alias("_b")))
-    pk = [*keys, cand, ctx_pos]
-    cos = _pair_cosine(pairs, pk, "_a", "_b")
-    per = cos.groupBy(*keys, cand).agg(F.sum("cos").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    ctx = context.select(*keys, ctx_pos, ctx_text,
+                         F.min(F.length(ctx_text)).over(wmin).alias("_minlen"))
+    pairs = (cands.select(*keys, cand, text).join(ctx, keys, "left")
+             .select(*keys, cand, F.coalesce(F.col(ctx_pos), F.lit(-1)).alias(ctx_pos),
+                     F.expr(f"substring({text}, 1, least(length({text}), _minlen))").alias("_a"),
+                     F.col(ctx_text).alias("_b")))
+    cos = _pair_cosine(pairs, [*keys, cand, ctx_pos], "_a", "_b")
+    per = cos.groupBy(*keys, cand).agg(F.sum("cos").alias("_s"), F.count("cos").alias("_n"))
     if accumulate:
         w = Window.partitionBy(*keys).orderBy(cand).rowsBetween(UNB, 0)
-        per = per.withColumn("similarity", F.sum("_s").over(w) / F.sum("_n").over(w))
+        sim = F.try_divide(F.sum("_s").over(w), F.sum("_n").over(w).cast("double"))
     else:
-        per = per.withColumn("similarity", F.col("_s") / F.col("_n"))
-    out = cands.select(*keys, cand).join(per.select(*keys, cand, "similarity"), [*keys, cand], "left")
-    return out.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+        sim = F.try_divide(F.col("_s"), F.col("_n").cast("double"))
+    return per.select(*keys, cand, F.coalesce(sim, F.lit(0.0)).alias("similarity"))
 
 
 def intent_reward(df: DataFrame, prob, *, keys=("conv_id", "turn_no"), cand: str = "cand",

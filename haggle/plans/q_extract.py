@@ -109,7 +109,7 @@ FROM nego_r n JOIN (
          max(CASE WHEN turn_no = 1 THEN p END) AS p0
   FROM (SELECT conv_id, turn_no, {sql_price('text')} AS p FROM nego_r) GROUP BY conv_id) a USING (conv_id)"""
 X.EXTRA_VIEWS["nego_m"] = """
-SELECT *, CASE WHEN price_found THEN 0.7 * opening_price ELSE 10000.0 END AS reservation_price FROM nego_o"""
+SELECT *, CASE WHEN price_found THEN CAST(0.7 AS DOUBLE) * opening_price ELSE CAST(10000 AS DOUBLE) END AS reservation_price FROM nego_o"""
 
 
 def nego_priced(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket, md5_uniform, sql_md5_int, sql_md5_uniform
 from ..functions import scan
-from ..labels import canonical_labels, label_rows, sql_values
+from ..labels import canonical_labels, label_rows, local_table, sql_values
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -101,7 +101,7 @@ def nego(spark: SparkSession, sf_dir: str) -> DataFrame:
     # spread over many tasks
     e = scan.row_number(e, "user_id", ["ts", "event_id"],
                         F.datediff(F.to_date("ts"), F.lit("1970-01-01")), "turn_no")
-    m = spark.createDataFrame(EVENT_INTENTS, "event_type string, buyer string, seller string")
+    m = local_table(spark, EVENT_INTENTS, ["event_type", "buyer", "seller"], ["string"] * 3)
     return (e.join(F.broadcast(m), "event_type", "left")
             .select(F.col("user_id").alias("conv_id"), "turn_no",
                     (F.col("event_id") % 2).cast("int").alias("speaker"),
