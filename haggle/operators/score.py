@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO32, md5_int
-from ..labels import DEFAULT_WEIGHTS, INTENT_DEFAULT_SCORE, variant_table
+from ..labels import DEFAULT_WEIGHTS, INTENT_DEFAULT_SCORE
 
 UNB = Window.unboundedPreceding
 
@@ -142,11 +142,16 @@ def composite_reward(df: DataFrame, *, weights=DEFAULT_WEIGHTS, intent: str = "i
 
 
 def reward_ablation(df: DataFrame, *, group_by=(), weights=DEFAULT_WEIGHTS, **cols) -> DataFrame:
-    """The composite reward under each variant's flags: every scored row is
-    paired with the fixed 8-row variant table (broadcast), then averaged per
-    variant (and ``group_by``)."""
-    v = F.broadcast(variant_table(df.sparkSession))
-    x = composite_reward(df.crossJoin(v), weights=weights,
+    """The composite reward under each variant's flags, averaged per variant
+    (and ``group_by``).  The fixed variant list is attached to every scored
+    row as an inline array and exploded (8 copies, no join), then reduced by
+    a partial aggregate."""
+    from ..labels import VARIANTS
+    arr = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(i).alias("use_intent"), F.lit(g).alias("use_gap"),
+                             F.lit(s).alias("use_strategy"), F.lit(m).alias("use_similarity"))
+                    for v, i, g, s, m in VARIANTS])
+    x = df.withColumn("_v", F.explode(arr)).select("*", "_v.*").drop("_v")
+    x = composite_reward(x, weights=weights,
                          flags={k: k for k in ("use_intent", "use_gap", "use_strategy", "use_similarity")},
                          **cols)
     return x.groupBy("variant", *group_by).agg(F.avg("reward").alias("mean_reward"),

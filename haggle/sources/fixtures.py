@@ -218,3 +218,47 @@ SELECT vec_id,
             ELSE ((CAST(floor(CAST(x AS DOUBLE) * 100000.0) AS BIGINT) % 40) + 40) % 40 + 300 END AS INTEGER)) AS tokens,
        list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE))) AS logp
 FROM embeddings"""
+
+
+# --------------------------------------------------------------------------
+# samples: lineitem as a policy sample buffer (buffer = order)
+# metric_log: events as validation metric series (run = user, step = order)
+# labelled: documents with quality (actual) and toxic (predicted) labels
+# --------------------------------------------------------------------------
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("buffer"), (F.col("l_linenumber") - 1).alias("idx"),
+                     (-F.col("l_discount")).alias("old_logp"), (-F.col("l_tax")).alias("new_logp"),
+                     F.col("l_quantity").alias("reward"), (F.col("l_linenumber") == 1).alias("human"))
+
+
+SAMPLES_SQL = """
+SELECT l_orderkey AS buffer, l_linenumber - 1 AS idx, -l_discount AS old_logp, -l_tax AS new_logp,
+       l_quantity AS reward, l_linenumber = 1 AS human FROM lineitem"""
+
+
+def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    e = scan.row_number(e, "user_id", ["ts", "event_id"],
+                        F.datediff(F.to_date("ts"), F.lit("1970-01-01")), "step")
+    return e.select(F.col("user_id").alias("run"), "step", "value")
+
+
+METRIC_LOG_SQL = """
+SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS step, value
+FROM events"""
+
+
+def labelled(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("actual"),
+                                                F.col("toxic").alias("predicted"))
+    return d.join(lab, "doc_id", how)
+
+
+LABELLED_SQL = """
+SELECT d.doc_id, d.n_chars, l.quality AS actual, l.toxic AS predicted
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
+
+EXTRA_VIEWS.update({"samples": SAMPLES_SQL, "metric_log": METRIC_LOG_SQL, "labelled": LABELLED_SQL})
