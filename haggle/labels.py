@@ -156,3 +156,43 @@ def sql_values(rows, cols, alias: str = "t") -> str:
         return repr(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) AS {alias}({', '.join(cols)})"
+
+
+# ---- FIXED VALUES (own wording): prompt templates (intent, parity, pattern)
+# parity 'odd' = buyer turn, 'even' = seller turn, 'any' = both.
+TEMPLATES = [
+    ("Greet-Ask", "any", "Buyer greets and asks about the {product}. Last seller line: {seller_text}"),
+    ("Negotiate-Price-Decrease", "any", "Buyer asks to lower {seller_price} for the {product}; offers {price}."),
+    ("Negotiate-Price-Decrease", "even", "Seller hears a lower bid of {buyer_price} for the {product}."),
+    ("Negotiate-Remove-X", "any", "Buyer drops an item from the {product} bundle; offers {price}."),
+    ("Ask_Clarification-Y", "any", "Buyer asks a question about the {product}."),
+    ("Negotiate-Price-NoChange", "any", "Price stays at {price} for the {product}."),
+    ("Negotiate-Price-NoChange", "odd", "Buyer repeats the offer of {buyer_price} for the {product}."),
+    ("Negotiate-Price-NoChange", "even", "Seller keeps {seller_price} for the {product}."),
+    ("Negotiate-Add-X", "any", "An item is added to the {product} bundle at {price}."),
+    ("Negotiate-Add-X", "odd", "Buyer asks to add an item to the {product}; offers {price}."),
+    ("Negotiate-Add-X", "even", "Seller adds an item to the {product} for {price}."),
+    ("Ask_Price", "any", "Buyer asks the price of the {product}. Last seller line: {seller_text}"),
+    ("Accept", "any", "Deal on the {product} at {price}."),
+    ("Accept", "odd", "Buyer accepts {seller_price} for the {product}."),
+    ("Accept", "even", "Seller accepts {buyer_price} for the {product}."),
+    ("Reject", "any", "Buyer walks away from the {product} at {seller_price}."),
+    ("Greet-Ask_Negotiate-Price-Decrease", "any", "Buyer greets and bids {price} for the {product}."),
+    ("Negotiate-Remove-X_Negotiate-Price-Decrease", "any", "Buyer drops an item and bids {price}."),
+    ("Negotiate-Remove-delivery", "any", "Delivery is removed from the {product} offer; price {price}."),
+    ("Negotiate-Remove-delivery", "odd", "Buyer asks to skip delivery; offers {price}."),
+    ("Negotiate-Remove-delivery", "even", "Seller removes delivery; asks {price}."),
+    ("Greet-Inform", "any", "Seller greets and presents the {product} at {price}."),
+    ("Negotiate-Price-Increase", "any", "Seller counters {buyer_price} with {price} for the {product}."),
+    ("Tell_Price", "any", "Seller quotes {price} for the {product}. Last buyer line: {buyer_text}"),
+    ("Provide_Clarification-Y", "any", "Seller explains the {product}."),
+    ("Greet-Inform_Negotiate-Price-Increase", "any", "Seller greets and raises to {price}."),
+    ("Acknowledge-acceptance", "any", "Seller confirms the deal at {price}."),
+    ("Greet-Inform_Negotiate-Price-NoChange", "any", "Seller greets and holds {price}."),
+    ("Negotiate-Price-Remove-X", "any", "Seller reprices the smaller {product} bundle at {price}."),
+    ("avoid_rejection", "any", "Seller tries to keep the buyer at {price} for the {product}."),
+]
+
+
+def template_table(spark: SparkSession) -> DataFrame:
+    return local_table(spark, TEMPLATES, ["intent", "parity", "pattern"], ["string"] * 3)

@@ -1,0 +1,279 @@
+"""Bundle and offer analytics: the dialogue simulator's rules
+re-aimed as table operators.  Randomness is md5-keyed (repeatable at any
+partitioning); every per-product fan-out is bounded by the catalog (accessory
+types per product, variants per type), never by the number of rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scan
+from ..functions.hashing import md5_int
+
+# ---- FIXED VALUES: simulator constants -----------------------------------
+DELIVERY = 500
+COST_LOW, COST_HIGH = 500, 2000
+BUYER_OPEN_LOW, BUYER_OPEN_HIGH = 0.60, 0.85
+SELLER_DECAY, BUYER_DECAY = 0.5, 0.2
+DEAL_TOLERANCE = 0.05
+ACCEPT_MARGIN = 0.10
+RETAG_TELL = ("Negotiate-Remove-X", "Negotiate-Add-X")
+RETAG_TELL_TO = "tell_price"
+RETAG_REMOVE = "Negotiate-Remove-X_Negotiate-Price-Decrease"
+RETAG_REMOVE_TO = "Negotiate-Price-Remove-X"
+DESCRIBE_FORMAT = ("A ", " called ", ".")
+
+
+def _uniform_int(lo: Column, hi: Column, seed, *cols) -> Column:
+    """Repeatable integer uniform in [lo, hi] (inclusive)."""
+    return (lo + F.pmod(md5_int(seed, *cols), (hi - lo + 1).cast("long"))).cast("long")
+
+
+def accessory_cost(acc: DataFrame, *, accessory: str = "accessory", seed: int = 7) -> DataFrame:
+    """A repeatable integer cost in 500..2000 per accessory name."""
+    return acc.withColumn("cost", _uniform_int(F.lit(COST_LOW), F.lit(COST_HIGH), seed, accessory))
+
+
+def price_range_parse(df: DataFrame, *, price: str = "price") -> DataFrame:
+    """``"low-high"`` -> integer ``low``, ``high`` (NULL when malformed)."""
+    parts = F.split(F.col(price), "-")
+    return (df.withColumn("low", F.get(parts, 0).try_cast("long"))
+            .withColumn("high", F.get(parts, 1).try_cast("long")))
+
+
+def bundle_enumerate(acc: DataFrame, *, product: str = "product", accessory: str = "accessory") -> DataFrame:
+    """Every accessory combination of size 1 and 2 per product.  Pairs come
+    from an equi-join on product with ``a < b``; the accessory set per
+    product is the distinct catalog list (bounded by the catalog)."""
+    a = acc.select(product, F.col(accessory).alias("a")).distinct()
+    singles = a.select(product, F.array("a").alias("items"))
+    b = a.select(product, F.col("a").alias("b"))
+    pairs = a.join(b, product).filter(F.col("a") < F.col("b")).select(product, F.array("a", "b").alias("items"))
+    return (singles.unionByName(pairs)
+            .withColumn("bundle_id", F.array_join("items", "+"))
+            .withColumn("n_items", F.size("items")))
+
+
+def bundle_cost(bundles: DataFrame, costs: DataFrame, *, keys=("product", "bundle_id"),
+                accessory: str = "accessory") -> DataFrame:
+    """Sum of accessory costs per bundle (explode, join on accessory,
+    aggregate)."""
+    keys = list(keys)
+    ex = bundles.select(*keys, F.explode("items").alias(accessory))
+    return (ex.join(costs.select(accessory, "cost"), accessory, "left")
+            .groupBy(*keys).agg(F.sum("cost").alias("bundle_cost")))
+
+
+def opening_offers(products: DataFrame, bundles: DataFrame, *, replicas: int, seed: int = 11,
+                   product: str = "product") -> DataFrame:
+    """Scenario table: each product x ``replicas`` draws.  Seller opening =
+    uniform in the price range + delivery; buyer opening = uniform in
+    60..85 % of the seller opening + delivery; a bundle drawn from the
+    product's bundles; totals add the bundle cost (seller: all of it, buyer:
+    a uniform between half and all of it, rounded up)."""
+    sc = products.select(product, "low", "high").withColumn(
+        "replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    sc = sc.withColumn("first_seller", _uniform_int(F.col("low"), F.col("high"), seed, product, "replica")
+                       + DELIVERY)
+    lo = F.floor(F.col("first_seller") * BUYER_OPEN_LOW).cast("long")
+    hi = F.floor(F.col("first_seller") * BUYER_OPEN_HIGH).cast("long")
+    sc = sc.withColumn("first_buyer", _uniform_int(lo, hi, f"{seed}:b", product, "replica") + DELIVERY)
+    pick = (sc.select(product, "replica").join(bundles.select(product, "bundle_id", "items", "bundle_cost"), product)
+            .groupBy(product, "replica")
+            .agg(F.min_by(F.struct("bundle_id", "items", "bundle_cost"),
+                          md5_int(f"{seed}:bundle", product, "replica", "bundle_id")).alias("_b")))
+    sc = sc.join(pick, [product, "replica"], "left").select("*", "_b.*").drop("_b")
+    half = F.floor(F.col("bundle_cost") / 2).cast("long")
+    extra = _uniform_int(half, F.col("bundle_cost").cast("long"), f"{seed}:extra", product, "replica")
+    return (sc.withColumn("total_seller", F.col("first_seller") + F.col("bundle_cost"))
+            .withColumn("total_buyer", F.ceil(F.col("first_buyer") + extra).cast("long")))
+
+
+def concession_curve(sc: DataFrame, turns: int, *, seller: str = "total_seller",
+                     buyer: str = "total_buyer") -> DataFrame:
+    """Offers per turn t = 0..turns: seller(t) = b + (s-b) e^(-0.5 t) rounded
+    down, buyer(t) = s - (s-b) e^(-0.2 t) rounded up."""
+    s, b = F.col(seller).cast("double"), F.col(buyer).cast("double")
+    d = sc.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(turns))))
+    return (d.withColumn("seller_offer", F.floor(b + (s - b) * F.exp(-SELLER_DECAY * F.col("t"))).cast("long"))
+            .withColumn("buyer_offer", F.ceil(s - (s - b) * F.exp(-BUYER_DECAY * F.col("t"))).cast("long")))
+
+
+def deal_turn(curve: DataFrame, *, keys=("product", "replica")) -> DataFrame:
+    """First turn with seller offer <= buyer offer + 5 % of (seller opening +
+    bundle cost); NULL when the curves never meet."""
+    tol = DEAL_TOLERANCE * (F.col("first_seller") + F.col("bundle_cost"))
+    return curve.groupBy(*keys).agg(
+        F.min(F.when(F.col("seller_offer") <= F.col("buyer_offer") + tol, F.col("t"))).alias("deal_turn"))
+
+
+def near_accept_expr(buyer, seller) -> Column:
+    """Accept when buyer + 10 % of the seller price reaches the seller price."""
+    return F.col(buyer) + ACCEPT_MARGIN * F.col(seller) >= F.col(seller)
+
+
+def price_round_expr(x) -> Column:
+    """Round down to 5 / 10 / 100 for prices of <=2 / 3 / >3 integer digits."""
+    v = F.col(x) if isinstance(x, str) else x
+    digits = F.length(F.floor(F.abs(v)).cast("string"))
+    m = F.when(digits <= 2, 5).when(digits == 3, 10).otherwise(100)
+    return (F.floor(v / m) * m).cast("long")
+
+
+def bundle_price_adjust(events: DataFrame, *, keys=("flow_id",), pos: str = "turn", delta: str = "delta",
+                        opening: str = "opening", out: str = "offer") -> DataFrame:
+    """Running offer = opening + running sum of signed deltas (add item +cost,
+    remove item -cost, drop delivery -500 once), a skew-safe running sum."""
+    d = scan.running_agg(events, list(keys), pos, delta, "_cum", how="sum")
+    return d.withColumn(out, F.col(opening) + F.coalesce(F.col("_cum"), F.lit(0))).drop("_cum")
+
+
+def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", pos: str = "turn",
+                 action: str = "action") -> DataFrame:
+    """Per (flow, item): the last add/remove action and its turn, so the
+    selected set is the items whose last action is ``add`` and the removed
+    set those whose last is ``remove``; one partial aggregate, no arrays
+    per flow."""
+    keys = list(keys)
+    last = F.max_by(F.struct(F.col(action).alias("a"), F.col(pos).alias("t")), F.col(pos))
+    return (events.filter(F.col(action).isin("add", "remove"))
+            .groupBy(*keys, item).agg(last.alias("_l"))
+            .select(*keys, item, F.when(F.col("_l.a") == "add", "selected").otherwise("removed").alias("status"),
+                    F.col("_l.t").alias("last_turn")))
+
+
+def open_clarifications(candidates: DataFrame, asked: DataFrame, *, keys=("product", "item")) -> DataFrame:
+    """Items (features, accessories, the product) not asked about yet: a
+    left-anti join."""
+    return candidates.join(asked.select(*keys).distinct(), list(keys), "left_anti")
+
+
+# ---- FIXED VALUES: buyer actions allowed in a negotiation state ----------
+def legal_actions_expr(n_removed, n_acc, all_added, can_remove, negotiable_empty, deal, prev_seller) -> Column:
+    """Allowed buyer action ids for a state, following the simulator's
+    rule order (first matching rule wins)."""
+    r, n, add, cr, ne = (F.col(c) for c in (n_removed, n_acc, all_added, can_remove, negotiable_empty))
+    arr = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    return (F.when(F.col(deal), arr(7))
+            .when(F.col(prev_seller) == 3, arr(12))
+            .when((r > 0) & ~add & cr & (r < n), arr(1, 2, 3, 4, 5, 10, 11))
+            .when((r > 0) & (r < n) & ~add, arr(1, 3, 4, 5, 11))
+            .when((r > 0) & (r == n) & ~add, arr(1, 3, 4, 5, 8, 11))
+            .when((r > 0) & ne, arr(3, 6, 5, 8, 11))
+            .when((r == 0) & add & ~ne, arr(1, 3, 4, 8, 11))
+            .when((r == 0) & add & ne, arr(3, 7, 8, 11))
+            .when((r == 0) & ~add & (r < n) & cr, arr(1, 2, 3, 4, 10, 11))
+            .otherwise(F.array().cast("array<int>")))
+
+
+def legal_actions(df: DataFrame, *, action: str = "action_id", **state) -> DataFrame:
+    d = df.withColumn("legal", legal_actions_expr(**state))
+    return d.withColumn("is_legal", F.array_contains("legal", F.col(action)))
+
+
+def intent_retag(df: DataFrame, *, keys=("flow_id",), pos: str = "turn", intent: str = "intent",
+                 out: str = "retagged", exclude_last: bool = True) -> DataFrame:
+    """In-place retagging of the row after a trigger: after Negotiate-Remove-X
+    or Negotiate-Add-X -> ``tell_price``; after the remove-and-decrease
+    intent -> Negotiate-Price-Remove-X.  Because the original rewrites rows
+    in place, a retagged trigger no longer fires: within a run of
+    consecutive triggers only the 1st, 3rd, 5th ... are live.  Closed form:
+    position in the run (gaps and islands) -> live = odd -> the next row
+    is retagged.  The first row, and (``exclude_last``) the last row, are
+    never retagged.  ``pos`` must be dense within the flow."""
+    keys = list(keys)
+    trig = F.col(intent).isin(*RETAG_TELL, RETAG_REMOVE)
+    d = df.withColumn("_trig", trig).withColumn("_nt_pos", F.when(~trig, F.col(pos)))
+    d = scan.running_agg(d, keys, pos, "_nt_pos", "_last_nt", how="max")
+    first = d.groupBy(*keys).agg(F.min(pos).alias("_p0"), F.max(pos).alias("_p1"))
+    d = d.join(first, keys, "inner")
+    k = F.col(pos) - F.coalesce(F.col("_last_nt"), F.col("_p0") - 1)
+    d = d.withColumn("_live", F.col("_trig") & (k % 2 == 1))
+    d = scan.shift(d, keys, pos, ["_live", intent], direction=-1, prefix="_prev_")
+    fire = F.coalesce(F.col("_prev__live"), F.lit(False))
+    if exclude_last:
+        fire = fire & (F.col(pos) < F.col("_p1"))
+    new = F.when(fire & F.col(f"_prev_{intent}").isin(*RETAG_TELL), F.lit(RETAG_TELL_TO)) \
+           .when(fire & (F.col(f"_prev_{intent}") == RETAG_REMOVE), F.lit(RETAG_REMOVE_TO)) \
+           .otherwise(F.col(intent))
+    return d.withColumn(out, new).drop("_trig", "_nt_pos", "_last_nt", "_p0", "_p1", "_live",
+                                       "_prev__live", f"_prev_{intent}")
+
+
+def entity_describe(entities: DataFrame, acc_variants: DataFrame, prod_variants: DataFrame, *,
+                    flow: str = "flow_id", product: str = "product", entity: str = "entity",
+                    seed: int = 5) -> DataFrame:
+    """One description per (flow, entity): ``A <entity> called <name>.<text>``
+    with a variant drawn (md5) from the product's accessories of that type,
+    or from the product's own descriptions when the entity is not one of
+    its accessory types.  Variants are joined per distinct (flow, entity),
+    then the description is joined back to every row."""
+    ent = entities.select(flow, product, entity).distinct()
+    av = acc_variants.select(product, F.col("acc_type").alias(entity), "name", "text")
+    a = ent.join(av, [product, entity], "inner")
+    b = (ent.join(av.select(product, entity).distinct(), [product, entity], "left_anti")
+         .join(prod_variants.select(product, "name", "text"), product, "inner"))
+    cand = a.unionByName(b)
+    pick = cand.groupBy(flow, entity).agg(F.min_by(F.struct("name", "text"),
+                                                   md5_int(seed, flow, entity, product, "name")).alias("_v"))
+    a0, a1, a2 = DESCRIBE_FORMAT
+    desc = pick.select(flow, entity, F.concat(F.lit(a0), F.col(entity), F.lit(a1), F.col("_v.name"),
+                                              F.lit(a2), F.col("_v.text")).alias("described"))
+    return entities.join(desc, [flow, entity], "left")
+
+
+def flatten_nested(df: DataFrame, *, col: str = "nested", out: str = "flat") -> DataFrame:
+    """Depth-first flatten of an ``array<array<...>>`` (depth fixed by the
+    schema)."""
+    return df.withColumn(out, F.flatten(F.col(col)))
+
+
+def bundle_phrase_expr(product, items) -> Column:
+    """``P and a X`` for one item; ``P along with  a X, ... and a Z`` for
+    more (the original's double space and commas kept)."""
+    it = F.col(items)
+    head = F.slice(it, 1, F.size(it) - 1)
+    many = F.concat(F.col(product), F.lit(" along with "),
+                    F.array_join(F.transform(head, lambda x: F.concat(F.lit(" a "), x, F.lit(","))), ""),
+                    F.lit(" and a "), F.element_at(it, -1))
+    return F.when(F.size(it) == 1, F.concat(F.col(product), F.lit(" and a "), F.element_at(it, 1))) \
+            .otherwise(many)
+
+
+def counterpart_state(df: DataFrame, *, keys=("conv_id",), pos: str = "turn_no", role: str = "speaker",
+                      price: str = "price", text: str = "utterance", open_buyer: str = "open_buyer",
+                      open_seller: str = "open_seller") -> DataFrame:
+    """For each turn, each side's last stated price and last utterance
+    strictly before it (opening prices / empty text when none), by
+    exclusive skew-safe forward fills."""
+    keys = list(keys)
+    d = df
+    for side, r in (("buyer", 0), ("seller", 1)):
+        d = d.withColumn(f"_{side}_p", F.when(F.col(role) == r, F.col(price)))
+        d = d.withColumn(f"_{side}_u", F.when(F.col(role) == r, F.col(text)))
+        d = scan.ffill(d, keys, pos, f"_{side}_p", f"{side}_last_price", exclusive=True)
+        d = scan.ffill(d, keys, pos, f"_{side}_u", f"{side}_last_text", exclusive=True)
+    d = (d.withColumn("buyer_last_price", F.coalesce(F.col("buyer_last_price"), F.col(open_buyer)))
+         .withColumn("seller_last_price", F.coalesce(F.col("seller_last_price"), F.col(open_seller)))
+         .withColumn("buyer_last_text", F.coalesce(F.col("buyer_last_text"), F.lit("")))
+         .withColumn("seller_last_text", F.coalesce(F.col("seller_last_text"), F.lit(""))))
+    return d.drop("_buyer_p", "_buyer_u", "_seller_p", "_seller_u")
+
+
+def prompt_build(df: DataFrame, templates: DataFrame, *, intent: str = "intent", parity: str = "parity",
+                 slots: dict[str, str]) -> DataFrame:
+    """Pick a template by (intent, turn parity) - a parity-specific row wins
+    over the intent's ``any`` row - and fill ``{slot}`` placeholders by
+    nested ``replace``.  The template table is fixed and small, so both
+    lookups are broadcast equi-joins (no shuffle of the turns)."""
+    t = templates.select(F.lower("intent").alias("_ti"), F.col("parity").alias("_tp"), "pattern")
+    spec = F.broadcast(t.filter(F.col("_tp") != "any").withColumnRenamed("pattern", "_ps"))
+    anyp = F.broadcast(t.filter(F.col("_tp") == "any").select("_ti", F.col("pattern").alias("_pa")))
+    d = (df.withColumn("_ti", F.lower(F.col(intent))).withColumn("_tp", F.col(parity))
+         .join(spec, ["_ti", "_tp"], "left").join(anyp, "_ti", "left"))
+    filled = F.coalesce(F.col("_ps"), F.col("_pa"))
+    for slot, col in slots.items():
+        filled = F.replace(filled, F.lit("{" + slot + "}"), F.coalesce(F.col(col).cast("string"), F.lit("")))
+    return d.withColumn("prompt", filled).drop("_ti", "_tp", "_ps", "_pa")

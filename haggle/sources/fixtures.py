@@ -262,3 +262,82 @@ SELECT d.doc_id, d.n_chars, l.quality AS actual, l.toxic AS predicted
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
 
 EXTRA_VIEWS.update({"samples": SAMPLES_SQL, "metric_log": METRIC_LOG_SQL, "labelled": LABELLED_SQL})
+
+
+# --------------------------------------------------------------------------
+# catalog: part seen as a product catalog
+#   product = brand; accessory types = part types; variants of a type = the
+#   brand's part names of that type; product variants = the brand's sizes.
+#   Every per-product list is bounded by the name/type/size vocabularies.
+# basket: orders x lineitem x part seen as bundle flows
+#   flow = order, turn = line, item = the part's type, product = its brand,
+#   action R -> remove, A -> add, N -> ask; opening = order total.
+# --------------------------------------------------------------------------
+
+def catalog_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.groupBy(F.col("p_brand").alias("product")).agg(
+        F.concat(F.floor(F.min("p_retailprice")).cast("string"), F.lit("-"),
+                 F.ceil(F.max("p_retailprice")).cast("string")).alias("price"),
+        F.array_join(F.sort_array(F.collect_set(F.substring_index("p_name", " ", 1))), ",").alias("features"))
+
+
+def catalog_accessories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("product"), F.col("p_type").alias("accessory")).distinct()
+
+
+def accessory_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.groupBy(F.col("p_brand").alias("product"), F.col("p_type").alias("acc_type"),
+                     F.col("p_name").alias("name")).agg(
+        F.concat(F.lit("size "), F.min("p_size").cast("string")).alias("text"))
+
+
+def product_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_brand").alias("product"),
+                    F.concat(F.col("p_brand"), F.lit(" series "), F.col("p_size").cast("string")).alias("name"),
+                    F.concat(F.lit("Size "), F.col("p_size").cast("string"), F.lit(" edition")).alias("text")
+                    ).distinct()
+
+
+def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_returnflag")
+    # line numbers repeat within an order: number the lines by (line, part,
+    # supplier), chunked by line number so a huge order still spreads out
+    li = scan.row_number(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"],
+                         F.col("l_linenumber").cast("long"), "turn")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return (li.join(p, li.l_partkey == p.p_partkey, "inner").join(o, li.l_orderkey == o.o_orderkey, "inner")
+            .select(F.col("l_orderkey").alias("flow_id"), "turn",
+                    F.col("p_type").alias("item"), F.col("p_brand").alias("product"),
+                    F.when(F.col("l_returnflag") == "R", "remove").when(F.col("l_returnflag") == "A", "add")
+                    .otherwise("ask").alias("action"),
+                    F.col("o_totalprice").alias("opening"),
+                    (F.col("o_orderpriority") == "1-URGENT").alias("drop_delivery")))
+
+
+CATALOG_SQL = {
+    "cat_products": """
+SELECT p_brand AS product, CAST(floor(min(p_retailprice)) AS BIGINT) || '-' || CAST(ceil(max(p_retailprice)) AS BIGINT) AS price,
+       string_agg(DISTINCT split_part(p_name, ' ', 1), ',' ORDER BY split_part(p_name, ' ', 1)) AS features
+FROM part GROUP BY p_brand""",
+    "cat_acc": "SELECT DISTINCT p_brand AS product, p_type AS accessory FROM part",
+    "acc_variants": """
+SELECT p_brand AS product, p_type AS acc_type, p_name AS name, 'size ' || CAST(min(p_size) AS VARCHAR) AS text
+FROM part GROUP BY ALL""",
+    "prod_variants": """
+SELECT DISTINCT p_brand AS product, p_brand || ' series ' || CAST(p_size AS VARCHAR) AS name,
+       'Size ' || CAST(p_size AS VARCHAR) || ' edition' AS text FROM part""",
+    "basket": """
+SELECT l.l_orderkey AS flow_id,
+       CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS INTEGER) AS turn,
+       p.p_type AS item, p.p_brand AS product,
+       CASE WHEN l.l_returnflag = 'R' THEN 'remove' WHEN l.l_returnflag = 'A' THEN 'add' ELSE 'ask' END AS action,
+       o.o_totalprice AS opening, o.o_orderpriority = '1-URGENT' AS drop_delivery
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey""",
+}
+EXTRA_VIEWS.update(CATALOG_SQL)

@@ -45,3 +45,34 @@ def read_dialogues(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
         return spark.read.schema(DIALOGUE_SCHEMA).parquet(path)
     return (spark.read.schema(DIALOGUE_SCHEMA).option("header", True).option("nullValue", "NA")
             .option("multiLine", True).option("escape", '"').csv(path))
+
+
+def write_catalog_json(products: DataFrame, acc_variants: DataFrame, prod_variants: DataFrame,
+                       path: str) -> None:
+    """Nested catalog, one JSON object per product: price range, features,
+    ``description`` map name -> text and ``accessories`` map type -> (name
+    -> text).  Maps are built per product from bounded catalog lists."""
+    acc = (acc_variants.groupBy("product", "acc_type")
+           .agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("m"))
+           .groupBy("product").agg(F.map_from_entries(F.collect_list(F.struct("acc_type", "m"))).alias("accessories")))
+    desc = prod_variants.groupBy("product").agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("description"))
+    (products.join(acc, "product", "left").join(desc, "product", "left")
+     .write.mode("overwrite").json(path))
+
+
+CATALOG_SCHEMA = T.StructType([
+    T.StructField("product", T.StringType()),
+    T.StructField("price", T.StringType()),
+    T.StructField("features", T.StringType()),
+    T.StructField("description", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("accessories", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))),
+])
+
+
+def read_catalog(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """Load the nested catalog with a declared schema and list its
+    accessories: (product, acc_type, name, description)."""
+    cat = spark.read.schema(CATALOG_SCHEMA).option("multiLine", multi_line).json(path)
+    acc = cat.select("product", F.explode("accessories").alias("acc_type", "names"))
+    return acc.select("product", "acc_type", F.explode("names").alias("name", "description"))
