@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so their ``@register`` calls run."""
-    from . import q_dialogue, q_extract, q_score, q_evaluate, q_bundle  # noqa: F401
+    from . import q_dialogue, q_extract, q_score, q_evaluate, q_bundle, q_classify, q_io, q_stream  # noqa: F401

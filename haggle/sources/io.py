@@ -76,3 +76,31 @@ def read_catalog(spark: SparkSession, path: str, *, multi_line: bool = False) ->
     cat = spark.read.schema(CATALOG_SCHEMA).option("multiLine", multi_line).json(path)
     acc = cat.select("product", F.explode("accessories").alias("acc_type", "names"))
     return acc.select("product", "acc_type", F.explode("names").alias("name", "description"))
+
+
+HEADER_FORMAT = "######conversation %d###############"   # FIXED VALUE: flow header line
+
+
+def write_transcript(df: DataFrame, path: str, *, keys: str = "conv_id", pos: str = "turn_no",
+                     text: str = "text") -> None:
+    """Append flow headers and turn lines as plain text.  Rows are
+    co-located per conversation and sorted within partitions (header first,
+    then turns in order), so each conversation is a contiguous, ordered
+    block of a file without any global sort."""
+    heads = df.select(keys).distinct().select(
+        keys, F.lit(-1).cast("long").alias("_ord"),
+        F.format_string(HEADER_FORMAT, F.col(keys)).alias("value"))
+    lines = df.select(keys, F.col(pos).cast("long").alias("_ord"), F.col(text).alias("value"))
+    (heads.unionByName(lines).repartition(keys).sortWithinPartitions(keys, "_ord")
+     .select("value").write.mode("append").text(path))
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """Append a long metric table ``(run, step, name, value)`` as parquet."""
+    df.select(F.col("run").cast("string"), F.col("step").cast("long"), F.col("name").cast("string"),
+              F.col("value").cast("double")).write.mode("append").parquet(path)
+
+
+def write_run_config(df: DataFrame, path: str) -> None:
+    """One-row run configuration as JSON."""
+    df.coalesce(1).write.mode("overwrite").json(path)
