@@ -1,0 +1,55 @@
+"""Bundle and flow operators against plain-Python loops."""
+import random
+
+from haggle.operators import bundle as B
+
+TRIG = ["Negotiate-Remove-X", "Negotiate-Add-X", "Negotiate-Remove-X_Negotiate-Price-Decrease"]
+
+
+def py_retag(intents):
+    f = list(intents)
+    for i in range(1, len(f) - 1):
+        if f[i - 1] in ("Negotiate-Remove-X", "Negotiate-Add-X"):
+            f[i] = "tell_price"
+        if f[i - 1] == "Negotiate-Remove-X_Negotiate-Price-Decrease":
+            f[i] = "Negotiate-Price-Remove-X"
+    return f
+
+
+def test_intent_retag_runs(spark):
+    rnd = random.Random(13)
+    flows = {k: [rnd.choice(TRIG + ["Accept", "Ask_Price"]) for _ in range(rnd.randint(1, 15))] for k in range(200)}
+    flows[900] = ["Accept"] + [TRIG[0]] * 2 + ["Accept"] * 2
+    flows[901] = ["Accept"] + [TRIG[1]] * 3 + ["Accept"] * 2
+    flows[902] = ["Accept"] + [TRIG[2], TRIG[0], TRIG[2], TRIG[1]] + ["Accept"] * 2
+    rows = [(k, t + 1, x) for k, xs in flows.items() for t, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "flow_id long, turn int, intent string")
+    got = {(r.flow_id, r.turn): r.retagged for r in B.intent_retag(df).collect()}
+    for k, xs in flows.items():
+        exp = py_retag(xs)
+        assert [got[(k, t + 1)] for t in range(len(xs))] == exp, (k, xs)
+
+
+def test_enumerate_round_phrase(spark):
+    acc = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "c"), ("q", "z")], "product string, accessory string")
+    b = B.bundle_enumerate(acc)
+    counts = {r.product: r["count"] for r in b.groupBy("product").count().collect()}
+    assert counts == {"p": 6, "q": 1}
+    ph = {r.bundle_id: r.ph for r in b.select("bundle_id", B.bundle_phrase_expr("product", "items").alias("ph")).collect()}
+    assert ph["a+b"] == "p along with  a a, and a b" and ph["z"] == "q and a z"
+    df = spark.createDataFrame([(7.0,), (99.0,), (123.0,), (999.9,), (1234.0,), (56789.0,)], "x double")
+    assert [r.r for r in df.select(B.price_round_expr("x").alias("r")).collect()] == [5, 95, 120, 990, 1200, 56700]
+
+
+def test_curve_and_deal(spark):
+    sc = spark.createDataFrame([("p", 0, 1000, 600, 0)],
+                               "product string, replica int, total_seller long, total_buyer long, bundle_cost long")
+    sc = sc.withColumn("first_seller", sc.total_seller)
+    c = B.concession_curve(sc, 20)
+    rows = {r.t: r for r in c.collect()}
+    assert rows[0].seller_offer == 1000 and rows[0].buyer_offer == 600
+    d = B.deal_turn(c).collect()[0].deal_turn
+    import math
+    exp = next(t for t in range(21) if math.floor(600 + 400 * math.exp(-0.5 * t))
+               <= math.ceil(1000 - 400 * math.exp(-0.2 * t)) + 0.05 * 1000)
+    assert d == exp
