@@ -71,7 +71,24 @@ def q_mean_reward(spark, sf_dir):
     return _ppo(spark, sf_dir, "mean_reward")
 
 
-@register("validation_report")
+@register("validation_report", W("logits", "sm1", "tok_nll", "turns", "turns_f", "turns_r", "turns_x", "turns_e",
+                                   "mt_pairs", "mt_h", "mt_r", "mt", "nego", "nego_f", "nego_r", "nego_o", "nego_m",
+                                   "outcome") + """
+, o AS (SELECT CAST(final_price AS DOUBLE) / NULLIF(CAST(opening_price AS DOUBLE), 0) AS prize_gap,
+               CASE WHEN (final_price - reservation_price) / (final_price + 1.0)
+                         * CASE WHEN outcome = 'Accept' THEN 1.0 ELSE -1.0 END >= 0
+                    THEN exp((final_price - reservation_price) / (final_price + 1.0)
+                             * CASE WHEN outcome = 'Accept' THEN 1.0 ELSE -1.0 END)
+                    WHEN final_price IS NOT NULL THEN 0.0 END AS strategy FROM outcome)
+SELECT 'perplexity' AS metric, avg(v) AS value, count(v) AS n FROM (
+  SELECT exp(sum(nll * mask) / sum(mask)) AS v FROM tok_nll GROUP BY seq)
+UNION ALL SELECT 'loss', avg(v), count(v) FROM (SELECT sum(nll * mask) / sum(mask) AS v FROM tok_nll GROUP BY seq)
+UNION ALL SELECT 'length', avg(v), count(v) FROM (
+  SELECT CAST(len(list_filter(regexp_split_to_array(split_part(split_part(example, chr(10), 1), chr(9), 1), '\\s+'),
+                              lambda w: w <> '')) AS DOUBLE) AS v FROM turns_e)
+UNION ALL SELECT 'meteor', avg(meteor), count(meteor) FROM mt
+UNION ALL SELECT 'strategy', avg(strategy), count(strategy) FROM o
+UNION ALL SELECT 'prize_gap', avg(prize_gap), count(prize_gap) FROM o""")
 def q_validation_report(spark, sf_dir):
     """Means of perplexity, loss, reply length, METEOR, strategy and price
     gap, each over its own whole input."""

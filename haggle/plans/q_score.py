@@ -251,7 +251,36 @@ def _turn_pairs(spark, sf_dir):
         "conv_id", "turn_no", F.col("utterance").alias("hyp"), F.col("prev_utterance").alias("ref"))
 
 
-@register("meteor_pair")
+def sql_meteor_views() -> None:
+    words = "list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: x <> '')"
+    X.EXTRA_VIEWS["mt_pairs"] = """
+SELECT conv_id, turn_no, utterance AS hyp, lag(utterance) OVER (PARTITION BY conv_id ORDER BY turn_no) AS ref
+FROM turns QUALIFY ref IS NOT NULL"""
+    for side, col in (("mt_h", "hyp"), ("mt_r", "ref")):
+        X.EXTRA_VIEWS[side] = f"""
+SELECT conv_id, turn_no, w, pos, row_number() OVER (PARTITION BY conv_id, turn_no, w ORDER BY pos) AS k FROM (
+  SELECT conv_id, turn_no, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos
+  FROM (SELECT conv_id, turn_no, {words.format(c=col)} AS ws FROM mt_pairs))"""
+    X.EXTRA_VIEWS["mt"] = """
+SELECT p.conv_id, p.turn_no,
+       CASE WHEN coalesce(a.m, 0) > 0 THEN round(
+         (a.m / nh.n) * (a.m / nr.n) / (0.9 * (a.m / nh.n) + 0.1 * (a.m / nr.n)) * (1 - 0.5 * power(a.chunks / a.m, 3)), 2)
+       ELSE 0.0 END AS meteor
+FROM mt_pairs p
+LEFT JOIN (SELECT conv_id, turn_no, count(*) AS n FROM mt_h GROUP BY ALL) nh USING (conv_id, turn_no)
+LEFT JOIN (SELECT conv_id, turn_no, count(*) AS n FROM mt_r GROUP BY ALL) nr USING (conv_id, turn_no)
+LEFT JOIN (SELECT conv_id, turn_no, count(*) AS m, sum(brk) AS chunks FROM (
+             SELECT *, CASE WHEN lag(hpos) OVER o = hpos - 1 AND lag(rpos) OVER o = rpos - 1 THEN 0 ELSE 1 END AS brk
+             FROM (SELECT h.conv_id, h.turn_no, h.pos AS hpos, r.pos AS rpos FROM mt_h h JOIN mt_r r
+                   ON h.conv_id = r.conv_id AND h.turn_no = r.turn_no AND h.w = r.w AND h.k = r.k)
+             WINDOW o AS (PARTITION BY conv_id, turn_no ORDER BY hpos)) GROUP BY ALL) a USING (conv_id, turn_no)"""
+
+
+sql_meteor_views()
+METEOR_VIEWS = ("turns", "mt_pairs", "mt_h", "mt_r", "mt")
+
+
+@register("meteor_pair", W(*METEOR_VIEWS) + "SELECT conv_id, turn_no, meteor FROM mt")
 def q_meteor_pair(spark, sf_dir):
     """Each reply scored against the previous reply; mean per conversation
     is ``validation_report``'s METEOR input."""
