@@ -142,8 +142,8 @@ def accuracy(df: DataFrame, *, actual: str = "actual", predicted: str = "predict
     all rows (the original divides by every test row, other speaker's
     included)."""
     hit = (F.col(scored) & (F.col(actual) == F.col(predicted))).cast("int")
-    return df.agg((F.sum(hit) / F.sum(F.col(scored).cast("int"))).alias("acc_scored"),
-                  (F.sum(hit) / F.count(F.lit(1))).alias("acc_reference"))
+    return df.agg(F.try_divide(F.sum(hit), F.sum(F.col(scored).cast("int")).cast("double")).alias("acc_scored"),
+                  F.try_divide(F.sum(hit), F.count(F.lit(1)).cast("double")).alias("acc_reference"))
 
 
 def validation_report(parts: dict[str, DataFrame]) -> DataFrame:

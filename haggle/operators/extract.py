@@ -44,9 +44,11 @@ def after_marker(df: DataFrame, *, text: str = "text", out: str = "after") -> Da
 
 
 def _any_label_word(labels: list[str]) -> str:
-    """Regex for one space-delimited word containing any of ``labels``."""
+    """Regex for one space-delimited word containing any of ``labels``; the
+    look-behind pins each attempt to a word start, so a failed word costs one
+    pass instead of one per character."""
     import re
-    return "[^ ]*(?:" + "|".join(re.escape(x.lower()) for x in labels) + ")[^ ]*"
+    return "(?<![^ ])[^ ]*?(?:" + "|".join(re.escape(x.lower()) for x in labels) + ")[^ ]*"
 
 
 def intent_tag_last(df: DataFrame, *, text: str = "text", role: str = "role_id",
@@ -63,7 +65,7 @@ def intent_tag_last(df: DataFrame, *, text: str = "text", role: str = "role_id",
     low = F.lower(after_marker_expr(text))
     hits = F.when(F.col(role) == 0, F.regexp_extract_all(low, F.lit(_any_label_word(BUYER_INTENTS)), 0)) \
             .otherwise(F.regexp_extract_all(low, F.lit(_any_label_word(SELLER_INTENTS)), 0))
-    d = df.withColumn("_last", strip_ws(F.get(hits, F.size(hits) - 1)))
+    d = df.withColumn("_last", strip_ws(F.try_element_at(hits, F.lit(-1))))
     labs = _role_labels(F.col(role))
     pick = F.get(F.filter(labs, lambda k: (F.instr(F.col("_last"), k) > 0)
                           & (F.size(F.split(k, "_")) == F.size(F.split(F.col("_last"), "_")))), 0)
@@ -74,7 +76,7 @@ def intent_tag_marked_expr(text, role) -> Column:
     """Label after the last ``intent:`` / ``intent of`` marker, kept only when
     it is a label of the *other* role (canonical spelling), else ``NA``."""
     found = F.regexp_extract_all(_c(text), F.lit(r"(?:intent:|intent of)\s+(\S+)"), 1)
-    word = F.lower(F.get(found, F.size(found) - 1))
+    word = F.lower(F.try_element_at(found, F.lit(-1)))
     other = F.when(_c(role) == 0, F.lit(1)).otherwise(F.lit(0))
     canon_b = F.map_from_arrays(_role_labels(F.lit(0)), _role_labels(F.lit(0), lower=False))
     canon_s = F.map_from_arrays(_role_labels(F.lit(1)), _role_labels(F.lit(1), lower=False))

@@ -165,7 +165,7 @@ def _vec_dot(a: Column, b: Column) -> Column:
 def embedding_cosine_expr(a, b) -> Column:
     a = F.transform(F.col(a), lambda x: x.cast("double")) if isinstance(a, str) else a
     b = F.transform(F.col(b), lambda x: x.cast("double")) if isinstance(b, str) else b
-    return _vec_dot(a, b) / (F.sqrt(_vec_dot(a, a)) * F.sqrt(_vec_dot(b, b)))
+    return F.try_divide(_vec_dot(a, b), F.sqrt(_vec_dot(a, a)) * F.sqrt(_vec_dot(b, b)))
 
 
 def embedding_cosine(df: DataFrame, topics: DataFrame, *, on: str = "label", vec: str = "embedding",
@@ -238,15 +238,15 @@ def sequence_ce(df: DataFrame, *, seq: str = "seq", nll: str = "nll", mask: str
     if reduce == "none":
         return d
     if reduce == "sentence":
-        return d.groupBy(seq).agg((F.sum("loss") / F.sum(mask)).alias("loss"))
+        return d.groupBy(seq).agg(F.try_divide(F.sum("loss"), F.sum(mask).cast("double")).alias("loss"))
     if reduce == "batch":
-        return d.agg((F.sum("loss") / F.sum(mask)).alias("loss"))
+        return d.agg(F.try_divide(F.sum("loss"), F.sum(mask).cast("double")).alias("loss"))
     raise ValueError(f"unknown reduce {reduce!r}")
 
 
 def perplexity(df: DataFrame, *, seq: str = "seq", nll: str = "nll", mask: str = "mask") -> DataFrame:
     """exp of the per-sequence mean masked NLL."""
-    return (df.groupBy(seq).agg((F.sum(F.col(nll) * F.col(mask)) / F.sum(mask)).alias("_l"))
+    return (df.groupBy(seq).agg(F.try_divide(F.sum(F.col(nll) * F.col(mask)), F.sum(mask).cast("double")).alias("_l"))
             .select(seq, F.exp("_l").alias("perplexity")))
 
 
