@@ -5,15 +5,20 @@ task; with one conversation holding a large share of the data that task is the
 whole job.  These helpers run the scan in two levels instead:
 
 1. rows are cut into chunks of ``chunk_rows`` consecutive positions
-   (``floor(pos / chunk_rows)``); the window runs per (key, chunk), so a hot
-   key spreads over many tasks;
-2. a per-chunk summary (one row per chunk, partial-aggregated) is scanned per
-   key to get the carry from earlier / later chunks, and joined back on
-   (key, chunk).  The big side is already hash-partitioned on (key, chunk)
-   by the window, so only the small summary moves.
-
-Results equal the plain single-window scan.  ``pos`` must be an integer
-position that orders rows within the key (gaps allowed).
+   (``floor(pos / chunk_rows)``) and the window runs per (key, chunk), so a
+   hot key spreads over many tasks;
+2. a one-row-per-chunk summary, taken from the window's own output in the
+   same stage, is scanned per key to get the carry from earlier / later
+   chunks and joined back on (key, chunk).
+
+Plan shape: the (key, chunk) pair travels as one struct column.  The big side
+is shuffled once (by that struct); the summary is aggregated on the already
+partitioned window output, so both uses of the window share one exchange
+(reused at run time) and only the small summary moves again.  A struct key
+is never NULL, so the optimizer infers no extra filter that would make the
+two branches differ and defeat the reuse.  Results equal the plain
+single-window scan; ``pos`` must be an integer position that orders rows
+within the key (gaps allowed).
 """
 
 from __future__ import annotations
@@ -22,34 +27,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 16
-_C = "_scan_chunk"
+_K = "_scan_key"
+_C = "_c"
 UNB = Window.unboundedPreceding
-UNF = Window.unboundedFollowing
-
-
-def _chunked(df: DataFrame, pos: str, chunk_rows: int) -> DataFrame:
-    return df.withColumn(_C, F.floor(F.col(pos) / F.lit(chunk_rows)).cast("long"))
 
 
 def _as_list(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _keyed(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    return df.withColumn(_K, F.struct(*[F.col(k).alias(k) for k in keys], chunk.cast("long").alias(_C)))
+
+
+def _pos_chunk(pos: str, chunk_rows: int) -> Column:
+    return F.floor(F.col(pos) / F.lit(chunk_rows))
+
+
+def _carry_window(keys: list[str], upto: int | None):
+    w = Window.partitionBy(*[F.col(_K)[k] for k in keys]).orderBy(F.col(_K)[_C])
+    return w.rowsBetween(UNB, upto) if upto is not None else w
+
+
+def _join_back(d: DataFrame, carry: DataFrame) -> DataFrame:
+    return d.join(carry, _K, "left")
+
+
 def ffill(df: DataFrame, keys, pos: str, value: str, out: str, *,
           exclusive: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Last non-null ``value`` at or (``exclusive``) strictly before each row."""
     keys = _as_list(keys)
-    d = _chunked(df, pos, chunk_rows)
-    hi = -1 if exclusive else 0
-    w = Window.partitionBy(*keys, _C).orderBy(pos).rowsBetween(UNB, hi)
-    d = d.withColumn("_scan_local", F.last(value, ignorenulls=True).over(w))
-    summ = d.groupBy(*keys, _C).agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(pos))).alias("_scan_last"))
-    wc = Window.partitionBy(*keys).orderBy(_C).rowsBetween(UNB, -1)
-    carry = summ.select(*keys, _C, F.last("_scan_last", ignorenulls=True).over(wc).alias("_scan_carry"))
-    return (d.join(carry, [*keys, _C], "left")
-            .withColumn(out, F.coalesce("_scan_local", "_scan_carry"))
-            .drop(_C, "_scan_local", "_scan_carry"))
+    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
+    w = Window.partitionBy(_K).orderBy(pos)
+    d = d.withColumn("_scan_inc", F.last(value, ignorenulls=True).over(w.rowsBetween(UNB, 0)))
+    if exclusive:
+        d = d.withColumn("_scan_local", F.last(value, ignorenulls=True).over(w.rowsBetween(UNB, -1)))
+    summ = d.groupBy(_K).agg(F.max_by("_scan_inc", F.col(pos)).alias("_scan_last"))
+    carry = summ.select(_K, F.last("_scan_last", ignorenulls=True).over(_carry_window(keys, -1)).alias("_scan_carry"))
+    local = "_scan_local" if exclusive else "_scan_inc"
+    return (_join_back(d, carry).withColumn(out, F.coalesce(local, "_scan_carry"))
+            .drop(_K, "_scan_inc", "_scan_local", "_scan_carry"))
 
 
 def running_agg(df: DataFrame, keys, pos: str, value: str, out: str, *, how: str = "sum",
@@ -57,20 +74,21 @@ def running_agg(df: DataFrame, keys, pos: str, value: str, out: str, *, how: str
     """Running sum / min / max of ``value`` up to (``exclusive``: before) each row."""
     keys = _as_list(keys)
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
-    comb = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-            "min": lambda a, b: F.least(a, b), "max": lambda a, b: F.greatest(a, b)}[how]
-    d = _chunked(df, pos, chunk_rows)
-    hi = -1 if exclusive else 0
-    w = Window.partitionBy(*keys, _C).orderBy(pos).rowsBetween(UNB, hi)
-    d = d.withColumn("_scan_local", fn(value).over(w))
-    summ = d.groupBy(*keys, _C).agg(fn(value).alias("_scan_tot"))
-    wc = Window.partitionBy(*keys).orderBy(_C).rowsBetween(UNB, -1)
-    carry = summ.select(*keys, _C, fn("_scan_tot").over(wc).alias("_scan_carry"))
-    res = comb(F.col("_scan_local"), F.col("_scan_carry"))
+    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
+    w = Window.partitionBy(_K).orderBy(pos)
+    d = d.withColumn("_scan_inc", fn(value).over(w.rowsBetween(UNB, 0)))
+    if exclusive:
+        d = d.withColumn("_scan_local", fn(value).over(w.rowsBetween(UNB, -1)))
+    summ = d.groupBy(_K).agg(F.max_by("_scan_inc", F.col(pos)).alias("_scan_tot"))
+    carry = summ.select(_K, fn("_scan_tot").over(_carry_window(keys, -1)).alias("_scan_carry"))
+    a, b = F.col("_scan_local" if exclusive else "_scan_inc"), F.col("_scan_carry")
     if how == "sum":
-        # both empty (first row, exclusive) stays NULL like a plain window
-        res = F.when(F.col("_scan_local").isNull() & F.col("_scan_carry").isNull(), F.lit(None)).otherwise(res)
-    return d.join(carry, [*keys, _C], "left").withColumn(out, res).drop(_C, "_scan_local", "_scan_carry")
+        res = F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    elif how == "min":
+        res = F.least(a, b)
+    else:
+        res = F.greatest(a, b)
+    return _join_back(d, carry).withColumn(out, res).drop(_K, "_scan_inc", "_scan_local", "_scan_carry")
 
 
 def shift(df: DataFrame, keys, pos: str, cols: list[str], *, direction: int = 1,
@@ -78,21 +96,20 @@ def shift(df: DataFrame, keys, pos: str, cols: list[str], *, direction: int = 1,
     """Attach the next (``direction=1``) or previous (``-1``) row's ``cols``
     within the key as ``prefix + col``; NULL past the ends."""
     keys = _as_list(keys)
-    d = _chunked(df, pos, chunk_rows)
+    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
     st = F.struct(*[F.col(c).alias(c) for c in cols], F.lit(True).alias("_present"))
-    w = Window.partitionBy(*keys, _C).orderBy(pos)
-    local = F.lead(st, 1).over(w) if direction > 0 else F.lag(st, 1).over(w)
-    d = d.withColumn("_scan_local", local)
-    edge = F.min_by(st, F.col(pos)) if direction > 0 else F.max_by(st, F.col(pos))
-    summ = d.groupBy(*keys, _C).agg(edge.alias("_scan_edge"))
-    wc = Window.partitionBy(*keys).orderBy(_C)
-    nb = F.lead("_scan_edge", 1).over(wc) if direction > 0 else F.lag("_scan_edge", 1).over(wc)
-    carry = summ.select(*keys, _C, nb.alias("_scan_carry"))
-    d = d.join(carry, [*keys, _C], "left").withColumn(
+    w = Window.partitionBy(_K).orderBy(pos)
+    d = d.withColumn("_scan_local", F.lead(st, 1).over(w) if direction > 0 else F.lag(st, 1).over(w)) \
+         .withColumn("_scan_rn", F.row_number().over(w))
+    edge = F.min_by(st, F.col("_scan_rn")) if direction > 0 else F.max_by(st, F.col("_scan_rn"))
+    summ = d.groupBy(_K).agg(edge.alias("_scan_edge"))
+    cw = _carry_window(keys, None)
+    nb = F.lead("_scan_edge", 1).over(cw) if direction > 0 else F.lag("_scan_edge", 1).over(cw)
+    carry = summ.select(_K, nb.alias("_scan_carry"))
+    d = _join_back(d, carry).withColumn(
         "_scan_pick", F.when(F.col("_scan_local._present"), F.col("_scan_local")).otherwise(F.col("_scan_carry")))
-    for c in cols:
-        d = d.withColumn(prefix + c, F.col(f"_scan_pick.{c}"))
-    return d.drop(_C, "_scan_local", "_scan_carry", "_scan_pick")
+    d = d.withColumns({prefix + c: F.col(f"_scan_pick.{c}") for c in cols})
+    return d.drop(_K, "_scan_local", "_scan_rn", "_scan_carry", "_scan_pick")
 
 
 def row_number(df: DataFrame, keys, order: list, chunk: Column, out: str) -> DataFrame:
@@ -101,12 +118,10 @@ def row_number(df: DataFrame, keys, order: list, chunk: Column, out: str) -> Dat
     numbered inside each (key, chunk) and offset by the row counts of the
     earlier chunks of the key."""
     keys = _as_list(keys)
-    d = df.withColumn(_C, chunk)
-    w = Window.partitionBy(*keys, _C).orderBy(*order)
-    d = d.withColumn("_scan_local", F.row_number().over(w))
-    summ = d.groupBy(*keys, _C).agg(F.count(F.lit(1)).alias("_scan_n"))
-    wc = Window.partitionBy(*keys).orderBy(_C).rowsBetween(UNB, -1)
-    carry = summ.select(*keys, _C, F.coalesce(F.sum("_scan_n").over(wc), F.lit(0)).alias("_scan_carry"))
-    return (d.join(carry, [*keys, _C], "left")
+    d = _keyed(df, keys, chunk)
+    d = d.withColumn("_scan_local", F.row_number().over(Window.partitionBy(_K).orderBy(*order)))
+    summ = d.groupBy(_K).agg(F.max("_scan_local").alias("_scan_n"))
+    carry = summ.select(_K, F.coalesce(F.sum("_scan_n").over(_carry_window(keys, -1)), F.lit(0)).alias("_scan_carry"))
+    return (_join_back(d, carry)
             .withColumn(out, (F.col("_scan_local") + F.col("_scan_carry")).cast("int"))
-            .drop(_C, "_scan_local", "_scan_carry"))
+            .drop(_K, "_scan_local", "_scan_carry"))
