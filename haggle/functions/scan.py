@@ -53,42 +53,65 @@ def _join_back(d: DataFrame, carry: DataFrame) -> DataFrame:
     return d.join(carry, _K, "left")
 
 
-def ffill(df: DataFrame, keys, pos: str, value: str, out: str, *,
+def ffill(df: DataFrame, keys, pos: str, value, out=None, *,
           exclusive: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Last non-null ``value`` at or (``exclusive``) strictly before each row."""
+    """Last non-null value at or (``exclusive``) strictly before each row.
+
+    ``value``/``out`` are one column name each, or ``value`` is a dict
+    ``{value_col: out_col}`` to fill several columns in one pass (one
+    shuffle, one window, one summary)."""
     keys = _as_list(keys)
+    pairs = dict(value) if isinstance(value, dict) else {value: out}
     d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
     w = Window.partitionBy(_K).orderBy(pos)
-    d = d.withColumn("_scan_inc", F.last(value, ignorenulls=True).over(w.rowsBetween(UNB, 0)))
-    if exclusive:
-        d = d.withColumn("_scan_local", F.last(value, ignorenulls=True).over(w.rowsBetween(UNB, -1)))
-    summ = d.groupBy(_K).agg(F.max_by("_scan_inc", F.col(pos)).alias("_scan_last"))
-    carry = summ.select(_K, F.last("_scan_last", ignorenulls=True).over(_carry_window(keys, -1)).alias("_scan_carry"))
-    local = "_scan_local" if exclusive else "_scan_inc"
-    return (_join_back(d, carry).withColumn(out, F.coalesce(local, "_scan_carry"))
-            .drop(_K, "_scan_inc", "_scan_local", "_scan_carry"))
-
-
-def running_agg(df: DataFrame, keys, pos: str, value: str, out: str, *, how: str = "sum",
+    names = {v: (f"_scan_inc{i}", f"_scan_loc{i}", f"_scan_last{i}", f"_scan_carry{i}")
+             for i, v in enumerate(pairs)}
+    for v, (inc, loc, _, _) in names.items():
+        d = d.withColumn(inc, F.last(v, ignorenulls=True).over(w.rowsBetween(UNB, 0)))
+        if exclusive:
+            d = d.withColumn(loc, F.last(v, ignorenulls=True).over(w.rowsBetween(UNB, -1)))
+    summ = d.groupBy(_K).agg(*[F.max_by(inc, F.col(pos)).alias(last) for inc, _, last, _ in names.values()])
+    cw = _carry_window(keys, -1)
+    carry = summ.select(_K, *[F.last(last, ignorenulls=True).over(cw).alias(car)
+                              for _, _, last, car in names.values()])
+    d = _join_back(d, carry)
+    d = d.withColumns({pairs[v]: F.coalesce(loc if exclusive else inc, car)
+                       for v, (inc, loc, _, car) in names.items()})
+    drop = [c for n in names.values() for c in (n[0], n[3])] + ([n[1] for n in names.values()] if exclusive else [])
+    return d.drop(_K, *drop)
+
+
+def running_agg(df: DataFrame, keys, pos: str, value, out=None, *, how: str = "sum",
                 exclusive: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Running sum / min / max of ``value`` up to (``exclusive``: before) each row."""
+    """Running sum / min / max up to (``exclusive``: before) each row;
+    ``value`` may be a dict ``{value_col: out_col}`` for several columns in
+    one pass."""
     keys = _as_list(keys)
+    pairs = dict(value) if isinstance(value, dict) else {value: out}
     fn = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
     w = Window.partitionBy(_K).orderBy(pos)
-    d = d.withColumn("_scan_inc", fn(value).over(w.rowsBetween(UNB, 0)))
-    if exclusive:
-        d = d.withColumn("_scan_local", fn(value).over(w.rowsBetween(UNB, -1)))
-    summ = d.groupBy(_K).agg(F.max_by("_scan_inc", F.col(pos)).alias("_scan_tot"))
-    carry = summ.select(_K, fn("_scan_tot").over(_carry_window(keys, -1)).alias("_scan_carry"))
-    a, b = F.col("_scan_local" if exclusive else "_scan_inc"), F.col("_scan_carry")
-    if how == "sum":
-        res = F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    elif how == "min":
-        res = F.least(a, b)
-    else:
-        res = F.greatest(a, b)
-    return _join_back(d, carry).withColumn(out, res).drop(_K, "_scan_inc", "_scan_local", "_scan_carry")
+    names = {v: (f"_scan_inc{i}", f"_scan_loc{i}", f"_scan_tot{i}", f"_scan_carry{i}")
+             for i, v in enumerate(pairs)}
+    for v, (inc, loc, _, _) in names.items():
+        d = d.withColumn(inc, fn(v).over(w.rowsBetween(UNB, 0)))
+        if exclusive:
+            d = d.withColumn(loc, fn(v).over(w.rowsBetween(UNB, -1)))
+    summ = d.groupBy(_K).agg(*[F.max_by(inc, F.col(pos)).alias(tot) for inc, _, tot, _ in names.values()])
+    cw = _carry_window(keys, -1)
+    carry = summ.select(_K, *[fn(tot).over(cw).alias(car) for _, _, tot, car in names.values()])
+    d = _join_back(d, carry)
+
+    def comb(a, b):
+        if how == "sum":
+            return F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(
+                F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+        return F.least(a, b) if how == "min" else F.greatest(a, b)
+
+    d = d.withColumns({pairs[v]: comb(F.col(loc if exclusive else inc), F.col(car))
+                       for v, (inc, loc, _, car) in names.items()})
+    drop = [c for n in names.values() for c in (n[0], n[3])] + ([n[1] for n in names.values()] if exclusive else [])
+    return d.drop(_K, *drop)
 
 
 def shift(df: DataFrame, keys, pos: str, cols: list[str], *, direction: int = 1,

@@ -249,12 +249,12 @@ def counterpart_state(df: DataFrame, *, keys=("conv_id",), pos: str = "turn_no",
     strictly before it (opening prices / empty text when none), by
     exclusive skew-safe forward fills."""
     keys = list(keys)
-    d = df
-    for side, r in (("buyer", 0), ("seller", 1)):
-        d = d.withColumn(f"_{side}_p", F.when(F.col(role) == r, F.col(price)))
-        d = d.withColumn(f"_{side}_u", F.when(F.col(role) == r, F.col(text)))
-        d = scan.ffill(d, keys, pos, f"_{side}_p", f"{side}_last_price", exclusive=True)
-        d = scan.ffill(d, keys, pos, f"_{side}_u", f"{side}_last_text", exclusive=True)
+    d = df.withColumns({
+        "_buyer_p": F.when(F.col(role) == 0, F.col(price)), "_buyer_u": F.when(F.col(role) == 0, F.col(text)),
+        "_seller_p": F.when(F.col(role) == 1, F.col(price)), "_seller_u": F.when(F.col(role) == 1, F.col(text))})
+    d = scan.ffill(d, keys, pos, {"_buyer_p": "buyer_last_price", "_buyer_u": "buyer_last_text",
+                                  "_seller_p": "seller_last_price", "_seller_u": "seller_last_text"},
+                   exclusive=True)
     d = (d.withColumn("buyer_last_price", F.coalesce(F.col("buyer_last_price"), F.col(open_buyer)))
          .withColumn("seller_last_price", F.coalesce(F.col("seller_last_price"), F.col(open_seller)))
          .withColumn("buyer_last_text", F.coalesce(F.col("buyer_last_text"), F.lit("")))
