@@ -149,13 +149,14 @@ def split_rows(df: DataFrame, *, seed: int = 42, train: float = 0.8, valid: floa
 def batch_assign(df: DataFrame, size: int, *, seed: int = 42, n_buckets: int = 64,
                  key_cols=(CONV, POS)) -> DataFrame:
     """Seeded shuffle into fixed-size batches: rows go to an md5 bucket and
-    are numbered inside it by a second md5, so no window spans all rows.
-    Batch id = (bucket, batch_no)."""
+    are numbered inside it in the order of a second md5, then cut into runs
+    of ``size``.  Batch id = (bucket, batch_no).  The numbering is the
+    two-level scan (chunks of the ordering hash), so a bucket never has to
+    sit in one task however many rows it holds."""
     h = md5_int(f"{seed}:order", *key_cols)
     d = df.withColumn("bucket", md5_bucket(seed, n_buckets, *key_cols).cast("int")).withColumn("_h", h)
-    w = Window.partitionBy("bucket").orderBy("_h", *key_cols)
-    return (d.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("int"))
-            .drop("_h"))
+    d = scan.row_number(d, "bucket", ["_h", *key_cols], F.floor(F.col("_h") / F.lit(1 << 16)), "_rn")
+    return d.withColumn("batch_no", F.floor((F.col("_rn") - 1) / F.lit(size)).cast("int")).drop("_h", "_rn")
 
 
 def context_budget_trim(df: DataFrame, budget: int, *, length: str = "n", keys=CONV, pos=POS,

@@ -92,15 +92,19 @@ EVENT_INTENTS = [
     ("error", "Reject", "avoid_rejection"),
 ]
 
-DAY_US = 86_400_000_000
+def minute_of(ts: str):
+    """Minutes since the epoch of a (zone-less) timestamp: the chunk of the
+    per-user numbering scan, fine enough that one hot user still spreads
+    over many tasks."""
+    return (F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long") * 1440
+            + F.hour(ts) * 60 + F.minute(ts))
 
 
 def nego(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    # numbering per user is a two-level scan (day chunks) so a hot user is
-    # spread over many tasks
-    e = scan.row_number(e, "user_id", ["ts", "event_id"],
-                        F.datediff(F.to_date("ts"), F.lit("1970-01-01")), "turn_no")
+    # numbering per user is a two-level scan (minute chunks) so a hot user
+    # is spread over many tasks
+    e = scan.row_number(e, "user_id", ["ts", "event_id"], minute_of("ts"), "turn_no")
     m = local_table(spark, EVENT_INTENTS, ["event_type", "buyer", "seller"], ["string"] * 3)
     return (e.join(F.broadcast(m), "event_type", "left")
             .select(F.col("user_id").alias("conv_id"), "turn_no",
@@ -240,8 +244,7 @@ SELECT l_orderkey AS buffer, l_linenumber - 1 AS idx, -l_discount AS old_logp, -
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    e = scan.row_number(e, "user_id", ["ts", "event_id"],
-                        F.datediff(F.to_date("ts"), F.lit("1970-01-01")), "step")
+    e = scan.row_number(e, "user_id", ["ts", "event_id"], minute_of("ts"), "step")
     return e.select(F.col("user_id").alias("run"), "step", "value")
 
 

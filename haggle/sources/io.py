@@ -83,15 +83,16 @@ HEADER_FORMAT = "######conversation %d###############"   # FIXED VALUE: flow hea
 
 def write_transcript(df: DataFrame, path: str, *, keys: str = "conv_id", pos: str = "turn_no",
                      text: str = "text") -> None:
-    """Append flow headers and turn lines as plain text.  Rows are
-    co-located per conversation and sorted within partitions (header first,
-    then turns in order), so each conversation is a contiguous, ordered
-    block of a file without any global sort."""
+    """Append flow headers and turn lines as plain text, each conversation
+    a contiguous block (header first, then its turns in order).  The order
+    comes from a distributed range-partitioned sort on (conversation, line):
+    a very long conversation is split across consecutive output files
+    instead of landing in one task."""
     heads = df.select(keys).distinct().select(
         keys, F.lit(-1).cast("long").alias("_ord"),
         F.format_string(HEADER_FORMAT, F.col(keys)).alias("value"))
     lines = df.select(keys, F.col(pos).cast("long").alias("_ord"), F.col(text).alias("value"))
-    (heads.unionByName(lines).repartition(keys).sortWithinPartitions(keys, "_ord")
+    (heads.unionByName(lines).orderBy(keys, "_ord")
      .select("value").write.mode("append").text(path))
 
 
