@@ -133,10 +133,10 @@ def q_reservation_price(spark, sf_dir):
 X.EXTRA_VIEWS["outcome"] = f"""
 SELECT conv_id, max(turn_no) AS last_turn,
        CASE WHEN arg_max(speaker, turn_no) = 0 THEN 'Reject' ELSE 'Accept' END AS outcome,
-       arg_max({sql_price('text')}, turn_no) AS final_price,
+       arg_max_null({sql_price('text')}, turn_no) AS final_price,
        CAST(arg_max(opening_price, turn_no) AS BIGINT) AS opening_price,
        CAST(arg_max(reservation_price, turn_no) AS DOUBLE) AS reservation_price,
-       arg_max({sql_price('text')}, turn_no) - CAST(arg_max(reservation_price, turn_no) AS DOUBLE) AS prize_diff
+       arg_max_null({sql_price('text')}, turn_no) - CAST(arg_max(reservation_price, turn_no) AS DOUBLE) AS prize_diff
 FROM nego_m GROUP BY conv_id"""
 OUTCOME = ("nego", "nego_f", "nego_r", "nego_o", "nego_m", "outcome")
 

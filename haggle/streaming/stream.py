@@ -75,3 +75,22 @@ def run_available_now(df: DataFrame, name: str, *, mode: str = "append") -> Data
          .trigger(availableNow=True).start(out))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def stream_final_outcome(events: DataFrame, *, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """Negotiation outcome per session of a conversation: event-time session
+    windows (a new session after ``gap`` of silence) with a watermark; the
+    last turn decides (buyer last -> Reject, seller last -> Accept) and its
+    integer price is the final price.  Sessions are emitted once the
+    watermark passes their end."""
+    e = events.select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+                      (F.col("event_id") % 2).cast("int").alias("speaker"),
+                      F.when(F.col("event_type") == "error", F.lit(None))
+                      .otherwise(F.floor("value")).cast("long").alias("price"))
+    last = F.max_by(F.struct("speaker", "price"), F.struct("ts", "event_id"))
+    return (e.withWatermark("ts", delay)
+            .groupBy(F.session_window("ts", gap).alias("s"), "conv_id")
+            .agg(F.count(F.lit(1)).alias("n"), last.alias("_l"))
+            .select("conv_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), "n",
+                    F.when(F.col("_l.speaker") == 0, "Reject").otherwise("Accept").alias("outcome"),
+                    F.col("_l.price").alias("final_price")))
