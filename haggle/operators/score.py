@@ -277,7 +277,9 @@ def meteor_pair(pairs: DataFrame, *, keys=("pair_id",), hyp: str = "hyp", ref: s
     base = pairs.select(*keys).join(nh, keys, "left").join(nr, keys, "left").join(agg, keys, "left")
     mm = F.coalesce(F.col("m"), F.lit(0)).cast("double")
     P, R = mm / F.col("nh"), mm / F.col("nr")
-    fmean = P * R / (alpha * P + (1 - alpha) * R)
-    pen = F.lit(gamma) * F.pow(F.col("chunks") / mm, F.lit(beta))
-    score = F.when(mm > 0, F.round(fmean * (1 - pen), 2)).otherwise(F.lit(0.0))
+    fmean = P * R / (F.lit(alpha) * P + F.lit(round(1 - alpha, 12)) * R)
+    frag = F.col("chunks") / mm
+    pen = F.lit(gamma) * (frag * frag * frag if beta == 3.0 else F.pow(frag, F.lit(beta)))
+    # round half up to 2 places with plain IEEE arithmetic (engine-independent)
+    score = F.when(mm > 0, F.floor(fmean * (1 - pen) * 100 + 0.5) / 100).otherwise(F.lit(0.0))
     return base.select(*keys, score.alias("meteor"))

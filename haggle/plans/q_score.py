@@ -263,8 +263,10 @@ SELECT conv_id, turn_no, w, pos, row_number() OVER (PARTITION BY conv_id, turn_n
   FROM (SELECT conv_id, turn_no, {words.format(c=col)} AS ws FROM mt_pairs))"""
     X.EXTRA_VIEWS["mt"] = """
 SELECT p.conv_id, p.turn_no,
-       CASE WHEN coalesce(a.m, 0) > 0 THEN round(
-         (a.m / nh.n) * (a.m / nr.n) / (0.9 * (a.m / nh.n) + 0.1 * (a.m / nr.n)) * (1 - 0.5 * power(a.chunks / a.m, 3)), 2)
+       CASE WHEN coalesce(a.m, 0) > 0 THEN floor(
+         (CAST(a.m AS DOUBLE) / nh.n) * (CAST(a.m AS DOUBLE) / nr.n)
+           / (CAST(0.9 AS DOUBLE) * (CAST(a.m AS DOUBLE) / nh.n) + CAST(0.1 AS DOUBLE) * (CAST(a.m AS DOUBLE) / nr.n))
+         * (1 - CAST(0.5 AS DOUBLE) * ((a.chunks / a.m) * (a.chunks / a.m) * (a.chunks / a.m))) * 100 + 0.5) / 100
        ELSE 0.0 END AS meteor
 FROM mt_pairs p
 LEFT JOIN (SELECT conv_id, turn_no, count(*) AS n FROM mt_h GROUP BY ALL) nh USING (conv_id, turn_no)

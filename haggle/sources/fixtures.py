@@ -80,7 +80,9 @@ WHERE c.role <> 'system'
 # --------------------------------------------------------------------------
 # nego: events seen as a long negotiation per user
 #   conversation = user_id, order (ts, event_id), speaker = event_id % 2,
-#   intent from event_type by a small fixed table, price = value (NULL on error)
+#   intent from event_type by a small fixed table; price = the event amount
+#   put on the simulator's price scale, 500 (delivery) + 10 x value, NULL on
+#   error events
 # --------------------------------------------------------------------------
 
 # ---- FIXED VALUES (adapter choice): event type -> intent per role ---------
@@ -113,7 +115,7 @@ def nego(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws(" ", "event_type", "props").alias("utterance"),
                     F.when(F.col("event_id") % 2 == 0, F.col("buyer")).otherwise(F.col("seller")).alias("intent"),
                     F.when(F.col("event_type") == "error", F.lit(None))
-                    .otherwise(F.col("value")).cast("decimal(12,2)").alias("price"),
+                    .otherwise(F.lit(500.0) + F.col("value") * 10.0).cast("decimal(12,2)").alias("price"),
                     F.col("event_type").alias("items"),
                     F.concat(F.lit("account "), F.col("user_id").cast("string")).alias("background_data")))
 
@@ -125,7 +127,7 @@ SELECT e.user_id AS conv_id,
        e.event_id,
        concat_ws(' ', e.event_type, e.props) AS utterance,
        CASE WHEN e.event_id % 2 = 0 THEN m.buyer ELSE m.seller END AS intent,
-       CAST(CASE WHEN e.event_type = 'error' THEN NULL ELSE e.value END AS DECIMAL(12,2)) AS price,
+       CAST(CASE WHEN e.event_type = 'error' THEN NULL ELSE 500.0 + e.value * 10.0 END AS DECIMAL(12,2)) AS price,
        e.event_type AS items,
        'account ' || CAST(e.user_id AS VARCHAR) AS background_data
 FROM events e

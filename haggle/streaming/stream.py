@@ -50,8 +50,8 @@ def stream_price_locf(events: DataFrame) -> DataFrame:
     batch are ordered by (ts, event_id) inside the group)."""
     e = events.select(F.col("user_id").alias("conv_id"), "event_id", "ts",
                       (F.col("event_id") % 2).cast("int").alias("speaker"),
-                      F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("value"))
-                      .cast("decimal(12,2)").alias("price"))
+                      F.when(F.col("event_type") == "error", F.lit(None))
+                      .otherwise(F.lit(500.0) + F.col("value") * 10.0).cast("decimal(12,2)").alias("price"))
     return e.groupBy("conv_id").applyInPandasWithState(
         _locf_fn, LOCF_OUT, LOCF_STATE, "append", GroupStateTimeout.NoTimeout)
 
