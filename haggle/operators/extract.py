@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scan
 from ..functions.text import price_after_marker, strip_ws
 from ..labels import (BUYER_INTENTS, DEFAULT_OPENING_PRICE, RESERVATION_FACTOR, SELLER_INTENTS,
                       label_table)

@@ -8,7 +8,6 @@ from ..functions import scan
 from ..functions.hashing import sql_md5_int
 from ..labels import REPLY_INTENTS, TEMPLATES, label_rows, reply_intent_table, sql_values, template_table
 from ..operators import bundle as B
-from ..operators import dialogue as D
 from ..operators import extract as E
 from ..sources import fixtures as X
 from ..sources import io

@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scan
-from ..functions.hashing import TWO32, md5_int, md5_uniform, sql_md5_int, sql_md5_uniform
+from ..functions.hashing import md5_uniform, sql_md5_int, sql_md5_uniform
 from ..labels import VARIANTS, sql_values
 from ..operators import extract as E
 from ..operators import score as S
 from ..sources import fixtures as X
-from .q_extract import OUTCOME, TAGGED, nego_priced, tagged_with_tags
+from .q_extract import LABELS_ALIAS_SQL, OUTCOME, TAGGED, nego_priced, sql_tag_last, tagged_with_tags
 from .registry import register
 
 W = X.with_views
@@ -45,9 +45,9 @@ def negotiation_summary(spark, sf_dir):
 
 
 X.EXTRA_VIEWS["nego_l"] = f"""
-SELECT t.*, la.label_id FROM (SELECT *, {__import__('haggle.plans.q_extract', fromlist=['x']).sql_tag_last('text', 'role_id')} AS tag
+SELECT t.*, la.label_id FROM (SELECT *, {sql_tag_last('text', 'role_id')} AS tag
   FROM (SELECT *, CAST(CASE WHEN substr(text, 1, 1) = 'A' THEN 0 ELSE 1 END AS INTEGER) AS role_id FROM nego_m)) t
-LEFT JOIN {__import__('haggle.plans.q_extract', fromlist=['x']).LABELS_ALIAS_SQL} ON la.lrole = t.role_id AND la.alias_lower = lower(t.tag)"""
+LEFT JOIN {LABELS_ALIAS_SQL} ON la.lrole = t.role_id AND la.alias_lower = lower(t.tag)"""
 
 SQL_STRATEGY = """CASE WHEN (final_price - reservation_price) / (final_price + 1.0)
                          * CASE WHEN outcome = 'Accept' THEN 1.0 ELSE -1.0 END >= 0

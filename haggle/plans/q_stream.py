@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..sources import fixtures as X
 from ..streaming import stream as ST
