@@ -63,7 +63,7 @@ def _pair_cosine(pairs: DataFrame, pair_keys: list[str], a: str, b: str) -> Data
 
 def surface_similarity(cands: DataFrame, context: DataFrame, *, keys=("conv_id", "turn_no"),
                        cand: str = "cand", text: str = "cand_text", ctx_pos: str = "ctx_pos",
-                       ctx_text: str = "ctx_text", accumulate: bool = True) -> DataFrame:
+                       ctx_text: str = "ctx_text", accumulate: bool = True, keep=()) -> DataFrame:
     """Word-count cosine of each candidate against each context sentence.
 
     ``cands`` (keys, cand, cand_text); ``context`` (keys, ctx_pos, ctx_text),
@@ -74,24 +74,26 @@ def surface_similarity(cands: DataFrame, context: DataFrame, *, keys=("conv_id",
     (characters).  With ``accumulate`` the score of candidate j is the mean
     over all (candidate <= j, context) pairs of the turn, as the original
     never resets its list; otherwise the plain mean per candidate.
-    Candidates of a turn with no context score 0.
+    Candidates of a turn with no context score 0.  ``keep`` names columns of
+    ``cands`` that depend only on (keys, cand); they are carried through to
+    the result so the candidates need not be read a second time.
     """
-    keys = list(keys)
+    keys, keep = list(keys), list(keep)
     wmin = Window.partitionBy(*keys).orderBy(ctx_pos).rowsBetween(UNB, 0)
     ctx = context.select(*keys, ctx_pos, ctx_text,
                          F.min(F.length(ctx_text)).over(wmin).alias("_minlen"))
-    pairs = (cands.select(*keys, cand, text).join(ctx, keys, "left")
-             .select(*keys, cand, F.coalesce(F.col(ctx_pos), F.lit(-1)).alias(ctx_pos),
+    pairs = (cands.select(*keys, cand, text, *keep).join(ctx, keys, "left")
+             .select(*keys, cand, *keep, F.coalesce(F.col(ctx_pos), F.lit(-1)).alias(ctx_pos),
                      F.expr(f"substring({text}, 1, least(length({text}), _minlen))").alias("_a"),
                      F.col(ctx_text).alias("_b")))
-    cos = _pair_cosine(pairs, [*keys, cand, ctx_pos], "_a", "_b")
-    per = cos.groupBy(*keys, cand).agg(F.sum("cos").alias("_s"), F.count("cos").alias("_n"))
+    cos = _pair_cosine(pairs, [*keys, cand, *keep, ctx_pos], "_a", "_b")
+    per = cos.groupBy(*keys, cand, *keep).agg(F.sum("cos").alias("_s"), F.count("cos").alias("_n"))
     if accumulate:
         w = Window.partitionBy(*keys).orderBy(cand).rowsBetween(UNB, 0)
         sim = F.try_divide(F.sum("_s").over(w), F.sum("_n").over(w).cast("double"))
     else:
         sim = F.try_divide(F.col("_s"), F.col("_n").cast("double"))
-    return per.select(*keys, cand, F.coalesce(sim, F.lit(0.0)).alias("similarity"))
+    return per.select(*keys, cand, *keep, F.coalesce(sim, F.lit(0.0)).alias("similarity"))
 
 
 def intent_reward(df: DataFrame, prob, *, keys=("conv_id", "turn_no"), cand: str = "cand",

@@ -188,14 +188,12 @@ def scored_candidates(spark, sf_dir):
     previous utterances, and (on the final turn) gap and strategy."""
     ti = S.intent_reward(tagged_with_tags(spark, sf_dir), intent_prob)
     nego = X.nego(spark, sf_dir)
-    sim = S.surface_similarity(ti.select("conv_id", "turn_no", "cand", "cand_text"),
-                               context_rows(nego), accumulate=True)
+    sim = S.surface_similarity(ti.select("conv_id", "turn_no", "cand", "cand_text", "intent_score"),
+                               context_rows(nego), accumulate=True, keep=["intent_score"])
     out = S.negotiation_strategy(S.prize_gap(E.final_outcome(nego_priced(spark, sf_dir))))
     fin = out.select("conv_id", F.col("last_turn").alias("turn_no"), "prize_gap", "strategy",
                      F.lit(True).alias("is_final"))
-    return (ti.select("conv_id", "turn_no", "cand", "intent_score")
-            .join(sim, ["conv_id", "turn_no", "cand"], "left")
-            .join(fin, ["conv_id", "turn_no"], "left")
+    return (sim.join(fin, ["conv_id", "turn_no"], "left")
             .withColumn("is_final", F.coalesce("is_final", F.lit(False))))
 
 
