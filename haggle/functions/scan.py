@@ -114,25 +114,64 @@ def running_agg(df: DataFrame, keys, pos: str, value, out=None, *, how: str = "s
     return d.drop(_K, *drop)
 
 
+def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_exclusive: bool = False,
+               nxt: list[str] | None = None, prv: list[str] | None = None, next_prefix: str = "next_",
+               prev_prefix: str = "prev_", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Several ordered scans over the same key and order in one pass: forward
+    fills (``fill`` = {value: out}), the next row's columns (``nxt``) and the
+    previous row's columns (``prv``).  One shuffle, one window node, one
+    per-chunk summary and one join back, instead of one of each per scan."""
+    keys = _as_list(keys)
+    fill, nxt, prv = dict(fill or {}), list(nxt or []), list(prv or [])
+    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
+    w = Window.partitionBy(_K).orderBy(pos)
+    cols, aggs, carry_cols = {}, [], []
+    fnames = {v: (f"_ms_inc{i}", f"_ms_loc{i}", f"_ms_last{i}", f"_ms_fc{i}") for i, v in enumerate(fill)}
+    for v, (inc, loc, last, _) in fnames.items():
+        cols[inc] = F.last(v, ignorenulls=True).over(w.rowsBetween(UNB, 0))
+        if fill_exclusive:
+            cols[loc] = F.last(v, ignorenulls=True).over(w.rowsBetween(UNB, -1))
+        aggs.append(F.max_by(inc, F.col(pos)).alias(last))
+    if nxt or prv:
+        cols["_ms_rn"] = F.row_number().over(w)
+    if nxt:
+        st_n = F.struct(*[F.col(c).alias(c) for c in nxt], F.lit(True).alias("_present"))
+        cols["_ms_nl"] = F.lead(st_n, 1).over(w)
+        aggs.append(F.min_by(st_n, F.col("_ms_rn")).alias("_ms_first"))
+    if prv:
+        st_p = F.struct(*[F.col(c).alias(c) for c in prv], F.lit(True).alias("_present"))
+        cols["_ms_pl"] = F.lag(st_p, 1).over(w)
+        aggs.append(F.max_by(st_p, F.col("_ms_rn")).alias("_ms_lastrow"))
+    d = d.withColumns(cols)
+    summ = d.groupBy(_K).agg(*aggs)
+    cw_before, cw = _carry_window(keys, -1), _carry_window(keys, None)
+    for v, (_, _, last, fc) in fnames.items():
+        carry_cols.append(F.last(last, ignorenulls=True).over(cw_before).alias(fc))
+    if nxt:
+        carry_cols.append(F.lead("_ms_first", 1).over(cw).alias("_ms_nc"))
+    if prv:
+        carry_cols.append(F.lag("_ms_lastrow", 1).over(cw).alias("_ms_pc"))
+    d = _join_back(d, summ.select(_K, *carry_cols))
+    out = {}
+    for v, (inc, loc, _, fc) in fnames.items():
+        out[fill[v]] = F.coalesce(loc if fill_exclusive else inc, fc)
+    if nxt:
+        pick = F.when(F.col("_ms_nl._present"), F.col("_ms_nl")).otherwise(F.col("_ms_nc"))
+        out.update({next_prefix + c: pick[c] for c in nxt})
+    if prv:
+        pick = F.when(F.col("_ms_pl._present"), F.col("_ms_pl")).otherwise(F.col("_ms_pc"))
+        out.update({prev_prefix + c: pick[c] for c in prv})
+    d = d.withColumns(out)
+    return d.drop(_K, *[c for c in d.columns if c.startswith("_ms_")])
+
+
 def shift(df: DataFrame, keys, pos: str, cols: list[str], *, direction: int = 1,
           prefix: str = "next_", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Attach the next (``direction=1``) or previous (``-1``) row's ``cols``
     within the key as ``prefix + col``; NULL past the ends."""
-    keys = _as_list(keys)
-    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
-    st = F.struct(*[F.col(c).alias(c) for c in cols], F.lit(True).alias("_present"))
-    w = Window.partitionBy(_K).orderBy(pos)
-    d = d.withColumn("_scan_local", F.lead(st, 1).over(w) if direction > 0 else F.lag(st, 1).over(w)) \
-         .withColumn("_scan_rn", F.row_number().over(w))
-    edge = F.min_by(st, F.col("_scan_rn")) if direction > 0 else F.max_by(st, F.col("_scan_rn"))
-    summ = d.groupBy(_K).agg(edge.alias("_scan_edge"))
-    cw = _carry_window(keys, None)
-    nb = F.lead("_scan_edge", 1).over(cw) if direction > 0 else F.lag("_scan_edge", 1).over(cw)
-    carry = summ.select(_K, nb.alias("_scan_carry"))
-    d = _join_back(d, carry).withColumn(
-        "_scan_pick", F.when(F.col("_scan_local._present"), F.col("_scan_local")).otherwise(F.col("_scan_carry")))
-    d = d.withColumns({prefix + c: F.col(f"_scan_pick.{c}") for c in cols})
-    return d.drop(_K, "_scan_local", "_scan_rn", "_scan_carry", "_scan_pick")
+    if direction > 0:
+        return multi_scan(df, keys, pos, nxt=cols, next_prefix=prefix, chunk_rows=chunk_rows)
+    return multi_scan(df, keys, pos, prv=cols, prev_prefix=prefix, chunk_rows=chunk_rows)
 
 
 def row_number(df: DataFrame, keys, order: list, chunk: Column, out: str) -> DataFrame:

@@ -57,6 +57,23 @@ def price_locf(df: DataFrame, *, price: str = "price", out: str = "price_filled"
     return scan.ffill(df, list(keys), pos, price, out, chunk_rows=chunk_rows)
 
 
+def locf_and_lead(df: DataFrame, cols=("utterance", "intent"), *, price: str = "price",
+                  out: str = "price_filled", keys=CONV, pos=POS, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
+    """:func:`price_locf` and :func:`next_turn_lead` in one scan pass.
+
+    Both scans run per conversation in turn order; each speaker's last price
+    is kept as its own fill column and the row's speaker picks one, which is
+    the same as filling per (conversation, speaker)."""
+    d = df.withColumns({"_lf_b": F.when(F.col("speaker") == 0, F.col(price)),
+                        "_lf_s": F.when(F.col("speaker") == 1, F.col(price))})
+    d = scan.multi_scan(d, keys, pos, fill={"_lf_b": "_lf_fb", "_lf_s": "_lf_fs"}, nxt=[pos, *cols],
+                        next_prefix="_lead_", chunk_rows=chunk_rows)
+    has_next = F.col(f"_lead_{pos}").isNotNull()
+    new = {out: F.when(F.col("speaker") == 0, F.col("_lf_fb")).otherwise(F.col("_lf_fs"))}
+    new.update({f"next_{c}": F.when(has_next, F.col(f"_lead_{c}")).otherwise(F.lit(END_MARKER)) for c in cols})
+    return d.withColumns(new).drop("_lf_b", "_lf_s", "_lf_fb", "_lf_fs", *[f"_lead_{c}" for c in (pos, *cols)])
+
+
 def _price_text(price: str, filled: str):
     return F.coalesce(F.col(filled).cast("string"), F.lit("NA"))
 

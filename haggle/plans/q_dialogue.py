@@ -19,6 +19,13 @@ def rendered_turns(spark, sf_dir, source="turns", variant="full"):
     return D.turn_render(D.price_locf(df), variant)
 
 
+def rendered_with_lead(spark, sf_dir, source="turns"):
+    """Rendered turns with the next turn's utterance and intent, the fill and
+    the look-ahead done in one scan pass."""
+    df = X.turns(spark, sf_dir) if source == "turns" else X.nego(spark, sf_dir)
+    return D.turn_render(D.locf_and_lead(df))
+
+
 # DuckDB twins of price_locf / turn_render over a named view ----------------
 
 def sql_locf(view: str) -> str:
@@ -111,8 +118,7 @@ SELECT conv_id, turn_no,
          AS example
 FROM turns_x""")
 def q_example_build(spark, sf_dir):
-    df = D.next_turn_lead(rendered_turns(spark, sf_dir))
-    return D.example_build(df, ablation=True).select("conv_id", "turn_no", "example")
+    return D.example_build(rendered_with_lead(spark, sf_dir), ablation=True).select("conv_id", "turn_no", "example")
 
 
 @register("role_id", W("turns", "turns_f", "turns_r") + """

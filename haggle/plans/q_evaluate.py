@@ -10,7 +10,7 @@ from ..operators import evaluate as V
 from ..operators import extract as E
 from ..operators import score as S
 from ..sources import fixtures as X
-from .q_dialogue import rendered_turns
+from .q_dialogue import rendered_turns, rendered_with_lead
 from .q_extract import nego_priced
 from .q_score import _turn_pairs, token_nll
 from .registry import register
@@ -95,7 +95,7 @@ def q_validation_report(spark, sf_dir):
     nll = token_nll(spark, sf_dir)
     ppl = S.perplexity(nll).select(F.col("perplexity").alias("value"))
     loss = S.sequence_ce(nll, reduce="sentence").select(F.col("loss").alias("value"))
-    ex = D.example_build(D.next_turn_lead(rendered_turns(spark, sf_dir)), ablation=True)
+    ex = D.example_build(rendered_with_lead(spark, sf_dir), ablation=True)
     length = E.candidate_length(ex, text="example").select(F.col("cand_len").alias("value"))
     met = S.meteor_pair(_turn_pairs(spark, sf_dir), keys=("conv_id", "turn_no")).select(
         F.col("meteor").alias("value"))

@@ -9,7 +9,7 @@ from ..labels import BUYER_INTENTS, SELLER_INTENTS, label_rows, sql_values
 from ..operators import dialogue as D
 from ..operators import extract as E
 from ..sources import fixtures as X
-from .q_dialogue import rendered_turns
+from .q_dialogue import rendered_turns, rendered_with_lead
 from .registry import register
 
 W = X.with_views
@@ -70,7 +70,7 @@ SELECT conv_id, turn_no,
        CASE WHEN instr(example, 'next') > 0 THEN substr(example, instr(example, 'next')) ELSE example END AS after
 FROM turns_e""")
 def q_after_marker(spark, sf_dir):
-    df = D.example_build(D.next_turn_lead(rendered_turns(spark, sf_dir)), ablation=True)
+    df = D.example_build(rendered_with_lead(spark, sf_dir), ablation=True)
     return E.after_marker(df, text="example").select("conv_id", "turn_no", "after")
 
 
@@ -189,7 +189,7 @@ SELECT conv_id, turn_no,
                             lambda w: w <> '')) AS INTEGER) AS cand_len
 FROM turns_e""")
 def q_candidate_length(spark, sf_dir):
-    df = D.example_build(D.next_turn_lead(rendered_turns(spark, sf_dir)), ablation=True)
+    df = D.example_build(rendered_with_lead(spark, sf_dir), ablation=True)
     return E.candidate_length(df, text="example").select("conv_id", "turn_no", "cand_len")
 
 

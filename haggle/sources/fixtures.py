@@ -153,7 +153,7 @@ EXTRA_VIEWS: dict[str, str] = {}
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import dialogue as D
-    r = D.role_id(D.next_turn_lead(D.turn_render(D.price_locf(nego(spark, sf_dir)))))
+    r = D.role_id(D.turn_render(D.locf_and_lead(nego(spark, sf_dir))))
     r = D.example_build(r, ablation=False)
     own = F.concat(F.col("text"),
                    F.when(F.substring("text", 1, 1) == "A", F.lit(D.NEXT_FOR_BUYER_TURN))

@@ -60,3 +60,13 @@ def test_row_number(spark):
     got = scan.row_number(df, "k", ["p"], F.floor(F.col("p") / 13), "rn")
     exp = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("p")))
     _cmp(got, exp, ["k", "p", "rn"])
+
+
+def test_multi_scan(spark):
+    df = _data(spark, seed=4)
+    got = scan.multi_scan(df, "k", "p", fill={"v": "f"}, nxt=["v"], prv=["v"], next_prefix="n_", prev_prefix="b_",
+                          chunk_rows=4)
+    w = Window.partitionBy("k").orderBy("p")
+    exp = (df.withColumn("f", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("n_v", F.lead("v").over(w)).withColumn("b_v", F.lag("v").over(w)))
+    _cmp(got, exp, ["k", "p", "f", "n_v", "b_v"])
