@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scan
 from ..functions.hashing import md5_uniform, sql_md5_int, sql_md5_uniform
 from ..labels import VARIANTS, sql_values
 from ..operators import extract as E
@@ -84,12 +83,12 @@ def q_negotiation_strategy(spark, sf_dir):
 
 def context_rows(df, *, text="utterance", keys=("conv_id",), pos="turn_no"):
     """(keys, pos, ctx_pos, ctx_text): the two previous turns' texts, oldest
-    first, through the skew-safe shift."""
-    d = scan.shift(df.select(*keys, pos, text), list(keys), pos, [text], direction=-1, prefix="_p1_")
-    d = scan.shift(d, list(keys), pos, [f"_p1_{text}"], direction=-1, prefix="_p2_")
-    ctx = F.array(F.struct(F.lit(0).alias("ctx_pos"), F.col(f"_p2__p1_{text}").alias("ctx_text")),
-                  F.struct(F.lit(1).alias("ctx_pos"), F.col(f"_p1_{text}").alias("ctx_text")))
-    return (d.select(*keys, pos, F.inline(ctx)).filter(F.col("ctx_text").isNotNull()))
+    first.  Turn numbers are dense, so each turn is simply offered as
+    context to turns pos+1 and pos+2 and met by an equi-join on (key, turn):
+    partitioned by turn, not by conversation, so no scan and no hot key."""
+    t = F.explode(F.array(F.struct((F.col(pos) + 1).alias(pos), F.lit(1).alias("ctx_pos")),
+                          F.struct((F.col(pos) + 2).alias(pos), F.lit(0).alias("ctx_pos")))).alias("_t")
+    return df.select(*keys, t, F.col(text).alias("ctx_text")).select(*keys, "_t.*", "ctx_text")
 
 
 def turn_candidates(spark, sf_dir):
@@ -243,10 +242,13 @@ def q_embedding_cosine(spark, sf_dir):
 
 
 def _turn_pairs(spark, sf_dir):
+    """Each reply with the previous reply of its conversation.  Turn numbers
+    are dense, so this is an equi-join on (conversation, turn - 1):
+    partitioned by turn, no scan and no hot key."""
     t = X.turns(spark, sf_dir).select("conv_id", "turn_no", "utterance")
-    p = scan.shift(t, ["conv_id"], "turn_no", ["utterance"], direction=-1, prefix="prev_")
-    return p.filter(F.col("prev_utterance").isNotNull()).select(
-        "conv_id", "turn_no", F.col("utterance").alias("hyp"), F.col("prev_utterance").alias("ref"))
+    prev = t.select("conv_id", (F.col("turn_no") + 1).alias("turn_no"), F.col("utterance").alias("ref"))
+    return t.join(prev, ["conv_id", "turn_no"], "inner").select(
+        "conv_id", "turn_no", F.col("utterance").alias("hyp"), "ref")
 
 
 def sql_meteor_views() -> None:
