@@ -58,3 +58,12 @@ def test_assemble_parts(spark):
     a = D.conversation_assemble(_turns(spark, rows), part_turns=3).orderBy("part").collect()
     assert [r.n_turns for r in a] == [2, 3, 2]
     assert [t.text for t in a[1].turns] == ["u3", "u4", "u5"]
+
+
+def test_locf_and_lead_fused_equals_separate(spark):
+    from conftest import SF_SMALL
+    from haggle.sources import fixtures as X
+    n = X.nego(spark, SF_SMALL)
+    a = D.locf_and_lead(n, chunk_rows=3).select("conv_id", "turn_no", "price_filled", "next_utterance", "next_intent")
+    b = D.next_turn_lead(D.price_locf(n)).select("conv_id", "turn_no", "price_filled", "next_utterance", "next_intent")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
