@@ -161,6 +161,36 @@ def final_outcome(df: DataFrame, *, text: str = "text", role: str = "role_id", k
                       if keep_text else []))
 
 
+def conversation_outcome(df: DataFrame, *, text: str = "text", role: str = "role_id", keys=CONV, pos=POS,
+                         keep_text: bool = False, default: float = DEFAULT_OPENING_PRICE) -> DataFrame:
+    """:func:`opening_price` -> :func:`reservation_price` ->
+    :func:`final_outcome` evaluated at the last turn only, in ONE partial
+    aggregate per conversation (no join back to the turns).
+
+    At the last turn the lenient opening price is simply the first price
+    stated from turn 2 on, else the turn-1 price, else ``default``; the same
+    columns as :func:`final_outcome` come out."""
+    d = df.withColumn("_p", price_after_marker(text))
+    pc, p = F.col(pos), F.col("_p")
+    last = F.max_by(F.struct(F.col(role).alias("role"), p.alias("price"), pc.alias("last_turn"),
+                             *([F.col(text).alias("text")] if keep_text else [])), pc)
+    g = d.groupBy(keys).agg(last.alias("_l"),
+                            F.min_by(p, F.when(p.isNotNull() & (pc >= 2), pc)).alias("_fp"),
+                            F.max(F.when(pc == 1, p)).alias("_p0"))
+    val = F.coalesce(F.col("_fp"), F.col("_p0"))
+    opening = F.coalesce(val, F.lit(default)).cast("long")
+    minimum = F.when(val.isNotNull(), F.lit(RESERVATION_FACTOR) * opening).otherwise(F.lit(float(default)))
+    return g.select(*([keys] if isinstance(keys, str) else keys),
+                    F.col("_l.last_turn").alias("last_turn"),
+                    F.when(F.col("_l.role") == 0, "Reject").otherwise("Accept").alias("outcome"),
+                    F.col("_l.price").alias("final_price"),
+                    opening.alias("opening_price"),
+                    minimum.alias("reservation_price"),
+                    (F.col("_l.price") - minimum).alias("prize_diff"),
+                    *([F.col("_l.text").alias("last_text"), F.col("_l.role").alias("last_role")]
+                      if keep_text else []))
+
+
 def truncate_at_eos(df: DataFrame, *, tokens: str = "tokens", logp: str = "logp") -> DataFrame:
     """Cut a generated token array after the first end token (and append a
     newline token) or before the first pad; ``logp_sum`` is the **sum** of

@@ -11,7 +11,7 @@ from ..operators import extract as E
 from ..operators import score as S
 from ..sources import fixtures as X
 from .q_dialogue import rendered_turns, rendered_with_lead
-from .q_extract import nego_priced
+from .q_extract import nego_outcome
 from .q_score import _turn_pairs, token_nll
 from .registry import register
 
@@ -99,7 +99,7 @@ def q_validation_report(spark, sf_dir):
     length = E.candidate_length(ex, text="example").select(F.col("cand_len").alias("value"))
     met = S.meteor_pair(_turn_pairs(spark, sf_dir), keys=("conv_id", "turn_no")).select(
         F.col("meteor").alias("value"))
-    out = S.negotiation_strategy(S.prize_gap(E.final_outcome(nego_priced(spark, sf_dir))))
+    out = S.negotiation_strategy(S.prize_gap(nego_outcome(spark, sf_dir)))
     return V.validation_report({
         "perplexity": ppl, "loss": loss, "length": length, "meteor": met,
         "strategy": out.select(F.col("strategy").alias("value")),

@@ -144,7 +144,13 @@ OUTCOME = ("nego", "nego_f", "nego_r", "nego_o", "nego_m", "outcome")
 @register("final_outcome", W(*OUTCOME) + """
 SELECT conv_id, last_turn, outcome, final_price, opening_price, reservation_price, prize_diff FROM outcome""")
 def q_final_outcome(spark, sf_dir):
-    return E.final_outcome(nego_priced(spark, sf_dir))
+    return nego_outcome(spark, sf_dir)
+
+
+def nego_outcome(spark, sf_dir, keep_text=False):
+    """Per-conversation outcome of the nego dialogues in one aggregate."""
+    r = D.role_id(rendered_turns(spark, sf_dir, source="nego"))
+    return E.conversation_outcome(r, keep_text=keep_text)
 
 
 def _arr_str(c):

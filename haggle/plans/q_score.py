@@ -10,7 +10,7 @@ from ..labels import VARIANTS, sql_values
 from ..operators import extract as E
 from ..operators import score as S
 from ..sources import fixtures as X
-from .q_extract import LABELS_ALIAS_SQL, OUTCOME, TAGGED, nego_priced, sql_tag_last, tagged_with_tags
+from .q_extract import LABELS_ALIAS_SQL, OUTCOME, TAGGED, nego_outcome, sql_tag_last, tagged_with_tags
 from .registry import register
 
 W = X.with_views
@@ -32,7 +32,7 @@ def negotiation_summary(spark, sf_dir):
     """Per conversation: opening price, final price, outcome, price gap,
     strategy score and composite reward of the final turn (intent score of
     the final turn's own text, similarity off)."""
-    out = E.final_outcome(nego_priced(spark, sf_dir), keep_text=True)
+    out = nego_outcome(spark, sf_dir, keep_text=True)
     out = S.negotiation_strategy(S.prize_gap(out))
     out = E.label_encode(E.intent_tag_last(out, text="last_text", role="last_role", out="tag"),
                          role="last_role", label="tag")
@@ -69,13 +69,13 @@ def q_negotiation_summary(spark, sf_dir):
 @register("prize_gap", W(*OUTCOME) + """
 SELECT conv_id, CAST(final_price AS DOUBLE) / NULLIF(CAST(opening_price AS DOUBLE), 0) AS prize_gap FROM outcome""")
 def q_prize_gap(spark, sf_dir):
-    return S.prize_gap(E.final_outcome(nego_priced(spark, sf_dir))).select("conv_id", "prize_gap")
+    return S.prize_gap(nego_outcome(spark, sf_dir)).select("conv_id", "prize_gap")
 
 
 @register("negotiation_strategy", W(*OUTCOME) + f"""
 SELECT conv_id, outcome, {SQL_STRATEGY} AS strategy FROM outcome""")
 def q_negotiation_strategy(spark, sf_dir):
-    return S.negotiation_strategy(E.final_outcome(nego_priced(spark, sf_dir))).select(
+    return S.negotiation_strategy(nego_outcome(spark, sf_dir)).select(
         "conv_id", "outcome", "strategy")
 
 
@@ -189,7 +189,7 @@ def scored_candidates(spark, sf_dir):
     nego = X.nego(spark, sf_dir)
     sim = S.surface_similarity(ti.select("conv_id", "turn_no", "cand", "cand_text", "intent_score"),
                                context_rows(nego), accumulate=True, keep=["intent_score"])
-    out = S.negotiation_strategy(S.prize_gap(E.final_outcome(nego_priced(spark, sf_dir))))
+    out = S.negotiation_strategy(S.prize_gap(nego_outcome(spark, sf_dir)))
     fin = out.select("conv_id", F.col("last_turn").alias("turn_no"), "prize_gap", "strategy",
                      F.lit(True).alias("is_final"))
     return (sim.join(fin, ["conv_id", "turn_no"], "left")

@@ -116,3 +116,14 @@ def test_marked_and_label_encode(spark):
     enc = E.label_encode(spark.createDataFrame([(1, "acknowledge acceptance"), (0, "ACCEPT"), (0, "NA")],
                                                "role_id int, tag string"))
     assert sorted(((r.role_id, r.label_id if r.label_id is not None else -1) for r in enc.collect())) == [(0, -1), (0, 7), (1, 8)]
+
+
+def test_conversation_outcome_equals_turn_path(spark):
+    from conftest import SF_SMALL
+    from haggle.operators import dialogue as D
+    from haggle.sources import fixtures as X
+    r = D.role_id(D.turn_render(D.price_locf(X.nego(spark, SF_SMALL))))
+    a = E.conversation_outcome(r)
+    b = E.final_outcome(E.reservation_price(E.opening_price(r)))
+    cols = ["conv_id", "last_turn", "outcome", "final_price", "opening_price", "reservation_price", "prize_diff"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
