@@ -79,14 +79,14 @@ def early_stop(df: DataFrame, *, run: str = "run", epoch: str = "epoch", loss: s
     An epoch improves when its loss is strictly below every earlier loss
     (and below ``start``); each miss costs one unit of patience, an
     improvement restores it; training stops when patience drops below 0,
-    i.e. at the (patience+1)-th straight miss."""
-    d = scan.running_agg(df, run, epoch, loss, "_prev_min", how="min", exclusive=True)
-    d = d.withColumn("_imp", F.col(loss) < F.least(F.col("_prev_min"), F.lit(start)))
-    d = d.withColumn("_imp_epoch", F.when(F.col("_imp"), F.col(epoch)))
-    d = scan.running_agg(d, run, epoch, "_imp_epoch", "_last_imp", how="max")
-    first = d.groupBy(run).agg(F.min(epoch).alias("_e0"))
-    d = d.join(first, run, "inner")
-    misses = F.col(epoch) - F.coalesce(F.col("_last_imp"), F.col("_e0") - 1)
+    i.e. at the (patience+1)-th straight miss.  Closed form in one scan: the
+    last improving epoch up to e is the first epoch reaching the running
+    minimum (strict improvements only), provided that minimum is below
+    ``start``."""
+    d = df.withColumn("_le", F.struct(F.col(loss).alias("l"), F.col(epoch).alias("e")))
+    d = scan.running_agg(d, run, epoch, {"_le": "_best", epoch: "_e0"}, how="min")
+    last_imp = F.when(F.col("_best.l") < F.lit(start), F.col("_best.e"))
+    misses = F.col(epoch) - F.coalesce(last_imp, F.col("_e0") - 1)
     return d.groupBy(run).agg(F.min(F.when(misses >= patience + 1, F.col(epoch))).alias("stop_epoch"),
                               F.count(F.lit(1)).alias("n_epochs"))
 
