@@ -217,15 +217,15 @@ def strip_markers(df: DataFrame, *, tokens: str = "tokens", out: str = "stripped
                   vocab: DataFrame | None = None, text_out: str = "stripped_text") -> DataFrame:
     """Drop the first two and last two tokens.  With a ``vocab`` table
     ``(token int, piece string)`` the kept ids are decoded by a join on the
-    exploded positions and re-assembled in order (the vocabulary is a fixed,
-    bounded table, so it is broadcast)."""
+    exploded positions and re-assembled in order; the join strategy is left
+    to the optimizer's size check (a caller's table has no proven bound)."""
     t = F.col(tokens)
     d = df.withColumn(out, F.slice(t, 3, F.greatest(F.size(t) - 4, F.lit(0)).cast("int")))
     if vocab is None:
         return d
     keycols = [c for c in df.columns if c != tokens]
     ex = d.select(*keycols, F.posexplode(out).alias("_pos", "token"))
-    dec = (ex.join(F.broadcast(vocab), "token", "left")
+    dec = (ex.join(vocab, "token", "left")
            .groupBy(*keycols)
            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "piece"))),
                                          lambda s: s["piece"]), "").alias(text_out)))
@@ -245,14 +245,14 @@ def normalize_text(df: DataFrame, *, text: str = "text", out: str = "norm",
                    lemmas: DataFrame | None = None) -> DataFrame:
     """Lower case, ASCII punctuation removed, whitespace-separated words
     joined by one space.  An optional ``lemmas`` table ``(word, lemma)``
-    replaces words by their lemma (explode + broadcast join + ordered
-    re-assembly)."""
+    replaces words by their lemma (explode + join + ordered re-assembly;
+    the optimizer picks a broadcast when the table is small)."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), PUNCT, ""), r"\s+"), lambda w: w != "")
     if lemmas is None:
         return df.withColumn(out, F.array_join(words, " "))
     keycols = df.columns
     ex = df.select(*keycols, F.posexplode(words).alias("_pos", "word"))
-    j = ex.join(F.broadcast(lemmas), "word", "left").withColumn("_w", F.coalesce("lemma", "word"))
+    j = ex.join(lemmas, "word", "left").withColumn("_w", F.coalesce("lemma", "word"))
     agg = j.groupBy(*keycols).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("_pos", "_w"))), lambda s: s["_w"]), " ").alias(out))
     return df.join(agg, keycols, "left")

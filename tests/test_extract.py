@@ -127,3 +127,13 @@ def test_conversation_outcome_equals_turn_path(spark):
     b = E.final_outcome(E.reservation_price(E.opening_price(r)))
     cols = ["conv_id", "last_turn", "outcome", "final_price", "opening_price", "reservation_price", "prize_diff"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_strip_markers_decode_and_lemmas(spark):
+    df = spark.createDataFrame([(1, [1, 2, 10, 11, 12, 3, 4]), (2, [1, 2, 3])], "vec_id long, tokens array<int>")
+    vocab = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "token int, piece string")
+    out = {r.vec_id: r for r in E.strip_markers(df, vocab=vocab).collect()}
+    assert out[1].stripped == [10, 11, 12] and out[1].stripped_text == "abc" and out[2].stripped == []
+    t = spark.createDataFrame([(1, "The cats, ran!")], "id long, text string")
+    lem = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "word string, lemma string")
+    assert E.normalize_text(t, lemmas=lem).collect()[0].norm == "the cat run"
