@@ -116,13 +116,17 @@ def running_agg(df: DataFrame, keys, pos: str, value, out=None, *, how: str = "s
 
 def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_exclusive: bool = False,
                nxt: list[str] | None = None, prv: list[str] | None = None, next_prefix: str = "next_",
-               prev_prefix: str = "prev_", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               prev_prefix: str = "prev_", running: list | None = None,
+               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Several ordered scans over the same key and order in one pass: forward
-    fills (``fill`` = {value: out}), the next row's columns (``nxt``) and the
-    previous row's columns (``prv``).  One shuffle, one window node, one
-    per-chunk summary and one join back, instead of one of each per scan."""
+    fills (``fill`` = {value: out}), the next row's columns (``nxt``), the
+    previous row's columns (``prv``) and running aggregates (``running`` =
+    [(value, how, out, exclusive)], how in sum/min/max).  One shuffle, one
+    window node, one per-chunk summary and one join back, instead of one of
+    each per scan."""
     keys = _as_list(keys)
     fill, nxt, prv = dict(fill or {}), list(nxt or []), list(prv or [])
+    running = list(running or [])
     d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
     w = Window.partitionBy(_K).orderBy(pos)
     cols, aggs, carry_cols = {}, [], []
@@ -132,6 +136,12 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         if fill_exclusive:
             cols[loc] = F.last(v, ignorenulls=True).over(w.rowsBetween(UNB, -1))
         aggs.append(F.max_by(inc, F.col(pos)).alias(last))
+    fns = {"sum": F.sum, "min": F.min, "max": F.max}
+    for i, (v, how, _, excl) in enumerate(running):
+        cols[f"_ms_ri{i}"] = fns[how](v).over(w.rowsBetween(UNB, 0))
+        if excl:
+            cols[f"_ms_rl{i}"] = fns[how](v).over(w.rowsBetween(UNB, -1))
+        aggs.append(F.max_by(f"_ms_ri{i}", F.col(pos)).alias(f"_ms_rt{i}"))
     if nxt or prv:
         cols["_ms_rn"] = F.row_number().over(w)
     if nxt:
@@ -147,6 +157,8 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
     cw_before, cw = _carry_window(keys, -1), _carry_window(keys, None)
     for v, (_, _, last, fc) in fnames.items():
         carry_cols.append(F.last(last, ignorenulls=True).over(cw_before).alias(fc))
+    for i, (_, how, _, _) in enumerate(running):
+        carry_cols.append(fns[how](f"_ms_rt{i}").over(cw_before).alias(f"_ms_rc{i}"))
     if nxt:
         carry_cols.append(F.lead("_ms_first", 1).over(cw).alias("_ms_nc"))
     if prv:
@@ -155,6 +167,13 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
     out = {}
     for v, (inc, loc, _, fc) in fnames.items():
         out[fill[v]] = F.coalesce(loc if fill_exclusive else inc, fc)
+    for i, (_, how, o, excl) in enumerate(running):
+        a, b = F.col(f"_ms_rl{i}" if excl else f"_ms_ri{i}"), F.col(f"_ms_rc{i}")
+        if how == "sum":
+            out[o] = F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(
+                F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+        else:
+            out[o] = F.least(a, b) if how == "min" else F.greatest(a, b)
     if nxt:
         pick = F.when(F.col("_ms_nl._present"), F.col("_ms_nl")).otherwise(F.col("_ms_nc"))
         out.update({next_prefix + c: pick[c] for c in nxt})

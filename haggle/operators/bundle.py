@@ -185,21 +185,22 @@ def intent_retag(df: DataFrame, *, keys=("flow_id",), pos: str = "turn", intent:
     never retagged.  ``pos`` must be dense within the flow."""
     keys = list(keys)
     trig = F.col(intent).isin(*RETAG_TELL, RETAG_REMOVE)
-    d = df.withColumn("_trig", trig).withColumn("_nt_pos", F.when(~trig, F.col(pos)))
-    d = scan.running_agg(d, keys, pos, "_nt_pos", "_last_nt", how="max")
-    first = d.groupBy(*keys).agg(F.min(pos).alias("_p0"), F.max(pos).alias("_p1"))
-    d = d.join(first, keys, "inner")
-    k = F.col(pos) - F.coalesce(F.col("_last_nt"), F.col("_p0") - 1)
-    d = d.withColumn("_live", F.col("_trig") & (k % 2 == 1))
-    d = scan.shift(d, keys, pos, ["_live", intent], direction=-1, prefix="_prev_")
-    fire = F.coalesce(F.col("_prev__live"), F.lit(False))
+    d = df.withColumns({"_trig": trig, "_nt_pos": F.when(~trig, F.col(pos))})
+    # one pass: previous row, next row, last non-trigger position before
+    # this row, first position of the flow
+    d = scan.multi_scan(d, keys, pos, prv=["_trig", intent, pos], nxt=[pos], prev_prefix="_prev_",
+                        next_prefix="_next_", running=[("_nt_pos", "max", "_last_nt", True),
+                                                       (pos, "min", "_p0", False)])
+    k_prev = F.col(f"_prev_{pos}") - F.coalesce(F.col("_last_nt"), F.col("_p0") - 1)
+    fire = F.coalesce(F.col("_prev__trig") & (k_prev % 2 == 1), F.lit(False))
     if exclude_last:
-        fire = fire & (F.col(pos) < F.col("_p1"))
-    new = F.when(fire & F.col(f"_prev_{intent}").isin(*RETAG_TELL), F.lit(RETAG_TELL_TO)) \
-           .when(fire & (F.col(f"_prev_{intent}") == RETAG_REMOVE), F.lit(RETAG_REMOVE_TO)) \
+        fire = fire & F.col(f"_next_{pos}").isNotNull()
+    prev_intent = F.col(f"_prev_{intent}")
+    new = F.when(fire & prev_intent.isin(*RETAG_TELL), F.lit(RETAG_TELL_TO)) \
+           .when(fire & (prev_intent == RETAG_REMOVE), F.lit(RETAG_REMOVE_TO)) \
            .otherwise(F.col(intent))
-    return d.withColumn(out, new).drop("_trig", "_nt_pos", "_last_nt", "_p0", "_p1", "_live",
-                                       "_prev__live", f"_prev_{intent}")
+    return d.withColumn(out, new).drop("_trig", "_nt_pos", "_last_nt", "_p0", "_prev__trig",
+                                       f"_prev_{intent}", f"_prev_{pos}", f"_next_{pos}")
 
 
 def entity_describe(entities: DataFrame, acc_variants: DataFrame, prod_variants: DataFrame, *,

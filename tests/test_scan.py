@@ -70,3 +70,12 @@ def test_multi_scan(spark):
     exp = (df.withColumn("f", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
            .withColumn("n_v", F.lead("v").over(w)).withColumn("b_v", F.lag("v").over(w)))
     _cmp(got, exp, ["k", "p", "f", "n_v", "b_v"])
+
+
+def test_multi_scan_running(spark):
+    df = _data(spark, seed=8)
+    got = scan.multi_scan(df, "k", "p", running=[("v", "sum", "s", True), ("v", "max", "m", False)], chunk_rows=3)
+    w = Window.partitionBy("k").orderBy("p")
+    exp = (df.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+           .withColumn("m", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    _cmp(got, exp, ["k", "p", "s", "m"])
