@@ -225,8 +225,8 @@ def q_legal_actions(spark, sf_dir):
     bk = X.basket(spark, sf_dir)
     bk = (bk.withColumn("_rm", F.when(F.col("action") == "remove", 1).otherwise(0))
             .withColumn("_ad", F.when(F.col("action") == "add", 1).otherwise(0)))
-    bk = scan.running_agg(bk, "flow_id", "turn", {"_rm": "n_removed", "_ad": "n_added"}, how="sum", exclusive=True)
-    bk = scan.shift(bk, "flow_id", "turn", ["action"], direction=-1, prefix="prev_")
+    bk = scan.multi_scan(bk, "flow_id", "turn", prv=["action"], prev_prefix="prev_",
+                         running=[("_rm", "sum", "n_removed", True), ("_ad", "sum", "n_added", True)])
     n = bk.groupBy("flow_id").agg(F.count(F.lit(1)).alias("n_acc"))
     bk = bk.join(n, "flow_id")
     bk = bk.select("*",
