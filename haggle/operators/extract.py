@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.text import price_after_marker, strip_ws
 from ..labels import (BUYER_INTENTS, DEFAULT_OPENING_PRICE, RESERVATION_FACTOR, SELLER_INTENTS,
                       label_table)
@@ -109,25 +110,26 @@ def opening_price(df: DataFrame, *, text: str = "text", keys=CONV, pos=POS, exac
     while no price was found: opening(t) = first non-null p over turns 2..t,
     else p at turn 1, else ``default``.  ``exact`` reproduces the freeze: a
     price at turn 1 and no marker at all at turn 2 keeps the turn-1 price for
-    good.  Adds ``opening_price`` and ``price_found``.  The per-conversation
-    facts come from one partial aggregate joined back, not a window.
+    good.  Adds ``opening_price`` and ``price_found``.  All of it is running
+    aggregates of one skew-safe scan pass: the running minimum of
+    (turn, price) over parsed turns >= 2 is the first price found so far.
     """
     d = df.withColumn("_p", price_after_marker(text))
-    pc = F.col(pos)
-    aggs = [F.min_by(F.struct(pc.alias("t"), F.col("_p").alias("p")),
-                     F.when(F.col("_p").isNotNull() & (pc >= 2), pc)).alias("_firstp"),
-            F.max(F.when(pc == 1, F.col("_p"))).alias("_p0")]
+    pc, p = F.col(pos), F.col("_p")
+    cols = {"_fpv": F.when(p.isNotNull() & (pc >= 2), F.struct(pc.alias("t"), p.alias("p"))),
+            "_p0v": F.when(pc == 1, p)}
+    running = [("_fpv", "min", "_firstp", False), ("_p0v", "max", "_p0", False)]
     if exact:
-        aggs.append(F.max(F.when(pc == 2, F.instr(F.col(text), "#price") > 0)).alias("_m1"))
-    d = d.join(d.groupBy(keys).agg(*aggs), keys, "inner")
-    ft, fp = F.col("_firstp.t"), F.col("_firstp.p")
-    val = F.when(ft.isNotNull() & (pc >= ft), fp).otherwise(F.col("_p0"))
+        cols["_m1v"] = F.when(pc == 2, F.instr(F.col(text), "#price") > 0)
+        running.append(("_m1v", "max", "_m1", False))
+    d = scan.multi_scan(d.withColumns(cols), keys, pos, running=running)
+    val = F.coalesce(F.col("_firstp.p"), F.col("_p0"))
     if exact:
         frozen = F.col("_p0").isNotNull() & (F.col("_m1") == F.lit(False))
         val = F.when(frozen, F.col("_p0")).otherwise(val)
-    d = d.withColumn("price_found", val.isNotNull()) \
-         .withColumn("opening_price", F.coalesce(val, F.lit(default)).cast("long"))
-    return d.drop("_p", "_firstp", "_p0", *(["_m1"] if exact else []))
+    d = d.withColumns({"price_found": val.isNotNull(),
+                       "opening_price": F.coalesce(val, F.lit(default)).cast("long")})
+    return d.drop("_p", "_fpv", "_p0v", "_firstp", "_p0", *(["_m1v", "_m1"] if exact else []))
 
 
 def reservation_price(df: DataFrame, *, out: str = "reservation_price",
