@@ -53,3 +53,19 @@ def test_curve_and_deal(spark):
     exp = next(t for t in range(21) if math.floor(600 + 400 * math.exp(-0.5 * t))
                <= math.ceil(1000 - 400 * math.exp(-0.2 * t)) + 0.05 * 1000)
     assert d == exp
+
+
+def test_offers_invariants(spark):
+    from conftest import SF_SMALL
+    from haggle.plans.q_bundle import bundles_with_cost, costs, scenarios
+    c = costs(spark, SF_SMALL).collect()
+    assert c and all(500 <= r.cost <= 2000 for r in c)
+    sc = scenarios(spark, SF_SMALL, replicas=3).collect()
+    for r in sc:
+        assert 0 <= r.first_seller - 500 - r.low <= r.high - r.low
+        fb = r.first_buyer - 500
+        assert int(r.first_seller * 0.60) <= fb <= int(r.first_seller * 0.85)
+        assert r.total_seller == r.first_seller + r.bundle_cost
+        assert r.first_buyer + r.bundle_cost // 2 <= r.total_buyer <= r.first_buyer + r.bundle_cost
+    b = bundles_with_cost(spark, SF_SMALL)
+    assert b.filter("bundle_cost IS NULL").count() == 0
