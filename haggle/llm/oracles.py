@@ -24,5 +24,26 @@ edges as (select x, y from links union all select y, x from links),
 reach as (select doc_id, doc_id as r from sets union select reach.doc_id, edges.y from reach join edges on edges.x = reach.r)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r) as component_id, s.doc_id = min(r) as kept
 from sets s join reach on reach.doc_id = s.doc_id group by s.doc_id, len(s.s)
+""",
+    "op10_exact_dedup": """
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over (partition by t order by doc_id desc) = 1 as kept, sha256(t) as text_sha256
+from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+      from documents)
+""",
+    "op8_url_rules": r"""
+with cut as (
+  select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest
+  from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from cut),
+rules(verdict, rhost, rpath) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+  ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits as (
+  select page_id, rhost || rpath as rule, verdict, length(rhost || rpath) as n from parts join rules
+  on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
+select p.page_id, p.host, p.path, max_by(f.rule, f.n) as rule, coalesce(max_by(f.verdict, f.n), 'allow') as verdict
+from parts p left join fits f using (page_id) group by p.page_id, p.host, p.path
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000  # a counted side of at most this many short rows may be broadcast
@@ -47,3 +47,16 @@ def semi_join(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def ascii_lower(column):
     """A-Z to a-z only; every other character is kept."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df in one struct called ``row``, so that their names can't clash with working columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
