@@ -26,7 +26,7 @@ from haggle.llm.components import components
 from haggle.llm.spark import BROADCAST_ROWS, checkpoint, packed
 
 BINS = 1 << 16
-FILLS = 3  # after the seeded cut: so many times the largest document that still fits is added
+FILLS = 3  # after the seeded cut: so many times the largest document that still fits is added, then one that is nearer
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -185,14 +185,17 @@ def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("pattern").orderBy("h")  # rows of equal h (repeats of a document) go together
     edge = checkpoint(here.where("b = bin").withColumn("upto", F.col("before") + F.sum("size").over(order)))
     picked = checkpoint(edge.where("upto <= rest").select("pattern", "h", "size"))
-    for _ in range(FILLS):
+    for i in range(FILLS + 1):
         got = picked.groupBy("pattern").agg(F.sum("size").alias("got"))
         gaps = checkpoint(plans.join(got, "pattern", "left").select(
             "pattern", "bin", (F.col("rest") - F.col("before") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0"))
         left = slim.withColumn("b", F.pmod("h", F.lit(BINS))).join(_small(gaps), "pattern").where(
-            "b >= bin and size > 0 and size <= gap").join(_small(picked.select("pattern", "h").distinct()),
-                                                            ["pattern", "h"], "left_anti")
-        best = left.groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("x"))
+            "b >= bin and size > 0 and size < 2 * gap").join(_small(picked.select("pattern", "h").distinct()),
+                                                             ["pattern", "h"], "left_anti")
+        if i < FILLS:  # the largest that fits
+            best = left.where("size <= gap").groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("x"))
+        else:  # at last the smallest that doesn't, where that comes nearer
+            best = left.where("size > gap").groupBy("pattern").agg(F.min(F.struct("size", "h")).alias("x"))
         picked = checkpoint(picked.unionByName(best.select("pattern", "x.h", "x.size")))
     return plans.select("pattern", "copies", "bin"), checkpoint(picked.select("pattern", "h").distinct())
 
