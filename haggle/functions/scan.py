@@ -116,20 +116,29 @@ def running_agg(df: DataFrame, keys, pos: str, value, out=None, *, how: str = "s
 
 def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_exclusive: bool = False,
                nxt: list[str] | None = None, prv: list[str] | None = None, next_prefix: str = "next_",
-               prev_prefix: str = "prev_", running: list | None = None,
+               prev_prefix: str = "prev_", prv_two: bool = False, running: list | None = None,
+               order: list | None = None, chunk: Column | None = None,
                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Several ordered scans over the same key and order in one pass: forward
     fills (``fill`` = {value: out}), the next row's columns (``nxt``), the
-    previous row's columns (``prv``) and running aggregates (``running`` =
-    [(value, how, out, exclusive)], how in sum/min/max).  One shuffle, one
-    window node, one per-chunk summary and one join back, instead of one of
-    each per scan."""
+    previous row's columns (``prv``; with ``prv_two`` also those of the row
+    before it, as ``prev_prefix + "2_" + col``) and running aggregates
+    (``running`` = [(value, how, out, exclusive)], how in sum/min/max).  One
+    shuffle, one window node, one per-chunk summary and one join back,
+    instead of one of each per scan.
+
+    Instead of an integer ``pos`` the order may be given by ``order`` columns
+    and a coarse, order-compatible ``chunk`` (e.g. timestamp, id and the
+    day): a running sum of ones then numbers the rows in the same pass."""
     keys = _as_list(keys)
     fill, nxt, prv = dict(fill or {}), list(nxt or []), list(prv or [])
     running = list(running or [])
-    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows))
-    w = Window.partitionBy(_K).orderBy(pos)
+    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows) if chunk is None else chunk)
+    w = Window.partitionBy(_K).orderBy(*(order or [pos]))
     cols, aggs, carry_cols = {}, [], []
+    if order or nxt or prv:
+        cols["_ms_rn"] = F.row_number().over(w)
+    pos = "_ms_rn" if order else pos
     fnames = {v: (f"_ms_inc{i}", f"_ms_loc{i}", f"_ms_last{i}", f"_ms_fc{i}") for i, v in enumerate(fill)}
     for v, (inc, loc, last, _) in fnames.items():
         cols[inc] = F.last(v, ignorenulls=True).over(w.rowsBetween(UNB, 0))
@@ -142,8 +151,6 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         if excl:
             cols[f"_ms_rl{i}"] = fns[how](v).over(w.rowsBetween(UNB, -1))
         aggs.append(F.max_by(f"_ms_ri{i}", F.col(pos)).alias(f"_ms_rt{i}"))
-    if nxt or prv:
-        cols["_ms_rn"] = F.row_number().over(w)
     if nxt:
         st_n = F.struct(*[F.col(c).alias(c) for c in nxt], F.lit(True).alias("_present"))
         cols["_ms_nl"] = F.lead(st_n, 1).over(w)
@@ -152,6 +159,9 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         st_p = F.struct(*[F.col(c).alias(c) for c in prv], F.lit(True).alias("_present"))
         cols["_ms_pl"] = F.lag(st_p, 1).over(w)
         aggs.append(F.max_by(st_p, F.col("_ms_rn")).alias("_ms_lastrow"))
+        if prv_two:
+            cols["_ms_pl2"] = F.lag(st_p, 2).over(w)
+            aggs.append(F.max_by("_ms_pl", F.col("_ms_rn")).alias("_ms_second"))
     d = d.withColumns(cols)
     summ = d.groupBy(_K).agg(*aggs)
     cw_before, cw = _carry_window(keys, -1), _carry_window(keys, None)
@@ -163,6 +173,8 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         carry_cols.append(F.lead("_ms_first", 1).over(cw).alias("_ms_nc"))
     if prv:
         carry_cols.append(F.lag("_ms_lastrow", 1).over(cw).alias("_ms_pc"))
+        if prv_two:   # the last chunk's row before its last, or the one before that chunk
+            carry_cols += [F.lag("_ms_second", 1).over(cw).alias("_ms_sc"), F.lag("_ms_lastrow", 2).over(cw).alias("_ms_pc2")]
     d = _join_back(d, summ.select(_K, *carry_cols))
     out = {}
     for v, (inc, loc, _, fc) in fnames.items():
@@ -180,6 +192,11 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
     if prv:
         pick = F.when(F.col("_ms_pl._present"), F.col("_ms_pl")).otherwise(F.col("_ms_pc"))
         out.update({prev_prefix + c: pick[c] for c in prv})
+        if prv_two:
+            before = F.when(F.col("_ms_sc._present"), F.col("_ms_sc")).otherwise(F.col("_ms_pc2"))
+            pick = F.when(F.col("_ms_pl2._present"), F.col("_ms_pl2")).when(
+                F.col("_ms_pl._present"), F.col("_ms_pc")).otherwise(before)
+            out.update({f"{prev_prefix}2_{c}": pick[c] for c in prv})
     d = d.withColumns(out)
     return d.drop(_K, *[c for c in d.columns if c.startswith("_ms_")])
 

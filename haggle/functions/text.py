@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRICE_RE = r"#price \$([0-9]+(\.[0-9]+)?)"
+MARKER = "#price"                              # FIXED VALUE: price marker of a rendered turn
+PRICE_RE = r"^#price \$([0-9]+(\.[0-9]+)?)"
 
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -22,13 +23,19 @@ def sql_strip_ws(e: str) -> str:
 
 
 def price_after_marker(c) -> Column:
-    """Integer price stated after the first ``#price $``; NULL when the
-    marker is missing or not followed by a number."""
+    """Integer price stated after the first ``#price``; NULL when the marker
+    is missing or that first one is not followed by ``$`` and a number (a
+    later marker is never looked at)."""
     c = F.col(c) if isinstance(c, str) else c
-    v = F.regexp_extract(c, PRICE_RE, 1)
+    at = F.instr(c, MARKER)
+    v = F.coalesce(F.regexp_extract(F.when(at > 0, c.substr(at, F.length(c))), PRICE_RE, 1), F.lit(""))
     return F.when(v == "", F.lit(None)).otherwise(F.floor(v.cast("double"))).cast("long")
 
 
 def sql_price_after_marker(e: str) -> str:
-    v = f"regexp_extract({e}, '#price \\$([0-9]+(\\.[0-9]+)?)', 1)"
-    return f"CAST(CASE WHEN {v} = '' THEN NULL ELSE floor(CAST({v} AS DOUBLE)) END AS BIGINT)"
+    """Twin from string positions: the digits right after the first marker."""
+    rest = f"substr({e}, strpos({e}, '#price') + 6)"
+    number = f"substr({rest}, 3)"
+    digits = f"substr({number}, 1, length({number}) - length(ltrim({number}, '0123456789')))"
+    return (f"CASE WHEN strpos({e}, '#price') > 0 AND substr({rest}, 1, 2) = ' $' "
+            f"THEN CAST(NULLIF({digits}, '') AS BIGINT) END")

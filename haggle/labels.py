@@ -49,16 +49,22 @@ LABEL_ALIASES = [
     (1, "Ask_Price", "Tell_Price"),
 ]
 
+# ---- FIXED VALUES: labels of dialogue flows that no classifier class has --
+# (role, label id, label): the buyer's question for a price
+FLOW_LABELS = [
+    (0, 12, "tell_price"),
+]
+
 # ---- FIXED VALUES: reward variants (intent, gap, strategy, similarity) ---
 VARIANTS = [
-    ("INA", 1, 1, 1, 1),
-    ("INA_PG", 1, 0, 1, 1),
-    ("INA_I", 0, 1, 1, 1),
-    ("INA_IC", 0, 1, 1, 1),
-    ("INA_NS", 1, 1, 0, 1),
-    ("ARDM", 0, 0, 0, 0),
-    ("ARDM_IN", 0, 0, 0, 0),
-    ("ARDM_BK", 0, 0, 0, 0),
+    ("full", 1, 1, 1, 1),
+    ("no_gap", 1, 0, 1, 1),
+    ("no_intent", 0, 1, 1, 1),
+    ("no_intent_text", 0, 1, 1, 1),
+    ("no_strategy", 1, 1, 0, 1),
+    ("baseline", 0, 0, 0, 0),
+    ("baseline_intent", 0, 0, 0, 0),
+    ("baseline_background", 0, 0, 0, 0),
 ]
 
 # ---- FIXED VALUES: reward weights gamma1..gamma4 and constants -----------
@@ -103,6 +109,8 @@ def label_rows() -> list[tuple[int, int, str, str, str]]:
              for i, lab in enumerate(labels)}
     for role, alias, lab in LABEL_ALIASES:
         rows.append((role, canon[(role, lab)], lab, alias, alias.lower()))
+    for role, i, lab in FLOW_LABELS:
+        rows.append((role, i, lab, lab, lab.lower()))
     return rows
 
 
@@ -132,14 +140,14 @@ def label_table(spark: SparkSession) -> DataFrame:
                        ["int", "int", "string", "string", "string"])
 
 
-def canonical_labels(spark: SparkSession) -> DataFrame:
-    """One row per (role, label_id): the canonical spelling."""
-    return label_table(spark).filter("alias = label").select("role", "label_id", "label")
+def class_rows() -> list[tuple[int, int, str]]:
+    """(role, label_id, label) of the 12 buyer and 13 seller classes."""
+    return [(r, i, lab) for r, labels in ((0, BUYER_INTENTS), (1, SELLER_INTENTS)) for i, lab in enumerate(labels)]
 
 
-def variant_table(spark: SparkSession) -> DataFrame:
-    return local_table(spark, VARIANTS, ["variant", "use_intent", "use_gap", "use_strategy", "use_similarity"],
-                       ["string", "int", "int", "int", "int"])
+def canonical_labels(spark: SparkSession) -> DataFrame:
+    """One row per class: the canonical spelling."""
+    return local_table(spark, class_rows(), ["role", "label_id", "label"], ["int", "int", "string"])
 
 
 def reply_intent_table(spark: SparkSession) -> DataFrame:
@@ -158,41 +166,44 @@ def sql_values(rows, cols, alias: str = "t") -> str:
     return f"(VALUES {body}) AS {alias}({', '.join(cols)})"
 
 
-# ---- FIXED VALUES (own wording): prompt templates (intent, parity, pattern)
-# parity 'odd' = buyer turn, 'even' = seller turn, 'any' = both.
+# ---- FIXED VALUES (own wording): prompt templates (intent, parity, shots, pattern)
+# parity 'odd' = buyer turn, 'even' = seller turn, 'any' = both; shots = worked
+# examples put before the line.  'NA' is the placeholder for every other intent.
 TEMPLATES = [
-    ("Greet-Ask", "any", "Buyer greets and asks about the {product}. Last seller line: {seller_text}"),
-    ("Negotiate-Price-Decrease", "any", "Buyer asks to lower {seller_price} for the {product}; offers {price}."),
-    ("Negotiate-Price-Decrease", "even", "Seller hears a lower bid of {buyer_price} for the {product}."),
-    ("Negotiate-Remove-X", "any", "Buyer drops an item from the {product} bundle; offers {price}."),
-    ("Ask_Clarification-Y", "any", "Buyer asks a question about the {product}."),
-    ("Negotiate-Price-NoChange", "any", "Price stays at {price} for the {product}."),
-    ("Negotiate-Price-NoChange", "odd", "Buyer repeats the offer of {buyer_price} for the {product}."),
-    ("Negotiate-Price-NoChange", "even", "Seller keeps {seller_price} for the {product}."),
-    ("Negotiate-Add-X", "any", "An item is added to the {product} bundle at {price}."),
-    ("Negotiate-Add-X", "odd", "Buyer asks to add an item to the {product}; offers {price}."),
-    ("Negotiate-Add-X", "even", "Seller adds an item to the {product} for {price}."),
-    ("Ask_Price", "any", "Buyer asks the price of the {product}. Last seller line: {seller_text}"),
-    ("Accept", "any", "Deal on the {product} at {price}."),
-    ("Accept", "odd", "Buyer accepts {seller_price} for the {product}."),
-    ("Accept", "even", "Seller accepts {buyer_price} for the {product}."),
-    ("Reject", "any", "Buyer walks away from the {product} at {seller_price}."),
-    ("Greet-Ask_Negotiate-Price-Decrease", "any", "Buyer greets and bids {price} for the {product}."),
-    ("Negotiate-Remove-X_Negotiate-Price-Decrease", "any", "Buyer drops an item and bids {price}."),
-    ("Negotiate-Remove-delivery", "any", "Delivery is removed from the {product} offer; price {price}."),
-    ("Negotiate-Remove-delivery", "odd", "Buyer asks to skip delivery; offers {price}."),
-    ("Negotiate-Remove-delivery", "even", "Seller removes delivery; asks {price}."),
-    ("Greet-Inform", "any", "Seller greets and presents the {product} at {price}."),
-    ("Negotiate-Price-Increase", "any", "Seller counters {buyer_price} with {price} for the {product}."),
-    ("Tell_Price", "any", "Seller quotes {price} for the {product}. Last buyer line: {buyer_text}"),
-    ("Provide_Clarification-Y", "any", "Seller explains the {product}."),
-    ("Greet-Inform_Negotiate-Price-Increase", "any", "Seller greets and raises to {price}."),
-    ("Acknowledge-acceptance", "any", "Seller confirms the deal at {price}."),
-    ("Greet-Inform_Negotiate-Price-NoChange", "any", "Seller greets and holds {price}."),
-    ("Negotiate-Price-Remove-X", "any", "Seller reprices the smaller {product} bundle at {price}."),
-    ("avoid_rejection", "any", "Seller tries to keep the buyer at {price} for the {product}."),
+    ("NA", "any", 0, "Nothing is said about the {product}."),
+    ("Greet-Ask", "any", 2, "Buyer greets and asks about the {product}. Last seller line: {seller_text}"),
+    ("Negotiate-Price-Decrease", "any", 2, "Buyer asks to lower {seller_price} for the {product}; offers {price}."),
+    ("Negotiate-Remove-X", "any", 2, "Buyer drops {removal} from the {product} bundle; the seller asked {seller_price}."),
+    ("Ask_Clarification-Y", "any", 2, "Buyer asks about {clarification} of the {product}."),
+    ("Negotiate-Price-NoChange", "odd", 2, "Buyer repeats the offer of {buyer_price} for the {product}."),
+    ("Negotiate-Price-NoChange", "even", 2, "Seller keeps {seller_price} for the {product}."),
+    ("Negotiate-Add-X", "any", 2, "{addition} is added to the {product} bundle at {price}."),
+    ("Ask_Price", "odd", 1, "Buyer asks the price of the {product}. Last seller line: {seller_text}"),
+    ("Ask_Price", "even", 1, "Seller quotes {price} for the {product}. Last buyer line: {buyer_text}"),
+    ("Accept", "odd", 2, "Buyer accepts {seller_price} for the {product}."),
+    ("Accept", "even", 2, "Seller accepts {buyer_price} for the {product}."),
+    ("Reject", "odd", 2, "Buyer walks away from the {product} at {seller_price}."),
+    ("Reject", "even", 2, "Seller turns down {buyer_price} for the {product}; asked {price}."),
+    ("Greet-Ask_Negotiate-Price-Decrease", "any", 2, "Buyer greets and bids {price} for the {product}."),
+    ("Negotiate-Remove-X_Negotiate-Price-Decrease", "any", 2, "Buyer drops {removal} and bids {price}."),
+    ("Negotiate-Remove-delivery", "odd", 2, "Buyer asks to skip delivery; offers {price}."),
+    ("Negotiate-Remove-delivery", "even", 2, "Seller removes delivery; asks {price}."),
+    ("Greet-Inform", "any", 2, "Seller greets and presents the {product} at {price}."),
+    ("Negotiate-Price-Increase", "any", 2, "Seller counters {buyer_price} with {price} for the {product}."),
+    ("Tell_Price", "any", 1, "Seller quotes {price} for the {product}. Last buyer line: {buyer_text}"),
+    ("Provide_Clarification-Y", "any", 2, "Seller explains {clarification} of the {product}."),
+    ("Greet-Inform_Negotiate-Price-Increase", "any", 2, "Seller greets and raises to {price}."),
+    ("Acknowledge-acceptance", "odd", 1, "Buyer is glad of the deal. Last seller line: {seller_text}"),
+    ("Acknowledge-acceptance", "even", 1, "Seller confirms the deal at {price}. Last buyer line: {buyer_text}"),
+    ("Greet-Inform_Negotiate-Price-NoChange", "any", 2, "Seller greets and holds {price}."),
+    ("Negotiate-Price-Remove-X", "any", 2, "Seller reprices the smaller {product} bundle at {price}."),
+    ("avoid_rejection", "any", 2, "Seller tries to keep the buyer at {price} for the {product}."),
 ]
+TEMPLATE_ALIASES = {"acknowledge acceptance": "acknowledge-acceptance"}
 
 
 def template_table(spark: SparkSession) -> DataFrame:
-    return local_table(spark, TEMPLATES, ["intent", "parity", "pattern"], ["string"] * 3)
+    """Templates by lower-case intent spelling, aliases included."""
+    rows = [(i.lower(), p, n, t) for i, p, n, t in TEMPLATES]
+    rows += [(alias, p, n, t) for alias, lab in TEMPLATE_ALIASES.items() for i, p, n, t in rows if i == lab]
+    return local_table(spark, rows, ["intent", "parity", "shots", "pattern"], ["string", "string", "int", "string"])

@@ -71,8 +71,9 @@ def opening_offers(products: DataFrame, bundles: DataFrame, *, replicas: int, se
     """Scenario table: each product x ``replicas`` draws.  Seller opening =
     uniform in the price range + delivery; buyer opening = uniform in
     60..85 % of the seller opening + delivery; a bundle drawn from the
-    product's bundles; totals add the bundle cost (seller: all of it, buyer:
-    a uniform between half and all of it, rounded up)."""
+    product's bundles (numbered once, met by its number); totals add the
+    bundle cost (seller: all of it, buyer: a uniform between half and all of
+    it, rounded up)."""
     sc = products.select(product, "low", "high").withColumn(
         "replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
     sc = sc.withColumn("first_seller", _uniform_int(F.col("low"), F.col("high"), seed, product, "replica")
@@ -80,11 +81,12 @@ def opening_offers(products: DataFrame, bundles: DataFrame, *, replicas: int, se
     lo = F.floor(F.col("first_seller") * BUYER_OPEN_LOW).cast("long")
     hi = F.floor(F.col("first_seller") * BUYER_OPEN_HIGH).cast("long")
     sc = sc.withColumn("first_buyer", _uniform_int(lo, hi, f"{seed}:b", product, "replica") + DELIVERY)
-    pick = (sc.select(product, "replica").join(bundles.select(product, "bundle_id", "items", "bundle_cost"), product)
-            .groupBy(product, "replica")
-            .agg(F.min_by(F.struct("bundle_id", "items", "bundle_cost"),
-                          md5_int(f"{seed}:bundle", product, "replica", "bundle_id")).alias("_b")))
-    sc = sc.join(pick, [product, "replica"], "left").select("*", "_b.*").drop("_b")
+    b = scan.row_number(bundles.select(product, "bundle_id", "items", "bundle_cost"), product, ["bundle_id"],
+                        F.ascii("bundle_id"), "_i")
+    n = b.groupBy(product).agg(F.max("_i").alias("_n"))
+    sc = (sc.join(n, product, "left")
+          .withColumn("_i", F.pmod(md5_int(f"{seed}:bundle", product, "replica"), F.col("_n")) + 1)
+          .join(b, [product, "_i"], "left").drop("_i", "_n"))
     half = F.floor(F.col("bundle_cost") / 2).cast("long")
     extra = _uniform_int(half, F.col("bundle_cost").cast("long"), f"{seed}:extra", product, "replica")
     return (sc.withColumn("total_seller", F.col("first_seller") + F.col("bundle_cost"))
@@ -132,40 +134,91 @@ def bundle_price_adjust(events: DataFrame, *, keys=("flow_id",), pos: str = "tur
 
 def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", pos: str = "turn",
                  action: str = "action") -> DataFrame:
-    """Per (flow, item): the last add/remove action and its turn, so the
-    selected set is the items whose last action is ``add`` and the removed
-    set those whose last is ``remove``; one partial aggregate, no arrays
-    per flow."""
+    """The bundle after every turn: ``events`` plus ``status`` of the turn's
+    item (initial, removed, back = added again after a removal, new = added
+    without one) and the counts ``n_selected``, ``n_removed``, ``n_back`` and
+    ``n_negotiable``; ``before_<name>`` gives each of them before the turn.
+
+    An item is in the bundle from the start unless its first action is
+    ``add``.  An item is negotiable from its removal until it is asked about.
+    Only earlier turns of the flow are read (and the initial bundle, which
+    the flow starts with).  One scan pass per (flow, item), one per flow,
+    linear in the turns: the selected set itself is the items whose latest
+    status is not ``removed``."""
     keys = list(keys)
-    last = F.max_by(F.struct(F.col(action).alias("a"), F.col(pos).alias("t")), F.col(pos))
-    return (events.filter(F.col(action).isin("add", "remove"))
-            .groupBy(*keys, item).agg(last.alias("_l"))
-            .select(*keys, item, F.when(F.col("_l.a") == "add", "selected").otherwise("removed").alias("status"),
-                    F.col("_l.t").alias("last_turn")))
+    act = F.col(action)
+    d = events.withColumns({
+        "_c": F.when(act.isin("add", "remove"), act), "_rm": F.when(act == "remove", 1).otherwise(0),
+        "_ng": F.when(act == "remove", 1).when(act == "ask", 0), "_f": F.struct(F.col(pos).alias("p"), act.alias("a"))})
+    d = scan.multi_scan(d, [*keys, item], pos, fill={"_c": "_prev", "_ng": "_neg"}, fill_exclusive=True,
+                        running=[("_rm", "max", "_ever", True), ("_f", "min", "_first", False)])
+    first_add = F.col("_first.a") == "add"
+    back = F.when(F.coalesce(F.col("_ever"), F.lit(0)) == 1, "back").when(first_add, "new").otherwise("initial")
+    before = (F.when(F.col("_prev") == "remove", "removed").when(F.col("_prev") == "add", back)
+              .when(first_add, "absent").otherwise("initial"))
+    d = d.withColumn("before_status", before)
+    d = d.withColumn("status", F.when(act == "remove", "removed").when(act == "add", back).otherwise(F.col("before_status")))
+
+    def step(test):
+        return test(F.col("status")).cast("int") - test(F.col("before_status")).cast("int")
+
+    sel, rem, bck = (lambda c: c.isin("initial", "back", "new"), lambda c: c == "removed", lambda c: c == "back")
+    negotiable = F.coalesce(F.col("_ng"), F.col("_neg"), F.lit(0)) - F.coalesce(F.col("_neg"), F.lit(0))
+    d = d.withColumns({"_ds": step(sel), "_dr": step(rem), "_db": step(bck), "_dn": negotiable,
+                       "_i": ((F.col("_first.p") == F.col(pos)) & ~first_add).cast("int")})
+    start = d.groupBy(*keys).agg(F.sum("_i").alias("_n0"))
+    d = scan.multi_scan(d, keys, pos, running=[("_ds", "sum", "n_selected", False), ("_dr", "sum", "n_removed", False),
+                                               ("_db", "sum", "n_back", False), ("_dn", "sum", "n_negotiable", False)])
+    d = d.join(start, keys).withColumn("n_selected", F.col("n_selected") + F.col("_n0"))
+    d = d.withColumns({f"before_{n}": F.col(n) - F.col(c) for n, c in (
+        ("n_selected", "_ds"), ("n_removed", "_dr"), ("n_back", "_db"), ("n_negotiable", "_dn"))})
+    made = ["before_status", "status", *(f"{p}{n}" for n in ("n_selected", "n_removed", "n_back", "n_negotiable")
+                                         for p in ("", "before_"))]
+    return d.select(*events.columns, *made)
+
+
+def open_clarifications(candidates: DataFrame, asked: DataFrame, *, keys=("flow_id", "topic"),
+                        pos: str = "turn") -> DataFrame:
+    """Each dialogue's topics (features, accessories, the product) with the
+    turn at which they were first asked about: a topic is open at turn t iff
+    ``asked_turn`` is NULL or later than t.  One row per (dialogue, topic)
+    says it for all turns."""
+    first = asked.groupBy(*keys).agg(F.min(pos).alias("asked_turn"))
+    return candidates.join(first, list(keys), "left")
 
 
-def open_clarifications(candidates: DataFrame, asked: DataFrame, *, keys=("product", "item")) -> DataFrame:
-    """Items (features, accessories, the product) not asked about yet: a
-    left-anti join."""
-    return candidates.join(asked.select(*keys).distinct(), list(keys), "left_anti")
+# ---- FIXED VALUES: buyer actions allowed in a negotiation state ----------
+# (conditions, allowed action ids), first match wins.  r items are removed of
+# n; open/added: not all / all items were added back; can: an item can still
+# be removed; none/some: no / some item is negotiable; quote: the seller just
+# asked for a price.
+LEGAL_RULES = [
+    (("deal",), (7,)),
+    (("quote",), (12,)),
+    (("r>0", "open", "can", "r<n"), (1, 2, 3, 4, 5, 10, 11)),
+    (("r>0", "r<n", "open"), (1, 3, 4, 5, 11)),
+    (("r>0", "r=n", "open"), (1, 3, 4, 5, 8, 11)),
+    (("r>0", "none"), (3, 6, 5, 8, 11)),
+    (("r=0", "added", "some"), (1, 3, 4, 8, 11)),
+    (("r=0", "added", "none"), (3, 7, 8, 11)),
+    (("r=0", "open", "r<n", "can"), (1, 2, 3, 4, 10, 11)),
+]
 
 
-# ---- FIXED VALUES: buyer actions allowed in a negotiation state ----------
 def legal_actions_expr(n_removed, n_acc, all_added, can_remove, negotiable_empty, deal, prev_seller) -> Column:
     """Allowed buyer action ids for a state, following the simulator's
-    rule order (first matching rule wins)."""
-    r, n, add, cr, ne = (F.col(c) for c in (n_removed, n_acc, all_added, can_remove, negotiable_empty))
-    arr = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    return (F.when(F.col(deal), arr(7))
-            .when(F.col(prev_seller) == 3, arr(12))
-            .when((r > 0) & ~add & cr & (r < n), arr(1, 2, 3, 4, 5, 10, 11))
-            .when((r > 0) & (r < n) & ~add, arr(1, 3, 4, 5, 11))
-            .when((r > 0) & (r == n) & ~add, arr(1, 3, 4, 5, 8, 11))
-            .when((r > 0) & ne, arr(3, 6, 5, 8, 11))
-            .when((r == 0) & add & ~ne, arr(1, 3, 4, 8, 11))
-            .when((r == 0) & add & ne, arr(3, 7, 8, 11))
-            .when((r == 0) & ~add & (r < n) & cr, arr(1, 2, 3, 4, 10, 11))
-            .otherwise(F.array().cast("array<int>")))
+    rule order (first matching rule wins); none where no rule matches."""
+    r, n, added = F.col(n_removed), F.col(n_acc), F.col(all_added)
+    tests = {"deal": F.col(deal), "quote": F.col(prev_seller) == 3, "r>0": r > 0, "r=0": r == 0, "r<n": r < n, "r=n": r == n,
+             "open": ~added, "added": added, "can": F.col(can_remove), "none": F.col(negotiable_empty),
+             "some": ~F.col(negotiable_empty)}
+    out = F.array().cast("array<int>")
+    for when, codes in reversed(LEGAL_RULES):
+        test = F.lit(True)
+        for t in when:
+            test = test & tests[t]
+        out = F.when(test, F.array(*[F.lit(c) for c in codes])).otherwise(out)
+    return out
 
 
 def legal_actions(df: DataFrame, *, action: str = "action_id", **state) -> DataFrame:
@@ -184,7 +237,7 @@ def intent_retag(df: DataFrame, *, keys=("flow_id",), pos: str = "turn", intent:
     is retagged.  The first row, and (``exclude_last``) the last row, are
     never retagged.  ``pos`` must be dense within the flow."""
     keys = list(keys)
-    trig = F.col(intent).isin(*RETAG_TELL, RETAG_REMOVE)
+    trig = F.coalesce(F.col(intent).isin(*RETAG_TELL, RETAG_REMOVE), F.lit(False))   # a NULL intent never fires
     d = df.withColumns({"_trig": trig, "_nt_pos": F.when(~trig, F.col(pos))})
     # one pass: previous row, next row, last non-trigger position before
     # this row, first position of the flow
@@ -203,26 +256,40 @@ def intent_retag(df: DataFrame, *, keys=("flow_id",), pos: str = "turn", intent:
                                        f"_prev_{intent}", f"_prev_{pos}", f"_next_{pos}")
 
 
+def _numbered(variants: DataFrame, keys: list[str]) -> DataFrame:
+    """variants (keys, name, text) plus their number 1..n by name within the
+    keys and n, by the skew-safe scan (chunks of the name's first letter)."""
+    d = scan.row_number(variants, keys, ["name", "text"], F.ascii("name"), "_i")
+    return d.join(d.groupBy(*keys).agg(F.max("_i").alias("_n")), keys)
+
+
 def entity_describe(entities: DataFrame, acc_variants: DataFrame, prod_variants: DataFrame, *,
                     flow: str = "flow_id", product: str = "product", entity: str = "entity",
                     seed: int = 5) -> DataFrame:
     """One description per (flow, entity): ``A <entity> called <name>.<text>``
     with a variant drawn (md5) from the product's accessories of that type,
-    or from the product's own descriptions when the entity is not one of
-    its accessory types.  Variants are joined per distinct (flow, entity),
-    then the description is joined back to every row."""
+    or, where the entity is not one of its accessory types, ``A <product>
+    called ...`` from the product's own descriptions.
+
+    Variants are numbered once; a flow draws a number and meets its one
+    variant by an equi-join, never all of them."""
     ent = entities.select(flow, product, entity).distinct()
-    av = acc_variants.select(product, F.col("acc_type").alias(entity), "name", "text")
-    a = ent.join(av, [product, entity], "inner")
-    b = (ent.join(av.select(product, entity).distinct(), [product, entity], "left_anti")
-         .join(prod_variants.select(product, "name", "text"), product, "inner"))
-    cand = a.unionByName(b)
-    pick = cand.groupBy(flow, entity).agg(F.min_by(F.struct("name", "text"),
-                                                   md5_int(seed, flow, entity, product, "name")).alias("_v"))
+    av = _numbered(acc_variants.select(product, F.col("acc_type").alias(entity), "name", "text"), [product, entity])
+    pv = _numbered(prod_variants.select(product, "name", "text"), [product])
+    sizes_a = av.select(product, entity, F.col("_n").alias("_na")).distinct()
+    sizes_p = pv.select(product, F.col("_n").alias("_np")).distinct()
+    draw = md5_int(seed, flow, entity, product)
+    ent = ent.join(sizes_a, [product, entity], "left").join(sizes_p, product, "left").withColumns({
+        "_ia": F.pmod(draw, F.col("_na")) + 1, "_ip": F.when(F.col("_na").isNull(), F.pmod(draw, F.col("_np")) + 1)})
+    av = av.select(product, entity, F.col("_i").alias("_ia"), F.struct("name", "text").alias("_va"))
+    pv = pv.select(product, F.col("_i").alias("_ip"), F.struct("name", "text").alias("_vp"))
+    pick = ent.join(av, [product, entity, "_ia"], "left").join(pv, [product, "_ip"], "left")
     a0, a1, a2 = DESCRIBE_FORMAT
-    desc = pick.select(flow, entity, F.concat(F.lit(a0), F.col(entity), F.lit(a1), F.col("_v.name"),
-                                              F.lit(a2), F.col("_v.text")).alias("described"))
-    return entities.join(desc, [flow, entity], "left")
+    what = F.when(F.col("_va").isNotNull(), F.col(entity)).otherwise(F.col(product))
+    v = F.coalesce("_va", "_vp")
+    desc = pick.select(flow, product, entity, F.concat(F.lit(a0), what, F.lit(a1), v["name"], F.lit(a2), v["text"])
+                       .alias("described"))
+    return entities.join(desc, [flow, product, entity], "left")
 
 
 def flatten_nested(df: DataFrame, *, col: str = "nested", out: str = "flat") -> DataFrame:
@@ -264,17 +331,32 @@ def counterpart_state(df: DataFrame, *, keys=("conv_id",), pos: str = "turn_no",
 
 
 def prompt_build(df: DataFrame, templates: DataFrame, *, intent: str = "intent", parity: str = "parity",
-                 slots: dict[str, str]) -> DataFrame:
-    """Pick a template by (intent, turn parity) - a parity-specific row wins
-    over the intent's ``any`` row - and fill ``{slot}`` placeholders by
-    nested ``replace``.  The template table is fixed and small, so both
-    lookups are broadcast equi-joins (no shuffle of the turns)."""
-    t = templates.select(F.lower("intent").alias("_ti"), F.col("parity").alias("_tp"), "pattern")
-    spec = F.broadcast(t.filter(F.col("_tp") != "any").withColumnRenamed("pattern", "_ps"))
-    anyp = F.broadcast(t.filter(F.col("_tp") == "any").select("_ti", F.col("pattern").alias("_pa")))
+                 slots: dict[str, str], placeholder: str = "na") -> DataFrame:
+    """Pick a template by (lower-case intent, turn parity) - a
+    parity-specific row wins over the intent's ``any`` row, the
+    ``placeholder`` intent's row stands in for every other or NULL intent -
+    and fill its ``{slot}`` places.  Adds ``prompt`` and ``shots``.
+
+    The pattern is cut into literal and slot pieces once and the slots are
+    filled in one pass, so braces inside an inserted text are left alone.
+    ``templates`` (intent, parity, shots, pattern) is the caller's: the join
+    strategy is left to the optimizer's size check."""
+    def named(rows, p):
+        return rows.select(F.col("intent").alias("_ti"), F.col("parity").alias("_tp"),
+                           F.struct("pattern", "shots").alias(p))
+    spec = named(templates.filter(F.col("parity") != "any"), "_ps")
+    anyp = named(templates.filter(F.col("parity") == "any"), "_pa").drop("_tp")
+    hold = anyp.filter(F.col("_ti") == placeholder).select(F.col("_pa").alias("_ph"))
     d = (df.withColumn("_ti", F.lower(F.col(intent))).withColumn("_tp", F.col(parity))
-         .join(spec, ["_ti", "_tp"], "left").join(anyp, "_ti", "left"))
-    filled = F.coalesce(F.col("_ps"), F.col("_pa"))
-    for slot, col in slots.items():
-        filled = F.replace(filled, F.lit("{" + slot + "}"), F.coalesce(F.col(col).cast("string"), F.lit("")))
-    return d.withColumn("prompt", filled).drop("_ti", "_tp", "_ps", "_pa")
+         .join(spec, ["_ti", "_tp"], "left").join(anyp, "_ti", "left")
+         .join(hold.withColumn("_one", F.lit(1)), F.col("_one") == 1, "left"))   # one row
+    t = F.coalesce("_ps", "_pa", "_ph")
+    pieces = F.regexp_extract_all(t["pattern"], F.lit(r"(\{\w+\}|[^{]+|\{)"), 1)
+
+    def fill(piece):
+        out = piece
+        for slot, col in slots.items():
+            out = F.when(piece == "{" + slot + "}", F.coalesce(F.col(col).cast("string"), F.lit(""))).otherwise(out)
+        return out
+    return d.withColumns({"prompt": F.array_join(F.transform(pieces, fill), ""), "shots": t["shots"]}).drop(
+        "_ti", "_tp", "_ps", "_pa", "_ph", "_one")

@@ -140,17 +140,16 @@ def conversation_assemble(df: DataFrame, *, text: str = "utterance", keys=CONV,
                                                       F.col(text).alias("text")))).alias("turns")))
 
 
-def split_conversations(df: DataFrame, n_train: int, *, seed: int = 42, keys: str = CONV,
-                        broadcast_limit: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def split_conversations(df: DataFrame, n_train: int, *, seed: int = 42, keys: str = CONV) -> tuple[DataFrame, DataFrame]:
     """Seeded split of conversations: the first ``n_train`` ids in md5 order
-    train, the rest validate.  Only distinct ids are ordered (top-N), never
-    turns; the train id list is broadcast only when ``n_train`` is within
-    ``broadcast_limit`` (a proven bound), else joined normally."""
-    ids = df.select(keys).distinct()
-    train_ids = (ids.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(keys).cast("string"))))
-                 .orderBy("_h", keys).limit(n_train).select(keys))
-    if n_train <= broadcast_limit:
-        train_ids = F.broadcast(train_ids)
+    train, the rest validate.  The distinct ids are numbered in that order by
+    the two-level scan (chunks of the hash's first bits), so no task holds
+    all of them; turns are split by a join on the id, whose strategy the
+    optimizer picks."""
+    ids = df.select(keys).distinct().withColumns({
+        "_all": F.lit(0), "_h": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(keys).cast("string")))})
+    ids = scan.row_number(ids, "_all", ["_h", keys], F.conv(F.substring("_h", 1, 3), 16, 10).cast("long"), "_rn")
+    train_ids = ids.filter(F.col("_rn") <= n_train).select(keys)
     return df.join(train_ids, keys, "left_semi"), df.join(train_ids, keys, "left_anti")
 
 
@@ -192,11 +191,14 @@ def context_budget_trim(df: DataFrame, budget: int, *, length: str = "n", keys=C
 
 def sliding_context(df: DataFrame, *, text: str = "utterance", k_prev: int = 1, keys=CONV, pos=POS,
                     out: str = "context", chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
-    """Last two context sentences at each turn: the previous turn's text and
-    this one (``array<string>``, oldest first)."""
-    d = scan.shift(df, keys, pos, [text], direction=-1, prefix="_prev_", chunk_rows=chunk_rows)
-    return d.withColumn(out, F.filter(F.array(F.col(f"_prev_{text}"), F.col(text)), lambda x: x.isNotNull())) \
-            .drop(f"_prev_{text}")
+    """The last ``k_prev`` + 1 context sentences at each turn: the previous
+    turns' texts and this one (``array<string>``, oldest first; fewer at the
+    start of a conversation).  One skew-safe shift per previous turn."""
+    d, prev = df.withColumn("_s0", F.col(text)), ["_s0"]
+    for i in range(1, k_prev + 1):
+        d = scan.shift(d, keys, pos, [prev[-1]], direction=-1, prefix=f"_s{i}", chunk_rows=chunk_rows)
+        prev.append(f"_s{i}{prev[-1]}")
+    return d.withColumn(out, F.filter(F.array(*reversed(prev)), lambda x: x.isNotNull())).drop(*prev)
 
 
 def expand_candidates(df: DataFrame, n: int = 3, *, out: str = "cand") -> DataFrame:

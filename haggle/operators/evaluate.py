@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scan
+from ..functions.hashing import md5_int
 
 HUMAN_REWARD = 10.0   # FIXED VALUE: reward logged for the turn's own reply
 PPO_EPSILON = 0.2     # FIXED VALUE: clip range
@@ -14,13 +15,16 @@ PATIENCE = 5          # FIXED VALUE: early-stop patience
 START_MIN = 9999.0    # FIXED VALUE: initial best loss
 
 
-def sample_log(human: DataFrame, cands: DataFrame, *, human_reward: float = HUMAN_REWARD) -> DataFrame:
-    """Append-only sample buffer: the turn's own reply (reward fixed,
-    ``human_response`` true) followed by the scored candidates.  Both inputs
-    carry the same columns except ``reward`` on the human side."""
-    h = human.withColumn("reward", F.lit(float(human_reward))).withColumn("human_response", F.lit(True))
-    c = cands.withColumn("reward", F.col("reward").cast("double")).withColumn("human_response", F.lit(False))
-    return h.unionByName(c)
+def sample_log(df: DataFrame, *, human: str = "human", reward: str = "reward", payload=("state", "context", "action"),
+               key_cols=("conv_id", "turn_no"), seed: int = 42, human_reward: float = HUMAN_REWARD) -> DataFrame:
+    """Append-only sample buffer of replies: the turn's own reply (``human``)
+    gets the fixed reward, candidates keep theirs; the ``payload`` columns
+    (state, context, action, agent, ...) travel along.  ``shuffle_key`` is a
+    seeded md5 of the key: reading the buffer in its order is the seeded
+    shuffle, without a global sort here.  One projection, no second read."""
+    return df.select(*key_cols, *payload,
+                     F.when(F.col(human), F.lit(float(human_reward))).otherwise(F.col(reward).cast("double")).alias("reward"),
+                     F.col(human).alias("human_response"), md5_int(seed, *key_cols).alias("shuffle_key"))
 
 
 def policy_ratio(df: DataFrame, *, new: str = "new_logp", old: str = "old_logp",
@@ -67,13 +71,8 @@ def best_checkpoint(df: DataFrame, *, run: str = "run", step: str = "step", valu
         run, F.col("_b.s").alias("best_step"), F.col("_b.v").alias("best_value"))
 
 
-def running_best(df: DataFrame, *, run: str = "run", step: str = "step", value: str = "value",
-                 out: str = "best_so_far") -> DataFrame:
-    return scan.running_agg(df, run, step, value, out, how="min")
-
-
 def early_stop(df: DataFrame, *, run: str = "run", epoch: str = "epoch", loss: str = "loss",
-               patience: int = PATIENCE, start: float = START_MIN) -> DataFrame:
+               patience: int = PATIENCE, start: float = START_MIN, dense: bool = False) -> DataFrame:
     """Epoch at which patience runs out, per run (NULL if never).
 
     An epoch improves when its loss is strictly below every earlier loss
@@ -82,11 +81,17 @@ def early_stop(df: DataFrame, *, run: str = "run", epoch: str = "epoch", loss: s
     i.e. at the (patience+1)-th straight miss.  Closed form in one scan: the
     last improving epoch up to e is the first epoch reaching the running
     minimum (strict improvements only), provided that minimum is below
-    ``start``."""
-    d = df.withColumn("_le", F.struct(F.col(loss).alias("l"), F.col(epoch).alias("e")))
-    d = scan.running_agg(d, run, epoch, {"_le": "_best", epoch: "_e0"}, how="min")
-    last_imp = F.when(F.col("_best.l") < F.lit(start), F.col("_best.e"))
-    misses = F.col(epoch) - F.coalesce(last_imp, F.col("_e0") - 1)
+    ``start``.  Misses are counted in rows, so epochs may have gaps; pass
+    ``dense=True`` where epochs are numbered 1, 2, ... per run (the rows then
+    need no numbering pass)."""
+    if dense:
+        d = df.withColumn("_n", F.col(epoch))
+    else:
+        d = scan.row_number(df, run, [epoch], F.floor(F.col(epoch) / F.lit(scan.CHUNK_ROWS)), "_n")
+    d = d.withColumn("_le", F.struct(F.col(loss).alias("l"), F.col("_n").alias("n")))
+    d = scan.running_agg(d, run, "_n", "_le", "_best", how="min")
+    last_imp = F.when(F.col("_best.l") < F.lit(start), F.col("_best.n"))
+    misses = F.col("_n") - F.coalesce(last_imp, F.lit(0))
     return d.groupBy(run).agg(F.min(F.when(misses >= patience + 1, F.col(epoch))).alias("stop_epoch"),
                               F.count(F.lit(1)).alias("n_epochs"))
 
@@ -146,13 +151,14 @@ def accuracy(df: DataFrame, *, actual: str = "actual", predicted: str = "predict
                   F.try_divide(F.sum(hit), F.count(F.lit(1)).cast("double")).alias("acc_reference"))
 
 
-def validation_report(parts: dict[str, DataFrame]) -> DataFrame:
-    """Report of means in long form ``(metric, value, n)``; ``parts`` maps a
-    metric name to a frame with a ``value`` column.  Each mean is a partial
-    aggregate over all rows (the overall mean, not the last batch's)."""
+def validation_report(parts: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """Report of means in long form ``(metric, value, n)``.  ``parts`` lists
+    (frame, {metric: column}); a frame's metrics come from one aggregate over
+    all its rows (the overall mean, not the last batch's), then unpivoted."""
     out = None
-    for name, df in parts.items():
-        m = df.agg(F.lit(name).alias("metric"), F.avg(F.col("value").cast("double")).alias("value"),
-                   F.count("value").alias("n"))
-        out = m if out is None else out.unionByName(m)
+    for df, metrics in parts:
+        one = df.agg(*[F.struct(F.lit(m).alias("metric"), F.avg(F.col(c).cast("double")).alias("value"),
+                                F.count(c).alias("n")).alias(f"_m{i}") for i, (m, c) in enumerate(metrics.items())])
+        rows = one.select(F.inline(F.array(*[F.col(f"_m{i}") for i in range(len(metrics))])))
+        out = rows if out is None else out.unionByName(rows)
     return out

@@ -100,6 +100,12 @@ def label_encode(df: DataFrame, *, role: str = "role_id", label: str = "tag",
                     "left").drop("_lr", "_ll"))
 
 
+def unknown_labels(df: DataFrame, *, role: str = "role_id", label: str = "tag") -> DataFrame:
+    """(role, label, n) of the labels that :func:`label_encode` gives no id."""
+    enc = label_encode(df, role=role, label=label, out="_id")
+    return enc.filter(F.col("_id").isNull()).groupBy(role, label).agg(F.count(F.lit(1)).alias("n"))
+
+
 def opening_price(df: DataFrame, *, text: str = "text", keys=CONV, pos=POS, exact: bool = False,
                   default: float = DEFAULT_OPENING_PRICE) -> DataFrame:
     """Seller's opening price as known at each turn (``pos`` is the 1-based
@@ -216,22 +222,37 @@ def prompt_slice(df: DataFrame, *, tokens: str = "tokens", out: str = "prompt")
 
 
 def strip_markers(df: DataFrame, *, tokens: str = "tokens", out: str = "stripped",
-                  vocab: DataFrame | None = None, text_out: str = "stripped_text") -> DataFrame:
+                  vocab: DataFrame | None = None, keys=None, text_out: str = "stripped_text") -> DataFrame:
     """Drop the first two and last two tokens.  With a ``vocab`` table
     ``(token int, piece string)`` the kept ids are decoded by a join on the
-    exploded positions and re-assembled in order; the join strategy is left
-    to the optimizer's size check (a caller's table has no proven bound)."""
+    exploded positions and re-assembled in order per row; ``keys`` (columns
+    that identify a row, NULLs allowed) are needed for that.  The join
+    strategy is left to the optimizer's size check (a caller's table has no
+    proven bound)."""
     t = F.col(tokens)
     d = df.withColumn(out, F.slice(t, 3, F.greatest(F.size(t) - 4, F.lit(0)).cast("int")))
     if vocab is None:
         return d
-    keycols = [c for c in df.columns if c != tokens]
-    ex = d.select(*keycols, F.posexplode(out).alias("_pos", "token"))
+    keys = _row_keys(keys, "vocab")
+    ex = d.select(*keys, F.posexplode(out).alias("_pos", "token"))
     dec = (ex.join(vocab, "token", "left")
-           .groupBy(*keycols)
+           .groupBy(*keys)
            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "piece"))),
                                          lambda s: s["piece"]), "").alias(text_out)))
-    return d.join(dec, keycols, "left")
+    return _join_row(d, dec, keys, text_out)
+
+
+def _row_keys(keys, table: str) -> list[str]:
+    if not keys:
+        raise ValueError(f"keys must name the columns that identify a row when {table} is given")
+    return [keys] if isinstance(keys, str) else list(keys)
+
+
+def _join_row(df: DataFrame, made: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Left join on the row keys, NULL keys included."""
+    made = made.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], out)
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(made, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def candidate_length(df: DataFrame, *, text: str = "text", out: str = "cand_len") -> DataFrame:
@@ -244,17 +265,18 @@ PUNCT = r"[!-/:-@\[-`{-~]"
 
 
 def normalize_text(df: DataFrame, *, text: str = "text", out: str = "norm",
-                   lemmas: DataFrame | None = None) -> DataFrame:
+                   lemmas: DataFrame | None = None, keys=None) -> DataFrame:
     """Lower case, ASCII punctuation removed, whitespace-separated words
     joined by one space.  An optional ``lemmas`` table ``(word, lemma)``
-    replaces words by their lemma (explode + join + ordered re-assembly;
-    the optimizer picks a broadcast when the table is small)."""
+    replaces words by their lemma (explode + join + ordered re-assembly per
+    row, for which ``keys`` must identify a row; the optimizer picks a
+    broadcast when the table is small)."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), PUNCT, ""), r"\s+"), lambda w: w != "")
     if lemmas is None:
         return df.withColumn(out, F.array_join(words, " "))
-    keycols = df.columns
-    ex = df.select(*keycols, F.posexplode(words).alias("_pos", "word"))
+    keys = _row_keys(keys, "lemmas")
+    ex = df.select(*keys, F.posexplode(words).alias("_pos", "word"))
     j = ex.join(lemmas, "word", "left").withColumn("_w", F.coalesce("lemma", "word"))
-    agg = j.groupBy(*keycols).agg(F.array_join(F.transform(
+    agg = j.groupBy(*keys).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("_pos", "_w"))), lambda s: s["_w"]), " ").alias(out))
-    return df.join(agg, keycols, "left")
+    return _join_row(df, agg, keys, out).withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce(out, F.lit(""))))

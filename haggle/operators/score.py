@@ -36,58 +36,59 @@ def negotiation_strategy(df: DataFrame, *, buyer_price: str = "final_price",
     return df.withColumn(out, negotiation_strategy_expr(buyer_price, minimum, outcome))
 
 
-def _pair_cosine(pairs: DataFrame, pair_keys: list[str], a: str, b: str) -> DataFrame:
-    """Word-count cosine of texts ``a`` and ``b`` on each pair row (lower
-    case, split on single spaces, empty words kept).
-
-    One pass: both texts are exploded together as (side, word), counted per
-    (pair, word) with a partial aggregate, then reduced per pair to the dot
-    product and the two squared norms; no join and no second read of
-    ``pairs``.  A pair with a NULL ``b`` gets a NULL cosine.
-    """
-    def side(col, tag):
-        return F.transform(F.split(F.lower(F.col(col)), " ", -1),
-                           lambda w: F.struct(F.lit(tag).alias("s"), w.alias("w")))
-    ex = pairs.select(*pair_keys, F.when(F.col(b).isNull(), F.lit(None))
-                      .otherwise(F.concat(side(a, 0), side(b, 1))).alias("_ws"))
-    ex = ex.select(*pair_keys, F.explode_outer("_ws").alias("_x"))
-    wc = ex.groupBy(*pair_keys, F.col("_x.w").alias("word")).agg(
-        F.sum(F.when(F.col("_x.s") == 0, 1).otherwise(0)).alias("na"),
-        F.sum(F.when(F.col("_x.s") == 1, 1).otherwise(0)).alias("nb"))
-    per = wc.groupBy(*pair_keys).agg(F.sum(F.col("na") * F.col("nb")).alias("dot"),
-                                     F.sum(F.col("na") * F.col("na")).alias("sa"),
-                                     F.sum(F.col("nb") * F.col("nb")).alias("sb"))
-    return per.select(*pair_keys, F.when(F.col("sb") > 0, F.col("dot") / (F.sqrt("sa") * F.sqrt("sb")))
-                      .alias("cos"))
-
-
-def surface_similarity(cands: DataFrame, context: DataFrame, *, keys=("conv_id", "turn_no"),
-                       cand: str = "cand", text: str = "cand_text", ctx_pos: str = "ctx_pos",
-                       ctx_text: str = "ctx_text", accumulate: bool = True, keep=()) -> DataFrame:
-    """Word-count cosine of each candidate against each context sentence.
-
-    ``cands`` (keys, cand, cand_text); ``context`` (keys, ctx_pos, ctx_text),
-    the few past sentences of the turn (bounded, e.g. from
-    :func:`sliding_context`), so pairs per turn are candidates x context,
-    never all pairs of a conversation.  Walking the context in order, the
-    candidate is cut to the shortest context sentence seen so far
-    (characters).  With ``accumulate`` the score of candidate j is the mean
-    over all (candidate <= j, context) pairs of the turn, as the original
-    never resets its list; otherwise the plain mean per candidate.
-    Candidates of a turn with no context score 0.  ``keep`` names columns of
-    ``cands`` that depend only on (keys, cand); they are carried through to
-    the result so the candidates need not be read a second time.
+def word_cosine_expr(a, b) -> Column:
+    """Word-count cosine of two texts of one row (lower case, split on single
+    spaces, empty words kept); NULL when either is NULL.
+
+    Both texts' words are sorted together as (word, side); one fold over them
+    gives the dot product and both squared norms (a word's count comes in as
+    1 + 3 + 5 + ...), linear after the sort, without a shuffle."""
+    def side(c, tag):
+        c = F.col(c) if isinstance(c, str) else c
+        return F.transform(F.split(F.lower(c), " ", -1), lambda w: F.struct(w.alias("w"), F.lit(tag).alias("s")))
+
+    def start():
+        n = F.lit(0).cast("long")
+        return F.struct(F.lit(None).cast("string").alias("w"), n.alias("na"), n.alias("nb"), n.alias("dot"),
+                        n.alias("sa"), n.alias("sb"))
+
+    def step(t, x):
+        same, left = t["w"].eqNullSafe(x["w"]), x["s"] == 0
+        na, nb = F.when(same, t["na"]).otherwise(0), F.when(same, t["nb"]).otherwise(0)
+        one = F.when(left, 1).otherwise(0)
+        return F.struct(x["w"].alias("w"), (na + one).cast("long").alias("na"), (nb + 1 - one).cast("long").alias("nb"),
+                        (t["dot"] + F.when(left, 0).otherwise(na)).cast("long").alias("dot"),
+                        (t["sa"] + F.when(left, 2 * na + 1).otherwise(0)).cast("long").alias("sa"),
+                        (t["sb"] + F.when(left, 0).otherwise(2 * nb + 1)).cast("long").alias("sb"))
+
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), start(), step,
+                       lambda t: t["dot"] / (F.sqrt(t["sa"]) * F.sqrt(t["sb"])))
+
+
+def surface_similarity(df: DataFrame, contexts, *, keys=("conv_id", "turn_no"), cand: str = "cand",
+                       text: str = "cand_text", accumulate: bool = True, keep=()) -> DataFrame:
+    """Word-count cosine of each candidate against its context sentences.
+
+    ``contexts`` names the columns that hold the turn's past sentences,
+    oldest first (NULL where there is none), on the candidate's own row, so
+    no text is shuffled.  Walking the context in order, the candidate is cut
+    to the shortest context sentence seen so far (characters).  With
+    ``accumulate`` the score of candidate j is the mean over all (candidate
+    <= j, context) pairs of the turn, as the original never resets its list;
+    otherwise the plain mean per candidate.  Candidates of a turn with no
+    context score 0.  ``keep`` names columns carried through to the result.
+    The window is per turn (a handful of candidates) over two numbers.
     """
     keys, keep = list(keys), list(keep)
-    wmin = Window.partitionBy(*keys).orderBy(ctx_pos).rowsBetween(UNB, 0)
-    ctx = context.select(*keys, ctx_pos, ctx_text,
-                         F.min(F.length(ctx_text)).over(wmin).alias("_minlen"))
-    pairs = (cands.select(*keys, cand, text, *keep).join(ctx, keys, "left")
-             .select(*keys, cand, *keep, F.coalesce(F.col(ctx_pos), F.lit(-1)).alias(ctx_pos),
-                     F.expr(f"substring({text}, 1, least(length({text}), _minlen))").alias("_a"),
-                     F.col(ctx_text).alias("_b")))
-    cos = _pair_cosine(pairs, [*keys, cand, *keep, ctx_pos], "_a", "_b")
-    per = cos.groupBy(*keys, cand, *keep).agg(F.sum("cos").alias("_s"), F.count("cos").alias("_n"))
+    cosines, shortest = [], []
+    for c in contexts:
+        shortest.append(F.length(c))
+        least = F.least(*shortest) if len(shortest) > 1 else shortest[0]   # NULLs are skipped
+        cosines.append(word_cosine_expr(F.substring(F.col(text), F.lit(1), least), c))
+    per = df.select(*keys, cand, *keep, F.array(*cosines).alias("_c"))
+    per = per.select(*keys, cand, *keep,
+                     F.aggregate("_c", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("_s"),
+                     F.size(F.filter("_c", lambda x: x.isNotNull())).alias("_n"))
     if accumulate:
         w = Window.partitionBy(*keys).orderBy(cand).rowsBetween(UNB, 0)
         sim = F.try_divide(F.sum("_s").over(w), F.sum("_n").over(w).cast("double"))
@@ -145,19 +146,20 @@ def composite_reward(df: DataFrame, *, weights=DEFAULT_WEIGHTS, intent: str = "i
 
 def reward_ablation(df: DataFrame, *, group_by=(), weights=DEFAULT_WEIGHTS, **cols) -> DataFrame:
     """The composite reward under each variant's flags, averaged per variant
-    (and ``group_by``).  The fixed variant list is attached to every scored
-    row as an inline array and exploded (8 copies, no join), then reduced by
-    a partial aggregate."""
+    (and ``group_by``).  The reward is linear in the flags, so the four terms
+    are averaged once, in one partial aggregate over the scored rows, and
+    each variant's mean is put together from the few resulting rows."""
     from ..labels import VARIANTS
-    arr = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(i).alias("use_intent"), F.lit(g).alias("use_gap"),
-                             F.lit(s).alias("use_strategy"), F.lit(m).alias("use_similarity"))
-                    for v, i, g, s, m in VARIANTS])
-    x = df.withColumn("_v", F.explode(arr)).select("*", "_v.*").drop("_v")
-    x = composite_reward(x, weights=weights,
-                         flags={k: k for k in ("use_intent", "use_gap", "use_strategy", "use_similarity")},
-                         **cols)
-    return x.groupBy("variant", *group_by).agg(F.avg("reward").alias("mean_reward"),
-                                              F.count(F.lit(1)).alias("n"))
+    on = ("use_intent", "use_gap", "use_strategy", "use_similarity")
+    d = df
+    for f in on:   # one term at a time: the others switched off
+        d = composite_reward(d, weights=weights, flags={o: int(o == f) for o in on}, out=f"_{f}", **cols)
+    means = d.groupBy(*group_by).agg(*[F.avg(f"_{f}").alias(f"_{f}") for f in on], F.count(F.lit(1)).alias("n"))
+    variants = F.array(*[F.struct(F.lit(v[0]).alias("variant"), *[F.lit(x).alias(f) for x, f in zip(v[1:], on)])
+                         for v in VARIANTS])
+    x = means.withColumn("_v", F.explode(variants))
+    total = sum((F.col(f"_v.{f}") * F.coalesce(F.col(f"_{f}"), F.lit(0.0)) for f in on), F.lit(0.0))
+    return x.filter("n > 0").select(F.col("_v.variant").alias("variant"), *group_by, total.alias("mean_reward"), "n")
 
 
 def _vec_dot(a: Column, b: Column) -> Column:
@@ -220,10 +222,14 @@ def categorical_draw(df: DataFrame, *, group: str = "grp", item: str = "item", p
 
 
 def masked_logprob(df: DataFrame, *, seq: str = "seq", logp: str = "logp", mask: str = "mask",
-                   average: bool = False) -> DataFrame:
-    """Per-sequence sum (or mask-weighted mean) of masked log-probs."""
+                   average: bool = False, both: bool = False) -> DataFrame:
+    """Per-sequence sum (or mask-weighted mean) of masked log-probs; ``both``
+    gives the two columns ``seq_logprob`` and ``seq_logprob_mean`` at once."""
     s = F.sum(F.col(logp) * F.col(mask))
-    v = F.try_divide(s, F.sum(F.col(mask)).cast("double")) if average else s
+    mean = F.try_divide(s, F.sum(F.col(mask)).cast("double"))
+    if both:
+        return df.groupBy(seq).agg(s.alias("seq_logprob"), mean.alias("seq_logprob_mean"))
+    v = mean if average else s
     return df.groupBy(seq).agg(v.alias("seq_logprob"))
 
 
@@ -232,7 +238,8 @@ def sequence_ce(df: DataFrame, *, seq: str = "seq", nll: str = "nll", mask: str
     """Masked negative log-likelihood.  ``smooth`` is the per-token sum of
     -log p over all K classes divided by K (label smoothing term), mixed as
     (1-eps)*nll + eps*smooth.  ``reduce``: ``none`` (per token),
-    ``sentence`` (per sequence mean over the mask), ``batch`` (one mean)."""
+    ``sentence`` (per sequence mean over the mask), ``batch`` (mean of the
+    sequence means, each sequence counting once)."""
     loss = F.col(nll)
     if smooth is not None and epsilon:
         loss = (1 - epsilon) * loss + epsilon * F.col(smooth)
@@ -242,7 +249,8 @@ def sequence_ce(df: DataFrame, *, seq: str = "seq", nll: str = "nll", mask: str
     if reduce == "sentence":
         return d.groupBy(seq).agg(F.try_divide(F.sum("loss"), F.sum(mask).cast("double")).alias("loss"))
     if reduce == "batch":
-        return d.agg(F.try_divide(F.sum("loss"), F.sum(mask).cast("double")).alias("loss"))
+        per = d.groupBy(seq).agg(F.try_divide(F.sum("loss"), F.sum(mask).cast("double")).alias("loss"))
+        return per.agg(F.avg("loss").alias("loss"))
     raise ValueError(f"unknown reduce {reduce!r}")
 
 
@@ -255,29 +263,36 @@ def perplexity(df: DataFrame, *, seq: str = "seq", nll: str = "nll", mask: str =
 def meteor_pair(pairs: DataFrame, *, keys=("pair_id",), hyp: str = "hyp", ref: str = "ref",
                 alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
     """METEOR, exact-match stage, as a distributed job: both texts are
-    exploded to lower-case words with positions; the k-th occurrence of a
-    word in the hypothesis aligns with its k-th occurrence in the reference
-    (equi-join on (pair, word, k)); chunks are islands of consecutive
-    positions on both sides; score = Fmean * (1 - gamma*(chunks/m)^beta),
-    rounded to 2 places; 0 without matches."""
+    exploded together to lower-case words with positions; occurrences of a
+    word are paired from the end of both texts (the last with the last, and
+    so on), as the usual implementation does; chunks are islands of
+    consecutive positions on both sides; score = Fmean * (1 -
+    gamma*(chunks/m)^beta), rounded to 2 places; 0 without matches.
+
+    One pass over ``pairs``: the sides travel as one array of (side, word,
+    position), met per (pair, word, occurrence) by an aggregate, so nothing
+    is read twice.  ``keys`` must identify a pair."""
     keys = list(keys)
 
-    def words(col, p):
-        ex = pairs.select(*keys, F.posexplode(F.filter(F.split(F.lower(F.col(col)), r"\s+"),
-                                                         lambda w: w != "")).alias(f"{p}pos", "word"))
-        w = Window.partitionBy(*keys, "word").orderBy(f"{p}pos")
-        return ex.withColumn("k", F.row_number().over(w))
-
-    h, r = words(hyp, "h"), words(ref, "r")
-    nh = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("nh"))
-    nr = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("nr"))
-    m = h.join(r, [*keys, "word", "k"], "inner")
-    wo = Window.partitionBy(*keys).orderBy("hpos")
+    def side(col, tag):
+        words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\s+"), lambda w: w != "")
+        return F.transform(words, lambda w, i: F.struct(F.lit(tag).alias("s"), w.alias("word"), i.alias("pos"))), F.size(words)
+
+    hw, nh = side(hyp, 0)
+    rw, nr = side(ref, 1)
+    ex = pairs.select(*keys, nh.alias("nh"), nr.alias("nr"), F.explode_outer(F.concat(hw, rw)).alias("x")).select(
+        *keys, "nh", "nr", "x.*")
+    last_first = Window.partitionBy(*keys, "word", "s").orderBy(F.desc("pos"))
+    ex = ex.withColumn("k", F.row_number().over(last_first))
+    m = ex.groupBy(*keys, "nh", "nr", "word", "k").agg(F.max(F.when(F.col("s") == 0, F.col("pos"))).alias("hpos"),
+                                                       F.max(F.when(F.col("s") == 1, F.col("pos"))).alias("rpos"))
+    m = m.withColumn("hit", F.col("hpos").isNotNull() & F.col("rpos").isNotNull())
+    wo = Window.partitionBy(*keys, "hit").orderBy("hpos")
     m = m.withColumn("_brk", F.when((F.lag("hpos").over(wo) == F.col("hpos") - 1) &
                                     (F.lag("rpos").over(wo) == F.col("rpos") - 1), 0).otherwise(1))
-    agg = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.sum("_brk").alias("chunks"))
-    base = pairs.select(*keys).join(nh, keys, "left").join(nr, keys, "left").join(agg, keys, "left")
-    mm = F.coalesce(F.col("m"), F.lit(0)).cast("double")
+    base = m.groupBy(*keys, "nh", "nr").agg(F.count(F.when(F.col("hit"), 1)).alias("m"),
+                                            F.sum(F.when(F.col("hit"), F.col("_brk"))).alias("chunks"))
+    mm = F.col("m").cast("double")
     P, R = mm / F.col("nh"), mm / F.col("nr")
     fmean = P * R / (F.lit(alpha) * P + F.lit(round(1 - alpha, 12)) * R)
     frag = F.col("chunks") / mm

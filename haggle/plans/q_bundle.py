@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.hashing import sql_md5_int
-from ..labels import REPLY_INTENTS, TEMPLATES, label_rows, reply_intent_table, sql_values, template_table
+from ..labels import REPLY_INTENTS, TEMPLATE_ALIASES, TEMPLATES, label_rows, reply_intent_table, sql_values, template_table
 from ..operators import bundle as B
 from ..operators import extract as E
 from ..sources import fixtures as X
@@ -18,7 +18,9 @@ CAT = ("cat_products", "cat_acc")
 
 
 def costs(spark, sf_dir):
-    return B.accessory_cost(X.catalog_accessories(spark, sf_dir).select("accessory").distinct())
+    """Accessory costs from the catalog: a type's least retail price."""
+    p = X.table(spark, sf_dir, "part")
+    return p.groupBy(F.col("p_type").alias("accessory")).agg(F.floor(F.min("p_retailprice")).cast("long").alias("cost"))
 
 
 def bundles_with_cost(spark, sf_dir):
@@ -34,7 +36,8 @@ def scenarios(spark, sf_dir, replicas=4):
 
 SQL_COST = f"500 + {sql_md5_int(7, 'accessory')} % 1501"
 X.EXTRA_VIEWS.update({
-    "acc_cost": f"SELECT accessory, {SQL_COST} AS cost FROM (SELECT DISTINCT accessory FROM cat_acc)",
+    "acc_draw": f"SELECT accessory, {SQL_COST} AS cost FROM (SELECT DISTINCT accessory FROM cat_acc)",
+    "acc_cost": "SELECT p_type AS accessory, CAST(floor(min(p_retailprice)) AS BIGINT) AS cost FROM part GROUP BY p_type",
     "bundles": """
 SELECT product, items, array_to_string(items, '+') AS bundle_id, CAST(len(items) AS INTEGER) AS n_items FROM (
   SELECT product, [accessory] AS items FROM cat_acc
@@ -63,10 +66,12 @@ SELECT s.*, p.bundle_id, p.bundle_cost, s.first_seller + p.bundle_cost AS total_
             + {sql_md5_int('11:extra', 's.product', 's.replica')} % (p.bundle_cost - CAST(floor(p.bundle_cost / 2) AS BIGINT) + 1)))
             AS BIGINT) AS total_buyer
 FROM sc0 s LEFT JOIN (
-  SELECT s.product, s.replica, arg_min(b.bundle_id, {sql_md5_int('11:bundle', 's.product', 's.replica', 'b.bundle_id')}) AS bundle_id,
-         arg_min(c.bundle_cost, {sql_md5_int('11:bundle', 's.product', 's.replica', 'b.bundle_id')}) AS bundle_cost
-  FROM sc0 s JOIN bundles b ON b.product = s.product JOIN bundle_costs c ON c.product = b.product AND c.bundle_id = b.bundle_id
-  GROUP BY s.product, s.replica) p ON p.product = s.product AND p.replica = s.replica"""
+  SELECT s.product, s.replica, b.bundle_id, c.bundle_cost
+  FROM sc0 s JOIN (SELECT *, row_number() OVER (PARTITION BY product ORDER BY bundle_id) AS i,
+                          count(*) OVER (PARTITION BY product) AS n FROM bundles) b
+    ON b.product = s.product AND b.i = {sql_md5_int('11:bundle', 's.product', 's.replica')} % b.n + 1
+  JOIN bundle_costs c ON c.product = b.product AND c.bundle_id = b.bundle_id) p
+  ON p.product = s.product AND p.replica = s.replica"""
 X.EXTRA_VIEWS["curve"] = """
 SELECT *, CAST(floor(total_buyer + (total_seller - total_buyer) * exp(-0.5 * t)) AS BIGINT) AS seller_offer,
           CAST(ceil(total_seller - (total_seller - total_buyer) * exp(-0.2 * t)) AS BIGINT) AS buyer_offer
@@ -74,7 +79,7 @@ FROM (SELECT *, CAST(unnest(range(0, 11)) AS INTEGER) AS t FROM scen)"""
 SCEN = (*CAT, "acc_cost", "bundles", "bundle_costs", "ranges", "sc0", "scen")
 
 
-@register("read_catalog")
+@register("read_catalog", W("acc_variants") + "SELECT product, acc_type, name, text AS description FROM acc_variants")
 def q_read_catalog(spark, sf_dir):
     """The catalog is written as nested JSON (product -> price range,
     features, description map, accessories map of maps) to the shared
@@ -85,9 +90,9 @@ def q_read_catalog(spark, sf_dir):
     return io.read_catalog(spark, path)
 
 
-@register("accessory_cost", W(*CAT, "acc_cost") + "SELECT accessory, cost FROM acc_cost")
+@register("accessory_cost", W(*CAT, "acc_draw") + "SELECT accessory, cost FROM acc_draw")
 def q_accessory_cost(spark, sf_dir):
-    return costs(spark, sf_dir)
+    return B.accessory_cost(X.catalog_accessories(spark, sf_dir).select("accessory").distinct())
 
 
 @register("bundle_enumerate", W(*CAT, "bundles") + "SELECT product, bundle_id, n_items FROM bundles")
@@ -121,127 +126,123 @@ def q_concession_curve(spark, sf_dir):
         "product", "replica", "t", "seller_offer", "buyer_offer")
 
 
-@register("deal_turn", W(*SCEN, "curve") + """
-SELECT product, replica,
-       min(CASE WHEN seller_offer <= buyer_offer + CAST(0.05 AS DOUBLE) * (first_seller + bundle_cost) THEN t END) AS deal_turn
-FROM curve GROUP BY product, replica""")
-def q_deal_turn(spark, sf_dir):
-    return B.deal_turn(B.concession_curve(scenarios(spark, sf_dir), 10))
-
-
-@register("near_accept", W(*SCEN, "curve") + """
-SELECT product, replica, t, buyer_offer + CAST(0.1 AS DOUBLE) * seller_offer >= seller_offer AS near_accept FROM curve""")
-def q_near_accept(spark, sf_dir):
-    c = B.concession_curve(scenarios(spark, sf_dir), 10)
-    return c.select("product", "replica", "t", B.near_accept_expr("buyer_offer", "seller_offer").alias("near_accept"))
-
-
-def _sql_round(v: str) -> str:
-    d = f"length(CAST(CAST(floor(abs({v})) AS BIGINT) AS VARCHAR))"
-    m = f"(CASE WHEN {d} <= 2 THEN 5 WHEN {d} = 3 THEN 10 ELSE 100 END)"
-    return f"CAST(floor({v} / {m}) * {m} AS BIGINT)"
-
-
-@register("price_round", W(*SCEN, "curve") + f"""
-SELECT product, replica, t, {_sql_round('seller_offer')} AS seller_round, {_sql_round('buyer_offer')} AS buyer_round
-FROM curve""")
-def q_price_round(spark, sf_dir):
-    c = B.concession_curve(scenarios(spark, sf_dir), 10)
-    return c.select("product", "replica", "t", B.price_round_expr("seller_offer").alias("seller_round"),
-                    B.price_round_expr("buyer_offer").alias("buyer_round"))
-
-
 def basket_deltas(spark, sf_dir):
     bk = X.basket(spark, sf_dir)
-    c = B.accessory_cost(X.table(spark, sf_dir, "part").select(F.col("p_type").alias("item")).distinct(),
-                         accessory="item")
-    d = bk.join(c, "item", "left")
+    d = bk.join(costs(spark, sf_dir).withColumnRenamed("accessory", "item"), "item", "left")
     return d.withColumn("delta", (F.when(F.col("action") == "add", F.col("cost"))
                                   .when(F.col("action") == "remove", -F.col("cost")).otherwise(F.lit(0))
                                   + F.when((F.col("turn") == 1) & F.col("drop_delivery"), F.lit(-B.DELIVERY))
                                   .otherwise(F.lit(0))).cast("long"))
 
 
-X.EXTRA_VIEWS["bdelta"] = f"""
+X.EXTRA_VIEWS["bdelta"] = """
 SELECT b.*, CAST(CASE WHEN action = 'add' THEN c.cost WHEN action = 'remove' THEN -c.cost ELSE 0 END
               + CASE WHEN turn = 1 AND drop_delivery THEN -500 ELSE 0 END AS BIGINT) AS delta
-FROM basket b LEFT JOIN (SELECT item, 500 + {sql_md5_int(7, 'item')} % 1501 AS cost
-                         FROM (SELECT DISTINCT p_type AS item FROM part)) c USING (item)"""
+FROM basket b LEFT JOIN (SELECT accessory AS item, cost FROM acc_cost) c USING (item)"""
 
 
-@register("bundle_price_adjust", W("basket", "bdelta") + """
+@register("bundle_price_adjust", W("acc_cost", "basket", "bdelta") + """
 SELECT flow_id, turn, delta, opening + sum(delta) OVER (PARTITION BY flow_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS offer
 FROM bdelta""")
 def q_bundle_price_adjust(spark, sf_dir):
     return B.bundle_price_adjust(basket_deltas(spark, sf_dir)).select("flow_id", "turn", "delta", "offer")
 
 
-@register("bundle_state", W("basket") + """
-SELECT flow_id, item, CASE WHEN arg_max(action, turn) = 'add' THEN 'selected' ELSE 'removed' END AS status,
-       max(turn) AS last_turn
-FROM basket WHERE action IN ('add', 'remove') GROUP BY flow_id, item""")
+X.EXTRA_VIEWS["bstate"] = """
+SELECT *, coalesce(n0, 0) + sum(ds) OVER w AS n_selected, sum(dr) OVER w AS n_removed, sum(db) OVER w AS n_back,
+       sum(dn) OVER w AS n_negotiable FROM (
+  SELECT *, CAST(status <> 'removed' AS INTEGER) - CAST(before_status NOT IN ('removed', 'absent') AS INTEGER) AS ds,
+         CAST(status = 'removed' AS INTEGER) - CAST(before_status = 'removed' AS INTEGER) AS dr,
+         CAST(status = 'back' AS INTEGER) - CAST(before_status = 'back' AS INTEGER) AS db,
+         coalesce(ng, neg, 0) - coalesce(neg, 0) AS dn,
+         sum(CAST(turn = first_turn AND first_action <> 'add' AS INTEGER)) OVER (PARTITION BY flow_id) AS n0
+  FROM (SELECT *, CASE action WHEN 'remove' THEN 'removed' WHEN 'add' THEN back ELSE before_status END AS status
+        FROM (SELECT *, CASE WHEN prev = 'remove' THEN 'removed' WHEN prev = 'add' THEN back
+                             WHEN first_action = 'add' THEN 'absent' ELSE 'initial' END AS before_status
+              FROM (SELECT *, CASE WHEN ever THEN 'back' WHEN first_action = 'add' THEN 'new' ELSE 'initial' END AS back
+                    FROM (SELECT *, last_value(CASE WHEN action <> 'ask' THEN action END IGNORE NULLS) OVER e AS prev,
+                                 coalesce(bool_or(action = 'remove') OVER e, false) AS ever,
+                                 last_value(ng IGNORE NULLS) OVER e AS neg,
+                                 first_value(action) OVER i AS first_action, first_value(turn) OVER i AS first_turn
+                          FROM (SELECT *, CASE action WHEN 'remove' THEN 1 WHEN 'ask' THEN 0 END AS ng FROM basket)
+                          WINDOW i AS (PARTITION BY flow_id, item ORDER BY turn),
+                                 e AS (PARTITION BY flow_id, item ORDER BY turn
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))))
+WINDOW w AS (PARTITION BY flow_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"""
+
+
+@register("bundle_state", W("basket", "bstate") + """
+SELECT flow_id, turn, item, action, status, CAST(n_selected AS BIGINT) AS n_selected, CAST(n_removed AS BIGINT) AS n_removed,
+       CAST(n_negotiable AS BIGINT) AS n_negotiable FROM bstate""")
 def q_bundle_state(spark, sf_dir):
-    return B.bundle_state(X.basket(spark, sf_dir))
-
-
-@register("open_clarifications", W(*CAT, "basket") + """
-, cand AS (SELECT DISTINCT product, item FROM (
-    SELECT product, unnest(string_split(features, ',')) AS item FROM cat_products
-    UNION ALL SELECT product, accessory AS item FROM cat_acc
-    UNION ALL SELECT product, product AS item FROM cat_products))
-SELECT product, item FROM cand c
-WHERE NOT EXISTS (SELECT 1 FROM basket b WHERE b.action = 'ask' AND b.product = c.product AND b.item = c.item)""")
+    return B.bundle_state(X.basket(spark, sf_dir)).select(
+        "flow_id", "turn", "item", "action", "status", *(F.col(c).cast("long").alias(c) for c in (
+            "n_selected", "n_removed", "n_negotiable")))
+
+
+@register("open_clarifications", W("cat_products", "basket") + """
+, topics AS (
+    SELECT flow_id, item AS topic FROM basket UNION SELECT flow_id, product FROM basket
+    UNION SELECT b.flow_id, unnest(string_split(c.features, ',')) FROM basket b JOIN cat_products c ON c.product = b.product)
+SELECT t.flow_id, t.topic, min(b.turn) AS asked_turn
+FROM topics t LEFT JOIN basket b ON b.flow_id = t.flow_id AND b.item = t.topic AND b.action = 'ask'
+GROUP BY t.flow_id, t.topic""")
 def q_open_clarifications(spark, sf_dir):
-    prods = X.catalog_products(spark, sf_dir)
-    cand = (prods.select("product", F.explode(F.split("features", ",")).alias("item"))
-            .unionByName(X.catalog_accessories(spark, sf_dir).select("product", F.col("accessory").alias("item")))
-            .unionByName(prods.select("product", F.col("product").alias("item"))).distinct())
-    asked = X.basket(spark, sf_dir).filter(F.col("action") == "ask").select("product", "item")
-    return B.open_clarifications(cand, asked)
-
-
-@register("legal_actions", W("basket") + """
-, s AS (SELECT *, coalesce(sum(CASE WHEN action = 'remove' THEN 1 ELSE 0 END) OVER w, 0) AS n_removed,
-               coalesce(sum(CASE WHEN action = 'add' THEN 1 ELSE 0 END) OVER w, 0) AS n_added,
-               count(*) OVER (PARTITION BY flow_id) AS n_acc,
-               lag(action) OVER (PARTITION BY flow_id ORDER BY turn) AS prev_action
-        FROM basket WINDOW w AS (PARTITION BY flow_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-, t AS (SELECT *, n_added >= n_acc - n_removed AS all_added, n_removed < n_acc AS can_remove,
-               n_removed = 0 AS neg_empty, action = 'ask' AND turn = n_acc AS deal,
-               CASE WHEN prev_action = 'ask' THEN 3 ELSE 0 END AS prev_seller,
-               CASE action WHEN 'remove' THEN 2 WHEN 'add' THEN 5 ELSE 1 END AS action_id FROM s)
-, u AS (SELECT *, CASE WHEN deal THEN [7]
-            WHEN prev_seller = 3 THEN [12]
-            WHEN n_removed > 0 AND NOT all_added AND can_remove AND n_removed < n_acc THEN [1, 2, 3, 4, 5, 10, 11]
-            WHEN n_removed > 0 AND n_removed < n_acc AND NOT all_added THEN [1, 3, 4, 5, 11]
-            WHEN n_removed > 0 AND n_removed = n_acc AND NOT all_added THEN [1, 3, 4, 5, 8, 11]
-            WHEN n_removed > 0 AND neg_empty THEN [3, 6, 5, 8, 11]
-            WHEN n_removed = 0 AND all_added AND NOT neg_empty THEN [1, 3, 4, 8, 11]
-            WHEN n_removed = 0 AND all_added AND neg_empty THEN [3, 7, 8, 11]
-            WHEN n_removed = 0 AND NOT all_added AND n_removed < n_acc AND can_remove THEN [1, 2, 3, 4, 10, 11]
-            ELSE []::INTEGER[] END AS legal FROM t)
+    """Topics of a flow: its items, its products and their features."""
+    bk = X.basket(spark, sf_dir).select("flow_id", "turn", "item", "product", "action")
+    feats = X.catalog_products(spark, sf_dir).select("product", F.split("features", ",").alias("f"))
+    seen = bk.select("flow_id", "product", "item").distinct().join(feats, "product", "left")
+    topics = seen.select("flow_id", F.explode(F.concat(F.array("item", "product"), F.coalesce(
+        "f", F.array().cast("array<string>")))).alias("topic")).distinct()
+    asked = bk.filter(F.col("action") == "ask").select("flow_id", F.col("item").alias("topic"), "turn")
+    return B.open_clarifications(topics, asked)
+
+
+def _legal_case() -> str:
+    """Twin of the rule table, generated from it."""
+    tests = {"deal": "deal", "quote": "prev_seller = 3", "r>0": "r > 0", "r=0": "r = 0", "r<n": "r < n", "r=n": "r = n",
+             "open": "NOT all_added", "added": "all_added", "can": "can_remove", "none": "neg_empty", "some": "NOT neg_empty"}
+    rules = " ".join(f"WHEN {' AND '.join(tests[t] for t in when)} THEN {list(codes)}" for when, codes in B.LEGAL_RULES)
+    return f"CASE {rules} ELSE []::INTEGER[] END"
+
+
+@register("legal_actions", W("acc_cost", "basket", "bdelta", "bstate") + f"""
+, s AS (SELECT s.flow_id, s.turn, s.action, n_removed - dr AS r, (n_selected - ds) + (n_removed - dr) AS n, n_back - db AS k,
+               (n_selected - ds) - (n_back - db) AS removable, n_negotiable - dn AS g, s.opening, s.discount,
+               lag(s.action) OVER f AS prev_action, lag(s.quoted) OVER f AS prev_quoted,
+               coalesce(sum(d.delta) OVER (PARTITION BY s.flow_id ORDER BY s.turn
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved
+        FROM bstate s JOIN bdelta d ON d.flow_id = s.flow_id AND d.turn = s.turn
+        WINDOW f AS (PARTITION BY s.flow_id ORDER BY s.turn))
+, t AS (SELECT *, n > 0 AND k >= n AS all_added, removable > 0 AS can_remove, g = 0 AS neg_empty,
+               coalesce(opening + moved <= opening * (1 - discount) + CAST(0.05 AS DOUBLE) * opening, false) AS deal,
+               CASE WHEN prev_action = 'ask' THEN 4 WHEN prev_action = 'remove' THEN CASE WHEN prev_quoted THEN 2 ELSE 3 END
+                    ELSE 0 END AS prev_seller,
+               CASE action WHEN 'remove' THEN 2 WHEN 'add' THEN 5 ELSE 3 END AS action_id FROM s)
+, u AS (SELECT *, {_legal_case()} AS legal FROM t)
 SELECT flow_id, turn, array_to_string(legal, ',') AS legal, list_contains(legal, action_id) AS is_legal FROM u""")
 def q_legal_actions(spark, sf_dir):
-    bk = X.basket(spark, sf_dir)
-    bk = (bk.withColumn("_rm", F.when(F.col("action") == "remove", 1).otherwise(0))
-            .withColumn("_ad", F.when(F.col("action") == "add", 1).otherwise(0)))
-    bk = scan.multi_scan(bk, "flow_id", "turn", prv=["action"], prev_prefix="prev_",
-                         running=[("_rm", "sum", "n_removed", True), ("_ad", "sum", "n_added", True)])
-    n = bk.groupBy("flow_id").agg(F.count(F.lit(1)).alias("n_acc"))
-    bk = bk.join(n, "flow_id")
-    bk = bk.select("*",
-                   F.coalesce("n_removed", F.lit(0)).alias("nr"),
-                   (F.coalesce("n_added", F.lit(0)) >= F.col("n_acc") - F.coalesce("n_removed", F.lit(0))
-                    ).alias("all_added"),
-                   (F.coalesce("n_removed", F.lit(0)) < F.col("n_acc")).alias("can_remove"),
-                   (F.coalesce("n_removed", F.lit(0)) == 0).alias("neg_empty"),
-                   ((F.col("action") == "ask") & (F.col("turn") == F.col("n_acc"))).alias("deal"),
-                   F.when(F.col("prev_action") == "ask", 3).otherwise(0).alias("prev_seller"),
-                   F.when(F.col("action") == "remove", 2).when(F.col("action") == "add", 5).otherwise(1)
-                   .alias("action_id"))
-    la = B.legal_actions(bk, action="action_id", n_removed="nr", n_acc="n_acc", all_added="all_added",
-                         can_remove="can_remove", negotiable_empty="neg_empty", deal="deal",
-                         prev_seller="prev_seller")
+    """The state comes from earlier turns only: bundle counts before the
+    turn, the seller's reply to the previous turn (an answer after a
+    question, a quoted or an asked price after a removal), and a deal when
+    the running offer is within the tolerance of the buyer's price."""
+    bk = basket_deltas(spark, sf_dir)
+    d = B.bundle_state(bk)
+    d = scan.multi_scan(d, "flow_id", "turn", prv=["action", "quoted"], running=[("delta", "sum", "_moved", True)])
+    n = F.col("before_n_selected") + F.col("before_n_removed")
+    offer = F.col("opening") + F.coalesce("_moved", F.lit(0))
+    d = d.select(
+        "flow_id", "turn", F.col("before_n_removed").alias("r"), n.alias("n"),
+        ((n > 0) & (F.col("before_n_back") >= n)).alias("all_added"),
+        (F.col("before_n_selected") - F.col("before_n_back") > 0).alias("can_remove"),
+        (F.col("before_n_negotiable") == 0).alias("neg_empty"),
+        F.coalesce(offer <= F.col("opening") * (1 - F.col("discount")) + B.DEAL_TOLERANCE * F.col("opening"),
+                   F.lit(False)).alias("deal"),
+        F.when(F.col("prev_action") == "ask", 4).when(
+            F.col("prev_action") == "remove", F.when(F.col("prev_quoted"), 2).otherwise(3)).otherwise(0).alias("prev_seller"),
+        F.when(F.col("action") == "remove", 2).when(F.col("action") == "add", 5).otherwise(3).alias("action_id"))
+    la = B.legal_actions(d, action="action_id", n_removed="r", n_acc="n", all_added="all_added",
+                         can_remove="can_remove", negotiable_empty="neg_empty", deal="deal", prev_seller="prev_seller")
     return la.select("flow_id", "turn", F.array_join("legal", ",").alias("legal"), "is_legal")
 
 
@@ -277,8 +278,8 @@ TRIG = "('Negotiate-Remove-X', 'Negotiate-Add-X', 'Negotiate-Remove-X_Negotiate-
 
 
 @register("intent_retag", W("turns") + f"""
-, a AS (SELECT *, intent IN {TRIG} AS trig,
-               max(CASE WHEN NOT (intent IN {TRIG}) THEN turn_no END) OVER (PARTITION BY conv_id ORDER BY turn_no
+, a AS (SELECT *, coalesce(intent IN {TRIG}, false) AS trig,
+               max(CASE WHEN NOT coalesce(intent IN {TRIG}, false) THEN turn_no END) OVER (PARTITION BY conv_id ORDER BY turn_no
                    ROWS UNBOUNDED PRECEDING) AS last_nt,
                min(turn_no) OVER (PARTITION BY conv_id) AS p0, max(turn_no) OVER (PARTITION BY conv_id) AS p1
         FROM turns)
@@ -298,31 +299,33 @@ def q_intent_retag(spark, sf_dir):
 
 
 @register("entity_describe", W("basket", "acc_variants", "prod_variants") + f"""
-, ent AS (SELECT DISTINCT flow_id, product, item AS entity FROM basket)
-, a AS (SELECT e.flow_id, e.entity, e.product, v.name, v.text FROM ent e JOIN acc_variants v
-        ON v.product = e.product AND v.acc_type = e.entity)
-, b AS (SELECT e.flow_id, e.entity, e.product, v.name, v.text FROM ent e JOIN prod_variants v ON v.product = e.product
-        WHERE NOT EXISTS (SELECT 1 FROM acc_variants x WHERE x.product = e.product AND x.acc_type = e.entity))
-, pick AS (SELECT flow_id, entity, arg_min(name, {sql_md5_int(5, 'flow_id', 'entity', 'product', 'name')}) AS name,
-                  arg_min(text, {sql_md5_int(5, 'flow_id', 'entity', 'product', 'name')}) AS text
-           FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY flow_id, entity)
-SELECT k.flow_id, k.turn, k.item AS entity, 'A ' || p.entity || ' called ' || p.name || '.' || p.text AS described
-FROM basket k LEFT JOIN pick p ON p.flow_id = k.flow_id AND p.entity = k.item""")
+, ents AS (SELECT flow_id, turn, product, item AS entity FROM basket
+           UNION ALL SELECT flow_id, turn, product, 'gift ' || action AS entity FROM basket)
+, av AS (SELECT *, row_number() OVER (PARTITION BY product, acc_type ORDER BY name, text) AS i,
+                count(*) OVER (PARTITION BY product, acc_type) AS n FROM acc_variants)
+, pv AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY name, text) AS i,
+                count(*) OVER (PARTITION BY product) AS n FROM prod_variants)
+, e AS (SELECT *, {sql_md5_int(5, 'flow_id', 'entity', 'product')} AS h FROM ents)
+SELECT e.flow_id, e.turn, e.entity, 'A ' || CASE WHEN a.name IS NULL THEN e.product ELSE e.entity END || ' called '
+       || coalesce(a.name, p.name) || '.' || coalesce(a.text, p.text) AS described
+FROM e LEFT JOIN av a ON a.product = e.product AND a.acc_type = e.entity AND a.i = e.h % a.n + 1
+LEFT JOIN pv p ON p.product = e.product AND p.i = e.h % p.n + 1""")
 def q_entity_describe(spark, sf_dir):
-    ents = X.basket(spark, sf_dir).select("flow_id", "turn", "product", F.col("item").alias("entity"))
+    """Every item of a flow, and a gift no product has (described by the product itself)."""
+    bk = X.basket(spark, sf_dir)
+    ents = bk.select("flow_id", "turn", "product", F.explode(F.array(
+        F.col("item"), F.concat(F.lit("gift "), F.col("action")))).alias("entity"))
     d = B.entity_describe(ents, X.accessory_variants(spark, sf_dir), X.product_variants(spark, sf_dir))
     return d.select("flow_id", "turn", "entity", "described")
 
 
 @register("flatten_nested", W("acc_variants") + """
-SELECT product, array_to_string(flatten(list(names ORDER BY acc_type)), ',') AS flat
-FROM (SELECT product, acc_type, list(name ORDER BY name) AS names FROM acc_variants GROUP BY ALL) GROUP BY product""")
+SELECT product, acc_type, name, array_to_string(flatten([string_split(name, ' '), string_split(text, ' ')]), ',') AS flat
+FROM acc_variants""")
 def q_flatten_nested(spark, sf_dir):
-    v = X.accessory_variants(spark, sf_dir)
-    per_type = v.groupBy("product", "acc_type").agg(F.sort_array(F.collect_list("name")).alias("names"))
-    nested = per_type.groupBy("product").agg(F.transform(F.sort_array(F.collect_list(F.struct("acc_type", "names"))),
-                                                         lambda s: s["names"]).alias("nested"))
-    return B.flatten_nested(nested).select("product", F.array_join("flat", ",").alias("flat"))
+    """Each variant's nested word lists (its name's, its text's) made one; no row holds a whole product."""
+    v = X.accessory_variants(spark, sf_dir).withColumn("nested", F.array(F.split("name", " "), F.split("text", " ")))
+    return B.flatten_nested(v).select("product", "acc_type", "name", F.array_join("flat", ",").alias("flat"))
 
 
 @register("bundle_phrase", W(*CAT, "bundles") + """
@@ -337,17 +340,22 @@ def q_bundle_phrase(spark, sf_dir):
 
 
 def nego_counterpart(spark, sf_dir):
-    n = X.nego(spark, sf_dir)
-    first = n.filter(F.col("price").isNotNull()).groupBy("conv_id").agg(
-        F.min_by(F.when(F.col("speaker") == 0, F.col("price")), F.when(F.col("speaker") == 0, F.col("turn_no")))
-        .alias("open_buyer"),
-        F.min_by(F.when(F.col("speaker") == 1, F.col("price")), F.when(F.col("speaker") == 1, F.col("turn_no")))
-        .alias("open_seller"))
-    return B.counterpart_state(n.join(first, "conv_id", "left"))
+    """Turns with each side's last price and text before them; a side's
+    opening price stands in until it has stated one.  Numbering and fills are
+    one pass; the opening prices are one row per conversation."""
+    n = X.nego_scanned(spark, sf_dir, counterpart=True)
+    rows = X._nego_rows(spark, sf_dir).filter(F.col("price").isNotNull())
+    when = F.struct("ts", "event_id")
+    first = rows.groupBy("conv_id").agg(
+        F.min_by("price", F.when(F.col("speaker") == 0, when)).alias("open_buyer"),
+        F.min_by("price", F.when(F.col("speaker") == 1, when)).alias("open_seller"))
+    return n.join(first, "conv_id", "left").withColumns({
+        "buyer_last_price": F.coalesce("buyer_last_price", "open_buyer"),
+        "seller_last_price": F.coalesce("seller_last_price", "open_seller")})
 
 
 X.EXTRA_VIEWS["nego_cp"] = """
-SELECT n.*, coalesce(last_value(CASE WHEN speaker = 0 THEN price END IGNORE NULLS) OVER w, o.open_buyer) AS buyer_last_price,
+SELECT n.*, o.open_seller, coalesce(last_value(CASE WHEN speaker = 0 THEN price END IGNORE NULLS) OVER w, o.open_buyer) AS buyer_last_price,
        coalesce(last_value(CASE WHEN speaker = 1 THEN price END IGNORE NULLS) OVER w, o.open_seller) AS seller_last_price,
        coalesce(last_value(CASE WHEN speaker = 0 THEN utterance END IGNORE NULLS) OVER w, '') AS buyer_last_text,
        coalesce(last_value(CASE WHEN speaker = 1 THEN utterance END IGNORE NULLS) OVER w, '') AS seller_last_text
@@ -365,24 +373,78 @@ def q_counterpart_state(spark, sf_dir):
                                                   "buyer_last_text", "seller_last_text")
 
 
+def observed_offers(spark, sf_dir):
+    """Both sides' last stated prices before each turn of the observed
+    negotiations, as offers (the opening prices until then)."""
+    n = nego_counterpart(spark, sf_dir)
+    return n.select("conv_id", F.col("turn_no").alias("t"), F.col("seller_last_price").cast("double").alias("seller_offer"),
+                    F.col("buyer_last_price").cast("double").alias("buyer_offer"),
+                    F.col("open_seller").cast("double").alias("first_seller"), F.lit(0.0).alias("bundle_cost"))
+
+
+OFFERS = ("nego", "nego_cp", "offers")
+X.EXTRA_VIEWS["offers"] = """
+SELECT conv_id, turn_no AS t, CAST(seller_last_price AS DOUBLE) AS seller_offer, CAST(buyer_last_price AS DOUBLE) AS buyer_offer,
+       CAST(open_seller AS DOUBLE) AS first_seller FROM nego_cp"""
+
+
+@register("deal_turn", W(*OFFERS) + """
+SELECT conv_id, min(CASE WHEN seller_offer <= buyer_offer + CAST(0.05 AS DOUBLE) * first_seller THEN t END) AS deal_turn
+FROM offers GROUP BY conv_id""")
+def q_deal_turn(spark, sf_dir):
+    return B.deal_turn(observed_offers(spark, sf_dir), keys=("conv_id",))
+
+
+@register("near_accept", W(*OFFERS) + """
+SELECT conv_id, t, buyer_offer + CAST(0.1 AS DOUBLE) * seller_offer >= seller_offer AS near_accept FROM offers""")
+def q_near_accept(spark, sf_dir):
+    c = observed_offers(spark, sf_dir)
+    return c.select("conv_id", "t", B.near_accept_expr("buyer_offer", "seller_offer").alias("near_accept"))
+
+
+def _sql_round(v: str) -> str:
+    d = f"length(CAST(CAST(floor(abs({v})) AS BIGINT) AS VARCHAR))"
+    m = f"(CASE WHEN {d} <= 2 THEN 5 WHEN {d} = 3 THEN 10 ELSE 100 END)"
+    return f"CAST(floor({v} / {m}) * {m} AS BIGINT)"
+
+
+@register("price_round", W(*OFFERS) + f"""
+SELECT conv_id, t, {_sql_round('seller_offer')} AS seller_round, {_sql_round('buyer_offer')} AS buyer_round FROM offers""")
+def q_price_round(spark, sf_dir):
+    c = observed_offers(spark, sf_dir)
+    return c.select("conv_id", "t", B.price_round_expr("seller_offer").alias("seller_round"),
+                    B.price_round_expr("buyer_offer").alias("buyer_round"))
+
+
+SLOTS = {"product": "items", "price": "price", "seller_price": "seller_last_price", "buyer_price": "buyer_last_price",
+         "seller_text": "seller_last_text", "buyer_text": "buyer_last_text", "clarification": "clarification",
+         "removal": "removal", "addition": "addition"}
+_SQL_TEMPLATES = [(i.lower(), p, n, t) for i, p, n, t in TEMPLATES]
+_SQL_TEMPLATES += [(a, p, n, t) for a, lab in TEMPLATE_ALIASES.items() for i, p, n, t in _SQL_TEMPLATES if i == lab]
+
+
 def _sql_fill(p: str) -> str:
-    out = p
-    for slot, col in (("product", "items"), ("price", "price"), ("seller_price", "seller_last_price"),
-                      ("buyer_price", "buyer_last_price"), ("seller_text", "seller_last_text"),
-                      ("buyer_text", "buyer_last_text")):
-        out = f"replace({out}, '{{{slot}}}', coalesce(CAST({col} AS VARCHAR), ''))"
-    return out
+    cases = " ".join(f"WHEN '{{{slot}}}' THEN coalesce(CAST({col} AS VARCHAR), '')" for slot, col in SLOTS.items())
+    return (f"array_to_string(list_transform(regexp_extract_all({p}, '\\{{\\w+\\}}|[^{{]+|\\{{'), "
+            f"lambda x: CASE x {cases} ELSE x END), '')")
 
 
 @register("prompt_build", W("nego", "nego_cp") + f"""
-, tp AS (SELECT lower(intent) AS ti, parity AS tpar, pattern FROM {sql_values(TEMPLATES, ['intent', 'parity', 'pattern'], 'tt')})
-, q AS (SELECT n.*, CASE WHEN turn_no % 2 = 1 THEN 'odd' ELSE 'even' END AS parity FROM nego_cp n)
-SELECT q.conv_id, q.turn_no, {_sql_fill('coalesce(s.pattern, a.pattern)')} AS prompt
-FROM q LEFT JOIN tp s ON s.ti = lower(q.intent) AND s.tpar = q.parity AND s.tpar <> 'any'
-LEFT JOIN tp a ON a.ti = lower(q.intent) AND a.tpar = 'any'""")
+, tp AS (SELECT * FROM {sql_values(_SQL_TEMPLATES, ['ti', 'tpar', 'shots', 'pattern'], 'tt')})
+, q AS (SELECT n.*, CASE WHEN turn_no % 2 = 1 THEN 'odd' ELSE 'even' END AS parity, 'the ' || items AS clarification,
+               CASE WHEN speaker = 0 THEN 'one ' || items END AS removal, utterance AS addition,
+               CASE WHEN event_id % 7 = 0 THEN 'NA' WHEN event_id % 11 = 0 THEN NULL ELSE intent END AS asked FROM nego_cp n)
+, x AS (SELECT q.*, coalesce(s.pattern, a.pattern, h.pattern) AS pattern, coalesce(s.shots, a.shots, h.shots) AS shots
+        FROM q LEFT JOIN tp s ON s.ti = lower(q.asked) AND s.tpar = q.parity AND s.tpar <> 'any'
+        LEFT JOIN tp a ON a.ti = lower(q.asked) AND a.tpar = 'any' JOIN tp h ON h.ti = 'na')
+SELECT conv_id, turn_no, shots, {_sql_fill('pattern')} AS prompt FROM x""")
 def q_prompt_build(spark, sf_dir):
-    cp = nego_counterpart(spark, sf_dir).withColumn(
-        "parity", F.when(F.col("turn_no") % 2 == 1, "odd").otherwise("even"))
-    slots = {"product": "items", "price": "price", "seller_price": "seller_last_price",
-             "buyer_price": "buyer_last_price", "seller_text": "seller_last_text", "buyer_text": "buyer_last_text"}
-    return B.prompt_build(cp, template_table(spark), slots=slots).select("conv_id", "turn_no", "prompt")
+    """Every turn's prompt; some intents are made unknown or NULL so that the placeholder is reached."""
+    cp = nego_counterpart(spark, sf_dir).withColumns({
+        "parity": F.when(F.col("turn_no") % 2 == 1, "odd").otherwise("even"),
+        "clarification": F.concat(F.lit("the "), F.col("items")), "addition": F.col("utterance"),
+        "removal": F.when(F.col("speaker") == 0, F.concat(F.lit("one "), F.col("items"))),
+        "asked": F.when(F.col("event_id") % 7 == 0, "NA").when(F.col("event_id") % 11 == 0, F.lit(None))
+                  .otherwise(F.col("intent"))})
+    return B.prompt_build(cp, template_table(spark), intent="asked", slots=SLOTS).select(
+        "conv_id", "turn_no", "shots", "prompt")

@@ -1,70 +1,117 @@
-"""Registered queries for classification at scale: no DuckDB
-twin (model fitting), checked by row counts and unit tests."""
+"""Registered queries for classification at scale: fitted on
+labelled rows, applied to every row."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from ..functions.hashing import sql_md5_int
+from ..labels import BUYER_INTENTS, SELLER_INTENTS, canonical_labels, sql_values
 from ..operators import classify as C
 from ..operators import dialogue as D
+from ..operators import extract as E
 from ..sources import fixtures as X
+from .q_extract import LABELS_ALIAS_SQL
 from .registry import register
 
-
-def _docs(spark, sf_dir):
-    d = X.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    lab = X.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
-    return D.split_rows(d.join(lab, "doc_id"), seed=42, key_cols=("doc_id",))
-
-
-def _model(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return docs, C.intent_train(docs.filter(F.col("split") == "train"), text="text", label="label_id",
-                                num_features=1 << 14, max_iter=20)
-
-
-@register("intent_train")
+W = X.with_views
+CLASSES = [(r, i) for r, labels in ((0, BUYER_INTENTS), (1, SELLER_INTENTS)) for i in range(len(labels))]
+KEYS = ("conv_id", "turn_no")
+
+
+def labelled_turns(spark, sf_dir):
+    """Turns with their role, intent id and 80/10/10 split."""
+    t = E.label_encode(X.turns(spark, sf_dir), role="speaker", label="intent")
+    return D.split_rows(t, seed=42).select("conv_id", "turn_no", F.col("speaker").alias("role_id"), "utterance",
+                                           "label_id", "split")
+
+
+def turn_scores(spark, sf_dir):
+    t = labelled_turns(spark, sf_dir)
+    model = C.bayes_train(t.filter("split = 'train'"), canonical_labels(spark))
+    return t, C.bayes_scores(model, t, keys=KEYS)
+
+
+X.EXTRA_VIEWS["lturns"] = f"""
+SELECT t.conv_id, t.turn_no, t.speaker AS role, t.utterance, la.label_id,
+       CASE WHEN {sql_md5_int(42, 't.conv_id', 't.turn_no')} % 1000 < 800 THEN 'train'
+            WHEN {sql_md5_int(42, 't.conv_id', 't.turn_no')} % 1000 < 900 THEN 'validation' ELSE 'test' END AS split,
+       list_distinct(list_filter(regexp_split_to_array(lower(t.utterance), '[^a-z0-9]+'), lambda w: w <> '')) AS words
+FROM turns t LEFT JOIN {LABELS_ALIAS_SQL} ON la.lrole = t.speaker AND la.alias_lower = lower(t.intent)"""
+X.EXTRA_VIEWS["nb"] = f"""
+SELECT t.conv_id, t.turn_no, t.role, c.label_id,
+       round(ln((coalesce(l.n, 0) + 1) / (a.n + a.k)) + coalesce(s.s, 0) - coalesce(m.m, 0) * ln(coalesce(l.n, 0) + 2.0), 9) AS score
+FROM lturns t
+JOIN {sql_values(CLASSES, ['role', 'label_id'], 'c')} ON c.role = t.role
+LEFT JOIN (SELECT role, label_id, count(*) AS n FROM lturns WHERE split = 'train' AND label_id IS NOT NULL GROUP BY ALL) l
+  ON l.role = t.role AND l.label_id = c.label_id
+JOIN (SELECT r.role, r.k, (SELECT count(*) FROM lturns x WHERE x.split = 'train' AND x.label_id IS NOT NULL AND x.role = r.role) AS n
+      FROM (VALUES (0, {len(BUYER_INTENTS)}), (1, {len(SELLER_INTENTS)})) AS r(role, k)) a ON a.role = t.role
+LEFT JOIN (SELECT conv_id, turn_no, count(*) AS m FROM (SELECT conv_id, turn_no, role, unnest(words) AS w FROM lturns) q
+           WHERE (role, w) IN (SELECT role, unnest(words) FROM lturns WHERE split = 'train' AND label_id IS NOT NULL)
+           GROUP BY ALL) m ON m.conv_id = t.conv_id AND m.turn_no = t.turn_no
+LEFT JOIN (SELECT q.conv_id, q.turn_no, k.label_id, sum(ln(k.n + 1.0)) AS s
+           FROM (SELECT conv_id, turn_no, role, unnest(words) AS w FROM lturns) q
+           JOIN (SELECT role, label_id, w, count(*) AS n FROM (
+                   SELECT role, label_id, unnest(words) AS w FROM lturns WHERE split = 'train' AND label_id IS NOT NULL)
+                 GROUP BY ALL) k ON k.role = q.role AND k.w = q.w GROUP BY ALL) s
+  ON s.conv_id = t.conv_id AND s.turn_no = t.turn_no AND s.label_id = c.label_id"""
+
+
+@register("intent_train", W("turns", "lturns", "nb") + """
+SELECT t.conv_id, t.turn_no, t.split, t.label_id AS actual, p.predicted
+FROM lturns t JOIN (SELECT conv_id, turn_no, arg_max(label_id, (score, -label_id)) AS predicted FROM nb GROUP BY ALL) p
+USING (conv_id, turn_no)""")
 def q_intent_train(spark, sf_dir):
-    """Document quality classifier: fit on the train split, predict on all."""
-    docs, model = _model(spark, sf_dir)
-    return C.intent_predict(model, docs).select("doc_id", "split", F.col("label_id").alias("actual"), "predicted")
+    """Per-role intent classifier over turns: fit on the train split, predict on every turn."""
+    t, scores = turn_scores(spark, sf_dir)
+    p = C.bayes_predict(scores, keys=KEYS)
+    return t.join(p, list(KEYS)).select("conv_id", "turn_no", "split", F.col("label_id").alias("actual"), "predicted")
 
 
-@register("intent_proba")
+@register("intent_proba", W("turns", "lturns", "nb") + """
+SELECT conv_id, turn_no, label_id, exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY conv_id, turn_no) AS p
+FROM (SELECT *, max(score) OVER (PARTITION BY conv_id, turn_no) AS top FROM nb)""")
 def q_intent_proba(spark, sf_dir):
-    docs, model = _model(spark, sf_dir)
-    return C.intent_proba(model, docs, 1, out="p_quality").select("doc_id", "p_quality")
+    """Probability of each of the role's 12 or 13 classes for every turn."""
+    _, scores = turn_scores(spark, sf_dir)
+    return C.bayes_proba(scores, keys=KEYS).select("conv_id", "turn_no", "label_id", "p")
+
+
+@register("document_quality")
+def q_document_quality(spark, sf_dir):
+    """Spark ML classifier of document quality: fitted on the labelled
+    documents' train split, applied to all documents."""
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = X.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label_id"))
+    train = D.split_rows(docs.join(lab, "doc_id"), seed=42, key_cols=("doc_id",)).filter("split = 'train'")
+    model = C.intent_train(train, text="text", label="label_id", num_features=1 << 14, max_iter=20)
+    return C.intent_proba(model, docs, 1, out="p_quality").select("doc_id", "predicted", "p_quality")
 
 
-def _features(df):
-    words = F.size(F.split(F.col("text"), r"\s+"))
-    upper = F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))
-    return df.withColumn("f_words", F.log1p(words.cast("double"))).withColumn("f_upper", upper.cast("double"))
+# ---- FIXED VALUES (own choice): the caller's two-feature model -------------
+SCORER_WEIGHTS, SCORER_BIAS = (0.75, -2.5), -3.0
 
 
-@register("batch_score")
+@register("batch_score", f"""
+SELECT doc_id, 1.0 / (1.0 + exp(-({SCORER_WEIGHTS[0]} * ln(1 + len(string_split(text, ' ')))
+       + {SCORER_WEIGHTS[1]} * (length(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(length(text), 1)) + {SCORER_BIAS}))) AS p
+FROM documents""")
 def q_batch_score(spark, sf_dir):
-    """A caller-supplied model scored per partition: a 2-feature logistic
-    model whose weights Spark ML fits; the scorer is built once per
-    partition and applied to Arrow batches with numpy."""
-    docs = _features(_docs(spark, sf_dir))
-    va = VectorAssembler(inputCols=["f_words", "f_upper"], outputCol="fv")
-    lr = LogisticRegression(featuresCol="fv", labelCol="label_id", maxIter=20).fit(
-        va.transform(docs.filter(F.col("split") == "train")).withColumn("label_id", F.col("label_id").cast("double")))
-    w = np.asarray(lr.coefficients.toArray(), dtype="float64")
-    b = float(lr.intercept)
+    """The caller's own model on every document: the scorer is built once per
+    partition (here two fixed weights) and fed Arrow batches."""
+    docs = X.table(spark, sf_dir, "documents").select(
+        "doc_id", F.log1p(F.size(F.split("text", " ")).cast("double")).alias("f_words"),
+        (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("f_upper"))
 
     def make_scorer():
-        weights, bias = w.copy(), b          # "load" the model once per partition
+        weights = np.array(SCORER_WEIGHTS)          # "load" the model once per partition
 
         def score(pdf: pd.DataFrame) -> pd.DataFrame:
-            z = pdf[["f_words", "f_upper"]].to_numpy(dtype="float64") @ weights + bias
-            return pd.DataFrame({"doc_id": pdf["doc_id"], "p_quality": 1.0 / (1.0 + np.exp(-z))})
+            z = pdf[["f_words", "f_upper"]].to_numpy(dtype="float64") @ weights + SCORER_BIAS
+            return pd.DataFrame({"doc_id": pdf["doc_id"], "p": 1.0 / (1.0 + np.exp(-z))})
         return score
 
-    return C.batch_score(docs.select("doc_id", "f_words", "f_upper"), make_scorer,
-                         "doc_id long, p_quality double")
+    return C.batch_score(docs, make_scorer, "doc_id long, p double")

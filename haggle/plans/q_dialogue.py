@@ -15,15 +15,15 @@ W = X.with_views
 
 
 def rendered_turns(spark, sf_dir, source="turns", variant="full"):
-    df = X.turns(spark, sf_dir) if source == "turns" else X.nego(spark, sf_dir)
-    return D.turn_render(D.price_locf(df), variant)
+    df = D.price_locf(X.turns(spark, sf_dir)) if source == "turns" else X.nego_scanned(spark, sf_dir)
+    return D.turn_render(df, variant)
 
 
 def rendered_with_lead(spark, sf_dir, source="turns"):
     """Rendered turns with the next turn's utterance and intent, the fill and
     the look-ahead done in one scan pass."""
-    df = X.turns(spark, sf_dir) if source == "turns" else X.nego(spark, sf_dir)
-    return D.turn_render(D.locf_and_lead(df))
+    df = D.locf_and_lead(X.turns(spark, sf_dir)) if source == "turns" else X.nego_scanned(spark, sf_dir, lead=True)
+    return D.turn_render(df)
 
 
 # DuckDB twins of price_locf / turn_render over a named view ----------------
@@ -89,14 +89,15 @@ SELECT conv_id, turn_no, speaker,
        CASE WHEN lead(turn_no) OVER w IS NULL THEN '<|end|>' ELSE lead(intent) OVER w END AS next_intent
 FROM nego WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no)""")
 def q_next_turn_lead(spark, sf_dir):
-    return D.next_turn_lead(X.nego(spark, sf_dir)).select(
+    # numbering, fill and look-ahead in one pass; next_turn_lead alone is held against it in the tests
+    return X.nego_scanned(spark, sf_dir, lead=True).select(
         "conv_id", "turn_no", "speaker", "next_utterance", "next_intent")
 
 
 @register("price_locf", W("nego", "nego_f") + """
 SELECT conv_id, turn_no, speaker, price, price_filled FROM nego_f""")
 def q_price_locf(spark, sf_dir):
-    return D.price_locf(X.nego(spark, sf_dir)).select("conv_id", "turn_no", "speaker", "price", "price_filled")
+    return X.nego_scanned(spark, sf_dir).select("conv_id", "turn_no", "speaker", "price", "price_filled")
 
 
 @register("turn_render", W("turns", "turns_f") + f"""
@@ -131,11 +132,10 @@ def q_role_id(spark, sf_dir):
 @register("split_conversations", W("nego") + """
 , ids AS (SELECT DISTINCT conv_id FROM nego)
 , tr AS (SELECT conv_id FROM ids ORDER BY md5(concat_ws(':', '42', CAST(conv_id AS VARCHAR))), conv_id LIMIT 120)
-SELECT conv_id, CASE WHEN conv_id IN (SELECT conv_id FROM tr) THEN 'train' ELSE 'validation' END AS split
-FROM ids""")
+SELECT conv_id, turn_no, CASE WHEN conv_id IN (SELECT conv_id FROM tr) THEN 'train' ELSE 'validation' END AS split
+FROM nego""")
 def q_split_conversations(spark, sf_dir):
-    ids = X.nego(spark, sf_dir).select("conv_id").distinct()
-    tr, va = D.split_conversations(ids, 120, seed=42)
+    tr, va = D.split_conversations(X.nego(spark, sf_dir).select("conv_id", "turn_no"), 120, seed=42)
     return tr.withColumn("split", F.lit("train")).unionByName(va.withColumn("split", F.lit("validation")))
 
 
@@ -170,19 +170,19 @@ def q_role_filter(spark, sf_dir):
                sum(n) OVER (PARTITION BY conv_id) AS tot,
                max(turn_no) OVER (PARTITION BY conv_id) AS last_pos,
                arg_max(n, turn_no) OVER (PARTITION BY conv_id) AS last_n FROM t)
-SELECT conv_id, turn_no, n FROM s WHERE tot <= 1024 OR cum < 1024 - last_n OR turn_no = last_pos""")
+SELECT conv_id, turn_no, n FROM s WHERE tot <= 300 OR cum < 300 - last_n OR turn_no = last_pos""")
 def q_context_budget_trim(spark, sf_dir):
     t = X.turns(spark, sf_dir).select("conv_id", "turn_no", F.size(F.split("utterance", " ")).alias("n"))
-    return D.context_budget_trim(t, 1024).select("conv_id", "turn_no", "n")
+    # a budget that the longer conversations of this table exceed
+    return D.context_budget_trim(t, 300).select("conv_id", "turn_no", "n")
 
 
 @register("sliding_context", W("turns") + """
 SELECT conv_id, turn_no,
-       CASE WHEN lag(utterance) OVER w IS NULL THEN utterance ELSE lag(utterance) OVER w || ' || ' || utterance END
-         AS context
+       concat_ws(' || ', lag(utterance, 2) OVER w, lag(utterance) OVER w, utterance) AS context
 FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no)""")
 def q_sliding_context(spark, sf_dir):
-    d = D.sliding_context(X.turns(spark, sf_dir))
+    d = D.sliding_context(X.turns(spark, sf_dir), k_prev=2)
     return d.select("conv_id", "turn_no", F.array_join("context", " || ").alias("context"))
 
 

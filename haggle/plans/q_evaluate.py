@@ -18,13 +18,12 @@ from .registry import register
 W = X.with_views
 
 
-@register("sample_log", W("samples") + """
-SELECT buffer, idx, CASE WHEN human THEN 10.0 ELSE reward END AS reward, human AS human_response FROM samples""")
+@register("sample_log", W("samples") + f"""
+SELECT buffer, idx, old_logp, CASE WHEN human THEN 10.0 ELSE CAST(reward AS DOUBLE) END AS reward, human AS human_response,
+       {sql_md5_int(42, 'buffer', 'idx')} AS shuffle_key FROM samples""")
 def q_sample_log(spark, sf_dir):
-    s = X.samples(spark, sf_dir).select("buffer", "idx", "reward", "human")
-    h = s.filter("human").select("buffer", "idx")
-    c = s.filter("NOT human").select("buffer", "idx", "reward")
-    return V.sample_log(h, c).select("buffer", "idx", "reward", "human_response")
+    return V.sample_log(X.samples(spark, sf_dir).select("buffer", "idx", "old_logp", "reward", "human"), human="human",
+                        payload=("old_logp",), key_cols=("buffer", "idx"))
 
 
 @register("policy_ratio", W("samples") + """
@@ -56,6 +55,14 @@ def q_clipped_objective(spark, sf_dir):
     return _ppo(spark, sf_dir, "policy_loss")
 
 
+@register("standard_objective", W("samples") + """
+SELECT buffer, avg(greatest(-reward * exp(new_logp - old_logp),
+                            -reward * least(greatest(exp(new_logp - old_logp), 0.8), 1.2))) AS policy_loss
+FROM samples GROUP BY buffer""")
+def q_standard_objective(spark, sf_dir):
+    return V.ppo_metrics(X.samples(spark, sf_dir), by="buffer", mode="standard").select("buffer", "policy_loss")
+
+
 @register("approx_kl", PPO_SQL.format(col="approx_kl"))
 def q_approx_kl(spark, sf_dir):
     return _ppo(spark, sf_dir, "approx_kl")
@@ -91,19 +98,14 @@ UNION ALL SELECT 'strategy', avg(strategy), count(strategy) FROM o
 UNION ALL SELECT 'prize_gap', avg(prize_gap), count(prize_gap) FROM o""")
 def q_validation_report(spark, sf_dir):
     """Means of perplexity, loss, reply length, METEOR, strategy and price
-    gap, each over its own whole input."""
-    nll = token_nll(spark, sf_dir)
-    ppl = S.perplexity(nll).select(F.col("perplexity").alias("value"))
-    loss = S.sequence_ce(nll, reduce="sentence").select(F.col("loss").alias("value"))
+    gap, each over its own whole input: one aggregate per source."""
+    nll = S.sequence_ce(token_nll(spark, sf_dir), reduce="sentence").withColumn("ppl", F.exp("loss"))
     ex = D.example_build(rendered_with_lead(spark, sf_dir), ablation=True)
-    length = E.candidate_length(ex, text="example").select(F.col("cand_len").alias("value"))
-    met = S.meteor_pair(_turn_pairs(spark, sf_dir), keys=("conv_id", "turn_no")).select(
-        F.col("meteor").alias("value"))
+    length = E.candidate_length(ex, text="example")
+    met = S.meteor_pair(_turn_pairs(spark, sf_dir), keys=("conv_id", "turn_no"))
     out = S.negotiation_strategy(S.prize_gap(nego_outcome(spark, sf_dir)))
-    return V.validation_report({
-        "perplexity": ppl, "loss": loss, "length": length, "meteor": met,
-        "strategy": out.select(F.col("strategy").alias("value")),
-        "prize_gap": out.select(F.col("prize_gap").alias("value"))})
+    return V.validation_report([(nll, {"perplexity": "ppl", "loss": "loss"}), (length, {"length": "cand_len"}),
+                                (met, {"meteor": "meteor"}), (out, {"strategy": "strategy", "prize_gap": "prize_gap"})])
 
 
 @register("best_checkpoint", W("metric_log") + """
@@ -122,7 +124,7 @@ SELECT run, min(CASE WHEN step - coalesce(last_imp, e0 - 1) >= 6 THEN step END)
 FROM c GROUP BY run""")
 def q_early_stop(spark, sf_dir):
     m = X.metric_log(spark, sf_dir).select("run", F.col("step").alias("epoch"), F.col("value").alias("loss"))
-    return V.early_stop(m)
+    return V.early_stop(m, dense=True)   # steps are row numbers
 
 
 @register("eval_cadence", W("metric_log") + """

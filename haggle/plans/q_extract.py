@@ -94,6 +94,13 @@ def q_label_encode(spark, sf_dir):
     return tagged_with_tags(spark, sf_dir).select("conv_id", "turn_no", "cand", "role_id", "tag", "label_id")
 
 
+@register("unknown_labels", W(*TAGGED, "tagged_l") + """
+SELECT role_id, tag, count(*) AS n FROM tagged_l WHERE label_id IS NULL GROUP BY role_id, tag""")
+def q_unknown_labels(spark, sf_dir):
+    t = E.intent_tag_last(X.tagged(spark, sf_dir), text="cand_text", role="role_id", out="tag")
+    return E.unknown_labels(t)
+
+
 def sql_price(e: str) -> str:
     from ..functions.text import sql_price_after_marker
     return sql_price_after_marker(e)

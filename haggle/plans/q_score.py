@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.hashing import md5_uniform, sql_md5_int, sql_md5_uniform
 from ..labels import VARIANTS, sql_values
 from ..operators import extract as E
@@ -81,29 +82,30 @@ def q_negotiation_strategy(spark, sf_dir):
 
 # ---------------------------------------------------------------- similarity
 
-def context_rows(df, *, text="utterance", keys=("conv_id",), pos="turn_no"):
-    """(keys, pos, ctx_pos, ctx_text): the two previous turns' texts, oldest
-    first.  Turn numbers are dense, so each turn is simply offered as
-    context to turns pos+1 and pos+2 and met by an equi-join on (key, turn):
-    partitioned by turn, not by conversation, so no scan and no hot key."""
-    t = F.explode(F.array(F.struct((F.col(pos) + 1).alias(pos), F.lit(1).alias("ctx_pos")),
-                          F.struct((F.col(pos) + 2).alias(pos), F.lit(0).alias("ctx_pos")))).alias("_t")
-    return df.select(*keys, t, F.col(text).alias("ctx_text")).select(*keys, "_t.*", "ctx_text")
+def turn_candidates(spark, sf_dir):
+    """Three whole texts per turn: its reply, the next reply and the same
+    speaker's previous one (empty text where there is none); the two previous
+    replies are the context."""
+    t = X.turns(spark, sf_dir).select("conv_id", "turn_no", "utterance",
+                                      F.when(F.col("speaker") == 0, F.col("utterance")).alias("_b"),
+                                      F.when(F.col("speaker") == 1, F.col("utterance")).alias("_s"), "speaker")
+    t = scan.multi_scan(t, "conv_id", "turn_no", fill={"_b": "_pb", "_s": "_ps"}, fill_exclusive=True, nxt=["utterance"],
+                        prv=["utterance"], prv_two=True)
+    own = F.when(F.col("speaker") == 0, F.col("_pb")).otherwise(F.col("_ps"))
+    texts = F.array("utterance", F.coalesce("next_utterance", F.lit("")), F.coalesce(own, F.lit("")))
+    return t.select("conv_id", "turn_no", "prev_2_utterance", "prev_utterance",
+                    F.posexplode(texts).alias("cand", "cand_text"))
 
 
-def turn_candidates(spark, sf_dir):
-    t = X.turns(spark, sf_dir)
-    return (t.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(2))))
-            .select("conv_id", "turn_no", "cand",
-                    F.when(F.col("cand") == 0, F.col("utterance"))
-                    .when(F.col("cand") == 1, F.substring_index("utterance", "\n", 1))
-                    .otherwise(F.col("items")).alias("cand_text")))
+CONTEXTS = ("prev_2_utterance", "prev_utterance")   # oldest first
 
 
 X.EXTRA_VIEWS["turn_cands"] = """
 SELECT conv_id, turn_no, cand,
-       CASE cand WHEN 0 THEN utterance WHEN 1 THEN split_part(utterance, chr(10), 1) ELSE items END AS cand_text
-FROM (SELECT *, CAST(unnest(range(0, 3)) AS INTEGER) AS cand FROM turns)"""
+       CASE cand WHEN 0 THEN utterance WHEN 1 THEN coalesce(next_utterance, '') ELSE coalesce(own_previous, '') END AS cand_text
+FROM (SELECT *, CAST(unnest(range(0, 3)) AS INTEGER) AS cand FROM (
+  SELECT *, lead(utterance) OVER (PARTITION BY conv_id ORDER BY turn_no) AS next_utterance,
+         lag(utterance) OVER (PARTITION BY conv_id, speaker ORDER BY turn_no) AS own_previous FROM turns))"""
 
 
 def sql_context(view: str) -> str:
@@ -153,16 +155,14 @@ X.EXTRA_VIEWS["turn_ctx"] = sql_context("turns")
           .lstrip().lstrip(",").join([", ", ""]) + """
 SELECT conv_id, turn_no, cand, similarity FROM sim""")
 def q_surface_similarity(spark, sf_dir):
-    t = X.turns(spark, sf_dir)
-    return S.surface_similarity(turn_candidates(spark, sf_dir), context_rows(t), accumulate=True)
+    return S.surface_similarity(turn_candidates(spark, sf_dir), CONTEXTS, accumulate=True)
 
 
 @register("surface_similarity_each", W("turns", "turn_cands", "turn_ctx") + sql_similarity("turn_cands", "turn_ctx", False)
           .lstrip().lstrip(",").join([", ", ""]) + """
 SELECT conv_id, turn_no, cand, similarity FROM sim""")
 def q_surface_similarity_each(spark, sf_dir):
-    t = X.turns(spark, sf_dir)
-    return S.surface_similarity(turn_candidates(spark, sf_dir), context_rows(t), accumulate=False)
+    return S.surface_similarity(turn_candidates(spark, sf_dir), CONTEXTS, accumulate=False)
 
 
 # ---------------------------------------------------------------- rewards
@@ -186,9 +186,7 @@ def scored_candidates(spark, sf_dir):
     """Every tagged candidate with intent score, similarity to the two
     previous utterances, and (on the final turn) gap and strategy."""
     ti = S.intent_reward(tagged_with_tags(spark, sf_dir), intent_prob)
-    nego = X.nego(spark, sf_dir)
-    sim = S.surface_similarity(ti.select("conv_id", "turn_no", "cand", "cand_text", "intent_score"),
-                               context_rows(nego), accumulate=True, keep=["intent_score"])
+    sim = S.surface_similarity(ti, CONTEXTS, accumulate=True, keep=["intent_score"])
     out = S.negotiation_strategy(S.prize_gap(nego_outcome(spark, sf_dir)))
     fin = out.select("conv_id", F.col("last_turn").alias("turn_no"), "prize_gap", "strategy",
                      F.lit(True).alias("is_final"))
@@ -242,13 +240,11 @@ def q_embedding_cosine(spark, sf_dir):
 
 
 def _turn_pairs(spark, sf_dir):
-    """Each reply with the previous reply of its conversation.  Turn numbers
-    are dense, so this is an equi-join on (conversation, turn - 1):
-    partitioned by turn, no scan and no hot key."""
-    t = X.turns(spark, sf_dir).select("conv_id", "turn_no", "utterance")
-    prev = t.select("conv_id", (F.col("turn_no") + 1).alias("turn_no"), F.col("utterance").alias("ref"))
-    return t.join(prev, ["conv_id", "turn_no"], "inner").select(
-        "conv_id", "turn_no", F.col("utterance").alias("hyp"), "ref")
+    """Each reply with the previous reply of its conversation (turns without
+    one are left out)."""
+    t = X.turns(spark, sf_dir).select("conv_id", "turn_no", F.col("utterance").alias("hyp"))
+    t = scan.shift(t, "conv_id", "turn_no", ["hyp"], direction=-1, prefix="prev_")
+    return t.where("prev_hyp IS NOT NULL").withColumnRenamed("prev_hyp", "ref")
 
 
 def sql_meteor_views() -> None:
@@ -258,7 +254,7 @@ SELECT conv_id, turn_no, utterance AS hyp, lag(utterance) OVER (PARTITION BY con
 FROM turns QUALIFY ref IS NOT NULL"""
     for side, col in (("mt_h", "hyp"), ("mt_r", "ref")):
         X.EXTRA_VIEWS[side] = f"""
-SELECT conv_id, turn_no, w, pos, row_number() OVER (PARTITION BY conv_id, turn_no, w ORDER BY pos) AS k FROM (
+SELECT conv_id, turn_no, w, pos, row_number() OVER (PARTITION BY conv_id, turn_no, w ORDER BY pos DESC) AS k FROM (
   SELECT conv_id, turn_no, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos
   FROM (SELECT conv_id, turn_no, {words.format(c=col)} AS ws FROM mt_pairs))"""
     X.EXTRA_VIEWS["mt"] = """
@@ -333,9 +329,7 @@ FROM sm1 GROUP BY grp""")
 def q_masked_logprob(spark, sf_dir):
     d = S.group_softmax(X.logits(spark, sf_dir), temperature=1.0) \
          .select(F.col("grp").alias("seq"), "logp", F.when(F.col("item") >= 1, 1).otherwise(0).alias("mask"))
-    a = S.masked_logprob(d)
-    m = S.masked_logprob(d, average=True).withColumnRenamed("seq_logprob", "seq_logprob_mean")
-    return a.join(m, "seq")
+    return S.masked_logprob(d, both=True)
 
 
 def token_nll(spark, sf_dir):
@@ -361,6 +355,19 @@ def q_sequence_ce(spark, sf_dir):
     return S.sequence_ce(token_nll(spark, sf_dir), smooth="smooth", epsilon=0.1, reduce="sentence")
 
 
+@register("sequence_ce_batch", W("logits", "sm1", "tok_nll") + """
+SELECT avg(loss) AS loss FROM (
+  SELECT seq, sum(((1 - 0.1) * nll + 0.1 * smooth) * mask) / sum(mask) AS loss FROM tok_nll GROUP BY seq)""")
+def q_sequence_ce_batch(spark, sf_dir):
+    return S.sequence_ce(token_nll(spark, sf_dir), smooth="smooth", epsilon=0.1, reduce="batch")
+
+
+@register("sequence_ce_none", W("logits", "sm1", "tok_nll") + """
+SELECT seq, grp, ((1 - 0.1) * nll + 0.1 * smooth) * mask AS loss FROM tok_nll""")
+def q_sequence_ce_none(spark, sf_dir):
+    return S.sequence_ce(token_nll(spark, sf_dir), smooth="smooth", epsilon=0.1, reduce="none").select("seq", "grp", "loss")
+
+
 @register("perplexity", W("logits", "sm1", "tok_nll") + """
 SELECT seq, exp(sum(nll * mask) / sum(mask)) AS perplexity FROM tok_nll GROUP BY seq""")
 def q_perplexity(spark, sf_dir):

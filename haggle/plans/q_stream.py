@@ -31,7 +31,7 @@ def q_stream_window_stats(spark, sf_dir):
 
 @register("stream_final_outcome", """
 WITH e AS (SELECT user_id AS conv_id, ts, event_id, CAST(event_id % 2 AS INTEGER) AS speaker,
-                  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS BIGINT) END AS price FROM events)
+                  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(CAST(500.0 + value * 10.0 AS DECIMAL(12,2))) AS BIGINT) END AS price FROM events)
 , g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS brk
         FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY ts, event_id))
 , s AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)

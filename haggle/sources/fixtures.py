@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket, md5_uniform, sql_md5_int, sql_md5_uniform
 from ..functions import scan
-from ..labels import canonical_labels, label_rows, local_table, sql_values
+from ..labels import canonical_labels, class_rows, local_table, sql_values
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -23,8 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _canon_sql(alias: str = "lab") -> str:
-    rows = [(r, i, lab) for (r, i, lab, a, _) in label_rows() if a == lab]
-    return sql_values(rows, ["role", "label_id", "label"], alias)
+    return sql_values(class_rows(), ["role", "label_id", "label"], alias)
 
 
 # --------------------------------------------------------------------------
@@ -53,7 +52,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(u < 0.3, F.lit(None))
                     .otherwise(F.round(F.lit(500.0) + md5_uniform("amount", "conv_id", "turn") * 1500.0, 2))
                     .cast("decimal(12,2)").alias("price"),
-                    F.substring_index(F.col("text"), " ", 3).alias("items"),
+                    F.col("text").alias("items"),
                     F.coalesce("background_data", F.lit("")).alias("background_data")))
 
 
@@ -66,7 +65,7 @@ SELECT c.conv_id, c.turn,
        CAST(CASE WHEN {sql_md5_uniform('price', 'c.conv_id', 'c.turn')} < 0.3 THEN NULL
             ELSE round(500.0 + {sql_md5_uniform('amount', 'c.conv_id', 'c.turn')} * 1500.0, 2) END
             AS DECIMAL(12,2)) AS price,
-       array_to_string(list_slice(string_split(c.text, ' '), 1, 3), ' ') AS items,
+       c.text AS items,
        coalesce(bg.background_data, '') AS background_data
 FROM conversations c
 LEFT JOIN (SELECT conv_id, max(text) AS background_data FROM conversations
@@ -80,7 +79,8 @@ WHERE c.role <> 'system'
 # --------------------------------------------------------------------------
 # nego: events seen as a long negotiation per user
 #   conversation = user_id, order (ts, event_id), speaker = event_id % 2,
-#   intent from event_type by a small fixed table; price = the event amount
+#   intent from event_type by a small fixed table; views and clicks draw
+#   (md5 of the event) from all the speaker's labels; price = the event amount
 #   put on the simulator's price scale, 500 (delivery) + 10 x value, NULL on
 #   error events
 # --------------------------------------------------------------------------
@@ -88,50 +88,95 @@ WHERE c.role <> 'system'
 # ---- FIXED VALUES (adapter choice): event type -> intent per role ---------
 EVENT_INTENTS = [
     ("signup", "Greet-Ask", "Greet-Inform"),
-    ("view", "Ask_Price", "Tell_Price"),
-    ("click", "Negotiate-Price-Decrease", "Negotiate-Price-NoChange"),
     ("purchase", "Accept", "Accept"),
     ("error", "Reject", "avoid_rejection"),
 ]
 
-def minute_of(ts: str):
-    """Minutes since the epoch of a (zone-less) timestamp: the chunk of the
-    per-user numbering scan, fine enough that one hot user still spreads
-    over many tasks."""
-    return (F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long") * 1440
-            + F.hour(ts) * 60 + F.minute(ts))
+def day_of(ts: str):
+    """Days since the epoch of a (zone-less) timestamp: the chunk of the
+    per-user scans, so that one hot user still spreads over many tasks."""
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long")
 
 
-def nego(spark: SparkSession, sf_dir: str) -> DataFrame:
+NEGO_COLS = ["conv_id", "turn_no", "speaker", "event_id", "utterance", "intent", "price", "items", "background_data"]
+
+
+def _nego_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as negotiation turns, not numbered yet (``ts`` kept)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    # numbering per user is a two-level scan (minute chunks) so a hot user
-    # is spread over many tasks
-    e = scan.row_number(e, "user_id", ["ts", "event_id"], minute_of("ts"), "turn_no")
     m = local_table(spark, EVENT_INTENTS, ["event_type", "buyer", "seller"], ["string"] * 3)
-    return (e.join(F.broadcast(m), "event_type", "left")
-            .select(F.col("user_id").alias("conv_id"), "turn_no",
+    speaker = (F.col("event_id") % 2).cast("int")
+    e = e.withColumns({"_sp": speaker, "_id": md5_bucket("nego", F.when(speaker == 0, 12).otherwise(13), "event_id").cast("int")})
+    labs = canonical_labels(spark).select(F.col("role").alias("_sp"), F.col("label_id").alias("_id"), "label")
+    return (e.join(F.broadcast(m), "event_type", "left").join(F.broadcast(labs), ["_sp", "_id"], "left")
+            .select(F.col("user_id").alias("conv_id"), "ts",
                     (F.col("event_id") % 2).cast("int").alias("speaker"),
                     "event_id",
                     F.concat_ws(" ", "event_type", "props").alias("utterance"),
-                    F.when(F.col("event_id") % 2 == 0, F.col("buyer")).otherwise(F.col("seller")).alias("intent"),
+                    F.coalesce(F.when(F.col("event_id") % 2 == 0, F.col("buyer")).otherwise(F.col("seller")), F.col("label"))
+                    .alias("intent"),
                     F.when(F.col("event_type") == "error", F.lit(None))
                     .otherwise(F.lit(500.0) + F.col("value") * 10.0).cast("decimal(12,2)").alias("price"),
                     F.col("event_type").alias("items"),
                     F.concat(F.lit("account "), F.col("user_id").cast("string")).alias("background_data")))
 
 
+def nego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scan.row_number(_nego_rows(spark, sf_dir), "conv_id", ["ts", "event_id"], day_of("ts"), "turn_no")
+    return rows.select(NEGO_COLS)
+
+
+def nego_scanned(spark: SparkSession, sf_dir: str, *, lead: bool = False, previous: bool = False,
+                 counterpart: bool = False) -> DataFrame:
+    """:func:`nego` with what the dialogue operators read from neighbouring
+    turns, all in the numbering pass over (ts, event_id): ``price_filled``;
+    with ``lead`` next_utterance and next_intent (end marker on the last
+    turn); with ``previous`` the two previous utterances; with
+    ``counterpart`` each side's last price and utterance strictly before the
+    turn and its first price.  Equal to the separate operators, in one scan
+    of the events and one large shuffle."""
+    from ..labels import END_MARKER
+    rows = _nego_rows(spark, sf_dir).withColumn("_one", F.lit(1))
+    side = {"_bp": F.when(F.col("speaker") == 0, F.col("price")), "_sp": F.when(F.col("speaker") == 1, F.col("price"))}
+    fill = {"_bp": "_bpf", "_sp": "_spf"}
+    nxt = ["event_id", "utterance", "intent"] if lead else []
+    prv = ["utterance"] if previous else []
+    if counterpart:
+        side.update({"_bu": F.when(F.col("speaker") == 0, F.col("utterance")),
+                     "_su": F.when(F.col("speaker") == 1, F.col("utterance"))})
+        fill.update({"_bu": "_buf", "_su": "_suf"})
+    d = scan.multi_scan(rows.withColumns(side), "conv_id", "_one", fill=fill, fill_exclusive=counterpart, nxt=nxt,
+                        next_prefix="_lead_", prv=prv, prev_prefix="prev_", prv_two=previous,
+                        running=[("_one", "sum", "turn_no", False)], order=["ts", "event_id"], chunk=day_of("ts"))
+    own = F.when(F.col("speaker") == 0, F.col("_bpf")).otherwise(F.col("_spf"))
+    new = {"turn_no": F.col("turn_no").cast("int"),
+           "price_filled": F.coalesce(F.col("price"), own) if counterpart else own}
+    if lead:
+        for c in ("utterance", "intent"):
+            new[f"next_{c}"] = F.when(F.col("_lead_event_id").isNotNull(), F.col(f"_lead_{c}")).otherwise(F.lit(END_MARKER))
+    if counterpart:
+        new.update({"buyer_last_price": F.col("_bpf"), "seller_last_price": F.col("_spf"),
+                    "buyer_last_text": F.coalesce("_buf", F.lit("")), "seller_last_text": F.coalesce("_suf", F.lit(""))})
+    keep = [*NEGO_COLS, "price_filled", *(["next_utterance", "next_intent"] if lead else []),
+            *(["prev_utterance", "prev_2_utterance"] if previous else []),
+            *(["buyer_last_price", "seller_last_price", "buyer_last_text", "seller_last_text"] if counterpart else [])]
+    return d.withColumns(new).select(keep)
+
+
 NEGO_SQL = f"""
 SELECT e.user_id AS conv_id,
        CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS INTEGER) AS turn_no,
        CAST(e.event_id % 2 AS INTEGER) AS speaker,
        e.event_id,
        concat_ws(' ', e.event_type, e.props) AS utterance,
-       CASE WHEN e.event_id % 2 = 0 THEN m.buyer ELSE m.seller END AS intent,
+       coalesce(CASE WHEN e.event_id % 2 = 0 THEN m.buyer ELSE m.seller END, lab.label) AS intent,
        CAST(CASE WHEN e.event_type = 'error' THEN NULL ELSE 500.0 + e.value * 10.0 END AS DECIMAL(12,2)) AS price,
        e.event_type AS items,
        'account ' || CAST(e.user_id AS VARCHAR) AS background_data
 FROM events e
 LEFT JOIN {sql_values(EVENT_INTENTS, ['event_type', 'buyer', 'seller'], 'm')} ON m.event_type = e.event_type
+LEFT JOIN {_canon_sql('lab')} ON lab.role = e.event_id % 2
+ AND lab.label_id = {sql_md5_int('nego', 'e.event_id')} % CASE WHEN e.event_id % 2 = 0 THEN 12 ELSE 13 END
 """
 
 
@@ -153,14 +198,13 @@ EXTRA_VIEWS: dict[str, str] = {}
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import dialogue as D
-    r = D.role_id(D.turn_render(D.locf_and_lead(nego(spark, sf_dir))))
+    r = D.role_id(D.turn_render(nego_scanned(spark, sf_dir, lead=True, previous=True)))
     r = D.example_build(r, ablation=False)
-    own = F.concat(F.col("text"),
-                   F.when(F.substring("text", 1, 1) == "A", F.lit(D.NEXT_FOR_BUYER_TURN))
-                   .otherwise(F.lit(D.NEXT_FOR_SELLER_TURN)),
-                   F.col("next_utterance"), F.lit(D.WITH_INTENT), F.col("intent"), F.lit(D.TURN_ENDING))
+    cue = F.when(F.substring("text", 1, 1) == "A", F.lit(D.NEXT_FOR_BUYER_TURN)).otherwise(F.lit(D.NEXT_FOR_SELLER_TURN))
+    own = F.concat(F.col("text"), cue, F.col("next_utterance"), F.lit(D.WITH_INTENT), F.col("intent"), F.lit(D.TURN_ENDING))
     c = D.expand_candidates(r, 3)
     return c.select("conv_id", "turn_no", "speaker", "role_id", "utterance", "text", "cand",
+                    "prev_utterance", "prev_2_utterance",
                     F.when(F.col("cand") == 0, F.col("example"))
                     .when(F.col("cand") == 1, F.substring_index("example", "with intent:", 1))
                     .otherwise(own).alias("cand_text"))
@@ -246,7 +290,7 @@ SELECT l_orderkey AS buffer, l_linenumber - 1 AS idx, -l_discount AS old_logp, -
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    e = scan.row_number(e, "user_id", ["ts", "event_id"], minute_of("ts"), "step")
+    e = scan.row_number(e, "user_id", ["ts", "event_id"], day_of("ts"), "step")
     return e.select(F.col("user_id").alias("run"), "step", "value")
 
 
@@ -280,11 +324,13 @@ EXTRA_VIEWS.update({"samples": SAMPLES_SQL, "metric_log": METRIC_LOG_SQL, "label
 # --------------------------------------------------------------------------
 
 def catalog_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    """One row per product.  Features are all the words of its part names;
+    their list is bounded by the name vocabulary, not by the parts."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", F.explode(F.split("p_name", " ")).alias("word"))
     return p.groupBy(F.col("p_brand").alias("product")).agg(
         F.concat(F.floor(F.min("p_retailprice")).cast("string"), F.lit("-"),
                  F.ceil(F.max("p_retailprice")).cast("string")).alias("price"),
-        F.array_join(F.sort_array(F.collect_set(F.substring_index("p_name", " ", 1))), ",").alias("features"))
+        F.array_join(F.sort_array(F.collect_set("word")), ",").alias("features"))
 
 
 def catalog_accessories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,11 +355,11 @@ def product_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                                                 "l_returnflag")
+                                                 "l_returnflag", "l_discount", "l_quantity")
     # line numbers repeat within an order: number the lines by (line, part,
-    # supplier), chunked by line number so a huge order still spreads out
+    # supplier), in blocks of line numbers so a huge order still spreads out
     li = scan.row_number(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"],
-                         F.col("l_linenumber").cast("long"), "turn")
+                         F.floor(F.col("l_linenumber") / F.lit(1024)).cast("long"), "turn")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return (li.join(p, li.l_partkey == p.p_partkey, "inner").join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -321,15 +367,16 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_type").alias("item"), F.col("p_brand").alias("product"),
                     F.when(F.col("l_returnflag") == "R", "remove").when(F.col("l_returnflag") == "A", "add")
                     .otherwise("ask").alias("action"),
-                    F.col("o_totalprice").alias("opening"),
+                    F.col("o_totalprice").alias("opening"), F.col("l_discount").cast("double").alias("discount"),
+                    (F.floor(F.col("l_quantity")) % 2 == 0).alias("quoted"),
                     (F.col("o_orderpriority") == "1-URGENT").alias("drop_delivery")))
 
 
 CATALOG_SQL = {
     "cat_products": """
 SELECT p_brand AS product, CAST(floor(min(p_retailprice)) AS BIGINT) || '-' || CAST(ceil(max(p_retailprice)) AS BIGINT) AS price,
-       string_agg(DISTINCT split_part(p_name, ' ', 1), ',' ORDER BY split_part(p_name, ' ', 1)) AS features
-FROM part GROUP BY p_brand""",
+       string_agg(DISTINCT word, ',' ORDER BY word) AS features
+FROM (SELECT p_brand, p_retailprice, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY p_brand""",
     "cat_acc": "SELECT DISTINCT p_brand AS product, p_type AS accessory FROM part",
     "acc_variants": """
 SELECT p_brand AS product, p_type AS acc_type, p_name AS name, 'size ' || CAST(min(p_size) AS VARCHAR) AS text
@@ -342,7 +389,8 @@ SELECT l.l_orderkey AS flow_id,
        CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS INTEGER) AS turn,
        p.p_type AS item, p.p_brand AS product,
        CASE WHEN l.l_returnflag = 'R' THEN 'remove' WHEN l.l_returnflag = 'A' THEN 'add' ELSE 'ask' END AS action,
-       o.o_totalprice AS opening, o.o_orderpriority = '1-URGENT' AS drop_delivery
+       o.o_totalprice AS opening, CAST(l.l_discount AS DOUBLE) AS discount, CAST(floor(l.l_quantity) AS BIGINT) % 2 = 0 AS quoted,
+       o.o_orderpriority = '1-URGENT' AS drop_delivery
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey""",
 }
 EXTRA_VIEWS.update(CATALOG_SQL)

@@ -27,12 +27,35 @@ DIALOGUE_SCHEMA = T.StructType([
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/haggle-scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared scratch folder; :func:`clear_scratch`
+    removes what this process wrote there."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/haggle-scratch"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
-def write_dialogues_csv(df: DataFrame, path: str) -> None:
-    """Turn table as CSV with a header and ``NA`` for a missing price."""
+_written: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove this process's scratch tables (through the cluster's file
+    system); call it once their results have been read.  Returns their number."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+TEXT_COLUMNS = ("utterance", "items", "background_data")
+
+
+def write_dialogues_csv(df: DataFrame, path: str, *, escaped: bool = False) -> None:
+    """Turn table as CSV with a header and ``NA`` for a missing price;
+    ``escaped`` keeps every record on one line, so that files can be split."""
+    if escaped:
+        df = df.withColumns({c: escape_lines(c) for c in TEXT_COLUMNS})
     (df.select([f.name for f in DIALOGUE_SCHEMA.fields])
        .write.mode("overwrite").option("header", True).option("nullValue", "NA")
        .option("escape", '"').csv(path))
@@ -40,25 +63,34 @@ def write_dialogues_csv(df: DataFrame, path: str) -> None:
 
 def read_dialogues(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Load a turn table with a declared schema (no inference); ``NA`` is
-    NULL; quoted fields may span lines."""
+    NULL; quoted fields may span lines.  A CSV with such fields can't be
+    split, so one file is one task: keep large tables as ``parquet``, or as
+    ``csv_escaped`` (written with line breaks escaped, splittable)."""
     if fmt == "parquet":
         return spark.read.schema(DIALOGUE_SCHEMA).parquet(path)
+    if fmt == "csv_escaped":
+        d = (spark.read.schema(DIALOGUE_SCHEMA).option("header", True).option("nullValue", "NA")
+             .option("escape", '"').csv(path))
+        return d.withColumns({c: unescape_lines(c) for c in TEXT_COLUMNS})
     return (spark.read.schema(DIALOGUE_SCHEMA).option("header", True).option("nullValue", "NA")
             .option("multiLine", True).option("escape", '"').csv(path))
 
 
 def write_catalog_json(products: DataFrame, acc_variants: DataFrame, prod_variants: DataFrame,
                        path: str) -> None:
-    """Nested catalog, one JSON object per product: price range, features,
-    ``description`` map name -> text and ``accessories`` map type -> (name
-    -> text).  Maps are built per product from bounded catalog lists."""
-    acc = (acc_variants.groupBy("product", "acc_type")
-           .agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("m"))
-           .groupBy("product").agg(F.map_from_entries(F.collect_list(F.struct("acc_type", "m"))).alias("accessories")))
-    desc = prod_variants.groupBy("product").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("description"))
-    (products.join(acc, "product", "left").join(desc, "product", "left")
-     .write.mode("overwrite").json(path))
+    """Nested catalog as JSON lines of one schema: price range, features,
+    ``description`` map name -> text and ``accessories`` map type -> (name ->
+    text).  A product's catalog is spread over lines (one for the product,
+    one per variant, with one-entry maps), so no row holds a whole product."""
+    none_d = F.lit(None).cast("map<string,string>")
+    none_a = F.lit(None).cast("map<string,map<string,string>>")
+    none = F.lit(None).cast("string")
+    heads = products.select("product", "price", "features", none_d.alias("description"), none_a.alias("accessories"))
+    desc = prod_variants.select("product", none.alias("price"), none.alias("features"),
+                                F.create_map("name", "text").alias("description"), none_a.alias("accessories"))
+    acc = acc_variants.select("product", none.alias("price"), none.alias("features"), none_d.alias("description"),
+                              F.create_map("acc_type", F.create_map("name", "text")).alias("accessories"))
+    heads.unionByName(desc).unionByName(acc).write.mode("overwrite").json(path)
 
 
 CATALOG_SCHEMA = T.StructType([
@@ -81,27 +113,56 @@ def read_catalog(spark: SparkSession, path: str, *, multi_line: bool = False) ->
 HEADER_FORMAT = "######conversation %d###############"   # FIXED VALUE: flow header line
 
 
+def escape_lines(c):
+    """Backslash, newline and carriage return as two-character escapes."""
+    c = F.col(c) if isinstance(c, str) else c
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(shown))
+    return c
+
+
+def unescape_lines(c):
+    """Inverse of :func:`escape_lines`, in one pass over the escapes."""
+    c = F.col(c) if isinstance(c, str) else c
+    pieces = F.regexp_extract_all(c, F.lit(r"(\\.|[^\\]+)"), 1)
+    one = lambda p: (F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\\\", "\\").otherwise(p))
+    return F.array_join(F.transform(pieces, one), "")
+
+
 def write_transcript(df: DataFrame, path: str, *, keys: str = "conv_id", pos: str = "turn_no",
-                     text: str = "text") -> None:
-    """Append flow headers and turn lines as plain text, each conversation
-    a contiguous block (header first, then its turns in order).  The order
-    comes from a distributed range-partitioned sort on (conversation, line):
-    a very long conversation is split across consecutive output files
-    instead of landing in one task."""
+                     text: str = "text", mode: str = "errorifexists") -> None:
+    """Flow headers and turn lines as plain text ``conversation TAB line TAB
+    text``, one line each (line breaks in a text are escaped), every
+    conversation a contiguous block, header (line 0) first.  The order comes
+    from a distributed range-partitioned sort on (conversation, line): a very
+    long conversation is split across consecutive output files instead of
+    landing in one task.  ``mode="append"`` adds to an existing transcript; a
+    re-run of the same job must not, so the default refuses."""
     heads = df.select(keys).distinct().select(
-        keys, F.lit(-1).cast("long").alias("_ord"),
+        keys, F.lit(0).cast("long").alias("_ord"),
         F.format_string(HEADER_FORMAT, F.col(keys)).alias("value"))
-    lines = df.select(keys, F.col(pos).cast("long").alias("_ord"), F.col(text).alias("value"))
+    lines = df.select(keys, F.col(pos).cast("long").alias("_ord"), escape_lines(F.col(text)).alias("value"))
     (heads.unionByName(lines).orderBy(keys, "_ord")
-     .select("value").write.mode("append").text(path))
+     .select(F.concat_ws("\t", F.col(keys).cast("string"), F.col("_ord").cast("string"), F.coalesce("value", F.lit("")))
+             .alias("value")).write.mode(mode).text(path))
+
+
+def read_transcript(spark: SparkSession, path: str) -> DataFrame:
+    """(conv_id, line_no, text) of a written transcript; line 0 is the header."""
+    p = F.split("value", "\t", 3)
+    return spark.read.text(path).select(p[0].cast("long").alias("conv_id"), p[1].cast("long").alias("line_no"),
+                                        unescape_lines(p[2]).alias("text"))
 
 
-def write_metrics(df: DataFrame, path: str) -> None:
-    """Append a long metric table ``(run, step, name, value)`` as parquet."""
+def write_metrics(df: DataFrame, path: str, *, mode: str = "append") -> None:
+    """A long metric table ``(run, step, name, value)`` as parquet, appended
+    to the run's table."""
     df.select(F.col("run").cast("string"), F.col("step").cast("long"), F.col("name").cast("string"),
-              F.col("value").cast("double")).write.mode("append").parquet(path)
+              F.col("value").cast("double")).write.mode(mode).parquet(path)
 
 
-def write_run_config(df: DataFrame, path: str) -> None:
-    """One-row run configuration as JSON."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_run_config(spark: SparkSession, config: dict, path: str) -> None:
+    """One-row run configuration as JSON: the caller's fields (numbers,
+    strings, booleans), whatever they are."""
+    cols = [F.lit(v).alias(k) for k, v in config.items()]
+    spark.range(1).select(*cols).coalesce(1).write.mode("overwrite").json(path)

@@ -22,43 +22,60 @@ from ..sources.io import scratch_path
 
 
 def event_stream(spark: SparkSession, sf_dir: str, *, max_files: int = 1) -> DataFrame:
+    """The events table as a file stream: one file, or a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .parquet(f"{sf_dir}/events.parquet*"))
 
 
 LOCF_OUT = "conv_id long, event_id long, speaker int, price decimal(12,2), price_filled decimal(12,2)"
 LOCF_STATE = "buyer_last decimal(12,2), seller_last decimal(12,2)"
 
 
+def event_price():
+    """The price an event states, as in the batch adapter; NULL on errors."""
+    return F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.lit(500.0) + F.col("value") * 10.0).cast("decimal(12,2)")
+
+
+FORGET_MS = 90 * 24 * 3600 * 1000   # a conversation silent for 90 days starts anew
+
+
 def _locf_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     last = list(state.get) if state.exists else [None, None]
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-    filled = []
-    for sp, pr in zip(pdf["speaker"].tolist(), pdf["price"].tolist()):
-        if pr is not None and not (isinstance(pr, float) and pd.isna(pr)):
-            last[sp] = pr
-        filled.append(last[sp])
+    filled = pdf.groupby("speaker")["price"].ffill()
+    for speaker in (0, 1):
+        own = pdf["speaker"] == speaker
+        if last[speaker] is not None:
+            filled = filled.where(~own | filled.notna(), last[speaker])
+        stated = filled[own].dropna()
+        if len(stated):
+            last[speaker] = stated.iloc[-1]
     state.update(tuple(last))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pdf["ts"].max().timestamp() * 1000)) + FORGET_MS)
     yield pd.DataFrame({"conv_id": pdf["conv_id"], "event_id": pdf["event_id"], "speaker": pdf["speaker"],
-                        "price": pdf["price"], "price_filled": filled})
+                        "price": pdf["price"], "price_filled": filled.astype(object).where(filled.notna(), None)})
 
 
-def stream_price_locf(events: DataFrame) -> DataFrame:
+def stream_price_locf(events: DataFrame, *, delay: str = "1 day") -> DataFrame:
     """Event stream -> (conv_id, event_id, speaker, price, price_filled) with
     each speaker's last stated price carried across micro-batches (rows of a
-    batch are ordered by (ts, event_id) inside the group)."""
-    e = events.select(F.col("user_id").alias("conv_id"), "event_id", "ts",
-                      (F.col("event_id") % 2).cast("int").alias("speaker"),
-                      F.when(F.col("event_type") == "error", F.lit(None))
-                      .otherwise(F.lit(500.0) + F.col("value") * 10.0).cast("decimal(12,2)").alias("price"))
-    return e.groupBy("conv_id").applyInPandasWithState(
-        _locf_fn, LOCF_OUT, LOCF_STATE, "append", GroupStateTimeout.NoTimeout)
+    batch are ordered by (ts, event_id) inside the group).  State is one row
+    per conversation and is dropped after FORGET_MS of event-time silence;
+    events later than ``delay`` are dropped by Spark."""
+    e = events.select(F.col("user_id").alias("conv_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+                      (F.col("event_id") % 2).cast("int").alias("speaker"), event_price().alias("price"))
+    return e.withWatermark("ts", delay).groupBy("conv_id").applyInPandasWithState(
+        _locf_fn, LOCF_OUT, LOCF_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_window_stats(events: DataFrame, *, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Per event-time window and event type: count and mean value; windows
-    are emitted once the watermark passes their end."""
+    are emitted once the watermark passes their end; the windows after it
+    stay open until later events arrive."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))   # event time must be zoned
     return (e.withWatermark("ts", delay)
             .groupBy(F.window("ts", window).alias("w"), "event_type")
@@ -81,12 +98,14 @@ def stream_final_outcome(events: DataFrame, *, gap: str = "6 hours", delay: str
     """Negotiation outcome per session of a conversation: event-time session
     windows (a new session after ``gap`` of silence) with a watermark; the
     last turn decides (buyer last -> Reject, seller last -> Accept) and its
-    integer price is the final price.  Sessions are emitted once the
-    watermark passes their end."""
+    integer price is the final price (the batch adapter's price, so stream
+    and batch agree).  Sessions are emitted once the watermark passes their
+    end: a conversation's last session stays open until later events of any
+    conversation move the watermark past its gap, so a finite input leaves
+    its final sessions to the batch operator."""
     e = events.select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
                       (F.col("event_id") % 2).cast("int").alias("speaker"),
-                      F.when(F.col("event_type") == "error", F.lit(None))
-                      .otherwise(F.floor("value")).cast("long").alias("price"))
+                      F.floor(event_price()).cast("long").alias("price"))
     last = F.max_by(F.struct("speaker", "price"), F.struct("ts", "event_id"))
     return (e.withWatermark("ts", delay)
             .groupBy(F.session_window("ts", gap).alias("s"), "conv_id")

@@ -67,3 +67,19 @@ def test_locf_and_lead_fused_equals_separate(spark):
     a = D.locf_and_lead(n, chunk_rows=3).select("conv_id", "turn_no", "price_filled", "next_utterance", "next_intent")
     b = D.next_turn_lead(D.price_locf(n)).select("conv_id", "turn_no", "price_filled", "next_utterance", "next_intent")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_sliding_context_depth(spark):
+    rows = [(1, t, t % 2, f"u{t}", "Accept", None, "x", "") for t in range(1, 6)]
+    for k in (1, 2, 3):
+        out = {r.turn_no: r.context for r in D.sliding_context(_turns(spark, rows), k_prev=k, chunk_rows=2).collect()}
+        assert all(out[t] == [f"u{i}" for i in range(max(1, t - k), t + 1)] for t in range(1, 6))
+
+
+def test_split_conversations_takes_the_first_in_hash_order(spark):
+    import hashlib
+    df = spark.createDataFrame([(i % 50, i) for i in range(300)], "conv_id long, turn_no int")
+    order = sorted(range(50), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    tr, va = D.split_conversations(df, 20)
+    assert {r.conv_id for r in tr.collect()} == set(order[:20]) and {r.conv_id for r in va.collect()} == set(order[20:])
+    assert tr.count() + va.count() == 300

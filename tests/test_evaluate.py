@@ -28,6 +28,23 @@ def test_early_stop(spark):
     for r, ls in runs.items():
         assert got[r] == py_early_stop(ls), (r, ls)
     assert got[900] == 7 and got[901] == 6
+    assert {r.run: r.stop_epoch for r in V.early_stop(df, dense=True).collect()} == got
+
+
+def test_early_stop_counts_rows_not_epochs(spark):
+    df = spark.createDataFrame([(1, 10, 1.0), (1, 20, 2.0), (1, 30, 2.0)], "run long, epoch int, loss double")
+    assert V.early_stop(df).first().stop_epoch is None
+    rows = [(1, 10 * e, 1.0 if e == 1 else 2.0) for e in range(1, 9)]
+    assert V.early_stop(spark.createDataFrame(rows, "run long, epoch int, loss double")).first().stop_epoch == 70
+
+
+def test_sample_log(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, True, "s"), (1, 2, 0.25, False, "t")],
+                               "conv_id long, turn_no int, reward double, human boolean, state string")
+    rows = {r.turn_no: r for r in V.sample_log(df, payload=("state",)).collect()}
+    assert (rows[1].reward, rows[1].human_response, rows[1].state) == (10.0, True, "s")
+    assert (rows[2].reward, rows[2].human_response, rows[2].state) == (0.25, False, "t")
+    assert rows[1].shuffle_key != rows[2].shuffle_key
 
 
 def test_class_report_and_accuracy(spark):

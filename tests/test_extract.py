@@ -59,6 +59,8 @@ def test_opening_price_edges(spark):
         4: ["#price $300 ,", "#price $NA ,", "#price $450 ,"],
         5: ["nothing", "still nothing"],
         6: ["#price $12000.0 , then #price $1 ,"],
+        7: ["#price $NA , later #price $450 ,", "x"],
+        8: ["#price 450 then #price $450 ,", "#price"],
     }
     rows = [(c, t + 1, txt) for c, ts in convs.items() for t, txt in enumerate(ts)]
     df = spark.createDataFrame(rows, "conv_id long, turn_no int, text string")
@@ -67,7 +69,8 @@ def test_opening_price_edges(spark):
                for r in E.opening_price(df, exact=exact).collect()}
         for c, ts in convs.items():
             import re
-            ps = [int(float(m.group(1))) if (m := re.search(r"#price \$([0-9]+(\.[0-9]+)?)", x)) else None for x in ts]
+            ps = [int(float(m.group(1))) if (m := re.match(r"#price \$([0-9]+(\.[0-9]+)?)", x[x.find("#price"):])) else None
+                  for x in ts]
             ms = ["#price" in x for x in ts]
             exp = py_opening(ps, ms, exact=exact)
             for t in range(len(ts)):
@@ -132,8 +135,15 @@ def test_conversation_outcome_equals_turn_path(spark):
 def test_strip_markers_decode_and_lemmas(spark):
     df = spark.createDataFrame([(1, [1, 2, 10, 11, 12, 3, 4]), (2, [1, 2, 3])], "vec_id long, tokens array<int>")
     vocab = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "token int, piece string")
-    out = {r.vec_id: r for r in E.strip_markers(df, vocab=vocab).collect()}
+    out = {r.vec_id: r for r in E.strip_markers(df, vocab=vocab, keys="vec_id").collect()}
     assert out[1].stripped == [10, 11, 12] and out[1].stripped_text == "abc" and out[2].stripped == []
     t = spark.createDataFrame([(1, "The cats, ran!")], "id long, text string")
     lem = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "word string, lemma string")
-    assert E.normalize_text(t, lemmas=lem).collect()[0].norm == "the cat run"
+    assert E.normalize_text(t, lemmas=lem, keys="id").collect()[0].norm == "the cat run"
+    t = spark.createDataFrame([(1, "two cats", None), (2, "two cats", None), (None, "Ran", "z"), (4, None, "z"), (5, "!", "z")],
+                              "id long, text string, other string")
+    got = {r.id: r.norm for r in E.normalize_text(t, lemmas=lem, keys=["id"]).collect()}
+    assert got == {1: "two cat", 2: "two cat", None: "run", 4: None, 5: ""}
+    import pytest
+    with pytest.raises(ValueError):
+        E.normalize_text(t, lemmas=lem)

@@ -31,14 +31,53 @@ def test_catalog_roundtrip(spark):
     assert back.count() == X.accessory_variants(spark, SF_SMALL).count()
 
 
-def test_transcript_order(spark):
-    rows = [(2, 2, "b2"), (1, 1, "a1"), (2, 1, "b1"), (1, 2, "a2")]
+def test_dialogue_csv_escaped_roundtrip(spark):
+    rows = [(1, 1, 0, 'multi\nline, "quoted" \\n', "Greet-Ask", None, "a, b", "de\r\nsc"),
+            (1, 2, 1, "plain", "Tell_Price", Decimal("12.50"), "a", "desc")]
+    path = io.scratch_path(spark, "test_csv_escaped")
+    io.write_dialogues_csv(spark.createDataFrame(rows, SCHEMA), path, escaped=True)
+    back = sorted(io.read_dialogues(spark, path, "csv_escaped").collect(), key=lambda r: r.turn_no)
+    assert [tuple(r) for r in back] == rows
+
+
+def test_transcript(spark):
+    import pytest
+    rows = [(2, 2, "b2"), (1, 1, "a1\nsecond \\ line\t\\n"), (2, 1, "b1\r"), (1, 2, "")]
     df = spark.createDataFrame(rows, "conv_id long, turn_no int, text string")
     path = io.scratch_path(spark, "test_transcript")
     io.write_transcript(df, path)
-    lines = [r.value for r in spark.read.text(path).collect()]
-    assert lines == ["######conversation 1###############", "a1", "a2",
-                     "######conversation 2###############", "b1", "b2"]
+    lines = [r.value.split("\t")[:2] for r in spark.read.text(path).collect()]
+    assert lines == [["1", "0"], ["1", "1"], ["1", "2"], ["2", "0"], ["2", "1"], ["2", "2"]]
+    back = {(r.conv_id, r.line_no): r.text for r in io.read_transcript(spark, path).collect()}
+    assert {k: v for k, v in back.items() if k[1]} == {(c, t): x for c, t, x in rows}
+    assert back[(1, 0)] == "######conversation 1###############"
+    with pytest.raises(Exception, match="already exists"):   # a re-run doesn't double the lines
+        io.write_transcript(df, path)
+
+
+def test_scratch_is_removed(spark):
+    path = io.scratch_path(spark, "test_scratch")
+    spark.range(3).write.parquet(path)
+    assert io.clear_scratch(spark) > 0 and io.clear_scratch(spark) == 0
+    import os
+    assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_stream_locf_over_several_files(spark, tmp_path):
+    """State is carried from one micro-batch to the next."""
+    import os
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    t = pq.read_table(f"{SF_SMALL}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    cut = [0, t.num_rows // 3, t.num_rows // 2, t.num_rows]
+    for i, (a, b) in enumerate(zip(cut, cut[1:])):
+        pq.write_table(pa.table(t.slice(a, b - a)), folder / f"part-{i}.parquet")
+        os.utime(folder / f"part-{i}.parquet", (1_000_000 + 100 * i, 1_000_000 + 100 * i))
+    got = ST.run_available_now(ST.stream_price_locf(ST.event_stream(spark, str(tmp_path))), "test_stream_files")
+    batch = D.price_locf(X.nego(spark, SF_SMALL)).select("conv_id", "event_id", "price_filled")
+    assert sorted(map(str, got.select("conv_id", "event_id", "price_filled").collect())) == sorted(map(str, batch.collect()))
 
 
 def test_stream_locf_equals_batch(spark):

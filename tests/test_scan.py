@@ -79,3 +79,34 @@ def test_multi_scan_running(spark):
     exp = (df.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
            .withColumn("m", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     _cmp(got, exp, ["k", "p", "s", "m"])
+
+
+def test_multi_scan_order_and_two_previous(spark):
+    """No integer position: order columns and a chunk; rows are numbered in the same pass."""
+    df = _data(spark, seed=5).withColumn("one", F.lit(1))
+    got = scan.multi_scan(df, "k", "one", fill={"v": "f"}, nxt=["p"], prv=["p"], prv_two=True, order=["p"],
+                          chunk=F.floor(F.col("p") / 9), running=[("one", "sum", "n", False)])
+    w = Window.partitionBy("k").orderBy("p")
+    exp = (df.withColumn("f", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("next_p", F.lead("p").over(w)).withColumn("prev_p", F.lag("p").over(w))
+           .withColumn("prev_2_p", F.lag("p", 2).over(w)).withColumn("n", F.row_number().over(w)))
+    key = lambda r: tuple((x is None, x) for x in r)
+    cols = ["k", "p", "f", "next_p", "prev_p", "prev_2_p", "n"]
+    assert sorted(map(tuple, got.select(cols).collect()), key=key) == sorted(map(tuple, exp.select(cols).collect()), key=key)
+
+
+def test_nego_scanned_equals_the_operators(spark):
+    from conftest import SF_SMALL
+    from haggle.operators import bundle as B
+    from haggle.operators import dialogue as D
+    from haggle.sources import fixtures as X
+    n = X.nego(spark, SF_SMALL)
+    a = D.next_turn_lead(D.price_locf(n))
+    b = X.nego_scanned(spark, SF_SMALL, lead=True)
+    cols = ["conv_id", "turn_no", "speaker", "utterance", "price", "price_filled", "next_utterance", "next_intent"]
+    assert sorted(map(str, a.select(cols).collect())) == sorted(map(str, b.select(cols).collect()))
+    first = n.withColumns({"open_buyer": F.lit(None).cast("decimal(12,2)"), "open_seller": F.lit(None).cast("decimal(12,2)")})
+    a = B.counterpart_state(first)
+    b = X.nego_scanned(spark, SF_SMALL, counterpart=True)
+    cols = ["conv_id", "turn_no", "buyer_last_price", "seller_last_price", "buyer_last_text", "seller_last_text"]
+    assert sorted(map(str, a.select(cols).collect())) == sorted(map(str, b.select(cols).collect()))

@@ -29,17 +29,15 @@ def py_similarity(cands, context, accumulate=True):
 def test_surface_similarity(spark):
     rnd = random.Random(7)
     words = ["a", "b", "c", "price", "deal", "", "A"]
-    crow, xrow, groups = [], [], {}
+    crow, groups = [], {}
     for g in range(30):
         cands = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 8))) for _ in range(3)]
         ctx = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 8))) for _ in range(rnd.randint(0, 2))]
         groups[g] = (cands, ctx)
-        crow += [(g, 1, j, c) for j, c in enumerate(cands)]
-        xrow += [(g, 1, k, c) for k, c in enumerate(ctx)]
-    cdf = spark.createDataFrame(crow, "conv_id long, turn_no int, cand int, cand_text string")
-    xdf = spark.createDataFrame(xrow, "conv_id long, turn_no int, ctx_pos int, ctx_text string")
+        crow += [(g, 1, j, c, *([None] * (2 - len(ctx)) + ctx)) for j, c in enumerate(cands)]
+    cdf = spark.createDataFrame(crow, "conv_id long, turn_no int, cand int, cand_text string, c0 string, c1 string")
     for acc in (True, False):
-        got = {(r.conv_id, r.cand): r.similarity for r in S.surface_similarity(cdf, xdf, accumulate=acc).collect()}
+        got = {(r.conv_id, r.cand): r.similarity for r in S.surface_similarity(cdf, ("c0", "c1"), accumulate=acc).collect()}
         for g, (cands, ctx) in groups.items():
             exp = py_similarity(cands, ctx, acc)
             for j in range(3):
@@ -71,33 +69,58 @@ def test_softmax_nucleus_draw(spark):
 
 
 def py_meteor(hyp, ref, alpha=0.9, beta=3.0, gamma=0.5):
+    """Exact stage: walk the hypothesis and the reference from the end."""
     h, r = [w for w in hyp.lower().split() if w], [w for w in ref.lower().split() if w]
-    seen_r, pos_r = Counter(), {}
-    for j, w in enumerate(r):
-        pos_r[(w, seen_r[w])] = j
-        seen_r[w] += 1
-    seen_h, matches = Counter(), []
-    for i, w in enumerate(h):
-        k = seen_h[w]
-        seen_h[w] += 1
-        if (w, k) in pos_r:
-            matches.append((i, pos_r[(w, k)]))
+    free, matches = list(enumerate(r)), []
+    for i, w in reversed(list(enumerate(h))):
+        for j in range(len(free) - 1, -1, -1):
+            if free[j][1] == w:
+                matches.append((i, free.pop(j)[0]))
+                break
+    matches.sort()
     m = len(matches)
     if m == 0:
         return 0.0
     chunks = 1 + sum(1 for a, b in zip(matches, matches[1:]) if not (b[0] == a[0] + 1 and b[1] == a[1] + 1))
     P, R = m / len(h), m / len(r)
     f = P * R / (alpha * P + (1 - alpha) * R)
-    return round(f * (1 - gamma * (chunks / m) ** beta), 2)
+    return math.floor(f * (1 - gamma * (chunks / m) ** beta) * 100 + 0.5) / 100
 
 
 def test_meteor(spark):
+    rnd = random.Random(3)
     rows = [(1, "the cat sat on the mat", "the cat sat on the mat"), (2, "a b c", "c b a"),
-            (3, "nothing here", "all different"), (4, "the the cat", "cat the the dog")]
+            (3, "nothing here", "all different"), (4, "the the cat", "cat the the dog"),
+            (5, "the cat sat on the mat today", "on the mat a cat"), (6, "", "x"), (7, "x", "")]
+    rows += [(10 + i, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 9))),
+              " ".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 9)))) for i in range(60)]
     df = spark.createDataFrame(rows, "pair_id long, hyp string, ref string")
     got = {r.pair_id: r.meteor for r in S.meteor_pair(df).collect()}
     for i, h, r in rows:
         assert abs(got[i] - py_meteor(h, r)) < 1e-9, i
+    assert got[5] == 0.72
+
+
+def test_sequence_loss_reductions(spark):
+    """batch is the mean of the sequence means, not of all tokens."""
+    rows = [(1, 1.0, 1), (1, 1.0, 1), (1, 1.0, 1), (2, 5.0, 1), (2, 9.0, 0)]
+    df = spark.createDataFrame(rows, "seq long, nll double, mask int")
+    assert S.sequence_ce(df, reduce="batch").first().loss == 3.0
+    assert {r.seq: r.loss for r in S.sequence_ce(df, reduce="sentence").collect()} == {1: 1.0, 2: 5.0}
+    assert S.sequence_ce(df, reduce="none").count() == 5
+
+
+def test_ablation_is_the_mean_of_rewards(spark):
+    from haggle.labels import VARIANTS
+    rnd = random.Random(2)
+    rows = [(i, rnd.random(), rnd.random() if i % 3 else None, rnd.random(), rnd.random(), i % 4 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, intent_score double, prize_gap double, strategy double, similarity double, "
+                                     "is_final boolean")
+    got = {r.variant: r for r in S.reward_ablation(df).collect()}
+    for v, i, g, s, m in VARIANTS:
+        flags = {"use_intent": i, "use_gap": g, "use_strategy": s, "use_similarity": m}
+        want = [r.reward for r in S.composite_reward(df, flags=flags).collect()]
+        assert abs(got[v].mean_reward - sum(want) / 40) < 1e-12 and got[v].n == 40
 
 
 def test_strategy_and_composite(spark):
