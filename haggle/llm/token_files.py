@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from pyspark.sql.types import LongType
 
 from haggle.llm.words import as_bytes, slices
 
-STORE = 300_000   # words kept by a worker
+STORE = 600_000   # words and as many word parts kept by a worker
 LONG_WORD = 64    # longer ones are not kept
+MARKS = ",.;:!?"  # a mark the pattern always cuts from the letters before it
+PLAIN = 0x250     # letters under it are shown by a table
 ROW_INDEX = 1000  # rows of a row group
 STRIPE_BYTES = 16 << 20
 _LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
@@ -38,58 +40,76 @@ _LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 _tokenizers: dict[str, ByteTokenizer] = {}
 
 
+class _Store(dict):
+    """make(key) for every key, remembered; long keys are made each time."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONG_WORD:
+            self[key] = value
+        return value
+
+
 class ByteTokenizer:
-    """A byte-level BPE file of the tokenizers library; special tokens' strings in a text are ordinary text."""
+    """A byte-level BPE file of the tokenizers library; special tokens' strings
+    in a text are ordinary text.  Ids are handled as little-endian int32 bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.first: dict[str, list[int]] = {}
-        self.rest: dict[str, list[int]] = {}
-
-    def _library_ids(self, texts: list[str]) -> list[list[int]]:
-        out = []
-        for at in range(0, len(texts), 2000):  # encodings are large objects
-            out += [e.ids for e in self.library.encode_batch_fast(texts[at: at + 2000], add_special_tokens=False)]
-        return out
-
-    def _fill(self, store: dict[str, list[int]], words: dict[str, None], lead: str) -> None:
-        names = list(words)
-        store.update(zip(names, self._library_ids([lead + w for w in names])))
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
+        self.cutter, self.model = self.library.pre_tokenizer, self.library.model
+        self.by_word = self.library.normalizer is None and isinstance(self.cutter, pre_tokenizers.ByteLevel) \
+            and not self.cutter.add_prefix_space \
+            and all(t.special for t in self.library.get_added_tokens_decoder().values())
+        self.first = _Store(lambda w: self._word("", w))
+        self.rest = _Store(lambda w: self._word(" ", w))
+        self.pieces = _Store(self._piece)
+        if self.by_word:  # how the library shows a space and the bytes of common letters
+            shown = {c: self.cutter.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, PLAIN) if chr(c).isalpha()}
+            self.letters = str.maketrans({chr(c): x for c, x in shown.items()})
+            self.space, self.line = (self.cutter.pre_tokenize_str(x)[0][0][0] for x in (" a", "\n"))
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _word(self, lead: str, word: str) -> bytes:
+        """Ids of one word, after a space or not, by the library's merges.  A run
+        of letters, with one mark after it or not, and one line feed between
+        words are cut as the pattern cuts them; the library's own cutter takes
+        everything else."""
+        body, mark = (word, "") if word.isalpha() else (word[:-1], word[-1:])
+        if body and (not mark or mark in MARKS and body.isalpha()) and (body.isascii() or max(body) < chr(PLAIN)):
+            shown = body if body.isascii() else body.translate(self.letters)
+            ids = self.pieces[self.space + shown if lead else shown]
+            return ids + self.pieces[mark] if mark else ids
+        left, line, right = word.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return (self.rest if lead else self.first)[left] + self.pieces[self.line] + self.first[right]
+        return b"".join([self.pieces[x] for x, _ in self.cutter.pre_tokenize_str(lead + word)])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each text (add_special_tokens=False)."""
-        first, rest = self.first, self.rest
-        if len(rest) > STORE:
-            rest.clear()
-        if len(first) > STORE:
-            first.clear()
-        split, missing_first, missing, whole = [], {}, {}, []
+        for store in (self.first, self.rest, self.pieces):
+            if len(store) > STORE:
+                store.clear()
+        out, first, rest = [], self.first, self.rest.__getitem__
         for t in texts:
-            if _LOOSE_SPACE.search(t):
-                whole.append(t)
-                split.append(None)
-                continue
-            words = t.split(" ")
-            split.append(words)
-            if words[0] not in first:
-                missing_first[words[0]] = None
-            missing.update((w, None) for w in words[1:] if w not in rest)
-        self._fill(first, missing_first, "")
-        self._fill(rest, missing, " ")
-        others = iter(self._library_ids(whole))
-        out = []
-        for words in split:
-            if words is None:
-                out.append(next(others))
+            if not self.by_word or _LOOSE_SPACE.search(t):
+                out.append(self._whole(t))
             else:
-                out.append([*first[words[0]], *chain.from_iterable(map(rest.__getitem__, words[1:]))])
-        for store, new in ((first, missing_first), (rest, missing)):
-            for w in new:
-                if len(w) > LONG_WORD:
-                    del store[w]
+                head, *words = t.split(" ")
+                out.append(first[head] + b"".join(map(rest, words)))
         return out
 
 
@@ -110,13 +130,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         own, file, before = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = own.ids([t.decode() for t in as_bytes(part.column("text"))])
-                sizes = np.array([len(x) + 1 for x in ids], np.int64)
+                sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
-                values = np.empty(int(ends[-1]), np.int32)
-                values[:] = np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in ids), np.int32, len(values))
+                values = np.frombuffer(b"".join([x + end for x in ids]), "<i4")
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.full(len(sizes), file), pa.int64()),
