@@ -2,7 +2,7 @@
 
 A text is normalised here, by longest prefix through the model's compiled
 character map (a double-array trie with its replacement strings), and every
-normalised byte remembers the byte of the text it came from.  The library
+normalised byte remembers the character of the text it came from.  The library
 segments the text; the pieces tile the normalised bytes, so each piece is
 projected through the alignment to a span of the original bytes.  A piece
 sequence that does not tile the normalised text raises an error.
@@ -137,12 +137,15 @@ class PieceModel:
     # -- normalising with alignment
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        """Normalised bytes, and for each of them (and the end) its byte in text."""
+        """Normalised bytes, and for each of them (and the end) the offset in
+        text of the character it comes from."""
         if self.map is None and not self.trim and not self.own_symbols and self.mark_spaces:
             if not text:
                 return b"", np.zeros(1, np.int64)
-            spaces = np.frombuffer(text, np.uint8) == 32
-            origin = np.repeat(np.arange(len(text) + 1), np.concatenate((np.where(spaces, 3, 1), [1])))
+            raw = np.frombuffer(text, np.uint8)
+            # every byte of a character comes from the character's first byte
+            first = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, np.arange(len(text)), 0))
+            origin = np.append(np.repeat(first, np.where(raw == 32, 3, 1)), len(text))
             out = text.replace(b" ", MARK_BYTES)
             if self.dummy_prefix:
                 return MARK_BYTES + out, np.concatenate((np.zeros(3, np.int64), origin))

@@ -133,7 +133,7 @@ def test_documents(awkward, small_docs, empty):
     got = digest_documents(awkward, PATH).collect()
     assert len(got) == len(small_docs)
     assert all(want[r.doc_id] == (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_covered) for r in got)
-    full = encode_documents(awkward.drop("text").withColumn("ids", awkward["text"]), PATH, text="ids")
+    full = encode_documents(awkward.withColumnRenamed("text", "ids"), PATH, text="ids")
     rows = full.collect()
     assert len(rows) == len(small_docs) and all(len(r.ids) == len(r.begins) == want[r.doc_id][0] for r in rows)
     assert digest_documents(empty, PATH).collect() == [] and encode_documents(empty, PATH).collect() == []
