@@ -8,8 +8,8 @@ to give is then taken from its documents in a seeded order.
 
 Scale.  Only (pattern, sum) rows take part in the flow; patterns that share no
 source are solved apart, in parallel.  The seeded order is cut at a bin of a
-hash, found from at most ``BINS`` sums a pattern; only the documents of that one
-bin are sorted.  Texts are never shuffled, and a source that holds a third of
+hash, found in two steps from at most 256 sums a pattern each; only the
+documents of that one bin are sorted.  Texts are never shuffled, and a source that holds a third of
 all rows is summed map-side like any other.
 """
 
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from haggle.llm.components import components
 from haggle.llm.spark import BROADCAST_ROWS, checkpoint, packed
 
-BINS = 1 << 16
-FILLS = 3  # after the seeded cut: so many times the largest document that still fits is added, then one that is nearer
+STEP = 8         # bits of a bin number looked at together
+BINS = 1 << 2 * STEP
+FILLS = 6  # after the seeded cut: so many times the largest document that still fits is added, then one that is nearer
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -166,6 +167,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _crossed(rows: DataFrame, want: DataFrame) -> DataFrame:
+    """Per pattern the first bin at which before + the running sum of size
+    passes rest, with the sum before that bin.  At most 2 ** STEP bins a pattern."""
+    bins = rows.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("bin"))
+    bins = bins.withColumn("upto", upto).join(_small(want.select("pattern", "rest", F.col("before").alias("base"))), "pattern")
+    return checkpoint(bins.where("base + upto > rest").groupBy("pattern").agg(
+        F.min("bin").alias("bin"), F.min(F.col("base") + F.col("upto") - F.col("n")).alias("before"),
+        F.first("rest").alias("rest")))
+
+
 def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plans, picked).  plans: pattern, copies (of every document), bin: every
     document in a lower bin gets one copy more.  picked: pattern, h of the
@@ -173,12 +185,12 @@ def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = F.when(F.col("cap") > 0, F.col("want") - F.floor(F.col("want") / F.col("cap")) * F.col("cap")).otherwise(0)
     want = checkpoint(want.withColumn("copies", F.when(F.col("cap") > 0, F.floor(F.col("want") / F.col("cap")))
                                       .otherwise(0).cast("long")).withColumn("rest", rest.cast("long")))
-    bins = slim.groupBy("pattern", F.pmod("h", F.lit(BINS)).alias("bin")).agg(F.sum("size").alias("n"))
-    ahead = Window.partitionBy("pattern").orderBy("bin")  # at most BINS rows
-    bins = bins.withColumn("upto", F.sum("n").over(ahead)).withColumn("before", F.col("upto") - F.col("n"))
-    cut = bins.join(_small(want), "pattern").where("upto > rest").groupBy("pattern").agg(
-        F.min("bin").alias("bin"), F.min("before").alias("before"))
-    plans = checkpoint(want.join(cut, "pattern", "left").select(
+    placed = slim.withColumn("bin", F.pmod("h", F.lit(BINS)))
+    coarse = _crossed(placed.withColumn("bin", F.shiftright("bin", STEP)), want.withColumn("before", F.lit(0)))
+    inside = coarse.withColumnRenamed("bin", "part")
+    cut = _crossed(placed.join(_small(inside.select("pattern", "part")), "pattern").where(
+        F.shiftright("bin", STEP) == F.col("part")), inside)
+    plans = checkpoint(want.join(cut.drop("rest"), "pattern", "left").select(
         "pattern", "copies", F.coalesce("bin", F.lit(BINS)).alias("bin"), F.coalesce("before", F.lit(0)).alias("before"),
         F.when(F.col("bin").isNull(), 0).otherwise(F.col("rest")).alias("rest")))
     here = slim.withColumn("b", F.pmod("h", F.lit(BINS))).join(_small(plans), "pattern")
@@ -189,6 +201,8 @@ def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
         got = picked.groupBy("pattern").agg(F.sum("size").alias("got"))
         gaps = checkpoint(plans.join(got, "pattern", "left").select(
             "pattern", "bin", (F.col("rest") - F.col("before") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0"))
+        if gaps.isEmpty():
+            break
         left = slim.withColumn("b", F.pmod("h", F.lit(BINS))).join(_small(gaps), "pattern").where(
             "b >= bin and size > 0 and size < 2 * gap").join(_small(picked.select("pattern", "h").distinct()),
                                                              ["pattern", "h"], "left_anti")

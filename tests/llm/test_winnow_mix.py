@@ -98,7 +98,7 @@ def test_neighbours_awkward(spark, awkward, small_docs, empty):
 def test_equal_texts_have_equal_fingerprints():
     t = "some text that is long enough to have fingerprints, more than one window of them, surely and certainly" * 3
     assert W.shown(*W.winnow(W.code_points(t))) == W.shown(*W.winnow(W.code_points(str(t))))
-    assert W.likeness(*[np.sort(W.winnow(W.code_points(t))[0])] * 2) == 1.0
+    assert W.likeness(*[np.unique(W.winnow(W.code_points(t))[0])] * 2) == 1.0
 
 
 # -- mixing
@@ -168,8 +168,9 @@ def test_report(spark):
         assert r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6
         assert r.taken in (0, r.size, 2 * r.size)
         taken[s] += r.taken
-    for s in sizes:
-        assert abs(taken[s] - target[s]) <= 2 or s == "tiny", (s, taken[s], target[s])
+    for s in sizes:  # off by less than the smallest unused document, here of at most 40 words
+        unused = [r.size for r in got if of[r.doc_id] == s and 0 < r.size and r.taken < 2 * r.size]
+        assert abs(taken[s] - target[s]) <= max(0.5, min(unused, default=0) / 2), (s, taken[s], target[s])
     again = {(r.doc_id, r.taken) for r in X.mix_report(df.repartition(9)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
 
