@@ -106,19 +106,22 @@ def gram_vectors(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_vectors(texts: list[bytes]) -> np.ndarray:
-    """Bundled vector of each text (zero where it has no n-gram): counts times
-    n-gram vectors, in blocks of texts and n-grams so that memory is bounded."""
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+def text_vectors(texts: list[bytes], groups: np.ndarray | None = None) -> np.ndarray:
+    """Bundled vector of each text (zero where it has no n-gram), or of each
+    group of texts (groups: a number from 0 for each text): counts times n-gram
+    vectors, in blocks of texts and n-grams so that memory is bounded."""
+    groups = np.arange(len(texts)) if groups is None else groups
+    out = np.zeros((int(groups.max()) + 1 if len(groups) else 0, DIMENSIONS), np.float32)
     for at in range(0, len(texts), BLOCK_TEXTS):
         rows, index, count, offsets = gram_counts(texts[at: at + BLOCK_TEXTS])
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        here, own = np.unique(groups[at: at + BLOCK_TEXTS], return_inverse=True)
+        target = np.repeat(own, np.diff(offsets))
         for low in range(0, len(rows), BLOCK_GRAMS):
-            here = (index >= low) & (index < low + BLOCK_GRAMS)
+            inside = (index >= low) & (index < low + BLOCK_GRAMS)
             block = rows[low: low + BLOCK_GRAMS]
-            dense = np.zeros((len(offsets) - 1, len(block)), np.float32)
-            dense[text[here], index[here] - low] = count[here]
-            out[at: at + BLOCK_TEXTS] += dense @ gram_vectors(block).astype(np.float32)
+            cells = target[inside] * len(block) + index[inside] - low
+            dense = np.bincount(cells, count[inside], len(here) * len(block)).astype(np.float32)
+            out[here] += dense.reshape(len(here), len(block)) @ gram_vectors(block).astype(np.float32)
     return out
 
 
@@ -133,12 +136,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                texts, by_lang = as_bytes(part.column("text")), {}
-                for t, name in zip(texts, part.column("lang").to_pylist()):
-                    by_lang.setdefault(name, []).append(t)
-                # one bundle a language: texts joined by word ends have the n-grams of all of them
-                vectors = text_vectors([b"\n".join(own) for own in by_lang.values()])
-                for name, v in zip(by_lang, vectors):
+                labels = part.column("lang").to_pylist()
+                names = sorted(set(labels))
+                groups = np.searchsorted(names, labels)
+                for name, v in zip(names, text_vectors(as_bytes(part.column("text")), groups)):
                     sums[name] = sums.get(name, 0) + v.astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays(

@@ -83,7 +83,7 @@ def test_training_does_not_depend_on_partitions(awkward):
 # -- language model
 
 def brute_counts(texts):
-    tokens = [words(t) + [b"</s>"] for t in texts]
+    tokens = [[*words(t), None] for t in texts]  # None: the end
     return tokens, Counter(x for t in tokens for x in t)
 
 
