@@ -207,7 +207,7 @@ def features(blocks: list[Block], with_hints: bool = True) -> list[list[int]]:
 
 # -- labelled pages
 
-def labelled_pages(pages: int = 160, seed: int = 3) -> list[tuple[list[Block], np.ndarray, bool]]:
+def labelled_pages(pages: int = 240, seed: int = 3) -> list[tuple[list[Block], np.ndarray, bool]]:
     """(blocks, labels, whether class words are to be seen) of drawn pages.  A
     label's mark stands in the drawn text and is taken out of the blocks."""
     rng = np.random.default_rng(seed)
@@ -280,8 +280,9 @@ def labelled_pages(pages: int = 160, seed: int = 3) -> list[tuple[list[Block], n
 
     out = []
     for _ in range(pages):
-        before = "".join(boiler(k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.5)
-        after = "".join(boiler(k) for k in ("aside", "ad", "form", "footer") if rng.random() < 0.6)
+        much = rng.choice([0.0, 0.3, 0.6])  # some pages have nothing around the article
+        before = "".join(boiler(k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < much)
+        after = "".join(boiler(k) for k in ("aside", "ad", "form", "footer") if rng.random() < much)
         middle = article() + (comments() if rng.random() < 0.35 else "")
         blocks = leaf_blocks(f"<html><body>{before}{middle}{after}</body></html>")
         labels = np.array([int("\ue001" in b.text) for b in blocks], np.int64)
@@ -366,7 +367,7 @@ def fit(data: list[tuple[list[Block], np.ndarray, bool]], rounds: int = 12, rate
 _fitted: dict[tuple[int, int], Field] = {}
 
 
-def fitted(pages: int = 160, seed: int = 3) -> Field:
+def fitted(pages: int = 240, seed: int = 3) -> Field:
     if (pages, seed) not in _fitted:
         _fitted[pages, seed] = fit(labelled_pages(pages, seed))
     return _fitted[pages, seed]
