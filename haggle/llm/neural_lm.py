@@ -35,7 +35,8 @@ from haggle.llm.words import as_bytes, hash_words, slices
 FREQUENT = 448          # words with a class of their own, the end of a text among them
 TAILS = 64
 CLASSES = FREQUENT + TAILS
-LOCAL = 20_000          # most counted words whose counts every task holds
+COMMON = 200_000        # words with at least this share's inverse of all tokens may be held by tasks
+LOCAL = 20_000          # of them the most counted, whose counts every task holds
 DIMENSIONS = 24
 NOISE = 32              # noise classes a step
 STEP_TOKENS = 4096
@@ -119,17 +120,18 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """counts: (hash, tail, n), checkpointed."""
-    # the end token counts as frequent whatever its rank
-    order = [F.col("hash") != int(END.view(np.int64)), F.desc("n"), F.col("hash")]
-    top = counts.orderBy(*order).limit(LOCAL).collect()
-    hashes = np.array([r.hash for r in top], np.int64).view(np.uint64)
-    n = np.array([r.n for r in top], np.int64)
-    classes = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)), -1)
     sums = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     tail_n, tail_v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for r in sums:
         tail_n[r.tail], tail_v[r.tail] = r.n, r.v
     total, distinct = int(tail_n.sum()), int(tail_v.sum())
+    # at most COMMON words can have a share of 1 / COMMON or more; the end token is one of them whatever its rank
+    end = F.col("hash") == int(END.view(np.int64))
+    common = counts.where((F.col("n") * COMMON >= total) | end)
+    top = common.orderBy(~end, F.desc("n"), F.col("hash")).limit(LOCAL).collect()
+    hashes = np.array([r.hash for r in top], np.int64).view(np.uint64)
+    n = np.array([r.n for r in top], np.int64)
+    classes = np.where(np.arange(len(top)) < FREQUENT, np.arange(len(top)), -1)
     for r in top[:FREQUENT]:
         tail_n[r.tail] -= r.n
         tail_v[r.tail] -= 1
