@@ -17,7 +17,7 @@ from haggle.llm.langid import UNDETERMINED, identify, train
 from haggle.llm.mixing import mixed_documents
 from haggle.llm.near_dedup import near_duplicates
 from haggle.llm.pieces import digest_documents
-from haggle.llm.spark import BROADCAST_ROWS, shared_path
+from haggle.llm.spark import BROADCAST_ROWS, shared_path, unused_name
 
 # A text whose n-grams are unrelated to all learnt languages has a cosine of 0
 # with a standard deviation of 1/32 (1024 dimensions); two of them are the floor.
@@ -30,7 +30,7 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     MIN_COSINE).  Without any label nothing can be told and all lettered
     documents go."""
     columns = docs.columns
-    pred, score = _free(docs, "pred"), _free(docs, "score")
+    pred, score = unused_name(docs, "pred"), unused_name(docs, "score")
     found = identify(docs, train(docs), lang_out=pred, score_out=score)
     return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= MIN_COSINE)).select(*columns)
 
@@ -72,12 +72,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

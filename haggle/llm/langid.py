@@ -28,8 +28,8 @@ from haggle.llm.words import as_bytes, distinct, mix, slices
 
 DIMENSIONS = 1024
 N = 3
-SLICE_BYTES = 2 << 20
-BLOCK_TEXTS, BLOCK_GRAMS = 512, 8192
+SLICE_BYTES = 1 << 19  # a task's arrays stay at a few dozen megabytes
+BLOCK_TEXTS, BLOCK_GRAMS = 512, 2048
 MAX_LANGUAGES = 1000  # more distinct labels than this raise an error
 SEED = 42
 UNDETERMINED = "und"
@@ -40,7 +40,7 @@ _state: dict = {}
 def _letter_table() -> np.ndarray:
     """Symbol of each code point after lower-casing: the code point of a letter, 0 for all else."""
     if "letters" not in _state:
-        table = np.zeros(0x110000, np.int64)
+        table = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
             if chr(c).isalpha():
                 table[c] = c
@@ -68,12 +68,12 @@ def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         pieces += [end, chars, end]
         sizes.append(len(chars) + 2)
     symbols = _letter_table()[np.concatenate(pieces)]
-    text = np.repeat(np.arange(len(texts)), sizes)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     keep = np.ones(len(symbols), bool)  # one word end at most in a row
     keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0) | (text[1:] != text[:-1])
     symbols, text = symbols[keep], text[keep]
     alphabet = np.flatnonzero(np.bincount(symbols))
-    place = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    place = np.zeros(int(alphabet[-1]) + 1, np.int32)
     place[alphabet] = np.arange(len(alphabet))
     small, base = place[symbols], len(alphabet)
     if len(small) < N:
@@ -86,7 +86,7 @@ def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     # drop n-grams without two letters: they say little, and a text without letters has none
     letters = sum((symbols[i: i + len(code)] != 0).astype(np.int8) for i in range(N))
     whole &= letters >= 2
-    pair = np.sort(text[: len(code)][whole] * base ** N + code[whole])
+    pair = np.sort(text[: len(code)][whole].astype(np.int64) * base ** N + code[whole])
     first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate((first, [len(pair)])))
     text, code = np.divmod(pair[first], base ** N)

@@ -19,7 +19,6 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from haggle.llm.words import as_bytes, slices
 
 MARK = "▁"  # stands for a space
 MARK_BYTES = MARK.encode()
-STORE = 300_000  # words kept by a worker
+STORE = 150_000  # words kept by a worker
 LONG_WORD = 64   # longer ones are not kept
 BYTE_PIECE, USER_PIECE = 6, 4  # piece types of the model file
 
@@ -132,7 +131,7 @@ class PieceModel:
         apart = all(MARK not in p.lstrip(MARK) for p in ordinary)
         self.by_word = apart and self.map is None and self.dummy_prefix and not self.trim and self.byte_fallback \
             and not self.own_symbols and self.mark_spaces
-        self.store: dict[str, list[int]] = {}
+        self.store: dict[str, bytes] = {}
 
     # -- normalising with alignment
 
@@ -200,40 +199,42 @@ class PieceModel:
 
     # -- segmenting
 
-    def segment(self, texts: list[str]) -> list[list[int]]:
-        """The library's ids of each text, without an end id."""
+    def _library_ids(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(x)}i", *x) for x in self.library.encode(texts, num_threads=1)] if texts else []
+
+    def segment(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text, without an end id, as little-endian int32 bytes."""
         if not self.by_word:
-            return self.library.encode(texts, num_threads=1)
+            return self._library_ids(texts)
         store = self.store
         if len(store) > STORE:
             store.clear()
-        split, missing, whole, long_words = [], {}, [], []
+        split, missing, whole = [], set(), []
         for t in texts:
             if not t or t[0] == " " or t[-1] == " " or "  " in t or MARK in t:
                 whole.append(t)
                 split.append(None)
                 continue
-            words = t.split(" ")
-            split.append(words)
-            missing.update((w, None) for w in words if w not in store)
-        if missing:
-            names = list(missing)
-            store.update(zip(names, self.library.encode(names, num_threads=1)))
-            long_words = [w for w in names if len(w) > LONG_WORD]
-        rest = iter(self.library.encode(whole, num_threads=1) if whole else [])
-        out = [next(rest) if words is None else list(chain.from_iterable(map(store.__getitem__, words)))
-               for words in split]
-        for w in long_words:
-            del store[w]
+            split.append(t.split(" "))
+            missing.update(set(split[-1]).difference(store))
+        names = list(missing)
+        store.update(zip(names, self._library_ids(names)))
+        rest = iter(self._library_ids(whole))
+        out = [next(rest) if words is None else b"".join(map(store.__getitem__, words)) for words in split]
+        for w in names:
+            if len(w) > LONG_WORD:
+                del store[w]
         return out
 
     def encode(self, texts: list[bytes], end_id: bool = True) -> list[Encoding]:
         plain = [t.decode() for t in texts]
         out = []
-        for raw, text, ids in zip(texts, plain, self.segment(plain)):
+        for raw, text, packed in zip(texts, plain, self.segment(plain)):
             normal, origin = self.normalise(raw)
+            numbers = np.frombuffer(packed, "<i4")
+            ids = numbers.tolist()
             if self.byte_fallback or self.unknown not in ids:
-                sizes = self.lengths[ids]
+                sizes = self.lengths[numbers]
             else:  # an unknown run's piece is its own text
                 sizes = np.array([len(p.encode()) for p in self.library.encode(text, out_type=str)], np.int64)
             places = np.zeros(len(ids) + 1, np.int64)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21  # bytes hashed at once
+PIECE = 1 << 19  # bytes hashed at once; a task's arrays are a few times eight times this
 _SEED = 20240229
 _rng = np.random.default_rng(_SEED)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
