@@ -9,7 +9,7 @@ and an id), never text.  In a bucket every member is first paired with the
 bucket's least member only; after those links are joined to components, only
 buckets that still hold several components are compared further, in blocks of
 bounded size, and a pair leaves its block once (in the first band it shares)
-and only if its 512 signature coordinates don't rule out the threshold.  So a
+and only if its 1024 signature coordinates don't rule out the threshold.  So a
 group of thousands of copies gives about as many pairs as members, and no link
 that could join two components is left untested.
 """
@@ -31,18 +31,37 @@ from haggle.llm.words import as_bytes, shingle_sets, slices
 
 ROWS = 5            # coordinates a band
 BANDS = 56          # a pair at 0.75 shares no band with probability (1 - 0.75^5)^56 < 3e-7
-COORDINATES = 512   # of which the first ROWS * BANDS make the bands; all estimate similarity
+COORDINATES = 1024  # of which the first ROWS * BANDS make the bands; all estimate similarity
+WIDE = ROWS * BANDS                             # kept with eight bits, the others with four
+SKETCH_BYTES = WIDE + (COORDINATES - WIDE) // 2
+CHANCE = 1 / 16     # two different values agree in their low four bits
 BLOCK = 512         # members of a bucket compared at once
 SIGMAS = 4.5        # an estimate this many standard errors under the threshold rules a pair out
 
 
 def floor_estimate(threshold: float) -> float:
-    return threshold - SIGMAS * (threshold * (1 - threshold) / COORDINATES) ** 0.5
+    """The share of low four bits in agreement that a pair at the threshold
+    reaches, but for SIGMAS standard errors."""
+    agree = threshold + (1 - threshold) * CHANCE
+    return agree - SIGMAS * (agree * (1 - agree) / COORDINATES) ** 0.5
+
+
+def sketch(coordinates: np.ndarray) -> bytes:
+    """Low bytes of the band coordinates, then the others' low four bits, two a byte."""
+    rest = (coordinates[WIDE:] & 15).astype(np.uint8)
+    return (coordinates[:WIDE] & 255).astype(np.uint8).tobytes() + (rest[::2] | rest[1::2] << 4).tobytes()
+
+
+def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Share of coordinates whose low four bits agree, row by row."""
+    apart = left ^ right
+    low = ((apart & 15) == 0).sum(axis=-1)
+    return (low + ((apart[..., WIDE:] >> 4) == 0).sum(axis=-1)) / COORDINATES
 
 
 def shingle_table(docs: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch): set_key digests the whole set,
-    sketch keeps the low byte of each coordinate; both null for an empty set."""
+    sketch keeps the low bits of each coordinate; both null for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -50,7 +69,7 @@ def shingle_table(docs: DataFrame, width: int, text: str, doc_id: str) -> DataFr
                 for s in shingle_sets(as_bytes(part.column("text")), width):
                     n.append(len(s))
                     keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sketches.append((signature(s, COORDINATES) & 255).astype(np.uint8).tobytes() if len(s) else None)
+                    sketches.append(sketch(signature(s, COORDINATES)) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
                      pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
@@ -76,10 +95,10 @@ def _likeness(pairs: DataFrame) -> DataFrame:
     """(a, b, likeness) from the two sketches of each pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH_BYTES)
                            for c in ("sketch_a", "sketch_b"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array((left == right).mean(axis=1), pa.float64())],
+                [batch.column("a"), batch.column("b"), pa.array(agreement(left, right), pa.float64())],
                 ["a", "b", "likeness"])
 
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, likeness double")
@@ -116,7 +135,7 @@ def _cross_pairs(members: DataFrame, floor: float) -> DataFrame:
     def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8)
         return (rows.field("rep").to_numpy(), rows.field("component").to_numpy(),
-                sketches.reshape(-1, COORDINATES))
+                sketches.reshape(-1, SKETCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +149,9 @@ def _cross_pairs(members: DataFrame, floor: float) -> DataFrame:
                 for j in range(len(ids)):
                     begin = j + 1 if same[i] else 0
                     others = np.flatnonzero(comps2[begin:] != comps[j]) + begin
-                    equal = sketches2[others] == sketches[j]
-                    others, equal = others[hit := equal.mean(axis=1) >= floor], equal[hit]
+                    others = others[agreement(sketches2[others], sketches[j]) >= floor]
                     if len(others):
-                        shared = equal[:, : ROWS * BANDS].reshape(-1, BANDS, ROWS).all(axis=2)
+                        shared = (sketches2[others, :WIDE] == sketches[j, :WIDE]).reshape(-1, BANDS, ROWS).all(axis=2)
                         others = others[shared.any(axis=1) & (shared.argmax(axis=1) == key_band)]
                         found_a.append(np.minimum(ids[j], ids2[others]))
                         found_b.append(np.maximum(ids[j], ids2[others]))

@@ -36,6 +36,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """(df written as Parquet in the shared folder and read again, its path).
+    Unlike a checkpoint, the new table has its true size as statistics, so loops
+    that join their own results don't multiply size estimates round by round."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def semi_join(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of df whose ``column`` is in ids (one distinct column of that name).
     ids is counted first and broadcast only up to BROADCAST_ROWS; beyond that
