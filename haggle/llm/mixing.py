@@ -9,8 +9,10 @@ to give is then taken from its documents in a seeded order.
 Scale.  Only (pattern, sum) rows take part in the flow; patterns that share no
 source are solved apart, in parallel.  The seeded order is cut at a bin of a
 hash, found in two steps from at most 256 sums a pattern each; only the
-documents of that one bin are sorted.  Texts are never shuffled, and a source that holds a third of
-all rows is summed map-side like any other.
+documents of that one bin are sorted.  The gap that the cut leaves is cut again
+over the unused documents that fit it, and at least halves each time, until none
+fits.  Texts are never shuffled, and a source that holds a third of all rows is
+summed map-side like any other.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from haggle.llm.spark import BROADCAST_ROWS, checkpoint, packed
 
 STEP = 8         # bits of a bin number looked at together
 BINS = 1 << 2 * STEP
-FILLS = 6  # after the seeded cut: so many times the largest document that still fits is added, then one that is nearer
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -178,6 +179,34 @@ def _crossed(rows: DataFrame, want: DataFrame) -> DataFrame:
         F.first("rest").alias("rest")))
 
 
+def _cut(rows: DataFrame, want: DataFrame) -> DataFrame:
+    """pattern, bin, before, rest: where the running sum of size over the bins
+    passes rest (pattern, rest are given by want), in two steps."""
+    placed = rows.withColumn("bin", F.pmod("h", F.lit(BINS)))
+    coarse = _crossed(placed.withColumn("bin", F.shiftright("bin", STEP)), want.withColumn("before", F.lit(0)))
+    inside = coarse.withColumnRenamed("bin", "part")
+    return _crossed(placed.join(_small(inside.select("pattern", "part")), "pattern").where(
+        F.shiftright("bin", STEP) == F.col("part")), inside)
+
+
+def _fill(fit: DataFrame, gaps: DataFrame) -> DataFrame:
+    """pattern, h, size: documents of fit (each no larger than its pattern's gap)
+    that at least halve the gap, or all of them.  They are those before the first
+    that overshoots in the seeded order, or that one alone where it is larger."""
+    cut = _cut(fit, gaps.select("pattern", F.col("gap").alias("rest")))
+    here = fit.join(_small(cut.select("pattern", "bin", "before")), "pattern", "left").withColumn(
+        "b", F.pmod("h", F.lit(BINS)))
+    order = Window.partitionBy("pattern").orderBy("h")
+    edge = checkpoint(here.where("b = bin").withColumn("upto", F.col("before") + F.sum("size").over(order)))
+    alone = edge.where("upto > gap").groupBy("pattern").agg(F.min(F.struct("h", "size", "upto")).alias("x")).where(
+        "2 * x.size > x.upto").select("pattern", "x.h", "x.size")
+    alone = checkpoint(alone)
+    first = here.where("bin is null or b < bin").select("pattern", "h", "size").unionByName(
+        edge.where("upto <= gap").select("pattern", "h", "size"))
+    new = first.join(_small(alone.select("pattern")), "pattern", "left_anti").unionByName(alone)
+    return checkpoint(new.coalesce(fit.sparkSession.sparkContext.defaultParallelism))
+
+
 def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plans, picked).  plans: pattern, copies (of every document), bin: every
     document in a lower bin gets one copy more.  picked: pattern, h of the
@@ -185,11 +214,7 @@ def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = F.when(F.col("cap") > 0, F.col("want") - F.floor(F.col("want") / F.col("cap")) * F.col("cap")).otherwise(0)
     want = checkpoint(want.withColumn("copies", F.when(F.col("cap") > 0, F.floor(F.col("want") / F.col("cap")))
                                       .otherwise(0).cast("long")).withColumn("rest", rest.cast("long")))
-    placed = slim.withColumn("bin", F.pmod("h", F.lit(BINS)))
-    coarse = _crossed(placed.withColumn("bin", F.shiftright("bin", STEP)), want.withColumn("before", F.lit(0)))
-    inside = coarse.withColumnRenamed("bin", "part")
-    cut = _crossed(placed.join(_small(inside.select("pattern", "part")), "pattern").where(
-        F.shiftright("bin", STEP) == F.col("part")), inside)
+    cut = _cut(slim, want)
     plans = checkpoint(want.join(cut.drop("rest"), "pattern", "left").select(
         "pattern", "copies", F.coalesce("bin", F.lit(BINS)).alias("bin"), F.coalesce("before", F.lit(0)).alias("before"),
         F.when(F.col("bin").isNull(), 0).otherwise(F.col("rest")).alias("rest")))
@@ -197,20 +222,25 @@ def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("pattern").orderBy("h")  # rows of equal h (repeats of a document) go together
     edge = checkpoint(here.where("b = bin").withColumn("upto", F.col("before") + F.sum("size").over(order)))
     picked = checkpoint(edge.where("upto <= rest").select("pattern", "h", "size"))
-    for i in range(FILLS + 1):
+    units = None
+    while True:
         got = picked.groupBy("pattern").agg(F.sum("size").alias("got"))
         gaps = checkpoint(plans.join(got, "pattern", "left").select(
             "pattern", "bin", (F.col("rest") - F.col("before") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0"))
         if gaps.isEmpty():
             break
-        left = slim.withColumn("b", F.pmod("h", F.lit(BINS))).join(_small(gaps), "pattern").where(
-            "b >= bin and size > 0 and size < 2 * gap").join(_small(picked.select("pattern", "h").distinct()),
-                                                             ["pattern", "h"], "left_anti")
-        if i < FILLS:  # the largest that fits
-            best = left.where("size <= gap").groupBy("pattern").agg(F.max(F.struct("size", "h")).alias("x"))
-        else:  # at last the smallest that doesn't, where that comes nearer
-            best = left.where("size > gap").groupBy("pattern").agg(F.min(F.struct("size", "h")).alias("x"))
-        picked = checkpoint(picked.unionByName(best.select("pattern", "x.h", "x.size")))
+        if units is None:  # what may fill the gaps; repeats of a document are one
+            units = checkpoint(slim.join(_small(gaps), "pattern").where(
+                (F.pmod("h", F.lit(BINS)) >= F.col("bin")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).groupBy(
+                "pattern", "h").agg(F.sum("size").alias("size")))
+        left = units.join(_small(gaps.select("pattern", "gap")), "pattern").where("size < 2 * gap").join(
+            _small(picked.select("pattern", "h").distinct()), ["pattern", "h"], "left_anti")
+        new = _fill(left.where("size <= gap"), gaps)
+        if new.isEmpty():  # none fits: at last the smallest that doesn't, where that comes nearer
+            best = left.groupBy("pattern").agg(F.min(F.struct("size", "h")).alias("x"))
+            picked = picked.unionByName(best.select("pattern", "x.h", "x.size"))
+            break
+        picked = picked.unionByName(new)
     return plans.select("pattern", "copies", "bin"), checkpoint(picked.select("pattern", "h").distinct())
 
 

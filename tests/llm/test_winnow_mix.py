@@ -175,6 +175,25 @@ def test_report(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_long_text_leaves_no_gap(spark):
+    """A text as large as half its source that overshoots is left aside, and the
+    others fill the gap; repeated rows count with all their copies."""
+    rng = random.Random(12)
+    rows = []
+    for s in "abcdefgh":
+        sizes = [rng.randint(5, 30) for _ in range(200)]
+        rows += [(len(rows) + i, "w " * n, s) for i, n in enumerate([*sizes, sum(sizes)])]
+        rows += [rows[-5], rows[-9]] * 2
+    got = X.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.3).collect()
+    source, copies = {i: s for i, _, s in rows}, {}
+    for i, _, _ in rows:
+        copies[i] = copies.get(i, 0) + 1
+    for s in "abcdefgh":
+        own = [r for r in got if source[r.doc_id] == s]
+        unused = [r.size * copies[r.doc_id] for r in own if r.taken < r.size]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(0.5, min(unused) / 2), s
+
+
 def test_overlapping_sources(spark):
     rows = [(i, "x " * 10, (["a"], ["a", "b"], ["b"], ["c"], [], None)[i % 6]) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
