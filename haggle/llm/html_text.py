@@ -34,6 +34,7 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
                      "nav ol p pre section table ul li dt dd tr td th".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
          "th": ("td", "th"), "option": ("option",)}
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPES = frozenset("ul ol dl table select article section div body".split())
 
 _TOKEN = re.compile(
@@ -108,10 +109,18 @@ def leaf_blocks(page: str) -> list[Block]:
             if stack[i][0] in scopes:
                 return
 
+    def leave_head() -> None:
+        """</head> may be left out: text and the first start tag of the body end the head."""
+        if stack and stack[-1][0] == "head":
+            flush()
+            stack.pop()
+
     at = 0
     for m in _TOKEN.finditer(page):
         begin, end = m.span()
         if begin > at:
+            if not page[at:begin].isspace():
+                leave_head()
             pieces.append(page[at:begin])
             if in_link:
                 linked += begin - at
@@ -122,6 +131,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 pieces.append(" " if pieces else "")
             continue
         tag = tag.lower()
+        if not close and tag not in IN_HEAD:
+            leave_head()
         if tag in INLINE:
             if tag == "br":
                 pieces.append("\n")
@@ -144,6 +155,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 stack.append((tag, _hint(attrs) if "=" in attrs else ""))
     if at < len(page):
         rest = page[at:]
+        if not rest.isspace():
+            leave_head()
         pieces.append(rest if "<" not in rest or not re.search(r"<[/!a-zA-Z]", rest) else rest[: rest.rfind("<")])
     flush()
     return [b for b in blocks if "head" not in b.tags]

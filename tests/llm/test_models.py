@@ -210,6 +210,17 @@ def test_main_text_leaves_out_the_rest():
     assert text_of(page) == f"Title\n{prose}\nShort.\n{prose} Again."
 
 
+def test_head_without_end_tag():
+    prose = "This is a sentence of the article, with some words. And another one follows it here."
+    article = f"<article><h1>Title</h1><p>{prose}</p></article>"
+    for head in ("<title>T</title>", "<meta charset=utf-8><link rel=x href=y><title>T</title><script>x</script><base href=z>"):
+        for body in ("<body>", "", "</head><body>"):
+            assert text_of(f"<!DOCTYPE html><html><head>{head}{body}{article}") == f"Title\n{prose}"
+    assert H.leaf_blocks("<head> <title>T</title> </head>") == []
+    assert [b.text for b in H.leaf_blocks("<head><title>T</title> bare text")] == ["bare text"]
+    assert [b.text for b in H.leaf_blocks("<html><head><title>T</title><b>bold</b> words<p>more</p>")] == ["bold words", "more"]
+
+
 def test_pages_table(spark):
     """The given pages: what stands in article, block by block."""
     import html as unescaper
