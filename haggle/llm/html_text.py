@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 
 # Element roles of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "template", "noscript", "svg", "math", "iframe", "object", "textarea", "select", "title")
+RAW = ("script", "style", "template", "noscript", "svg", "iframe", "object", "textarea", "select", "title")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt "
-                   "ruby s samp small span strike strong sub sup time tt u var wbr".split())
+                   "ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover "
+                   "mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr "
+                   "munder munderover none semantics".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
                      "nav ol p pre section table ul li dt dd tr td th".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -39,7 +42,8 @@ SCOPES = frozenset("ul ol dl table select article section div body".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg(?=[\s/])(?:\s*+[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+\s*+/>"  # empty
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -127,7 +131,7 @@ def leaf_blocks(page: str) -> list[Block]:
         at = end
         raw, close, tag, attrs = m.groups()
         if tag is None:
-            if raw and raw.lower() not in ("svg", "math", "select"):
+            if raw and raw.lower() not in ("svg", "select"):
                 pieces.append(" " if pieces else "")
             continue
         tag = tag.lower()

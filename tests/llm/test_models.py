@@ -221,6 +221,17 @@ def test_head_without_end_tag():
     assert [b.text for b in H.leaf_blocks("<html><head><title>T</title><b>bold</b> words<p>more</p>")] == ["bold words", "more"]
 
 
+def test_article_goes_on_after_raw_names():
+    prose = "This is a sentence of the article, with some words. And another one follows it here."
+    for odd in ("<svg class='i'/>", "<svg/>", "<SVG width=5 d=\"M0>1\" />", "<svg><text>no</text></svg>", "<svg-icon></svg-icon>",
+                "<svg-icon name='x'/>", "<select-all></select-all>", "<title-bar></title-bar>", "<object-view></object-view>",
+                "<svg class=a/><text>no</text></svg>", "<script/>no</script>", "<math display='block'/>"):
+        assert text_of(f"<body><article><p>{prose}</p>{odd}<p>{prose} Again.</p><p>{prose}</p></article>") == (
+            f"{prose}\n{prose} Again.\n{prose}"), odd
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow></math>"
+    assert text_of(f"<article><p>{prose} So {formula} holds.</p><p>{prose}</p></article>") == f"{prose} So x=12 holds.\n{prose}"
+
+
 def test_pages_table(spark):
     """The given pages: what stands in article, block by block."""
     import html as unescaper
