@@ -212,9 +212,9 @@ def features(blocks: list[Block], with_hints: bool = True) -> list[list[int]]:
             on.append(at["sentence"])
         if ", " in text:
             on.append(at["comma"])
-        if "©" in text or "all rights reserved" in text[:200].lower():
+        if "©" in text or "all rights reserved" in text.lower():
             on.append(at["copyright"])
-        if _DIGIT.search(text, 0, 50):
+        if _DIGIT.search(text):
             on.append(at["digits"])
         if text.isupper():
             on.append(at["upper"])

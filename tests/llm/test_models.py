@@ -232,6 +232,13 @@ def test_article_goes_on_after_raw_names():
     assert text_of(f"<article><p>{prose} So {formula} holds.</p><p>{prose}</p></article>") == f"{prose} So x=12 holds.\n{prose}"
 
 
+def test_features_see_the_whole_block():
+    long = "words of a notice " * 20
+    for end, name in (("All Rights Reserved", "copyright"), ("in 1999", "digits")):
+        on = [H.features([H.Block(text, (), (), 0)])[0] for text in (long + end, long + "end")]
+        assert [H.FEATURES[name] in x for x in on] == [True, False]
+
+
 def test_pages_table(spark):
     """The given pages: what stands in article, block by block."""
     import html as unescaper
