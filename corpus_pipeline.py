@@ -13,26 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haggle.llm.exact_dedup import drop_exact_copies
-from haggle.llm.langid import UNDETERMINED, identify, train
+from haggle.llm.langid import CHANCE, UNDETERMINED, above_floor, identify, learn_floors, train
 from haggle.llm.mixing import mixed_documents
 from haggle.llm.near_dedup import near_duplicates
 from haggle.llm.pieces import digest_documents
 from haggle.llm.spark import BROADCAST_ROWS, shared_path, unused_name
 
-# A text whose n-grams are unrelated to all learnt languages has a cosine of 0
-# with a standard deviation of 1/32 (1024 dimensions); two of them are the floor.
-MIN_COSINE = 0.0625
+# What an unrelated text's cosine with one prototype stays under (two standard
+# deviations).  No floor of language_identification lies below it.
+MIN_COSINE = 2 * CHANCE
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled documents show.  Out
-    go those without a letter, and those unlike every language (cosine under
-    MIN_COSINE).  Without any label nothing can be told and all lettered
-    documents go."""
+    go those without a letter, and those unlike every language: their cosine is
+    under a floor that the labelled documents of their length teach
+    (``learn_floors``).  Texts too short to be judged stay.  Without any label
+    nothing can be told and all lettered documents go."""
     columns = docs.columns
-    pred, score = unused_name(docs, "pred"), unused_name(docs, "score")
-    found = identify(docs, train(docs), lang_out=pred, score_out=score)
-    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= MIN_COSINE)).select(*columns)
+    pred, score, grams = (unused_name(docs, n) for n in ("pred", "score", "grams"))
+    prototypes = train(docs)
+    found = identify(docs, prototypes, lang_out=pred, score_out=score, grams_out=grams)
+    floors = learn_floors(found, "lang", pred, score, grams, len(prototypes))
+    return found.where((F.col(pred) != UNDETERMINED) & above_floor(
+        floors, sorted(prototypes), pred, score, grams)).select(*columns)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

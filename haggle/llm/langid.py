@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haggle.llm.spark import unused_name
@@ -106,14 +106,20 @@ def gram_vectors(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_vectors(texts: list[bytes], groups: np.ndarray | None = None) -> np.ndarray:
+def text_vectors(texts: list[bytes], groups: np.ndarray | None = None, grams: np.ndarray | None = None) -> np.ndarray:
     """Bundled vector of each text (zero where it has no n-gram), or of each
     group of texts (groups: a number from 0 for each text): counts times n-gram
-    vectors, in blocks of texts and n-grams so that memory is bounded."""
+    vectors, in blocks of texts and n-grams so that memory is bounded.  grams,
+    if given, gets each text's effective number of n-grams: (sum of counts)^2 /
+    sum of squared counts, so that repeats don't make a text longer."""
     groups = np.arange(len(texts)) if groups is None else groups
     out = np.zeros((int(groups.max()) + 1 if len(groups) else 0, DIMENSIONS), np.float32)
     for at in range(0, len(texts), BLOCK_TEXTS):
         rows, index, count, offsets = gram_counts(texts[at: at + BLOCK_TEXTS])
+        if grams is not None:
+            of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            total, squares = (np.bincount(of, w, len(offsets) - 1) for w in (count, count.astype(np.float64) ** 2))
+            grams[at: at + BLOCK_TEXTS] = total ** 2 / np.maximum(squares, 1)
         here, own = np.unique(groups[at: at + BLOCK_TEXTS], return_inverse=True)
         target = np.repeat(own, np.diff(offsets))
         for low in range(0, len(rows), BLOCK_GRAMS):
@@ -157,8 +163,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text",
-             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """docs plus the predicted language and its cosine, cut to 0..1.
+             lang_out: str = "lang_pred", score_out: str = "score", grams_out: str | None = None) -> DataFrame:
+    """docs plus the predicted language and its cosine, cut to 0..1, and as
+    ``grams_out``, if named, the text's effective number of n-grams.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing
     was learned.  A letter-bearing text too short for an n-gram of two letters,
@@ -169,13 +176,15 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     norms = np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1))
     matrix = (matrix / np.maximum(norms, 1e-12)[:, None]).astype(np.float32)
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,grams:double>")
     def predict(column: pa.Array) -> pa.Array:
-        langs, scores = [], []
+        langs, scores, sizes = [], [], []
         batch = pa.RecordBatch.from_arrays([column], ["text"])
         for part in slices(batch, "text", SLICE_BYTES):
             texts = as_bytes(part.column("text"))
-            vectors = text_vectors(texts)
+            grams = np.zeros(len(texts))
+            vectors = text_vectors(texts, grams=grams)
+            sizes += grams.tolist()
             length = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
             cosine = vectors @ matrix.T / np.maximum(length, 1e-12)[:, None]
             for t, n, row in zip(texts, length.tolist(), cosine):
@@ -186,12 +195,71 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                     best = int(row.argmax()) if n else 0
                     langs.append(names[best])
                     scores.append(min(max(float(row[best]), 0.0), 1.0))
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                          ["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                                           pa.array(sizes, pa.float64())], ["lang", "score", "grams"])
 
     hit = unused_name(docs, "hit")
     out = docs.withColumn(hit, predict(F.col(text)))
-    return out.withColumns({lang_out: F.col(f"{hit}.lang"), score_out: F.col(f"{hit}.score")}).drop(hit)
+    named = {lang_out: F.col(f"{hit}.lang"), score_out: F.col(f"{hit}.score")}
+    return out.withColumns(named | ({grams_out: F.col(f"{hit}.grams")} if grams_out else {})).drop(hit)
+
+
+# -- which texts are in none of the languages
+
+CHANCE = 1 / DIMENSIONS ** 0.5  # standard deviation of an unrelated text's cosine
+LEAST = 20   # labelled texts of a length from which a floor is learnt
+STEPS = 4096  # steps in which scores are counted
+
+
+def size_class(grams: Column) -> Column:
+    """Texts of similar length: the whole part of log2 of the n-grams."""
+    return F.floor(F.log2(F.greatest(grams, F.lit(1.0)))).cast("int")
+
+
+def learn_floors(judged: DataFrame, lang: str, pred: str, score: str, grams: str,
+                 languages: int) -> dict[str, dict[int, float]]:
+    """Per language, and "" for all together, and per size class: the least ratio
+    score / sqrt(n-grams) of a text in the language.
+
+    A text of n effective n-grams that are drawn from a language has a cosine in
+    proportion to sqrt(n).  The floor is half of what 95 % of the texts labelled
+    and found as the language reach.
+    Where it is within reach of chance (two standard deviations, and what the
+    largest of ``languages`` cosines adds), texts are too short to be judged, and
+    there is no floor; nor is there where fewer than LEAST texts tell it."""
+    ratio = F.col(score) / F.sqrt(F.col(grams))
+    seen = judged.where((F.col(lang) == F.col(pred)) & (F.col(grams) > 0)).select(
+        F.col(pred).alias("l"), size_class(F.col(grams)).alias("c"), F.floor(ratio * STEPS).cast("int").alias("x"))
+    counted = seen.groupBy("l", "c", "x").agg(F.count("*").alias("n"))
+    counted = counted.unionByName(counted.groupBy("c", "x").agg(F.sum("n").alias("n")).withColumn("l", F.lit("")))
+    group = Window.partitionBy("l", "c")  # at most STEPS rows
+    counted = counted.withColumn("upto", F.sum("n").over(group.orderBy("x"))).withColumn("all", F.sum("n").over(group))
+    rows = counted.where(F.col("all") >= LEAST).groupBy("l", "c").agg(
+        F.min(F.when(F.col("upto") * 20 >= F.col("all"), F.col("x"))).alias("low")).collect()
+    floors: dict[str, dict[int, float]] = {}
+    chance = CHANCE * (2 + (2 * np.log(max(languages, 1))) ** 0.5)
+    for r in rows:
+        floor = r.low / 2 / STEPS
+        floors.setdefault(r.l, {})[r.c] = floor if floor * 2 ** (r.c / 2) > chance else 0.0
+    return floors
+
+
+def above_floor(floors: dict[str, dict[int, float]], languages: list[str], pred: str, score: str, grams: str) -> Column:
+    """Whether a text's score reaches its language's floor, or that of all
+    languages where its own has too few texts.  Texts longer than all that were
+    seen are held to the floor of the longest."""
+    pooled, table = floors.get("", {}), {}
+    for name in languages:
+        own = pooled | floors.get(name, {})
+        if own:
+            last = max(own)
+            table[name] = [own.get(c, 0.0) for c in range(last + 1)]
+    if not table:
+        return F.lit(True)
+    known = F.create_map(*[x for name, row in table.items() for x in (F.lit(name), F.array(*map(F.lit, row)))])
+    row = F.element_at(known, F.col(pred))
+    floor = F.coalesce(F.get(row, F.least(size_class(F.col(grams)), F.size(row) - 1)), F.lit(0.0))
+    return (F.col(grams) <= 0) | (F.col(score) >= floor * F.sqrt(F.col(grams)))
 
 
 def fold(doc_id: Column, parts: int) -> Column:

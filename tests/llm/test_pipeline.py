@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of each stage, and the registered queries."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import sentencepiece
@@ -69,6 +70,27 @@ def test_stages_against_brute_force(spark):
         current = result
 
 
+def test_short_clean_texts_stay_and_unlearnt_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = random.Random(3)
+    clean = ["Avec.", "A.", "I", "\u6f22", "a b c", "A.\nAll rights reserved.", "Von.", "oui", "The end."]
+    unlike = [
+        "La lingua italiana \u00e8 una lingua romanza parlata principalmente in Italia. Il presidente della repubblica ha "
+        "detto che la situazione economica del paese \u00e8 migliorata negli ultimi mesi, ma che rimangono ancora molti "
+        "problemi da risolvere.",
+        "De Nederlandse taal wordt gesproken door ongeveer vierentwintig miljoen mensen. Het weer is vandaag erg mooi en wij "
+        "gaan naar het strand om te zwemmen en te spelen met de kinderen van onze buren.",
+        "Suomen kieli on uralilainen kieli, jota puhutaan p\u00e4\u00e4asiassa Suomessa. T\u00e4n\u00e4\u00e4n on kaunis p\u00e4iv\u00e4 ja me "
+        "menemme rannalle uimaan yst\u00e4viemme kanssa, koska aurinko paistaa l\u00e4mpim\u00e4sti.",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300))]
+    planted = [(10**7 + i, t, None, "src0") for i, t in enumerate(clean + unlike)]
+    planted = spark.createDataFrame(planted, docs.schema)
+    kept = {r.doc_id for r in P.language_identification(spark, docs.unionAll(planted), SF).select("doc_id").collect()}
+    assert {i for i in kept if i >= 10**7} == {10**7 + i for i in range(len(clean))}
+    lettered = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert len(lettered - kept) <= len(lettered) // 200
+
+
 def test_run(spark):
     rows = P.run(spark, SF)
     assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered"] and rows.count() > 50
