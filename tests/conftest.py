@@ -21,6 +21,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -63,7 +63,7 @@ def test_curve_and_deal(spark):
 
 
 def test_offers_invariants(spark):
-    from conftest import SF_SMALL
+    from tests.tables import SF_SMALL
     from haggle.plans.q_bundle import bundles_with_cost, costs, scenarios
     c = costs(spark, SF_SMALL).collect()
     assert c and all(500 <= r.cost <= 2000 for r in c)
@@ -136,7 +136,7 @@ def test_every_rule_of_legal_actions(spark):
 
 
 def test_legal_actions_query_reaches_many_rules(spark):
-    from conftest import SF_SMALL
+    from tests.tables import SF_SMALL
     from haggle.plans.q_bundle import q_legal_actions
     assert q_legal_actions(spark, SF_SMALL).select("legal").distinct().count() >= 5
 

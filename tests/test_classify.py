@@ -36,7 +36,7 @@ def test_bayes_against_loops(spark):
 
 
 def test_queries_score_every_row(spark):
-    from conftest import SF_SMALL
+    from tests.tables import SF_SMALL
     import __spark_entry__ as E
     q = E.queries()
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()

@@ -61,7 +61,7 @@ def test_assemble_parts(spark):
 
 
 def test_locf_and_lead_fused_equals_separate(spark):
-    from conftest import SF_SMALL
+    from tests.tables import SF_SMALL
     from haggle.sources import fixtures as X
     n = X.nego(spark, SF_SMALL)
     a = D.locf_and_lead(n, chunk_rows=3).select("conv_id", "turn_no", "price_filled", "next_utterance", "next_intent")

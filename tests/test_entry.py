@@ -4,7 +4,7 @@ from collections import Counter
 import duckdb
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from tests.tables import SF_SMALL
 from haggle.plans import registry
 from haggle.sources.fixtures import TABLES
 

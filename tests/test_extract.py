@@ -122,7 +122,7 @@ def test_marked_and_label_encode(spark):
 
 
 def test_conversation_outcome_equals_turn_path(spark):
-    from conftest import SF_SMALL
+    from tests.tables import SF_SMALL
     from haggle.operators import dialogue as D
     from haggle.sources import fixtures as X
     r = D.role_id(D.turn_render(D.price_locf(X.nego(spark, SF_SMALL))))

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from tests.tables import SF_SMALL
 from haggle.operators import dialogue as D
 from haggle.sources import fixtures as X
 from haggle.sources import io

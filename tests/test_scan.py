@@ -96,7 +96,7 @@ def test_multi_scan_order_and_two_previous(spark):
 
 
 def test_nego_scanned_equals_the_operators(spark):
-    from conftest import SF_SMALL
+    from tests.tables import SF_SMALL
     from haggle.operators import bundle as B
     from haggle.operators import dialogue as D
     from haggle.sources import fixtures as X
