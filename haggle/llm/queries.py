@@ -91,3 +91,29 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haggle.llm.exact_dedup import exact_groups
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haggle.llm.spark import remove, shared_path
+    from haggle.llm.warc import normalise, read_records, write_archives
+    path = shared_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), f"{path}/monolithic", least=100)
+    normalise(spark, f"{path}/monolithic", path)
+    remove(spark, [f"{path}/monolithic"])
+    return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from haggle.llm.hard_negatives import hard_negatives
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haggle.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, most=2000)
