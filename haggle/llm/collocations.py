@@ -20,6 +20,7 @@ counts, so no group of phrases has to lie in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -265,37 +266,31 @@ def stream_counts(phrases: DataFrame, suffix: bool) -> DataFrame:
     if suffix:
         phrases = phrases.withColumn("words", F.reverse("words"))
     ranges = max(1, -(-phrases.count() // RANGE_ROWS))
-    ordered = checkpoint(phrases.repartitionByRange(ranges, "lang", "words").sortWithinPartitions("lang", "words"))
+    ordered = checkpoint(phrases.repartitionByRange(ranges, "lang", "words").sortWithinPartitions("lang", "words")
+                         .withColumn("range", F.spark_partition_id()))
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        for batch in batches:
-            if batch.num_rows:
-                first = batch.slice(0, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()),
-                                                  first.column("lang"), first.column("words")], ["range", "lang", "words"])
-                return
-
-    # a row per range, and at most LONGEST - 1 beginnings each
-    starts = ordered.mapInArrow(heads, "range int, lang binary, words array<binary>")
+    # the least row of every range, and at most LONGEST - 1 beginnings each
+    starts = ordered.groupBy("range").agg(F.min(F.struct("lang", "words")).alias("first")).select("range", "first.*")
     begun = starts.select("range", "lang", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("words")), lambda k: F.slice("words", 1, k))).alias("words"), F.size("words").alias("of"))
     begun = begun.where(F.size("words") < F.col("of")).drop("of")
     opened: dict[int, list] = {}
-    for r in ordered.join(F.broadcast(begun), ["lang", "words"]).select("range", "lang", "words", "a").collect():
+    for r in ordered.drop("range").join(F.broadcast(begun), ["lang", "words"]).select("range", "lang", "words", "a").collect():
         opened.setdefault(r.range, []).append((bytes(r.lang), [bytes(w) for w in r.words], r.a))
     shared = phrases.sparkSession.sparkContext.broadcast({k: sorted(v, key=lambda x: len(x[1])) for k, v in opened.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        own, have = shared.value.get(TaskContext.get().partitionId(), []), []
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+        own, have = shared.value.get(first.column("range")[0].as_py(), []), []
         kinds = [pa.binary(), pa.list_(pa.binary()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
         names = ["lang", "words", "a", "l", "r", "ext"]
 
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*have), kinds)], names)
 
-        for lang, words, a, parts, ext in merge_stream(_rows(batches), own):
+        for lang, words, a, parts, ext in merge_stream(_rows(chain([first], batches)), own):
             parts = parts if a is not None else None
             have.append((lang, words[::-1], a, None, parts, ext) if suffix else (lang, words, a, parts, None, ext))
             if len(have) == 20_000:
