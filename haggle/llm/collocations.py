@@ -25,15 +25,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haggle.llm.spark import BROADCAST_ROWS, checkpoint, remove, written
-from haggle.llm.words import as_bytes
+from haggle.llm.words import as_bytes, mix, span_hashes
 
 LONGEST = 5
-SLICE_BYTES = 8 << 20          # text counted at once; a longer text is a slice of its own
+SLICE_BYTES = 6 << 20          # text counted at once, in about thirty times its size; a longer text is a slice of its own
 BITS_PER_KEY = 16
 MAX_MAP_BYTES = 64 << 20       # bound of the broadcast map; beyond it more phrases are counted, with the same result
 SEGMENT = 1 << 17              # bytes of the map merged together
@@ -49,7 +49,8 @@ _KIND[[*PIECE_MARKS.encode(), 0x0A, 0x0B, 0x0C, 0x0D]] = CUT
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-COUNT_SCHEMA = "lang binary, phrase binary, n long"
+COUNT_SCHEMA = "key binary, n long"  # key: the phrase, a tab (which no word has), the language
+PHRASE_SCHEMA = "lang binary, phrase binary, words array<binary>, n long"
 SIDE_SCHEMA = "lang binary, words array<binary>, a long, l array<long>, r array<long>, ext long"
 
 
@@ -66,25 +67,27 @@ class Slice:
         inside[1:] = kind == WORD
         starts = np.flatnonzero(inside[1:] & ~inside[:-1])
         ends = np.flatnonzero(~inside[1:] & inside[:-1])  # the last byte is a cut
-        lowered = _LOWER[buf[inside[1:]]]
-        bounds = np.concatenate(([0], np.cumsum(ends - starts)))
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
-            None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(lowered)]).dictionary_encode()
-        self.code = words.indices.to_numpy().astype(np.int64)
-        self.words = words.dictionary.to_pylist()
-        cuts = np.cumsum(kind == CUT)
-        self.joined = cuts[starts[1:]] == cuts[starts[:-1]] if len(starts) else np.zeros(0, bool)  # to the next word
+        words = _binary(np.cumsum(ends - starts), _LOWER[buf[inside[1:]]]).dictionary_encode()
+        self.code = words.indices.to_numpy()
+        self.words = words.dictionary
+        piece = np.searchsorted(np.flatnonzero(kind == CUT), starts)
+        self.joined = piece[1:] == piece[:-1]  # to the next word
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.lang = langs[np.searchsorted(np.cumsum(sizes), starts, side="right")]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Slice, list[bytes]]]:
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Slice, pa.Array]]:
     """Slices of about SLICE_BYTES with the names of their languages."""
     texts, langs, held = [], [], 0
 
     def made():
         number = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-        return Slice(texts, np.fromiter((number[x] for x in langs), np.int64, len(langs))), list(number)
+        return Slice(texts, np.fromiter((number[x] for x in langs), np.int64, len(langs))), pa.array(list(number), pa.binary())
 
     for batch in batches:
         for text, lang in zip(as_bytes(batch.column("text")), as_bytes(batch.column("lang"))):
@@ -98,67 +101,86 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Slice, list[byte
         yield made()
 
 
-def _grouped(high: np.ndarray, low: np.ndarray, below: int) -> tuple[list, np.ndarray, list]:
-    """Equal pairs of numbers, low < below: (the distinct pairs, each pair's place among them, their times)."""
-    group, keys = pd.factorize(high * max(1, below) + low)
-    return (list(zip((keys // max(1, below)).tolist(), (keys % max(1, below)).tolist())), group,
-            np.bincount(group, minlength=len(keys)).tolist())
+def _grouped(high: np.ndarray, low: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs of numbers, low < below: (high, low of the distinct pairs, each pair's place among them, their times)."""
+    below = max(1, below)
+    group, keys = pd.factorize(high * below + low)
+    return keys // below, keys % below, group, np.bincount(group, minlength=len(keys))
+
+
+def _counts(lang: pa.Array, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+    key = pc.binary_join_element_wise(phrase, lang.cast(pa.large_binary()), pa.scalar(b"\t", pa.large_binary()))
+    return pa.RecordBatch.from_arrays([key.cast(pa.binary()), pa.array(times, pa.int64())], ["key", "n"])
 
 
-def _counts(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-    lang, phrase, n = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.binary()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64())],
-                                      ["lang", "phrase", "n"])
+def _followed(left: pa.Array, right: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(left, right, pa.scalar(b" ", pa.large_binary()))
 
 
-def place(lang: bytes, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh3_64_intdigest(phrase, xxhash.xxh3_64_intdigest(lang)) % bits
+def _hashes(values: pa.Array) -> np.ndarray:
+    """64 bits per binary value."""
+    values = values.cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(0, np.uint64)
+    bounds = np.frombuffer(offsets, np.int64)[values.offset: values.offset + len(values) + 1]
+    data = np.frombuffer(data, np.uint8)[bounds[0]: bounds[-1]] if data else np.zeros(0, np.uint8)
+    return span_hashes(data, bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
 
 
-def _listed(found: np.ndarray, names: list[bytes], have: np.ndarray) -> np.ndarray:
-    """Which of (language number, phrase) pairs the map holds."""
-    bits = len(have) * 8
-    at = np.fromiter((place(names[g], p, bits) for g, p in found), np.int64, len(found))
+def _linked(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from the hashes of their parts; the order counts."""
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + then)
+
+
+def _listed(hashes: np.ndarray, have: np.ndarray) -> np.ndarray:
+    at = (hashes % np.uint64(len(have) * 8)).astype(np.int64)
     return (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 class Pairs:
     """Pairs of neighbouring words that may both be frequent, as numbers."""
 
-    def __init__(self, part: Slice, names: list[bytes], frequent: np.ndarray):
-        keys, self.word, _ = _grouped(part.lang, part.code, len(part.words))
-        self.keys = [(g, part.words[c]) for g, c in keys]
-        good = _listed(self.keys, names, frequent)[self.word]
+    def __init__(self, part: Slice, names: pa.Array, frequent: np.ndarray):
+        self.lang, code, self.word, _ = _grouped(part.lang, part.code, len(part.words))
+        self.words = part.words.take(pa.array(code))
+        self.hashes = _linked(_hashes(names)[self.lang], _hashes(part.words)[code])
+        good = _listed(self.hashes, frequent)[self.word]
         self.at = np.flatnonzero(good[:-1] & good[1:] & part.joined)
-        pairs, self.group, self.times = _grouped(self.word[self.at], self.word[self.at + 1], len(keys))
-        self.phrases = [(self.keys[x][0], self.keys[x][1] + b" " + self.keys[y][1]) for x, y in pairs]
+        self.first, self.second, self.group, self.times = _grouped(self.word[self.at], self.word[self.at + 1], len(code))
+
+    def phrases(self, which: np.ndarray) -> pa.Array:
+        return _followed(self.words.take(pa.array(self.first[which])), self.words.take(pa.array(self.second[which])))
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, names in slices(batches):
-        keys, _, times = _grouped(part.lang, part.code, len(part.words))
-        yield _counts([(names[g], part.words[c], n) for (g, c), n in zip(keys, times)])
+        lang, code, _, times = _grouped(part.lang, part.code, len(part.words))
+        yield _counts(names.take(pa.array(lang)), part.words.take(pa.array(code)), times)
 
 
 def count_pairs(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part, names in slices(batches):
         pairs = Pairs(part, names, words)
-        yield _counts([(names[g], p, n) for (g, p), n in zip(pairs.phrases, pairs.times)])
+        yield _counts(names.take(pa.array(pairs.lang[pairs.first])), pairs.phrases(np.arange(len(pairs.times))), pairs.times)
 
 
 def count_longer(batches: Iterator[pa.RecordBatch], words: np.ndarray, frequent: np.ndarray,
                  longest: int) -> Iterator[pa.RecordBatch]:
     for part, names in slices(batches):
         pairs = Pairs(part, names, words)
-        good = _listed(pairs.phrases, names, frequent)[pairs.group]
+        good = _listed(_linked(pairs.hashes[pairs.first], pairs.hashes[pairs.second]), frequent)
+        kept = np.flatnonzero(good)  # pairs that may be frequent
+        phrases, lang = pairs.phrases(kept), pairs.lang[pairs.first[kept]]
+        number = np.cumsum(good) - 1
         group = np.full(len(part.code) + 1, -1)  # number of the phrase that starts at a word, -1 for none
-        group[pairs.at[good]] = pairs.group[good]
-        phrases = pairs.phrases
+        good = good[pairs.group]
+        group[pairs.at[good]] = number[pairs.group[good]]
         for length in range(3, longest + 1):
             at = np.flatnonzero((group[:-1] >= 0) & (group[1:] >= 0))
-            keys, longer, times = _grouped(group[at], pairs.word[at + length - 1], len(pairs.keys))
-            phrases = [(phrases[x][0], phrases[x][1] + b" " + pairs.keys[y][1]) for x, y in keys]
-            yield _counts([(names[g], p, n) for (g, p), n in zip(phrases, times)])
+            before, last, longer, times = _grouped(group[at], pairs.word[at + length - 1], len(pairs.words))
+            phrases, lang = _followed(phrases.take(pa.array(before)), pairs.words.take(pa.array(last))), lang[before]
+            yield _counts(names.take(pa.array(lang)), phrases, times)
             group = np.full(len(part.code) + 1, -1)
             group[at] = longer
 
@@ -166,11 +188,13 @@ def count_longer(batches: Iterator[pa.RecordBatch], words: np.ndarray, frequent:
 # -- counting over all tasks
 
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    """(lang, phrase, words, n) of the phrases that are counted at least so often."""
+    summed = counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return summed.mapInArrow(_parted, PHRASE_SCHEMA)
 
 
-def bit_map(phrases: DataFrame) -> np.ndarray:
-    """Bytes of a map with a bit set for every (lang, phrase); at most MAX_MAP_BYTES."""
+def bit_map(phrases: DataFrame, pairs: bool) -> np.ndarray:
+    """Bytes of a map with a bit set for every (lang, word), or (lang, pair of words); at most MAX_MAP_BYTES."""
     size, bits = 1 << 10, phrases.count() * BITS_PER_KEY
     while size * 8 < bits and size < MAX_MAP_BYTES:
         size *= 2
@@ -178,9 +202,14 @@ def bit_map(phrases: DataFrame) -> np.ndarray:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(as_bytes(batch.column("lang")), as_bytes(batch.column("phrase")))
-            at = np.unique(np.fromiter((place(g, p, size * 8) for g, p in pairs), np.int64, batch.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(at // (8 * segment)), pa.array(at % (8 * segment))], ["segment", "bit"])
+            lang = _hashes(batch.column("lang"))
+            parts = pc.split_pattern(batch.column("phrase").cast(pa.large_binary()), b" ")  # words hold no space
+            words, at = _hashes(parts.flatten()), parts.offsets.to_numpy()[:-1].astype(np.int64)
+            hashes = _linked(lang, words[at])
+            if pairs:
+                hashes = _linked(hashes, _linked(lang, words[at + 1]))
+            bit = np.unique((hashes % np.uint64(size * 8)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(bit // (8 * segment)), pa.array(bit % (8 * segment))], ["segment", "bit"])
 
     def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(8 * segment, np.uint8)
@@ -196,11 +225,12 @@ def bit_map(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [p.split(b" ") for p in batch.column("phrase").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "phrase", "n")), pa.array(words, pa.list_(pa.binary()))],
-                                         ["lang", "phrase", "n", "words"])
+        keys = [key.split(b"\t", 1) for key in batch.column("key").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang for _, lang in keys], pa.binary()), pa.array([p for p, _ in keys], pa.binary()),
+             pa.array([p.split(b" ") for p, _ in keys], pa.list_(pa.binary())), batch.column("n")], ["lang", "phrase", "words", "n"])
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -214,18 +244,16 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tup
         paths.append(path)
         return table
 
-    counts = kept(docs.mapInArrow(count_words, COUNT_SCHEMA).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
+    counts = kept(_frequent(docs.mapInArrow(count_words, COUNT_SCHEMA), 1), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     words = counts.where(F.col("n") >= least)
-    word_map = sc.broadcast(bit_map(words))
+    word_map = sc.broadcast(bit_map(words, pairs=False))
     pairs = kept(_frequent(docs.mapInArrow(lambda b: count_pairs(b, word_map.value), COUNT_SCHEMA), least), "pairs")
-    found = words.select("lang", "phrase", "n", F.array("phrase").alias("words"))
-    phrases = pairs
+    found = words.unionByName(pairs)
     if longest > 2:
-        pair_map = sc.broadcast(bit_map(pairs))
-        phrases = pairs.unionByName(kept(_frequent(docs.mapInArrow(
+        pair_map = sc.broadcast(bit_map(pairs, pairs=True))
+        found = found.unionByName(kept(_frequent(docs.mapInArrow(
             lambda b: count_longer(b, word_map.value, pair_map.value, longest), COUNT_SCHEMA), least), "longer"))
-    found = found.unionByName(phrases.mapInArrow(_with_words, COUNT_SCHEMA + ", words array<binary>"))
     return found.select("lang", "words", F.col("n").alias("a")), totals, paths
 
 
