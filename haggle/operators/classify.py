@@ -54,7 +54,8 @@ def intent_proba(model: PipelineModel, df: DataFrame, idx, *, out: str = "p") ->
 
 def words_of(text) -> Column:
     """Distinct lower-case words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda w: w != ""))
+    text = F.col(text) if isinstance(text, str) else text
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != ""))
 
 
 @dataclass
@@ -85,7 +86,7 @@ def bayes_scores(model: BayesModel, df: DataFrame, *, keys, role: str = "role_id
 
     Only (word, label) pairs that were counted are joined: an uncounted one
     contributes log 1, and the denominators follow from the number of known
-    words."""
+    words.  The priors have a row per class of the fixed class table and are broadcast."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     known = model.words.groupBy("role", "word").agg(F.collect_list(F.struct("label_id", "n")).alias("_by"))
     total = model.labels.groupBy("role").agg(F.sum("n").alias("_all"))
@@ -97,7 +98,7 @@ def bayes_scores(model: BayesModel, df: DataFrame, *, keys, role: str = "role_id
     n_known = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     logs = hits.select(*keys, F.explode("_by").alias("_b")).groupBy(*keys, F.col("_b.label_id").alias("label_id")).agg(
         F.sum(F.log(F.col("_b.n") + F.lit(1.0))).alias("_s"))
-    out = turns.select(*keys, "role").join(priors, "role").join(n_known, keys, "left").join(logs, [*keys, "label_id"], "left")
+    out = turns.select(*keys, "role").join(F.broadcast(priors), "role").join(n_known, keys, "left").join(logs, [*keys, "label_id"], "left")
     score = (F.log((F.col("_n") + 1) / (F.col("_all") + F.col("_k"))) + F.coalesce("_s", F.lit(0.0))
              - F.coalesce("_m", F.lit(0)) * F.log(F.col("_n") + F.lit(2.0)))
     return out.select(*keys, "role", "label_id", F.round(score, 9).alias("score"))

@@ -57,9 +57,10 @@ def price_locf(df: DataFrame, *, price: str = "price", out: str = "price_filled"
     return scan.ffill(df, list(keys), pos, price, out, chunk_rows=chunk_rows)
 
 
-def locf_and_lead(df: DataFrame, cols=("utterance", "intent"), *, price: str = "price",
+def locf_and_lead(df: DataFrame, cols=("utterance", "intent"), *, price: str = "price", previous=(),
                   out: str = "price_filled", keys=CONV, pos=POS, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
-    """:func:`price_locf` and :func:`next_turn_lead` in one scan pass.
+    """:func:`price_locf` and :func:`next_turn_lead` in one scan pass, with the
+    previous turn's columns ``previous`` as ``prev_<col>`` (NULL on the first turn).
 
     Both scans run per conversation in turn order; each speaker's last price
     is kept as its own fill column and the row's speaker picks one, which is
@@ -67,7 +68,7 @@ def locf_and_lead(df: DataFrame, cols=("utterance", "intent"), *, price: str = "
     d = df.withColumns({"_lf_b": F.when(F.col("speaker") == 0, F.col(price)),
                         "_lf_s": F.when(F.col("speaker") == 1, F.col(price))})
     d = scan.multi_scan(d, keys, pos, fill={"_lf_b": "_lf_fb", "_lf_s": "_lf_fs"}, nxt=[pos, *cols],
-                        next_prefix="_lead_", chunk_rows=chunk_rows)
+                        next_prefix="_lead_", prv=list(previous), prev_prefix="prev_", chunk_rows=chunk_rows)
     has_next = F.col(f"_lead_{pos}").isNotNull()
     new = {out: F.when(F.col("speaker") == 0, F.col("_lf_fb")).otherwise(F.col("_lf_fs"))}
     new.update({f"next_{c}": F.when(has_next, F.col(f"_lead_{c}")).otherwise(F.lit(END_MARKER)) for c in cols})
@@ -140,17 +141,24 @@ def conversation_assemble(df: DataFrame, *, text: str = "utterance", keys=CONV,
                                                       F.col(text).alias("text")))).alias("turns")))
 
 
-def split_conversations(df: DataFrame, n_train: int, *, seed: int = 42, keys: str = CONV) -> tuple[DataFrame, DataFrame]:
-    """Seeded split of conversations: the first ``n_train`` ids in md5 order
-    train, the rest validate.  The distinct ids are numbered in that order by
+def mark_conversations(df: DataFrame, n_train: int, *, seed: int = 42, keys: str = CONV, ids: DataFrame | None = None,
+                       out: str = "split") -> DataFrame:
+    """df plus ``out``: ``train`` for the first ``n_train`` conversations in md5 order,
+    ``validation`` for the others.  The distinct ids are numbered in that order by
     the two-level scan (chunks of the hash's first bits), so no task holds
-    all of them; turns are split by a join on the id, whose strategy the
-    optimizer picks."""
-    ids = df.select(keys).distinct().withColumns({
+    all of them; turns meet them in one join, whose strategy the optimizer picks.
+    ``ids``: where to take the ids from, if there is something cheaper than df."""
+    ids = (df if ids is None else ids).select(keys).distinct().withColumns({
         "_all": F.lit(0), "_h": F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(keys).cast("string")))})
     ids = scan.row_number(ids, "_all", ["_h", keys], F.conv(F.substring("_h", 1, 3), 16, 10).cast("long"), "_rn")
-    train_ids = ids.filter(F.col("_rn") <= n_train).select(keys)
-    return df.join(train_ids, keys, "left_semi"), df.join(train_ids, keys, "left_anti")
+    chosen = ids.filter(F.col("_rn") <= n_train).select(keys, F.lit("train").alias(out))
+    return df.join(chosen, keys, "left").withColumn(out, F.coalesce(out, F.lit("validation")))
+
+
+def split_conversations(df: DataFrame, n_train: int, *, seed: int = 42, keys: str = CONV) -> tuple[DataFrame, DataFrame]:
+    """The two halves of :func:`mark_conversations`, for a caller that wants them apart."""
+    marked = mark_conversations(df, n_train, seed=seed, keys=keys, out="_split")
+    return tuple(marked.filter(F.col("_split") == half).drop("_split") for half in ("train", "validation"))
 
 
 def split_rows(df: DataFrame, *, seed: int = 42, train: float = 0.8, valid: float = 0.1,

@@ -102,33 +102,35 @@ def eval_cadence(df: DataFrame, k: int, *, step: str = "step") -> DataFrame:
 
 
 def epoch_metrics(df: DataFrame, *, epoch: str = "epoch", split: str = "split", loss: str = "loss",
-                  correct: str = "correct") -> DataFrame:
-    """Mean loss and accuracy per (epoch, split)."""
-    return df.groupBy(epoch, split).agg(
-        (F.sum(loss) / F.count(F.lit(1))).alias("mean_loss"),
-        (F.sum(F.col(correct).cast("int")) / F.count(F.lit(1))).alias("accuracy"),
-        F.count(F.lit(1)).alias("n"))
+                  correct: str = "correct", n: str | None = None, by=()) -> DataFrame:
+    """Mean loss and accuracy per (``by``, epoch, split).  Rows are examples, or with
+    ``n`` sums over n examples each (a training's log)."""
+    total = F.sum(n) if n else F.count(F.lit(1))
+    return df.groupBy(*by, epoch, split).agg(
+        (F.sum(loss) / total).alias("mean_loss"),
+        (F.sum(F.col(correct).cast("long")) / total).alias("accuracy"),
+        total.cast("long").alias("n"))
 
 
 def confusion_matrix(df: DataFrame, *, actual: str = "actual", predicted: str = "predicted",
-                     pivot: bool = False) -> DataFrame:
-    cm = df.groupBy(actual, predicted).agg(F.count(F.lit(1)).alias("n"))
+                     pivot: bool = False, by=()) -> DataFrame:
+    cm = df.groupBy(*by, actual, predicted).agg(F.count(F.lit(1)).alias("n"))
     if pivot:
-        return cm.groupBy(actual).pivot(predicted).agg(F.first("n")).na.fill(0)
+        return cm.groupBy(*by, actual).pivot(predicted).agg(F.first("n")).na.fill(0)
     return cm
 
 
-def class_report(df: DataFrame, *, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """Per class over the union of actual and predicted labels: precision,
+def class_report(df: DataFrame, *, actual: str = "actual", predicted: str = "predicted", by=()) -> DataFrame:
+    """Per class (of each ``by``) over the union of actual and predicted labels: precision,
     recall, F1 and support; 0 where a denominator is empty.  Built from the
     confusion counts (one pass), never from collected labels."""
-    cm = confusion_matrix(df, actual=actual, predicted=predicted)
-    per_label = cm.select(F.explode(F.array(
+    cm = confusion_matrix(df, actual=actual, predicted=predicted, by=by)
+    per_label = cm.select(*by, F.explode(F.array(
         F.struct(F.col(actual).alias("label"), F.col("n").alias("n"), F.lit("a").alias("k"),
                  (F.col(actual) == F.col(predicted)).alias("hit")),
         F.struct(F.col(predicted).alias("label"), F.col("n").alias("n"), F.lit("p").alias("k"),
-                 (F.col(actual) == F.col(predicted)).alias("hit")))).alias("x")).select("x.*")
-    agg = per_label.groupBy("label").agg(
+                 (F.col(actual) == F.col(predicted)).alias("hit")))).alias("x")).select(*by, "x.*")
+    agg = per_label.groupBy(*by, "label").agg(
         F.sum(F.when(F.col("k") == "a", F.col("n")).otherwise(0)).alias("support"),
         F.sum(F.when(F.col("k") == "p", F.col("n")).otherwise(0)).alias("n_pred"),
         F.sum(F.when((F.col("k") == "a") & F.col("hit"), F.col("n")).otherwise(0)).alias("tp"))
@@ -138,7 +140,7 @@ def class_report(df: DataFrame, *, actual: str = "actual", predicted: str = "pre
             .withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                      2 * F.col("precision") * F.col("recall") /
                                      (F.col("precision") + F.col("recall"))).otherwise(0.0))
-            .select("label", "precision", "recall", "f1", F.col("support").cast("long").alias("support")))
+            .select(*by, "label", "precision", "recall", "f1", F.col("support").cast("long").alias("support")))
 
 
 def accuracy(df: DataFrame, *, actual: str = "actual", predicted: str = "predicted",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.text import price_after_marker, strip_ws
+from .dictionary import replace_words
 from ..labels import (BUYER_INTENTS, DEFAULT_OPENING_PRICE, RESERVATION_FACTOR, SELLER_INTENTS,
                       label_table)
 
@@ -222,37 +223,17 @@ def prompt_slice(df: DataFrame, *, tokens: str = "tokens", out: str = "prompt")
 
 
 def strip_markers(df: DataFrame, *, tokens: str = "tokens", out: str = "stripped",
-                  vocab: DataFrame | None = None, keys=None, text_out: str = "stripped_text") -> DataFrame:
+                  vocab: DataFrame | None = None, text_out: str = "stripped_text") -> DataFrame:
     """Drop the first two and last two tokens.  With a ``vocab`` table
-    ``(token int, piece string)`` the kept ids are decoded by a join on the
-    exploded positions and re-assembled in order per row; ``keys`` (columns
-    that identify a row, NULLs allowed) are needed for that.  The join
-    strategy is left to the optimizer's size check (a caller's table has no
-    proven bound)."""
+    ``(token, piece)`` the kept ids are also decoded to a text: each distinct
+    token of a row is looked up once (:func:`.dictionary.replace_words`), tokens
+    that the vocabulary doesn't have give nothing."""
     t = F.col(tokens)
     d = df.withColumn(out, F.slice(t, 3, F.greatest(F.size(t) - 4, F.lit(0)).cast("int")))
     if vocab is None:
         return d
-    keys = _row_keys(keys, "vocab")
-    ex = d.select(*keys, F.posexplode(out).alias("_pos", "token"))
-    dec = (ex.join(vocab, "token", "left")
-           .groupBy(*keys)
-           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "piece"))),
-                                         lambda s: s["piece"]), "").alias(text_out)))
-    return _join_row(d, dec, keys, text_out)
-
-
-def _row_keys(keys, table: str) -> list[str]:
-    if not keys:
-        raise ValueError(f"keys must name the columns that identify a row when {table} is given")
-    return [keys] if isinstance(keys, str) else list(keys)
-
-
-def _join_row(df: DataFrame, made: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Left join on the row keys, NULL keys included."""
-    made = made.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], out)
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(made, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    d = replace_words(d, out, vocab, "_pieces", word="token", value="piece", keep=False)
+    return d.withColumn(text_out, F.array_join("_pieces", "")).drop("_pieces")
 
 
 def candidate_length(df: DataFrame, *, text: str = "text", out: str = "cand_len") -> DataFrame:
@@ -264,19 +245,19 @@ def candidate_length(df: DataFrame, *, text: str = "text", out: str = "cand_len"
 PUNCT = r"[!-/:-@\[-`{-~]"
 
 
+def normal_words(text) -> Column:
+    """Lower-case words of a text without ASCII punctuation."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.filter(F.split(F.regexp_replace(F.lower(c), PUNCT, ""), r"\s+"), lambda w: w != "")
+
+
 def normalize_text(df: DataFrame, *, text: str = "text", out: str = "norm",
-                   lemmas: DataFrame | None = None, keys=None) -> DataFrame:
+                   lemmas: DataFrame | None = None) -> DataFrame:
     """Lower case, ASCII punctuation removed, whitespace-separated words
     joined by one space.  An optional ``lemmas`` table ``(word, lemma)``
-    replaces words by their lemma (explode + join + ordered re-assembly per
-    row, for which ``keys`` must identify a row; the optimizer picks a
-    broadcast when the table is small)."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), PUNCT, ""), r"\s+"), lambda w: w != "")
+    replaces words by their lemma: each distinct word of a text is looked up
+    once (:func:`.dictionary.replace_words`)."""
     if lemmas is None:
-        return df.withColumn(out, F.array_join(words, " "))
-    keys = _row_keys(keys, "lemmas")
-    ex = df.select(*keys, F.posexplode(words).alias("_pos", "word"))
-    j = ex.join(lemmas, "word", "left").withColumn("_w", F.coalesce("lemma", "word"))
-    agg = j.groupBy(*keys).agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("_pos", "_w"))), lambda s: s["_w"]), " ").alias(out))
-    return _join_row(df, agg, keys, out).withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce(out, F.lit(""))))
+        return df.withColumn(out, F.array_join(normal_words(text), " "))
+    d = replace_words(df.withColumn("_words", normal_words(text)), "_words", lemmas, "_lemmas", value="lemma")
+    return d.withColumn(out, F.array_join("_lemmas", " ")).drop("_words", "_lemmas")

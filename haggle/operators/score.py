@@ -3,8 +3,11 @@ pre-aggregated joins and group aggregates."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import TWO32, md5_int
 from ..labels import DEFAULT_WEIGHTS, INTENT_DEFAULT_SCORE
@@ -260,43 +263,60 @@ def perplexity(df: DataFrame, *, seq: str = "seq", nll: str = "nll", mask: str =
             .select(seq, F.exp("_l").alias("perplexity")))
 
 
+def _aligned(hyp: pa.ListArray, ref: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(matches, chunks) per row of two word lists: occurrences of a word are paired
+    from the end of both lists; a chunk is a run of pairs that follow each other on
+    both sides.  Two sorts of the batch's words, the rest is linear."""
+    n = len(hyp)
+    sizes = [np.diff(x.offsets.to_numpy()) for x in (hyp, ref)]
+    word = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy()
+    row = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+    pos = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) for s in sizes])
+    side = np.repeat([0, 1], [s.sum() for s in sizes])
+    order = np.lexsort((-pos, word, row, side))
+    fresh = np.ones(len(order), bool)  # first of its word on its side
+    fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (word, row, side)], axis=0)
+    at = np.arange(len(order))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    order = np.lexsort((side, rank, word, row))
+    a, b = order[:-1], order[1:]
+    pair = (row[a] == row[b]) & (word[a] == word[b]) & (rank[a] == rank[b])  # its hyp and its ref occurrence
+    h, r, of = pos[a][pair], pos[b][pair], row[a][pair]
+    order = np.lexsort((h, of))
+    h, r, of = h[order], r[order], of[order]
+    begins = np.ones(len(h), bool)
+    begins[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1] + 1) | (r[1:] != r[:-1] + 1)
+    return np.bincount(of, minlength=n), np.bincount(of[begins], minlength=n)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _matches(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """[matches, chunks] of two word lists."""
+    return pa.array(np.stack(_aligned(hyp, ref), axis=1).astype(np.int32).tolist(), pa.list_(pa.int32()))
+
+
 def meteor_pair(pairs: DataFrame, *, keys=("pair_id",), hyp: str = "hyp", ref: str = "ref",
                 alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
-    """METEOR, exact-match stage, as a distributed job: both texts are
-    exploded together to lower-case words with positions; occurrences of a
-    word are paired from the end of both texts (the last with the last, and
-    so on), as the usual implementation does; chunks are islands of
-    consecutive positions on both sides; score = Fmean * (1 -
-    gamma*(chunks/m)^beta), rounded to 2 places; 0 without matches.
-
-    One pass over ``pairs``: the sides travel as one array of (side, word,
-    position), met per (pair, word, occurrence) by an aggregate, so nothing
-    is read twice.  ``keys`` must identify a pair."""
-    keys = list(keys)
-
-    def side(col, tag):
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\s+"), lambda w: w != "")
-        return F.transform(words, lambda w, i: F.struct(F.lit(tag).alias("s"), w.alias("word"), i.alias("pos"))), F.size(words)
-
-    hw, nh = side(hyp, 0)
-    rw, nr = side(ref, 1)
-    ex = pairs.select(*keys, nh.alias("nh"), nr.alias("nr"), F.explode_outer(F.concat(hw, rw)).alias("x")).select(
-        *keys, "nh", "nr", "x.*")
-    last_first = Window.partitionBy(*keys, "word", "s").orderBy(F.desc("pos"))
-    ex = ex.withColumn("k", F.row_number().over(last_first))
-    m = ex.groupBy(*keys, "nh", "nr", "word", "k").agg(F.max(F.when(F.col("s") == 0, F.col("pos"))).alias("hpos"),
-                                                       F.max(F.when(F.col("s") == 1, F.col("pos"))).alias("rpos"))
-    m = m.withColumn("hit", F.col("hpos").isNotNull() & F.col("rpos").isNotNull())
-    wo = Window.partitionBy(*keys, "hit").orderBy("hpos")
-    m = m.withColumn("_brk", F.when((F.lag("hpos").over(wo) == F.col("hpos") - 1) &
-                                    (F.lag("rpos").over(wo) == F.col("rpos") - 1), 0).otherwise(1))
-    base = m.groupBy(*keys, "nh", "nr").agg(F.count(F.when(F.col("hit"), 1)).alias("m"),
-                                            F.sum(F.when(F.col("hit"), F.col("_brk"))).alias("chunks"))
-    mm = F.col("m").cast("double")
+    """METEOR, exact-match stage: occurrences of a lower-case word are paired from the
+    end of both texts (the last with the last, and so on), as the usual
+    implementation does; chunks are islands of consecutive positions on both
+    sides; score = Fmean * (1 - gamma*(chunks/m)^beta), rounded to 2 places; 0
+    without matches.
+
+    Both texts sit in one row, so nothing is shuffled: their word lists go through
+    one Arrow batch function that sorts a batch's words.  One row per row of
+    ``pairs``, which ``keys`` name; a NULL text has no words."""
+    def words(c):
+        return F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda w: w != "")
+
+    d = pairs.select(*keys, words(hyp).alias("_h"), words(ref).alias("_r"))
+    d = d.select(*keys, F.size("_h").alias("nh"), F.size("_r").alias("nr"), _matches("_h", "_r").alias("_m"))
+    mm, chunks = F.get("_m", F.lit(0)).cast("double"), F.get("_m", F.lit(1))
     P, R = mm / F.col("nh"), mm / F.col("nr")
     fmean = P * R / (F.lit(alpha) * P + F.lit(round(1 - alpha, 12)) * R)
-    frag = F.col("chunks") / mm
+    frag = chunks / mm
     pen = F.lit(gamma) * (frag * frag * frag if beta == 3.0 else F.pow(frag, F.lit(beta)))
     # round half up to 2 places with plain IEEE arithmetic (engine-independent)
     score = F.when(mm > 0, F.floor(fmean * (1 - pen) * 100 + 0.5) / 100).otherwise(F.lit(0.0))
-    return base.select(*keys, score.alias("meteor"))
+    return d.select(*keys, score.alias("meteor"))

@@ -73,6 +73,16 @@ def q_read_dialogues(spark, sf_dir):
         "conv_id", "turn_no", "speaker", "utterance", "intent", "price", "items", "background_data")
 
 
+@register("read_dialogues_escaped", W("turns") + """
+SELECT conv_id, turn_no, speaker, utterance, intent, price, items, background_data FROM turns""")
+def q_read_dialogues_escaped(spark, sf_dir):
+    """The same table as CSV with a record per line, which any number of tasks can split."""
+    path = io.scratch_path(spark, "dialogues_escaped")
+    io.write_dialogues_csv(X.turns(spark, sf_dir), path, escaped=True)
+    return io.read_dialogues(spark, path, "csv_escaped").select(
+        "conv_id", "turn_no", "speaker", "utterance", "intent", "price", "items", "background_data")
+
+
 @register("conversation_assemble", W("turns") + """
 SELECT conv_id, CAST(floor(turn_no / 256) AS BIGINT) AS part, min(turn_no) AS first_turn,
        count(*) AS n_turns, string_agg(utterance, chr(10) ORDER BY turn_no) AS transcript
@@ -135,8 +145,9 @@ def q_role_id(spark, sf_dir):
 SELECT conv_id, turn_no, CASE WHEN conv_id IN (SELECT conv_id FROM tr) THEN 'train' ELSE 'validation' END AS split
 FROM nego""")
 def q_split_conversations(spark, sf_dir):
-    tr, va = D.split_conversations(X.nego(spark, sf_dir).select("conv_id", "turn_no"), 120, seed=42)
-    return tr.withColumn("split", F.lit("train")).unionByName(va.withColumn("split", F.lit("validation")))
+    """A flag per turn: ids from the events as they are, one join."""
+    return D.mark_conversations(X.nego(spark, sf_dir).select("conv_id", "turn_no"), 120, seed=42,
+                                ids=X._nego_rows(spark, sf_dir))
 
 
 @register("split_rows", W("turns") + f"""

@@ -4,26 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_bucket, sql_md5_int
+from ..functions.hashing import sql_md5_int
 from ..operators import dialogue as D
 from ..operators import evaluate as V
 from ..operators import extract as E
 from ..operators import score as S
 from ..sources import fixtures as X
-from .q_dialogue import rendered_turns, rendered_with_lead
+from ..sources import io
+from ..sources.buffer import SampleBuffer
 from .q_extract import nego_outcome
-from .q_score import _turn_pairs, token_nll
+from .q_score import CONTEXTS, sql_similarity, token_nll, turn_candidates
 from .registry import register
 
 W = X.with_views
 
 
-@register("sample_log", W("samples") + f"""
-SELECT buffer, idx, old_logp, CASE WHEN human THEN 10.0 ELSE CAST(reward AS DOUBLE) END AS reward, human AS human_response,
-       {sql_md5_int(42, 'buffer', 'idx')} AS shuffle_key FROM samples""")
+BATCH = 32
+
+
+@register("sample_log", W("turns", "turn_cands", "turn_ctx") + sql_similarity("turn_cands", "turn_ctx", True)
+          .lstrip().lstrip(",").join([", ", ""]) + f"""
+, texts AS (SELECT conv_id, turn_no, concat_ws(chr(10), lag(utterance, 2) OVER w, lag(utterance) OVER w) AS state,
+                   coalesce(lag(utterance) OVER w, '') AS context
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn_no))
+, keyed AS (SELECT c.conv_id, c.turn_no, c.cand, t.state, t.context, c.cand_text AS action,
+                   CASE WHEN c.cand = 0 THEN 10.0 ELSE 1 - s.similarity END AS reward, c.cand = 0 AS human_response,
+                   {sql_md5_int(42, 'c.conv_id', 'c.turn_no', 'c.cand')} AS shuffle_key
+            FROM turn_cands c JOIN texts t USING (conv_id, turn_no) JOIN sim s USING (conv_id, turn_no, cand))
+SELECT *, CAST(floor((row_number() OVER o - 1) / {BATCH}) AS BIGINT) AS batch_no, CAST((row_number() OVER o - 1) % {BATCH} AS INTEGER) AS batch_pos
+FROM keyed WINDOW o AS (ORDER BY shuffle_key, conv_id, turn_no, cand)""")
 def q_sample_log(spark, sf_dir):
-    return V.sample_log(X.samples(spark, sf_dir).select("buffer", "idx", "old_logp", "reward", "human"), human="human",
-                        payload=("old_logp",), key_cols=("buffer", "idx"))
+    """The policy's samples (state, context, action, reward) appended to a buffer, the turns' own
+    replies and the other candidates as two appends, and read back in seeded batches."""
+    texts = turn_candidates(spark, sf_dir).withColumns({
+        "state": F.concat_ws("\n", "prev_2_utterance", "prev_utterance"), "context": F.coalesce("prev_utterance", F.lit("")),
+        "action": F.col("cand_text")})
+    scored = S.surface_similarity(texts, CONTEXTS, accumulate=True, keep=["state", "context", "action"])
+    log = V.sample_log(scored.withColumns({"human": F.col("cand") == 0, "reward": 1 - F.col("similarity")}),
+                       key_cols=("conv_id", "turn_no", "cand")).drop("shuffle_key")
+    buffer = SampleBuffer(spark, io.scratch_path(spark, "samples"), ("conv_id", "turn_no", "cand"), seed=42)
+    buffer.append(log.where("human_response"), "replies")
+    buffer.append(log.where("not human_response"), "candidates")
+    return buffer.batches(BATCH, log.schema.simpleString()[7:-1]).drop("append")
 
 
 @register("policy_ratio", W("samples") + """
@@ -98,14 +120,16 @@ UNION ALL SELECT 'strategy', avg(strategy), count(strategy) FROM o
 UNION ALL SELECT 'prize_gap', avg(prize_gap), count(prize_gap) FROM o""")
 def q_validation_report(spark, sf_dir):
     """Means of perplexity, loss, reply length, METEOR, strategy and price
-    gap, each over its own whole input: one aggregate per source."""
+    gap, each over its own whole input: one aggregate per source (vectors, turns, events)."""
     nll = S.sequence_ce(token_nll(spark, sf_dir), reduce="sentence").withColumn("ppl", F.exp("loss"))
-    ex = D.example_build(rendered_with_lead(spark, sf_dir), ablation=True)
-    length = E.candidate_length(ex, text="example")
-    met = S.meteor_pair(_turn_pairs(spark, sf_dir), keys=("conv_id", "turn_no"))
+    turns = D.turn_render(D.locf_and_lead(X.turns(spark, sf_dir), previous=("utterance",)))
+    turns = E.candidate_length(D.example_build(turns, ablation=True), text="example")
+    turns = S.meteor_pair(turns.withColumn("answers", F.col("prev_utterance").isNotNull()), hyp="utterance", ref="prev_utterance",
+                          keys=("conv_id", "turn_no", "cand_len", "answers"))
+    turns = turns.withColumn("meteor", F.when(F.col("answers"), F.col("meteor")))
     out = S.negotiation_strategy(S.prize_gap(nego_outcome(spark, sf_dir)))
-    return V.validation_report([(nll, {"perplexity": "ppl", "loss": "loss"}), (length, {"length": "cand_len"}),
-                                (met, {"meteor": "meteor"}), (out, {"strategy": "strategy", "prize_gap": "prize_gap"})])
+    return V.validation_report([(nll, {"perplexity": "ppl", "loss": "loss"}), (turns, {"length": "cand_len", "meteor": "meteor"}),
+                                (out, {"strategy": "strategy", "prize_gap": "prize_gap"})])
 
 
 @register("best_checkpoint", W("metric_log") + """
@@ -133,22 +157,6 @@ def q_eval_cadence(spark, sf_dir):
     return V.eval_cadence(X.metric_log(spark, sf_dir), 50)
 
 
-@register("epoch_metrics", W("labelled") + f"""
-, e AS (SELECT CAST({sql_md5_int('epoch', 'doc_id')} % 10 + 1 AS INTEGER) AS epoch,
-               CASE WHEN {sql_md5_int(42, 'doc_id')} % 1000 < 800 THEN 'train'
-                    WHEN {sql_md5_int(42, 'doc_id')} % 1000 < 900 THEN 'validation' ELSE 'test' END AS split,
-               ln(1 + n_chars) / 10 AS loss, actual = predicted AS correct FROM labelled)
-SELECT epoch, split, sum(loss) / count(*) AS mean_loss, sum(CAST(correct AS INTEGER)) / count(*) AS accuracy,
-       count(*) AS n
-FROM e GROUP BY epoch, split""")
-def q_epoch_metrics(spark, sf_dir):
-    d = X.labelled(spark, sf_dir)
-    d = D.split_rows(d, seed=42, key_cols=("doc_id",)).select(
-        (md5_bucket("epoch", 10, "doc_id") + 1).cast("int").alias("epoch"), "split",
-        (F.log(1 + F.col("n_chars")) / 10).alias("loss"), (F.col("actual") == F.col("predicted")).alias("correct"))
-    return V.epoch_metrics(d)
-
-
 @register("confusion_matrix", W("labelled") + """
 SELECT actual, predicted, count(*) AS n FROM labelled GROUP BY actual, predicted""")
 def q_confusion_matrix(spark, sf_dir):

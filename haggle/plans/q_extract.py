@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sql_strip_ws
 from ..labels import BUYER_INTENTS, SELLER_INTENTS, label_rows, sql_values
 from ..operators import dialogue as D
+from ..operators import dictionary as DI
 from ..operators import extract as E
 from ..sources import fixtures as X
 from .q_dialogue import rendered_turns, rendered_with_lead
@@ -196,6 +197,73 @@ def q_strip_markers(spark, sf_dir):
     return t.select("vec_id", _arr_str(F.col("stripped")).alias("stripped"))
 
 
+# A vocabulary for the token arrays: the words of the part names, numbered from 290 on.
+FIRST_TOKEN = 290
+X.EXTRA_VIEWS["vocab"] = f"""
+SELECT CAST(row_number() OVER (ORDER BY word) - 1 + {FIRST_TOKEN} AS INTEGER) AS token, word AS piece
+FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)"""
+
+
+def vocabulary(spark, sf_dir):
+    words = DI.build_dictionary(X.table(spark, sf_dir, "part"), F.split("p_name", " "))
+    return words.select((F.col("id") + FIRST_TOKEN).cast("int").alias("token"), F.col("word").alias("piece"))
+
+
+@register("strip_markers_text", W("tokens", "vocab") + """
+, kept AS (SELECT vec_id, list_slice(tokens, 3, len(tokens) - 2) AS kept FROM tokens)
+, ex AS (SELECT vec_id, unnest(kept) AS token, unnest(range(0, len(kept))) AS pos FROM kept)
+SELECT k.vec_id, coalesce(t.text, '') AS stripped_text FROM kept k
+LEFT JOIN (SELECT vec_id, string_agg(piece, '' ORDER BY pos) AS text FROM ex JOIN vocab USING (token) GROUP BY vec_id) t USING (vec_id)""")
+def q_strip_markers_text(spark, sf_dir):
+    """Stripped token arrays decoded by a vocabulary, which has no piece for some of the tokens."""
+    t = E.strip_markers(X.tokens(spark, sf_dir), vocab=vocabulary(spark, sf_dir))
+    return t.select("vec_id", "stripped_text")
+
+
+X.EXTRA_VIEWS["norm_words"] = """
+SELECT conv_id, turn_no, list_filter(regexp_split_to_array(
+       regexp_replace(lower(utterance), '[!-/:-@\\[-`{-~]', '', 'g'), '\\s+'), lambda w: w <> '') AS ws FROM turns"""
+X.EXTRA_VIEWS["lemmas"] = """
+SELECT word, min(lemma) AS lemma FROM (
+  SELECT word, regexp_replace(word, '(ing|ed|s)$', '') AS lemma FROM (SELECT DISTINCT unnest(ws) AS word FROM norm_words))
+WHERE length(lemma) >= 3 AND lemma <> word GROUP BY word"""
+
+
+def turn_words(spark, sf_dir):
+    return X.turns(spark, sf_dir).select("conv_id", "turn_no", E.normal_words("utterance").alias("words"))
+
+
+def lemma_table(spark, sf_dir):
+    """Lemmas for the words of the turns that end in s, ed or ing."""
+    words = DI.word_counts(turn_words(spark, sf_dir), F.col("words")).select(
+        "word", F.regexp_replace("word", "(ing|ed|s)$", "").alias("lemma"))
+    return words.where((F.length("lemma") >= 3) & (F.col("lemma") != F.col("word")))
+
+
+@register("normalize_text_lemmas", W("turns", "norm_words", "lemmas") + """
+, ex AS (SELECT conv_id, turn_no, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM norm_words)
+SELECT n.conv_id, n.turn_no, coalesce(t.norm, '') AS norm FROM norm_words n
+LEFT JOIN (SELECT conv_id, turn_no, string_agg(coalesce(lemma, word), ' ' ORDER BY pos) AS norm
+           FROM ex LEFT JOIN lemmas USING (word) GROUP BY ALL) t USING (conv_id, turn_no)""")
+def q_normalize_text_lemmas(spark, sf_dir):
+    """Normalised utterances with every word that has a lemma replaced by it."""
+    t = E.normalize_text(X.turns(spark, sf_dir), text="utterance", lemmas=lemma_table(spark, sf_dir))
+    return t.select("conv_id", "turn_no", "norm")
+
+
+@register("dictionary_encode", W("turns", "norm_words") + """
+, ex AS (SELECT conv_id, turn_no, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM norm_words)
+, dict AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT word FROM ex))
+SELECT n.conv_id, n.turn_no, coalesce(t.ids, '') AS ids FROM norm_words n
+LEFT JOIN (SELECT conv_id, turn_no, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids
+           FROM ex JOIN dict USING (word) GROUP BY ALL) t USING (conv_id, turn_no)""")
+def q_dictionary_encode(spark, sf_dir):
+    """Utterances as ids of the corpus's dictionary (dense, in the order of the words)."""
+    t = turn_words(spark, sf_dir)
+    t = DI.encode(t, "words", DI.build_dictionary(t, F.col("words")))
+    return t.select("conv_id", "turn_no", _arr_str(F.col("ids")).alias("ids"))
+
+
 @register("candidate_length", W("turns", "turns_f", "turns_r", "turns_x", "turns_e") + """
 SELECT conv_id, turn_no,
        CAST(len(list_filter(regexp_split_to_array(split_part(split_part(example, chr(10), 1), chr(9), 1), '\\s+'),

@@ -32,11 +32,11 @@ METRICS = ("policy_loss", "approx_kl", "clip_frac", "mean_reward")
 
 def metric_series(spark, sf_dir, run):
     """Every series of a run in long form: the policy metrics per buffer,
-    strategy and price gap per conversation, perplexity per sequence, and
-    the best step (value = its loss) of each logged run."""
-    def long(df, step, names):
+    strategy and price gap per conversation, perplexity per sequence; and
+    the best step (value = its loss) of each logged run, as that run's."""
+    def long(df, step, names, of=F.lit(run)):
         one = [F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, c in names.items()]
-        return df.select(F.lit(run).alias("run"), F.col(step).cast("long").alias("step"), F.inline(F.array(*one)))
+        return df.select(of.cast("string").alias("run"), F.col(step).cast("long").alias("step"), F.inline(F.array(*one)))
     ppo = V.ppo_metrics(X.samples(spark, sf_dir), by="buffer")
     out = S.negotiation_strategy(S.prize_gap(nego_outcome(spark, sf_dir)))
     ppl = S.perplexity(token_nll(spark, sf_dir))
@@ -44,7 +44,7 @@ def metric_series(spark, sf_dir, run):
     return (long(ppo, "buffer", {m: m for m in METRICS})
             .unionByName(long(out, "conv_id", {"strategy_score": "strategy", "prize_gap_score": "prize_gap"}))
             .unionByName(long(ppl, "seq", {"validation_perplexity": "perplexity"}))
-            .unionByName(long(best.withColumn("best", F.col("best_value")), "best_step", {"best_step": "best"})))
+            .unionByName(long(best, "best_step", {"best_step": "best_value"}, of=F.col("run"))))
 
 
 @register("write_metrics", W("samples", *OUTCOME, "logits", "sm1", "tok_nll", "metric_log") + f"""
@@ -60,11 +60,11 @@ SELECT 'run-1' AS run, buffer AS step, name, CAST(value AS DOUBLE) AS value FROM
 UNION ALL SELECT 'run-1', conv_id, 'strategy_score', strategy FROM o
 UNION ALL SELECT 'run-1', conv_id, 'prize_gap_score', prize_gap FROM o
 UNION ALL SELECT 'run-1', seq, 'validation_perplexity', exp(sum(nll * mask) / sum(mask)) FROM tok_nll GROUP BY seq
-UNION ALL SELECT 'run-1', arg_min(step, (value, step)), 'best_step', min(value) FROM metric_log GROUP BY run""")
+UNION ALL SELECT CAST(run AS VARCHAR), arg_min(step, (value, step)), 'best_step', min(value) FROM metric_log GROUP BY run""")
 def q_write_metrics(spark, sf_dir):
     path = io.scratch_path(spark, "metrics")
     io.write_metrics(metric_series(spark, sf_dir, "run-1"), path)
-    return spark.read.parquet(path)
+    return io.read_metrics(spark, path)
 
 
 def run_config(**own):

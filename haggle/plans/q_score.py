@@ -6,25 +6,58 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scan
-from ..functions.hashing import md5_uniform, sql_md5_int, sql_md5_uniform
+from ..functions.hashing import sql_md5_int
 from ..labels import VARIANTS, sql_values
+from ..operators import dialogue as D
 from ..operators import extract as E
+from ..operators import linear as L
 from ..operators import score as S
 from ..sources import fixtures as X
+from .q_classify import sql_buckets, sql_words
 from .q_extract import LABELS_ALIAS_SQL, OUTCOME, TAGGED, nego_outcome, sql_tag_last, tagged_with_tags
 from .registry import register
 
 W = X.with_views
 
 
-def intent_prob(eff):
-    """Stand-in classifier probability for (candidate, label): a repeatable
-    uniform; a fitted model plugs in through ``batch_score``."""
-    return md5_uniform("intent", "conv_id", "turn_no", "cand", eff)
+def intent_model(spark, sf_dir):
+    """The per-role intent classifier of the rewards: naive Bayes on word buckets, counted
+    over the train split of the negotiation's labelled utterances."""
+    rows = X._nego_rows(spark, sf_dir).select("event_id", F.col("speaker").alias("role"), "utterance", "intent")
+    rows = D.split_rows(E.label_encode(rows, role="role", label="intent"), seed=42, key_cols=("event_id",)).where("split = 'train'")
+    return L.counted_model(L.count_table(rows.withColumn("features", L.word_buckets("utterance"))), X.CLASS_COUNTS)
 
 
-def SQL_PROB(eff: str) -> str:
-    return sql_md5_uniform("intent", "conv_id", "turn_no", "cand", eff)
+def intent_prob(spark, sf_dir, *, text: str, role: str):
+    """f(label id) -> probability that the classifier gives the text from its marker on."""
+    model = intent_model(spark, sf_dir)
+    return lambda eff: L.label_proba(model, F.col(role), L.word_buckets(E.after_marker_expr(text)), eff, spark)
+
+
+SQL_AFTER = "CASE WHEN instr({t}, 'next') > 0 THEN substr({t}, instr({t}, 'next')) ELSE {t} END"
+SQL_CLASSES = sql_values([(r, c) for r, k in X.CLASS_COUNTS.items() for c in range(k)], ["role", "c"], "k")
+X.EXTRA_VIEWS["ib_f"] = f"""
+SELECT role, label_id, unnest(list_append({sql_buckets(sql_words('utterance'))}, -1)) AS b
+FROM (SELECT n.utterance, n.speaker AS role, la.label_id FROM nego n
+      JOIN {LABELS_ALIAS_SQL} ON la.lrole = n.speaker AND la.alias_lower = lower(n.intent)
+      WHERE {sql_md5_int(42, 'n.event_id')} % 1000 < 800)"""
+X.EXTRA_VIEWS["ib_w"] = f"""
+SELECT k.role, f.b, k.c, CASE WHEN f.b = -1 THEN ln((coalesce(n.n, 0) + 1.0) / (f.n + f.k)) ELSE ln(coalesce(n.n, 0) + 1.0) - ln(coalesce(t.n, 0) + 2.0) END AS w
+FROM {SQL_CLASSES}
+JOIN (SELECT role, b, count(*) AS n, CASE WHEN role = 0 THEN {X.CLASS_COUNTS[0]} ELSE {X.CLASS_COUNTS[1]} END AS k FROM ib_f GROUP BY ALL) f ON f.role = k.role
+LEFT JOIN (SELECT role, b, label_id, count(*) AS n FROM ib_f GROUP BY ALL) n ON n.role = k.role AND n.b = f.b AND n.label_id = k.c
+LEFT JOIN (SELECT role, label_id, count(*) AS n FROM ib_f WHERE b = -1 GROUP BY ALL) t ON t.role = k.role AND t.label_id = k.c"""
+INTENT_BAYES = ("ib_f", "ib_w")
+
+
+def sql_intent_prob(rows: str, keys: str, text: str, role: str, label: str) -> str:
+    """Subquery (keys, p): probability of ``label`` for each row of ``rows``."""
+    return f"""(SELECT {keys}, round(max(CASE WHEN c = lab THEN exp(z - top) END) / sum(exp(z - top)), {L.PLACES}) AS p FROM (
+  SELECT *, max(z) OVER (PARTITION BY {keys}) AS top FROM (
+    SELECT {keys}, r.lab, w.c, sum(w.w) AS z
+    FROM (SELECT {keys}, {role} AS role, {label} AS lab, unnest(list_append({sql_buckets(sql_words(SQL_AFTER.format(t=text)))}, -1)) AS b
+          FROM {rows} WHERE {label} IS NOT NULL) r
+    JOIN ib_w w ON w.role = r.role AND w.b = r.b GROUP BY ALL)) GROUP BY {keys})"""
 
 
 # ---------------------------------------------------------------- summary
@@ -39,7 +72,7 @@ def negotiation_summary(spark, sf_dir):
                          role="last_role", label="tag")
     out = (out.withColumnRenamed("last_turn", "turn_no").withColumn("cand", F.lit(0))
            .withColumn("is_final", F.lit(True)).withColumn("similarity", F.lit(0.0)))
-    out = S.composite_reward(S.intent_reward(out, intent_prob, strict=True))
+    out = S.composite_reward(S.intent_reward(out, intent_prob(spark, sf_dir, text="last_text", role="last_role"), strict=True))
     return out.select("conv_id", "opening_price", "final_price", "outcome", "prize_gap", "strategy",
                       "intent_score", "reward")
 
@@ -55,11 +88,13 @@ SQL_STRATEGY = """CASE WHEN (final_price - reservation_price) / (final_price + 1
      WHEN final_price IS NOT NULL THEN 0.0 END"""
 
 
-@register("negotiation_summary", W(*OUTCOME, "nego_l") + f"""
+@register("negotiation_summary", W(*OUTCOME, "nego_l", *INTENT_BAYES) + f"""
 , o AS (SELECT *, CAST(final_price AS DOUBLE) / NULLIF(CAST(opening_price AS DOUBLE), 0) AS prize_gap,
                {SQL_STRATEGY} AS strategy FROM outcome)
-, l AS (SELECT conv_id, turn_no AS last_turn, label_id, 0 AS cand, turn_no FROM nego_l)
-, li AS (SELECT conv_id, last_turn, CASE WHEN label_id IS NULL THEN 0.54 ELSE {SQL_PROB('label_id')} END AS intent_score FROM l)
+, l AS (SELECT n.conv_id, n.turn_no AS last_turn, n.turn_no, n.role_id, n.text, n.label_id
+        FROM nego_l n JOIN outcome x ON x.conv_id = n.conv_id AND x.last_turn = n.turn_no)
+, li AS (SELECT l.conv_id, l.last_turn, CASE WHEN l.label_id IS NULL THEN 0.54 ELSE s.p END AS intent_score
+         FROM l LEFT JOIN {sql_intent_prob('l', 'conv_id, turn_no', 'text', 'role_id', 'label_id')} s ON s.conv_id = l.conv_id AND s.turn_no = l.turn_no)
 SELECT o.conv_id, opening_price, final_price, outcome, prize_gap, strategy, intent_score,
        0.2 * coalesce(intent_score, 0.0) + 0.3 * coalesce(prize_gap, 0.0) + 0.3 * coalesce(strategy, 0.0) - 0.2 * 0.0 AS reward
 FROM o LEFT JOIN li ON li.conv_id = o.conv_id AND li.last_turn = o.last_turn""")
@@ -167,25 +202,27 @@ def q_surface_similarity_each(spark, sf_dir):
 
 # ---------------------------------------------------------------- rewards
 
+X.EXTRA_VIEWS["tagged_e"] = """
+SELECT *, last_value(label_id IGNORE NULLS) OVER (PARTITION BY conv_id, turn_no ORDER BY cand
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eff FROM tagged_l"""
 X.EXTRA_VIEWS["tagged_i"] = f"""
-SELECT *, CASE WHEN eff IS NULL THEN 0.54 ELSE {SQL_PROB('eff')} END AS intent_score
-FROM (SELECT *, last_value(label_id IGNORE NULLS) OVER (PARTITION BY conv_id, turn_no ORDER BY cand
-                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS eff FROM tagged_l)"""
+SELECT t.*, CASE WHEN t.eff IS NULL THEN 0.54 ELSE s.p END AS intent_score
+FROM tagged_e t LEFT JOIN {sql_intent_prob('tagged_e', 'conv_id, turn_no, cand', 'cand_text', 'role_id', 'eff')} s USING (conv_id, turn_no, cand)"""
 X.EXTRA_VIEWS["nego_ctx"] = sql_context("nego")
-TAGGED_I = (*TAGGED, "tagged_l", "tagged_i")
+TAGGED_I = (*TAGGED, "tagged_l", *INTENT_BAYES, "tagged_e", "tagged_i")
 
 
 @register("intent_reward", W(*TAGGED_I) + """
 SELECT conv_id, turn_no, cand, label_id, intent_score FROM tagged_i""")
 def q_intent_reward(spark, sf_dir):
-    r = S.intent_reward(tagged_with_tags(spark, sf_dir), intent_prob)
+    r = S.intent_reward(tagged_with_tags(spark, sf_dir), intent_prob(spark, sf_dir, text="cand_text", role="role_id"))
     return r.select("conv_id", "turn_no", "cand", "label_id", "intent_score")
 
 
 def scored_candidates(spark, sf_dir):
     """Every tagged candidate with intent score, similarity to the two
     previous utterances, and (on the final turn) gap and strategy."""
-    ti = S.intent_reward(tagged_with_tags(spark, sf_dir), intent_prob)
+    ti = S.intent_reward(tagged_with_tags(spark, sf_dir), intent_prob(spark, sf_dir, text="cand_text", role="role_id"))
     sim = S.surface_similarity(ti, CONTEXTS, accumulate=True, keep=["intent_score"])
     out = S.negotiation_strategy(S.prize_gap(nego_outcome(spark, sf_dir)))
     fin = out.select("conv_id", F.col("last_turn").alias("turn_no"), "prize_gap", "strategy",

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket, md5_uniform, sql_md5_int, sql_md5_uniform
 from ..functions import scan
-from ..labels import canonical_labels, class_rows, local_table, sql_values
+from ..labels import BUYER_INTENTS, SELLER_INTENTS, canonical_labels, class_rows, local_table, sql_values
+
+# (role, number of classes) of the intent classifiers
+CLASS_COUNTS = {0: len(BUYER_INTENTS), 1: len(SELLER_INTENTS)}
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -180,6 +183,34 @@ LEFT JOIN {_canon_sql('lab')} ON lab.role = e.event_id % 2
 """
 
 
+# --------------------------------------------------------------------------
+# intent_examples: events as labelled utterances for the epoch-wise classifier
+#   text = event type and props, role = event_id % 2; the label is what the text
+#   says: the event type's intent, for views and clicks the class that the number
+#   in the props names (number modulo classes)
+# --------------------------------------------------------------------------
+
+def intent_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    role = (F.col("event_id") % 2).cast("int")
+    named = F.col("event_type")
+    label = F.regexp_extract("props", "([0-9]+)", 1).cast("int") % F.when(role == 0, CLASS_COUNTS[0]).otherwise(CLASS_COUNTS[1])
+    for kind, buyer, seller in EVENT_INTENTS:
+        own = F.when(role == 0, BUYER_INTENTS.index(buyer)).otherwise(SELLER_INTENTS.index(seller))
+        label = F.when(named == kind, own).otherwise(label)
+    return e.select("event_id", role.alias("role"), F.concat_ws(" ", "event_type", "props").alias("text"),
+                    label.cast("int").alias("label_id"))
+
+
+INTENT_EXAMPLES_SQL = f"""
+SELECT event_id, CAST(event_id % 2 AS INTEGER) AS role, concat_ws(' ', event_type, props) AS text,
+       CAST(CASE {" ".join(f"WHEN event_type = '{t}' THEN CASE WHEN event_id % 2 = 0 THEN {BUYER_INTENTS.index(b)} ELSE {SELLER_INTENTS.index(v)} END"
+                           for t, b, v in EVENT_INTENTS)}
+            ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)
+                 % CASE WHEN event_id % 2 = 0 THEN {CLASS_COUNTS[0]} ELSE {CLASS_COUNTS[1]} END END AS INTEGER) AS label_id
+FROM events"""
+
+
 def with_views(*names: str) -> str:
     """``WITH`` prefix defining the named adapter views for a DuckDB twin."""
     defs = {"turns": TURNS_SQL, "nego": NEGO_SQL}
@@ -310,7 +341,7 @@ LABELLED_SQL = """
 SELECT d.doc_id, d.n_chars, l.quality AS actual, l.toxic AS predicted
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id"""
 
-EXTRA_VIEWS.update({"samples": SAMPLES_SQL, "metric_log": METRIC_LOG_SQL, "labelled": LABELLED_SQL})
+EXTRA_VIEWS.update({"intent_ex": INTENT_EXAMPLES_SQL, "samples": SAMPLES_SQL, "metric_log": METRIC_LOG_SQL, "labelled": LABELLED_SQL})
 
 
 # --------------------------------------------------------------------------

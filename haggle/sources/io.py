@@ -38,16 +38,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a scratch table: a plan that reads it several times computes it once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Remove this process's scratch tables (through the cluster's file
     system); call it once their results have been read.  Returns their number."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
+    n = len(_written)
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_path(spark, _written.pop())
     return n
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the cluster's file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 TEXT_COLUMNS = ("utterance", "items", "background_data")
 
 
@@ -154,11 +166,29 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
                                         unescape_lines(p[2]).alias("text"))
 
 
-def write_metrics(df: DataFrame, path: str, *, mode: str = "append") -> None:
-    """A long metric table ``(run, step, name, value)`` as parquet, appended
-    to the run's table."""
-    df.select(F.col("run").cast("string"), F.col("step").cast("long"), F.col("name").cast("string"),
-              F.col("value").cast("double")).write.mode(mode).parquet(path)
+METRIC_SCHEMA = "step long, value double, run string, name string"
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """Write series of ``(run, step, name, value)`` to the metric store: a folder per run
+    and series.  Writing a series of a run replaces what the store had of it, and
+    leaves all others alone, so a job that runs again doesn't count twice; tasks
+    commit their files only when the whole job has succeeded.
+
+    A long series is several files of its folder; rows are dealt out by run, name and
+    a slice of the steps, so no run has to fit in one task."""
+    rows = df.select(F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value"),
+                     F.col("run").cast("string").alias("run"), F.col("name").cast("string").alias("name"))
+    (rows.repartition("run", "name", F.floor(F.col("step") / F.lit(METRIC_STEPS))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run", "name").parquet(path))
+
+
+METRIC_STEPS = 1 << 20  # steps of a series that one task writes
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(run, step, name, value) of a metric store; filters on run and name skip folders."""
+    return spark.read.schema(METRIC_SCHEMA).parquet(path).select("run", "step", "name", "value")
 
 
 def write_run_config(spark: SparkSession, config: dict, path: str) -> None:

@@ -135,15 +135,12 @@ def test_conversation_outcome_equals_turn_path(spark):
 def test_strip_markers_decode_and_lemmas(spark):
     df = spark.createDataFrame([(1, [1, 2, 10, 11, 12, 3, 4]), (2, [1, 2, 3])], "vec_id long, tokens array<int>")
     vocab = spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "token int, piece string")
-    out = {r.vec_id: r for r in E.strip_markers(df, vocab=vocab, keys="vec_id").collect()}
+    out = {r.vec_id: r for r in E.strip_markers(df, vocab=vocab).collect()}
     assert out[1].stripped == [10, 11, 12] and out[1].stripped_text == "abc" and out[2].stripped == []
     t = spark.createDataFrame([(1, "The cats, ran!")], "id long, text string")
     lem = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "word string, lemma string")
-    assert E.normalize_text(t, lemmas=lem, keys="id").collect()[0].norm == "the cat run"
+    assert E.normalize_text(t, lemmas=lem).collect()[0].norm == "the cat run"
     t = spark.createDataFrame([(1, "two cats", None), (2, "two cats", None), (None, "Ran", "z"), (4, None, "z"), (5, "!", "z")],
                               "id long, text string, other string")
-    got = {r.id: r.norm for r in E.normalize_text(t, lemmas=lem, keys=["id"]).collect()}
+    got = {r.id: r.norm for r in E.normalize_text(t, lemmas=lem).collect()}
     assert got == {1: "two cat", 2: "two cat", None: "run", 4: None, 5: ""}
-    import pytest
-    with pytest.raises(ValueError):
-        E.normalize_text(t, lemmas=lem)

@@ -130,3 +130,26 @@ def test_strategy_and_composite(spark):
     out = {r.id: r for r in S.negotiation_strategy(S.prize_gap(df)).collect()}
     assert abs(out[1].strategy - math.exp(300 / 1001)) < 1e-12 and out[3].strategy == 0.0
     assert abs(out[2].strategy - math.exp(200 / 501)) < 1e-12 and out[1].prize_gap == 0.5
+
+
+def test_alignment_of_a_batch_against_loops():
+    """Pairs from the end of both lists and runs of neighbouring pairs, for many rows at once."""
+    import random
+    from collections import defaultdict
+
+    import pyarrow as pa
+    rng = random.Random(4)
+    rows = [([rng.choice("aabbcde") for _ in range(rng.randint(0, 25))], [rng.choice("aabbcdx") for _ in range(rng.randint(0, 25))])
+            for _ in range(300)] + [([], []), (["a"], []), ([], ["a"]), (["a"] * 900, ["a"] * 1000)]
+    want = []
+    for hyp, ref in rows:
+        places = defaultdict(list)
+        for j, w in enumerate(ref):
+            places[w].append(j)
+        pairs = sorted((i, places[w].pop()) for i, w in reversed(list(enumerate(hyp))) if places[w])
+        chunks = sum(not (k and pairs[k - 1] == (i - 1, j - 1)) for k, (i, j) in enumerate(pairs))
+        want.append((len(pairs), chunks))
+    lists = [pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)]
+    assert list(zip(*(x.tolist() for x in S._aligned(*lists)))) == want
+    assert list(zip(*(x.tolist() for x in S._aligned(*(x.slice(250) for x in lists))))) == want[250:]
+    assert [x.tolist() for x in S._aligned(*(x.slice(0, 0) for x in lists))] == [[], []]
