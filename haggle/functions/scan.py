@@ -117,13 +117,14 @@ def running_agg(df: DataFrame, keys, pos: str, value, out=None, *, how: str = "s
 def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_exclusive: bool = False,
                nxt: list[str] | None = None, prv: list[str] | None = None, next_prefix: str = "next_",
                prev_prefix: str = "prev_", prv_two: bool = False, running: list | None = None,
-               order: list | None = None, chunk: Column | None = None,
+               order: list | None = None, chunk: Column | None = None, totals: list | None = None,
                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Several ordered scans over the same key and order in one pass: forward
     fills (``fill`` = {value: out}), the next row's columns (``nxt``), the
     previous row's columns (``prv``; with ``prv_two`` also those of the row
     before it, as ``prev_prefix + "2_" + col``) and running aggregates
-    (``running`` = [(value, how, out, exclusive)], how in sum/min/max).  One
+    (``running`` = [(value, how, out, exclusive)], how in sum/min/max), and
+    aggregates over the whole key (``totals`` = [(value, how, out)]).  One
     shuffle, one window node, one per-chunk summary and one join back,
     instead of one of each per scan.
 
@@ -132,7 +133,7 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
     day): a running sum of ones then numbers the rows in the same pass."""
     keys = _as_list(keys)
     fill, nxt, prv = dict(fill or {}), list(nxt or []), list(prv or [])
-    running = list(running or [])
+    running, totals = list(running or []), list(totals or [])
     d = _keyed(df, keys, _pos_chunk(pos, chunk_rows) if chunk is None else chunk)
     w = Window.partitionBy(_K).orderBy(*(order or [pos]))
     cols, aggs, carry_cols = {}, [], []
@@ -151,6 +152,7 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         if excl:
             cols[f"_ms_rl{i}"] = fns[how](v).over(w.rowsBetween(UNB, -1))
         aggs.append(F.max_by(f"_ms_ri{i}", F.col(pos)).alias(f"_ms_rt{i}"))
+    aggs += [fns[how](v).alias(f"_ms_tt{i}") for i, (v, how, _) in enumerate(totals)]
     if nxt:
         st_n = F.struct(*[F.col(c).alias(c) for c in nxt], F.lit(True).alias("_present"))
         cols["_ms_nl"] = F.lead(st_n, 1).over(w)
@@ -169,6 +171,8 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         carry_cols.append(F.last(last, ignorenulls=True).over(cw_before).alias(fc))
     for i, (_, how, _, _) in enumerate(running):
         carry_cols.append(fns[how](f"_ms_rt{i}").over(cw_before).alias(f"_ms_rc{i}"))
+    whole = cw.rowsBetween(UNB, Window.unboundedFollowing)
+    carry_cols += [fns[how](f"_ms_tt{i}").over(whole).alias(f"_ms_ta{i}") for i, (_, how, _) in enumerate(totals)]
     if nxt:
         carry_cols.append(F.lead("_ms_first", 1).over(cw).alias("_ms_nc"))
     if prv:
@@ -176,7 +180,7 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         if prv_two:   # the last chunk's row before its last, or the one before that chunk
             carry_cols += [F.lag("_ms_second", 1).over(cw).alias("_ms_sc"), F.lag("_ms_lastrow", 2).over(cw).alias("_ms_pc2")]
     d = _join_back(d, summ.select(_K, *carry_cols))
-    out = {}
+    out = {o: F.col(f"_ms_ta{i}") for i, (_, _, o) in enumerate(totals)}
     for v, (inc, loc, _, fc) in fnames.items():
         out[fill[v]] = F.coalesce(loc if fill_exclusive else inc, fc)
     for i, (_, how, o, excl) in enumerate(running):

@@ -133,7 +133,7 @@ def bundle_price_adjust(events: DataFrame, *, keys=("flow_id",), pos: str = "tur
 
 
 def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", pos: str = "turn",
-                 action: str = "action") -> DataFrame:
+                 action: str = "action", previous=(), running=()) -> DataFrame:
     """The bundle after every turn: ``events`` plus ``status`` of the turn's
     item (initial, removed, back = added again after a removal, new = added
     without one) and the counts ``n_selected``, ``n_removed``, ``n_back`` and
@@ -144,7 +144,10 @@ def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", po
     Only earlier turns of the flow are read (and the initial bundle, which
     the flow starts with).  One scan pass per (flow, item), one per flow,
     linear in the turns: the selected set itself is the items whose latest
-    status is not ``removed``."""
+    status is not ``removed``.
+
+    ``previous`` (columns of the turn before, as ``prev_<col>``) and ``running``
+    ((value, how, out, exclusive), see :func:`..functions.scan.multi_scan`) ride on the pass per flow."""
     keys = list(keys)
     act = F.col(action)
     d = events.withColumns({
@@ -166,14 +169,14 @@ def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", po
     negotiable = F.coalesce(F.col("_ng"), F.col("_neg"), F.lit(0)) - F.coalesce(F.col("_neg"), F.lit(0))
     d = d.withColumns({"_ds": step(sel), "_dr": step(rem), "_db": step(bck), "_dn": negotiable,
                        "_i": ((F.col("_first.p") == F.col(pos)) & ~first_add).cast("int")})
-    start = d.groupBy(*keys).agg(F.sum("_i").alias("_n0"))
-    d = scan.multi_scan(d, keys, pos, running=[("_ds", "sum", "n_selected", False), ("_dr", "sum", "n_removed", False),
-                                               ("_db", "sum", "n_back", False), ("_dn", "sum", "n_negotiable", False)])
-    d = d.join(start, keys).withColumn("n_selected", F.col("n_selected") + F.col("_n0"))
+    d = scan.multi_scan(d, keys, pos, prv=list(previous), prev_prefix="prev_", totals=[("_i", "sum", "_n0")], running=[
+        ("_ds", "sum", "n_selected", False), ("_dr", "sum", "n_removed", False), ("_db", "sum", "n_back", False),
+        ("_dn", "sum", "n_negotiable", False), *running])
+    d = d.withColumn("n_selected", F.col("n_selected") + F.col("_n0"))
     d = d.withColumns({f"before_{n}": F.col(n) - F.col(c) for n, c in (
         ("n_selected", "_ds"), ("n_removed", "_dr"), ("n_back", "_db"), ("n_negotiable", "_dn"))})
     made = ["before_status", "status", *(f"{p}{n}" for n in ("n_selected", "n_removed", "n_back", "n_negotiable")
-                                         for p in ("", "before_"))]
+                                         for p in ("", "before_")), *(f"prev_{c}" for c in previous), *(r[2] for r in running)]
     return d.select(*events.columns, *made)
 
 
@@ -340,17 +343,20 @@ def prompt_build(df: DataFrame, templates: DataFrame, *, intent: str = "intent",
     The pattern is cut into literal and slot pieces once and the slots are
     filled in one pass, so braces inside an inserted text are left alone.
     ``templates`` (intent, parity, shots, pattern) is the caller's: the join
-    strategy is left to the optimizer's size check."""
+    strategy is left to the optimizer's size check.  The placeholder is one row (of
+    several, the least pattern) and goes into the plan as a constant."""
     def named(rows, p):
         return rows.select(F.col("intent").alias("_ti"), F.col("parity").alias("_tp"),
                            F.struct("pattern", "shots").alias(p))
     spec = named(templates.filter(F.col("parity") != "any"), "_ps")
     anyp = named(templates.filter(F.col("parity") == "any"), "_pa").drop("_tp")
-    hold = anyp.filter(F.col("_ti") == placeholder).select(F.col("_pa").alias("_ph"))
+    hold = anyp.filter(F.col("_ti") == placeholder).agg(F.min("_pa").alias("_ph")).first()._ph
     d = (df.withColumn("_ti", F.lower(F.col(intent))).withColumn("_tp", F.col(parity))
-         .join(spec, ["_ti", "_tp"], "left").join(anyp, "_ti", "left")
-         .join(hold.withColumn("_one", F.lit(1)), F.col("_one") == 1, "left"))   # one row
-    t = F.coalesce("_ps", "_pa", "_ph")
+         .join(spec, ["_ti", "_tp"], "left").join(anyp, "_ti", "left"))
+    kind = anyp.schema["_pa"].dataType.simpleString()
+    constant = F.lit(None).cast(kind) if hold is None else F.struct(
+        F.lit(hold.pattern).alias("pattern"), F.lit(hold.shots).alias("shots")).cast(kind)
+    t = F.coalesce("_ps", "_pa", constant)
     pieces = F.regexp_extract_all(t["pattern"], F.lit(r"(\{\w+\}|[^{]+|\{)"), 1)
 
     def fill(piece):
@@ -359,4 +365,4 @@ def prompt_build(df: DataFrame, templates: DataFrame, *, intent: str = "intent",
             out = F.when(piece == "{" + slot + "}", F.coalesce(F.col(col).cast("string"), F.lit(""))).otherwise(out)
         return out
     return d.withColumns({"prompt": F.array_join(F.transform(pieces, fill), ""), "shots": t["shots"]}).drop(
-        "_ti", "_tp", "_ps", "_pa", "_ph", "_one")
+        "_ti", "_tp", "_ps", "_pa")

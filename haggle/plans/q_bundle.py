@@ -175,7 +175,7 @@ WINDOW w AS (PARTITION BY flow_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"""
 SELECT flow_id, turn, item, action, status, CAST(n_selected AS BIGINT) AS n_selected, CAST(n_removed AS BIGINT) AS n_removed,
        CAST(n_negotiable AS BIGINT) AS n_negotiable FROM bstate""")
 def q_bundle_state(spark, sf_dir):
-    return B.bundle_state(X.basket(spark, sf_dir)).select(
+    return B.bundle_state(io.written(X.basket(spark, sf_dir), "basket")).select(
         "flow_id", "turn", "item", "action", "status", *(F.col(c).cast("long").alias(c) for c in (
             "n_selected", "n_removed", "n_negotiable")))
 
@@ -226,9 +226,8 @@ def q_legal_actions(spark, sf_dir):
     turn, the seller's reply to the previous turn (an answer after a
     question, a quoted or an asked price after a removal), and a deal when
     the running offer is within the tolerance of the buyer's price."""
-    bk = basket_deltas(spark, sf_dir)
-    d = B.bundle_state(bk)
-    d = scan.multi_scan(d, "flow_id", "turn", prv=["action", "quoted"], running=[("delta", "sum", "_moved", True)])
+    bk = io.written(basket_deltas(spark, sf_dir), "basket")
+    d = B.bundle_state(bk, previous=("action", "quoted"), running=[("delta", "sum", "_moved", True)])
     n = F.col("before_n_selected") + F.col("before_n_removed")
     offer = F.col("opening") + F.coalesce("_moved", F.lit(0))
     d = d.select(

@@ -20,26 +20,32 @@ def q_stream_price_locf(spark, sf_dir):
 
 
 @register("stream_window_stats", """
-WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-, g AS (SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n,
-               avg(value) AS mean_value
-        FROM events GROUP BY 1, 2)
-SELECT * FROM g WHERE window_start + INTERVAL 1 HOUR <= (SELECT wm FROM m)""")
+SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, avg(value) AS mean_value
+FROM events GROUP BY 1, 2""")
 def q_stream_window_stats(spark, sf_dir):
-    return ST.run_available_now(ST.stream_window_stats(ST.event_stream(spark, sf_dir)), "stream_window")
+    return ST.run_to_end(ST.event_stream(spark, sf_dir), ST.stream_window_stats, "stream_window")
 
 
-@register("stream_final_outcome", """
-WITH e AS (SELECT user_id AS conv_id, ts, event_id, CAST(event_id % 2 AS INTEGER) AS speaker,
+SESSIONS = """
+WITH e AS (SELECT user_id AS conv_id, ts, event_id, value, CAST(event_id % 2 AS INTEGER) AS speaker,
                   CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(CAST(500.0 + value * 10.0 AS DECIMAL(12,2))) AS BIGINT) END AS price FROM events)
 , g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS brk
         FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY ts, event_id))
-, s AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-, a AS (SELECT conv_id, sid, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n,
+, s AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)"""
+
+
+@register("stream_final_outcome", SESSIONS + """
+, a AS (SELECT conv_id, sid, min(ts) AS session_start, count(*) AS n,
                arg_max_null(speaker, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) AS last_speaker,
                arg_max_null(price, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) AS final_price
         FROM s GROUP BY conv_id, sid)
-SELECT conv_id, session_start, n, CASE WHEN last_speaker = 0 THEN 'Reject' ELSE 'Accept' END AS outcome, final_price
-FROM a WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT conv_id, session_start, n, CASE WHEN last_speaker = 0 THEN 'Reject' ELSE 'Accept' END AS outcome, final_price FROM a""")
 def q_stream_final_outcome(spark, sf_dir):
-    return ST.run_available_now(ST.stream_final_outcome(ST.event_stream(spark, sf_dir)), "stream_outcome")
+    """Every session of every conversation, the last ones included."""
+    return ST.run_to_end(ST.event_stream(spark, sf_dir), ST.stream_final_outcome, "stream_outcome")
+
+
+@register("stream_mean_reward", SESSIONS + """
+SELECT conv_id, min(ts) AS session_start, count(*) AS n, avg(value) AS mean_reward FROM s GROUP BY conv_id, sid""")
+def q_stream_mean_reward(spark, sf_dir):
+    return ST.run_to_end(ST.event_stream(spark, sf_dir), ST.stream_mean_reward, "stream_reward")

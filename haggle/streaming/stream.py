@@ -5,8 +5,11 @@
   price), equal to the batch ``price_locf`` on the same files.
 * ``stream_window_stats`` - event-time tumbling windows with a watermark
   (late rows beyond it are dropped by Spark), append mode.
+* ``stream_final_outcome``, ``stream_mean_reward`` - per event-time session of
+  a conversation.
 * ``run_available_now`` - drive a stream to completion into a parquet sink
-  in the shared scratch folder and read the result back.
+  in the shared scratch folder and read the result back; ``run_to_end`` also
+  closes what is still open at the end of a finite input.
 """
 
 from __future__ import annotations
@@ -74,8 +77,8 @@ def stream_price_locf(events: DataFrame, *, delay: str = "1 day") -> DataFrame:
 
 def stream_window_stats(events: DataFrame, *, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Per event-time window and event type: count and mean value; windows
-    are emitted once the watermark passes their end; the windows after it
-    stay open until later events arrive."""
+    are emitted once the watermark passes their end (``run_to_end`` gives the
+    last ones of a finite input too)."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))   # event time must be zoned
     return (e.withWatermark("ts", delay)
             .groupBy(F.window("ts", window).alias("w"), "event_type")
@@ -94,15 +97,47 @@ def run_available_now(df: DataFrame, name: str, *, mode: str = "append") -> Data
     return spark.read.parquet(out)
 
 
+END_OF_TIME = "9000-01-01 00:00:00"   # event time of the marker that ends an input
+
+
+def with_end(events: DataFrame) -> tuple[DataFrame, str]:
+    """(the event stream with a second source beside it, the folder of that source).  The
+    folder is empty until ``run_to_end`` puts the end marker there: a row whose only value is
+    an event time after all others, which moves the watermark past every open window."""
+    spark = events.sparkSession
+    marks = scratch_path(spark, "end_marks")
+    spark.createDataFrame([], events.schema).write.parquet(marks)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(marks)), marks
+
+
+def run_to_end(events: DataFrame, operator, name: str) -> DataFrame:
+    """``operator(events)`` over a finite event stream, its last windows included: first
+    everything available, then the same query, from its checkpoint, with the end
+    marker.  The marker's own window stays open, so it gives no row.  Events
+    that come afterwards are late: the stream has ended."""
+    spark = events.sparkSession
+    stream, marks = with_end(events)
+    out, ckpt = scratch_path(spark, f"{name}_out"), scratch_path(spark, f"{name}_ckpt")
+
+    def run():
+        (operator(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start(out).awaitTermination())
+
+    run()
+    marker = [F.lit(END_OF_TIME).cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+              for f in events.schema.fields]
+    spark.range(1).select(*marker).write.mode("append").parquet(marks)
+    run()
+    return spark.read.parquet(out)
+
+
 def stream_final_outcome(events: DataFrame, *, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
     """Negotiation outcome per session of a conversation: event-time session
     windows (a new session after ``gap`` of silence) with a watermark; the
     last turn decides (buyer last -> Reject, seller last -> Accept) and its
     integer price is the final price (the batch adapter's price, so stream
     and batch agree).  Sessions are emitted once the watermark passes their
-    end: a conversation's last session stays open until later events of any
-    conversation move the watermark past its gap, so a finite input leaves
-    its final sessions to the batch operator."""
+    end; ``run_to_end`` also gives each conversation's last one."""
     e = events.select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
                       (F.col("event_id") % 2).cast("int").alias("speaker"),
                       F.floor(event_price()).cast("long").alias("price"))
@@ -113,3 +148,12 @@ def stream_final_outcome(events: DataFrame, *, gap: str = "6 hours", delay: str
             .select("conv_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), "n",
                     F.when(F.col("_l.speaker") == 0, "Reject").otherwise("Accept").alias("outcome"),
                     F.col("_l.price").alias("final_price")))
+
+
+def stream_mean_reward(events: DataFrame, *, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """Mean logged reward (the event's value) and number of samples per session of a
+    conversation, as :func:`stream_final_outcome` cuts them."""
+    e = events.select(F.col("user_id").alias("conv_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("reward"))
+    return (e.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("s"), "conv_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward"))
+            .select("conv_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), "n", "mean_reward"))

@@ -63,18 +63,44 @@ def test_scratch_is_removed(spark):
     assert not os.path.exists(path.replace("file:", ""))
 
 
-def test_stream_locf_over_several_files(spark, tmp_path):
-    """State is carried from one micro-batch to the next."""
+def split_events(tmp_path, parts=3):
+    """The events of the smallest table in several files, read one after another."""
     import os
     import pyarrow as pa
     import pyarrow.parquet as pq
     t = pq.read_table(f"{SF_SMALL}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
     folder = tmp_path / "events.parquet"
     folder.mkdir()
-    cut = [0, t.num_rows // 3, t.num_rows // 2, t.num_rows]
+    cut = [0, t.num_rows // parts, t.num_rows // 2, t.num_rows]
     for i, (a, b) in enumerate(zip(cut, cut[1:])):
         pq.write_table(pa.table(t.slice(a, b - a)), folder / f"part-{i}.parquet")
         os.utime(folder / f"part-{i}.parquet", (1_000_000 + 100 * i, 1_000_000 + 100 * i))
+    return t.to_pylist()
+
+
+def test_every_session_of_a_finite_stream(spark, tmp_path):
+    """Row by row against a loop over the events, over several micro-batches, with each conversation's last session."""
+    import datetime as dt
+    sessions = {}
+    for e in split_events(tmp_path):
+        own = sessions.setdefault(e["user_id"], [])
+        if not own or e["ts"] - own[-1][-1]["ts"] >= dt.timedelta(hours=6):
+            own.append([])
+        own[-1].append(e)
+    events = lambda: ST.event_stream(spark, str(tmp_path))
+    got = {(r.conv_id, r.session_start): (r.n, round(r.mean_reward, 9)) for r in
+           ST.run_to_end(events(), ST.stream_mean_reward, "test_reward").collect()}
+    assert got == {(c, s[0]["ts"]): (len(s), round(sum(e["value"] for e in s) / len(s), 9)) for c, own in sessions.items() for s in own}
+    out = ST.run_to_end(events(), ST.stream_final_outcome, "test_outcome").collect()
+    assert {(r.conv_id, r.session_start): (r.n, r.outcome) for r in out} == {
+        (c, s[0]["ts"]): (len(s), "Accept" if s[-1]["event_id"] % 2 else "Reject") for c, own in sessions.items() for s in own}
+    whole = ST.run_to_end(events(), ST.stream_window_stats, "test_windows").agg({"n": "sum"}).first()[0]
+    assert whole == sum(len(s) for own in sessions.values() for s in own)
+
+
+def test_stream_locf_over_several_files(spark, tmp_path):
+    """State is carried from one micro-batch to the next."""
+    split_events(tmp_path)
     got = ST.run_available_now(ST.stream_price_locf(ST.event_stream(spark, str(tmp_path))), "test_stream_files")
     batch = D.price_locf(X.nego(spark, SF_SMALL)).select("conv_id", "event_id", "price_filled")
     assert sorted(map(str, got.select("conv_id", "event_id", "price_filled").collect())) == sorted(map(str, batch.collect()))
