@@ -9,10 +9,11 @@ to give is then taken from its documents in a seeded order.
 Scale.  Only (pattern, sum) rows take part in the flow; patterns that share no
 source are solved apart, in parallel.  The seeded order is cut at a bin of a
 hash, found in two steps from at most 256 sums a pattern each; only the
-documents of that one bin are sorted.  The gap that the cut leaves is cut again
-over the unused documents that fit it, and at least halves each time, until none
-fits.  Texts are never shuffled, and a source that holds a third of all rows is
-summed map-side like any other.
+documents of that one bin are sorted.  The gap that the cut leaves (less than one
+document) is filled by size classes, large ones first: of each class only the
+smallest documents that could fill the gap are looked at, found by the same kind of cut.  The number
+of Spark jobs doesn't depend on the input.  Texts are never shuffled, and a
+source that holds a third of all rows is summed map-side like any other.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from haggle.llm.spark import BROADCAST_ROWS, checkpoint, packed
 
 STEP = 8         # bits of a bin number looked at together
 BINS = 1 << 2 * STEP
+FEW_PATTERNS = BROADCAST_ROWS // 64  # so many patterns, by up to 64 size classes, may be broadcast
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -168,43 +170,66 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _crossed(rows: DataFrame, want: DataFrame) -> DataFrame:
+def _crossed(rows: DataFrame, want: DataFrame, few: bool) -> DataFrame:
     """Per pattern the first bin at which before + the running sum of size
     passes rest, with the sum before that bin.  At most 2 ** STEP bins a pattern."""
     bins = rows.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("bin"))
-    bins = bins.withColumn("upto", upto).join(_small(want.select("pattern", "rest", F.col("before").alias("base"))), "pattern")
+    base = want.select("pattern", "rest", F.col("before").alias("base"))
+    bins = bins.withColumn("upto", upto).join(F.broadcast(base) if few else base, "pattern")
     return checkpoint(bins.where("base + upto > rest").groupBy("pattern").agg(
         F.min("bin").alias("bin"), F.min(F.col("base") + F.col("upto") - F.col("n")).alias("before"),
         F.first("rest").alias("rest")))
 
 
-def _cut(rows: DataFrame, want: DataFrame) -> DataFrame:
-    """pattern, bin, before, rest: where the running sum of size over the bins
-    passes rest (pattern, rest are given by want), in two steps."""
-    placed = rows.withColumn("bin", F.pmod("h", F.lit(BINS)))
-    coarse = _crossed(placed.withColumn("bin", F.shiftright("bin", STEP)), want.withColumn("before", F.lit(0)))
-    inside = coarse.withColumnRenamed("bin", "part")
-    return _crossed(placed.join(_small(inside.select("pattern", "part")), "pattern").where(
-        F.shiftright("bin", STEP) == F.col("part")), inside)
-
-
-def _fill(fit: DataFrame, gaps: DataFrame) -> DataFrame:
-    """pattern, h, size: documents of fit (each no larger than its pattern's gap)
-    that at least halve the gap, or all of them.  They are those before the first
-    that overshoots in the seeded order, or that one alone where it is larger."""
-    cut = _cut(fit, gaps.select("pattern", F.col("gap").alias("rest")))
-    here = fit.join(_small(cut.select("pattern", "bin", "before")), "pattern", "left").withColumn(
-        "b", F.pmod("h", F.lit(BINS)))
-    order = Window.partitionBy("pattern").orderBy("h")
-    edge = checkpoint(here.where("b = bin").withColumn("upto", F.col("before") + F.sum("size").over(order)))
-    alone = edge.where("upto > gap").groupBy("pattern").agg(F.min(F.struct("h", "size", "upto")).alias("x")).where(
-        "2 * x.size > x.upto").select("pattern", "x.h", "x.size")
-    alone = checkpoint(alone)
-    first = here.where("bin is null or b < bin").select("pattern", "h", "size").unionByName(
-        edge.where("upto <= gap").select("pattern", "h", "size"))
-    new = first.join(_small(alone.select("pattern")), "pattern", "left_anti").unionByName(alone)
-    return checkpoint(new.coalesce(fit.sparkSession.sparkContext.defaultParallelism))
+def _cut(rows: DataFrame, want: DataFrame, few: bool, steps: int = 2) -> DataFrame:
+    """pattern, bin, before, rest: where the running sum of size over the bins (numbers of
+    steps x STEP bits) passes rest (pattern, rest are given by want), step by step."""
+    found = want.withColumn("before", F.lit(0))
+    for step in reversed(range(steps)):
+        if step < steps - 1:
+            inside = found.select("pattern", F.col("bin").alias("part"))
+            rows_here = rows.join(F.broadcast(inside) if few else inside, "pattern").where(
+                F.shiftright("bin", STEP * (step + 1)) == F.col("part"))
+        else:
+            rows_here = rows
+        found = _crossed(rows_here.withColumn("bin", F.shiftright("bin", STEP * step)), found, few)
+    return found
+
+
+def _hash_bin() -> Column:
+    return F.pmod("h", F.lit(BINS))
+
+
+def _filled(table: pa.Table) -> pa.Table:
+    """Greedy choice of one pattern: classes from the largest sizes down, in a class the
+    smallest first, each document that fits what is left of the gap."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("level", "size", "h"))), key=lambda r: (-r[0], r[1], r[2]))
+    gap, taken = table.column("gap")[0].as_py(), []
+    for _, size, h in rows:
+        if size <= gap:
+            taken.append((h, size))
+            gap -= size
+    return pa.table({"pattern": pa.array([table.column("pattern")[0].as_py()] * len(taken), pa.list_(pa.string())),
+                     "h": pa.array([h for h, _ in taken], pa.int64()), "size": pa.array([x for _, x in taken], pa.int64())})
+
+
+def _fill(fit: DataFrame, few: bool) -> DataFrame:
+    """pattern, h, size: documents of fit (pattern, h, size, gap; none larger than its
+    pattern's gap) that fill the gap.  A class holds the sizes from a power of 2 to the next.
+
+    Of a class the smallest documents are enough, as far as their words pass the gap;
+    they are found by a cut over 256 steps of size and the hash.  So the rows of a
+    pattern that meet in one task hold at most the gap's words a class, and one bin more."""
+    top = F.length(F.bin("size")) - 1
+    placed = fit.withColumn("level", top.cast("int")).withColumn("group", F.col("pattern")).withColumn(
+        "bin", (F.expr("shiftright(size * 256, level)") - 256) * BINS + _hash_bin())
+    classed = placed.withColumn("pattern", F.concat("group", F.array(F.col("level").cast("string"))))
+    want = checkpoint(classed.groupBy("pattern").agg(F.max("gap").alias("rest")))
+    cut = _cut(classed.select("pattern", "bin", "size"), want, few, steps=3).select("pattern", F.col("bin").alias("last"))
+    near = classed.join(F.broadcast(cut) if few else cut, "pattern", "left").where("last is null or bin <= last")
+    return checkpoint(near.select(F.col("group").alias("pattern"), "level", "size", "h", "gap").groupBy("pattern").applyInArrow(
+        _filled, "pattern array<string>, h long, size long"))
 
 
 def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,33 +239,37 @@ def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = F.when(F.col("cap") > 0, F.col("want") - F.floor(F.col("want") / F.col("cap")) * F.col("cap")).otherwise(0)
     want = checkpoint(want.withColumn("copies", F.when(F.col("cap") > 0, F.floor(F.col("want") / F.col("cap")))
                                       .otherwise(0).cast("long")).withColumn("rest", rest.cast("long")))
-    cut = _cut(slim, want)
+    few = want.limit(FEW_PATTERNS + 1).count() <= FEW_PATTERNS
+    cut = _cut(slim.withColumn("bin", _hash_bin()), want, few)
     plans = checkpoint(want.join(cut.drop("rest"), "pattern", "left").select(
         "pattern", "copies", F.coalesce("bin", F.lit(BINS)).alias("bin"), F.coalesce("before", F.lit(0)).alias("before"),
         F.when(F.col("bin").isNull(), 0).otherwise(F.col("rest")).alias("rest")))
-    here = slim.withColumn("b", F.pmod("h", F.lit(BINS))).join(_small(plans), "pattern")
+    small = F.broadcast if few else lambda df: df  # tables of a row a pattern
+    here = slim.withColumn("b", _hash_bin()).join(small(plans), "pattern")
     order = Window.partitionBy("pattern").orderBy("h")  # rows of equal h (repeats of a document) go together
     edge = checkpoint(here.where("b = bin").withColumn("upto", F.col("before") + F.sum("size").over(order)))
     picked = checkpoint(edge.where("upto <= rest").select("pattern", "h", "size"))
-    units = None
-    while True:
+
+    def gaps_left() -> DataFrame:
         got = picked.groupBy("pattern").agg(F.sum("size").alias("got"))
-        gaps = checkpoint(plans.join(got, "pattern", "left").select(
+        return checkpoint(plans.join(small(got), "pattern", "left").select(
             "pattern", "bin", (F.col("rest") - F.col("before") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0"))
-        if gaps.isEmpty():
-            break
-        if units is None:  # what may fill the gaps; repeats of a document are one
-            units = checkpoint(slim.join(_small(gaps), "pattern").where(
-                (F.pmod("h", F.lit(BINS)) >= F.col("bin")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).groupBy(
-                "pattern", "h").agg(F.sum("size").alias("size")))
-        left = units.join(_small(gaps.select("pattern", "gap")), "pattern").where("size < 2 * gap").join(
+
+    gaps = gaps_left()
+    # what may fill the gaps; repeats of a document are one
+    units = checkpoint(slim.join(small(gaps), "pattern").where(
+        (_hash_bin() >= F.col("bin")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).groupBy(
+        "pattern", "h").agg(F.sum("size").alias("size")))
+    while True:  # once, or again where equal steps of size hid a smaller document
+        left = units.join(small(gaps.select("pattern", "gap")), "pattern").where("size < 2 * gap").join(
             _small(picked.select("pattern", "h").distinct()), ["pattern", "h"], "left_anti")
-        new = _fill(left.where("size <= gap"), gaps)
-        if new.isEmpty():  # none fits: at last the smallest that doesn't, where that comes nearer
+        fit = left.where("size <= gap")
+        if fit.isEmpty():  # none fits: at last the smallest that doesn't, where that comes nearer
             best = left.groupBy("pattern").agg(F.min(F.struct("size", "h")).alias("x"))
             picked = picked.unionByName(best.select("pattern", "x.h", "x.size"))
             break
-        picked = picked.unionByName(new)
+        picked = checkpoint(picked.unionByName(_fill(fit, few)))
+        gaps = gaps_left()
     return plans.select("pattern", "copies", "bin"), checkpoint(picked.select("pattern", "h").distinct())
 
 
