@@ -28,22 +28,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType
 
-from haggle.llm.spark import checkpoint, packed
+from haggle.llm.spark import BROADCAST_ROWS, checkpoint, packed
 
 BITS_PER_KEY = 16
 BITS_SET = 4
 SEGMENT_WORDS = 1 << 14  # words merged together: 128 KiB a layer
 MAX_FILTER_BYTES = 64 << 20
+DIGEST_ROWS = 256
 HEAVY_SHARE = 1000       # a group with over 1/1000 of the rows is heavy; there are fewer than 1000
 
 
 @arrow_udf(BinaryType())  # a type object: workers import this module without a session
 def text_digest(text: pa.Array) -> pa.Array:
     """SHA-256 of the text with A-Z lower-cased, in UTF-8; null counts as empty."""
-    lowered = pc.ascii_lower(pc.fill_null(text, ""))
-    sha = hashlib.sha256
-    return pa.array([sha(v).digest() for v in lowered.cast(
-        pa.large_binary() if pa.types.is_large_string(lowered.type) else pa.binary()).to_pylist()], pa.binary())
+    sha, out = hashlib.sha256, []
+    for at in range(0, len(text), DIGEST_ROWS):  # so many texts are held as Python objects at once
+        lowered = pc.ascii_lower(pc.fill_null(text.slice(at, DIGEST_ROWS), ""))
+        out += [sha(v).digest() for v in lowered.cast(
+            pa.large_binary() if pa.types.is_large_string(lowered.type) else pa.binary()).to_pylist()]
+    return pa.array(out, pa.binary())
 
 
 def _places(digests: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,14 +182,34 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                       max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """docs without the rows that an equal text with a larger doc_id (or, at a
-    tie, one other row) replaces; all columns are kept as they are.  Rules as in
-    ``exact_groups``.  Rows without an equal are never shuffled."""
-    flagged, _ = _flagged(docs, F.col(text), packed(docs), F.col(doc_id).alias("id"), max_filter_bytes=max_filter_bytes)
-    some = flagged.where("maybe")
-    # the largest id of each digest, then the rows that carry it: the join key is unique up to repeated rows
-    keep = checkpoint(some.groupBy("digest").agg(F.max("id").alias("keep")))
-    winners = some.join(keep.withColumnRenamed("digest", "of"), (F.col("digest") == F.col("of"))
-                        & F.col("id").eqNullSafe(F.col("keep")))
-    first = F.row_number().over(Window.partitionBy("digest", "id").orderBy("digest"))
-    winners = winners.withColumn("n", first).where("n = 1")
-    return flagged.where("not maybe").select("row.*").unionByName(winners.select("row.*"))
+    tie, one other row) replaces; all columns are kept as they are.
+
+    Null text counts as empty, a null doc_id is smaller than any other; of rows that
+    repeat doc_id and text one stays; an empty table gives an empty one.  Other columns may have any name.
+
+    Ids and digests are written once; the filter, the groups and the ids that go
+    come from that table.  Rows meet the ids that go in a broadcast, if these
+    are at most BROADCAST_ROWS; otherwise rows that may have an equal are shuffled, and
+    those without one never are."""
+    spark = docs.sparkSession
+    slim = checkpoint(docs.select(F.col(doc_id).alias("id"), text_digest(F.col(text)).alias("digest")))
+    total = slim.count()
+    bits = repeat_filter(slim.select("digest"), total, max_filter_bytes)
+    some = slim.where(maybe_repeated(F.col("digest"), bits, spark))
+    rows = checkpoint(some.groupBy("digest", "id").agg(F.count("*").alias("times")))
+    shared = _with_totals(rows, total)
+    marks = checkpoint(shared.where("not (id <=> keep_id) or times > 1").select(
+        F.col("digest").alias("of"), F.col("id").alias("mark"), F.expr("id <=> keep_id").alias("again")))
+    digested = docs.select(packed(docs), F.col(doc_id).alias("id"), text_digest(F.col(text)).alias("digest"))
+    on = (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("mark"))
+    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        kept = digested.join(F.broadcast(marks), on, "left_anti").select("row.*")
+    else:
+        flagged = digested.withColumn("maybe", maybe_repeated(F.col("digest"), bits, spark))
+        kept = flagged.where("not maybe").select("row.*").unionByName(
+            flagged.where("maybe").join(marks, on, "left_anti").select("row.*"))
+    again = marks.where("again")
+    if again.limit(1).count():  # the row that stays is repeated as a whole: the first of each
+        one = digested.join(again, on).groupBy("digest", "id").agg(F.first("row").alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
+    return kept
