@@ -17,7 +17,7 @@ from haggle.llm.langid import CHANCE, UNDETERMINED, above_floor, identify, learn
 from haggle.llm.mixing import mixed_documents
 from haggle.llm.near_dedup import near_duplicates
 from haggle.llm.pieces import digest_documents
-from haggle.llm.spark import BROADCAST_ROWS, shared_path, unused_name
+from haggle.llm.spark import BROADCAST_ROWS, shared_path, unused_name, written
 
 # What an unrelated text's cosine with one prototype stays under (two standard
 # deviations).  No floor of language_identification lies below it.
@@ -29,18 +29,20 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     go those without a letter, and those unlike every language: their cosine is
     under a floor that the labelled documents of their length teach
     (``learn_floors``).  Texts too short to be judged stay.  Without any label
-    nothing can be told and all lettered documents go."""
+    nothing can be told and all lettered documents go.  Every text is scored
+    once: the scored documents are written, the floors are learnt from that
+    table and applied to it."""
     columns = docs.columns
     pred, score, grams = (unused_name(docs, n) for n in ("pred", "score", "grams"))
     prototypes = train(docs)
-    found = identify(docs, prototypes, lang_out=pred, score_out=score, grams_out=grams)
+    found, _ = written(identify(docs, prototypes, lang_out=pred, score_out=score, grams_out=grams), "scored")
     floors = learn_floors(found, "lang", pred, score, grams, len(prototypes))
     return found.where((F.col(pred) != UNDETERMINED) & above_floor(
         floors, sorted(prototypes), pred, score, grams)).select(*columns)
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lower-cased) the row with the largest doc_id."""
+    """Of equal texts (A-Z lower-cased; null counts as empty) the row with the largest doc_id."""
     return drop_exact_copies(docs)
 
 
