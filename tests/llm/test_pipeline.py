@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert names["pipeline"] is P.run and 4 <= len(P.STAGES) <= 5
 
