@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,11 +41,10 @@ ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPES = frozenset("ul ol dl table select article section div body".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<svg(?=[\s/])(?:\s*+[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+\s*+/>"  # empty
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[<>]|=\s*+([\"']?)")  # what ends a tag, or begins a value
+_VALUE = re.compile(r"[^\s>]*+")
+_RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _DIGIT = re.compile(r"\d")
@@ -85,6 +85,60 @@ def clean(text: str) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """(end of the attributes, end of the tag) from the end of its name on.  A quote counts
+    where a value begins; one that is never closed ends with the tag.  A tag without
+    its ``>`` ends at the next ``<``, or with the page."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start(), m.end()
+        if m[0] == "<":
+            return m.start(), m.start()
+        at = m.end()
+        if m[1]:
+            if last[m[1]] >= at:
+                at = page.index(m[1], at) + 1
+            elif last[">"] >= at:
+                at = page.index(">", at)
+                return at, at + 1
+            else:
+                break
+        else:
+            at = _VALUE.match(page, at).end()
+    return len(page), len(page)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str, str]]:
+    """(begin, end, raw element, slash of an end tag, tag, attributes) of the markup, in one
+    walk over the page whatever it holds: every character is looked at a fixed
+    number of times.  Comments and the like have no tag; a raw element is one token
+    up to its end tag, or to the end of the page."""
+    at, last = 0, {c: page.rfind(c) for c in "\"'>"}
+    while (begin := page.find("<", at)) >= 0:
+        at = begin + 1
+        raw = slash = tag = attributes = ""
+        if page.startswith("!--", at):
+            end = page.find("-->", begin + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith(("!", "?"), at):
+            if last[">"] < at:
+                continue
+            end = page.index(">", at) + 1
+        elif m := _NAME.match(page, at):
+            slash, tag = m[1], m[2].lower()
+            stop, end = _tag_end(page, m.end(), last)
+            attributes = page[m.end(): stop]
+            if tag in _RAW_END and not slash:
+                if tag != "svg" or not attributes.endswith("/"):
+                    closing = _RAW_END[tag].search(page, end)
+                    end = closing.end() if closing else len(page)
+                raw, tag = tag, ""
+        else:
+            continue
+        yield begin, end, raw, slash, tag, attributes
+        at = end
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order.  Comments, scripts, styles, titles and
     the like give none; unclosed elements end where HTML lets them."""
@@ -120,8 +174,7 @@ def leaf_blocks(page: str) -> list[Block]:
             stack.pop()
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        begin, end = m.span()
+    for begin, end, raw, close, tag, attrs in tokens(page):
         if begin > at:
             if not page[at:begin].isspace():
                 leave_head()
@@ -129,12 +182,10 @@ def leaf_blocks(page: str) -> list[Block]:
             if in_link:
                 linked += begin - at
         at = end
-        raw, close, tag, attrs = m.groups()
-        if tag is None:
-            if raw and raw.lower() not in ("svg", "select"):
+        if not tag:
+            if raw and raw not in ("svg", "select"):
                 pieces.append(" " if pieces else "")
             continue
-        tag = tag.lower()
         if not close and tag not in IN_HEAD:
             leave_head()
         if tag in INLINE:
@@ -161,7 +212,7 @@ def leaf_blocks(page: str) -> list[Block]:
         rest = page[at:]
         if not rest.isspace():
             leave_head()
-        pieces.append(rest if "<" not in rest or not re.search(r"<[/!a-zA-Z]", rest) else rest[: rest.rfind("<")])
+        pieces.append(rest)
     flush()
     return [b for b in blocks if "head" not in b.tags]
 

@@ -259,3 +259,29 @@ def test_extract_awkward(spark):
     by = {r.page_id: r.main_text for r in got}
     assert len(got) == 7 and by[1] == by[2] == by[5] == "" and by[4].count("\n") == 4999
     assert H.extract_text(pages.limit(0)).collect() == []
+
+
+def tags_of(page):
+    return [(slash + tag or raw, attributes) for _, _, raw, slash, tag, attributes in H.tokens(page)]
+
+
+def test_tags_with_odd_quotes():
+    assert tags_of("<p title=it's>two</p>") == [("p", " title=it's"), ("/p", "")]
+    assert tags_of("<a href='x>two</a>") == [("a", " href='x"), ("/a", "")]
+    assert tags_of("<p a=\"x>y\" b = 'u<v' c>one<br/><b <i>") == [
+        ("p", " a=\"x>y\" b = 'u<v' c"), ("br", "/"), ("b", " "), ("i", "")]
+    assert tags_of("a < b <2 <- <!-- <p> --><?x?><!doctype html>") == [("", "")] * 3
+    assert tags_of("<script>if (a<b) '</p>'</SCRIPT ><svg a='/'/><svg><path/></svg>x<title>") == [
+        ("script", ""), ("svg", " a='/'/"), ("svg", ""), ("title", "")]
+    texts = lambda page: [b.text for b in H.leaf_blocks(page)]
+    assert texts("<p title=it's>two</p>") == ["two"] and texts("<p><a href='x>two</a> three</p>") == ["two three"]
+    assert texts("<p>one</p><p class='x") == ["one"] and texts("<p>1 < 2 & 3</p>") == ["1 < 2 & 3"]
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+    for part in ("<a href='x>word ", "<a ", "<a href=\"", "<!", "<!--", "<svg ", "<svg a=", "</script   ", "<title", "<p a=' b=\"", "< ", "<p =", "<script>"):
+        page = part * (1_000_000 // len(part))
+        began = time.perf_counter()
+        H.leaf_blocks(page)
+        assert time.perf_counter() - began < 3, part  # measured under a second; the bound allows for busy machines
