@@ -10,7 +10,8 @@ the ids before a file are the running sum of one row a file.
 Words repeat, so a task encodes a word (with the space before it) once and
 looks it up afterwards: the byte-level pattern always starts a token at a space
 that a non-space follows.  Texts where that can't be told go to the library
-whole.  The store is bounded and only saves time.
+whole.  The words of a slice are numbered by Arrow, looked up once a slice, and
+their ids put in place by numpy.  The store is bounded and only saves time.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from haggle.llm.spark import BROADCAST_ROWS
 from haggle.llm.words import as_bytes, slices
 
 STORE = 600_000   # words and as many word parts kept by a worker
+SLICE_BYTES = 2 << 20  # text encoded at once
 LONG_WORD = 64    # longer ones are not kept
 MARKS = ",.;:!?"  # a mark the pattern always cuts from the letters before it
 PLAIN = 0x250     # letters under it are shown by a table
@@ -98,19 +102,42 @@ class ByteTokenizer:
             return (self.rest if lead else self.first)[left] + self.pieces[self.line] + self.first[right]
         return b"".join([self.pieces[x] for x, _ in self.cutter.pre_tokenize_str(lead + word)])
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of each text (add_special_tokens=False)."""
+    def packed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the library's ids of all texts one after another (add_special_tokens=False), the number of each text)."""
         for store in (self.first, self.rest, self.pieces):
             if len(store) > STORE:
                 store.clear()
-        out, first, rest = [], self.first, self.rest.__getitem__
-        for t in texts:
-            if not self.by_word or _LOOSE_SPACE.search(t):
-                out.append(self._whole(t))
-            else:
-                head, *words = t.split(" ")
-                out.append(first[head] + b"".join(map(rest, words)))
-        return out
+        if not texts:
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        kept, whole = list(texts), {}
+        for i, t in enumerate(texts):
+            text = t.decode()
+            if not self.by_word or _LOOSE_SPACE.search(text):
+                kept[i], whole[i] = b"", self._whole(text)
+        buf = np.frombuffer(b" ".join(kept) + b" ", np.uint8)
+        ends = np.flatnonzero(buf == 32)  # of every word; an empty text has one empty word
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        bounds = np.concatenate(([0], np.cumsum(ends - starts)))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [
+            None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(buf[buf != 32])]).dictionary_encode()
+        begins = np.cumsum(np.fromiter(map(len, kept), np.int64, len(kept)) + 1)
+        first = np.searchsorted(starts, np.concatenate(([0], begins[:-1])))
+        leads = np.zeros(len(ends), np.int64)
+        leads[first] = 1
+        key, distinct = pd.factorize(words.indices.to_numpy().astype(np.int64) * 2 + leads)
+        names, stores = words.dictionary.to_pylist(), (self.rest, self.first)
+        made = [stores[x & 1][names[x >> 1].decode()] for x in distinct.tolist()]
+        key[first[list(whole)]] = np.arange(len(whole)) + len(made)
+        made += whole.values()
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        values, offsets, n = np.frombuffer(b"".join(made), "<i4"), np.cumsum(sizes) - sizes, sizes[key]
+        at = np.repeat(offsets[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return values[at], np.add.reduceat(n, first)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text, as little-endian int32 bytes."""
+        values, counts = self.packed([t.encode() for t in texts])
+        return [x.tobytes() for x in np.split(values, np.cumsum(counts)[:-1])] if texts else []
 
 
 def tokenizer(path: str) -> ByteTokenizer:
@@ -130,13 +157,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         own, file, before = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = own.ids([t.decode() for t in as_bytes(part.column("text"))])
-                sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+            for part in slices(batch, "text", SLICE_BYTES):
+                ids, sizes = own.packed(as_bytes(part.column("text")))
+                sizes = sizes + 1
                 ends = np.cumsum(sizes)
-                values = np.frombuffer(b"".join([x + end for x in ids]), "<i4")
+                values = np.insert(ids, np.cumsum(sizes - 1), end_id).astype("<i4")
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.full(len(sizes), file), pa.int64()),
@@ -160,7 +186,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # a row a file
     upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("file", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(base), "file").select(
+    few = files.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(base) if few else base, "file").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
