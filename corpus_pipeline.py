@@ -17,7 +17,7 @@ from haggle.llm.langid import CHANCE, UNDETERMINED, above_floor, identify, learn
 from haggle.llm.mixing import mixed_documents
 from haggle.llm.near_dedup import near_duplicates
 from haggle.llm.pieces import digest_documents
-from haggle.llm.spark import BROADCAST_ROWS, shared_path, unused_name, written
+from haggle.llm.spark import BROADCAST_ROWS, shared_path, unused_name
 
 # What an unrelated text's cosine with one prototype stays under (two standard
 # deviations).  No floor of language_identification lies below it.
@@ -35,7 +35,10 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     columns = docs.columns
     pred, score, grams = (unused_name(docs, n) for n in ("pred", "score", "grams"))
     prototypes = train(docs)
-    found, _ = written(identify(docs, prototypes, lang_out=pred, score_out=score, grams_out=grams), "scored")
+    path = shared_path(spark, "scored")
+    scored = identify(docs, prototypes, lang_out=pred, score_out=score, grams_out=grams)
+    scored.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(scored.schema).parquet(path)
     floors = learn_floors(found, "lang", pred, score, grams, len(prototypes))
     return found.where((F.col(pred) != UNDETERMINED) & above_floor(
         floors, sorted(prototypes), pred, score, grams)).select(*columns)
