@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import small
 from ..session import ensure_checkpoint_dir
 
 DIALOGUE_SCHEMA = T.StructType([
@@ -169,6 +170,31 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
 METRIC_SCHEMA = "step long, value double, run string, name string"
 
 
+def _has_path(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _foldered(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRIC_SCHEMA).parquet(f"{path}/series")
+
+
+def _packed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{METRIC_SCHEMA}, pack int").parquet(f"{path}/packed")
+
+
+def _in_series(df: DataFrame, series: DataFrame, how: str) -> DataFrame:
+    """df's rows that are (left_semi) or are not (left_anti) of one of the series (run, name; null is a name too)."""
+    series = series.select(F.col("run").alias("_r"), F.col("name").alias("_n"))
+    return df.join(series, F.col("run").eqNullSafe(F.col("_r")) & F.col("name").eqNullSafe(F.col("_n")), how)
+
+
+METRIC_STEPS = 1 << 20  # steps of a series that one task writes
+SHORT_SERIES = 1000     # a series of fewer steps is short
+FEW_SERIES = 1000       # so many short series of one write get folders
+PACKS = 64              # folders of all the others
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     """Write series of ``(run, step, name, value)`` to the metric store: a folder per run
     and series.  Writing a series of a run replaces what the store had of it, and
@@ -176,19 +202,39 @@ def write_metrics(df: DataFrame, path: str) -> None:
     commit their files only when the whole job has succeeded.
 
     A long series is several files of its folder; rows are dealt out by run, name and
-    a slice of the steps, so no run has to fit in one task."""
-    rows = df.select(F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value"),
-                     F.col("run").cast("string").alias("run"), F.col("name").cast("string").alias("name"))
-    (rows.repartition("run", "name", F.floor(F.col("step") / F.lit(METRIC_STEPS))).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run", "name").parquet(path))
-
-
-METRIC_STEPS = 1 << 20  # steps of a series that one task writes
+    a slice of the steps, so no run has to fit in one task.  Where a write has more
+    than ``FEW_SERIES`` short series, as the one best step of each of many runs,
+    the short ones share ``PACKS`` folders by a hash of their run: folders and files
+    follow the rows, not the runs.  A series stays where the store has it."""
+    spark = df.sparkSession
+    rows = written(df.select(F.col("step").cast("long").alias("step"), F.col("value").cast("double").alias("value"),
+                             F.col("run").cast("string").alias("run"), F.col("name").cast("string").alias("name")), "metric_rows")
+    series = rows.groupBy("run", "name").agg(F.count(F.lit(1)).alias("n"))
+    few = series.where(F.col("n") < SHORT_SERIES).limit(FEW_SERIES + 1).count() <= FEW_SERIES
+    own = series if few else series.where(F.col("n") >= SHORT_SERIES)
+    if _has_path(spark, f"{path}/packed"):
+        own = _in_series(own, _packed(spark, path), "left_anti")
+    if not few and _has_path(spark, f"{path}/series"):
+        own = own.unionByName(_in_series(series, _foldered(spark, path), "left_semi"))
+    own = small(written(own.select("run", "name").distinct(), "metric_series"))  # before folders it is read from are replaced
+    (_in_series(rows, own, "left_semi").repartition("run", "name", F.floor(F.col("step") / F.lit(METRIC_STEPS)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "name").parquet(f"{path}/series"))
+    rest = _in_series(rows, own, "left_anti").withColumn("pack", F.pmod(F.xxhash64("run"), F.lit(PACKS)).cast("int"))
+    if _has_path(spark, f"{path}/packed"):  # a pack keeps its other series
+        stay = _packed(spark, path).join(F.broadcast(rest.select("pack").distinct()), "pack", "left_semi")
+        stay = _in_series(stay, small(series.select("run", "name")), "left_anti")
+        rest = rest.unionByName(written(stay, "metric_rows"))
+    elif few:
+        return
+    (rest.hint("rebalance", "pack").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("pack").parquet(f"{path}/packed"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(run, step, name, value) of a metric store; filters on run and name skip folders."""
-    return spark.read.schema(METRIC_SCHEMA).parquet(path).select("run", "step", "name", "value")
+    """(run, step, name, value) of a metric store; filters on run and name skip folders of series."""
+    found = [read(spark, path).select("run", "step", "name", "value") for read, folder in (
+        (_foldered, "series"), (_packed, "packed")) if _has_path(spark, f"{path}/{folder}")]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def write_run_config(spark: SparkSession, config: dict, path: str) -> None:
