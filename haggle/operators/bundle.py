@@ -180,14 +180,28 @@ def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", po
     return d.select(*events.columns, *made)
 
 
-def open_clarifications(candidates: DataFrame, asked: DataFrame, *, keys=("flow_id", "topic"),
+def open_clarifications(mentions: DataFrame, asked: DataFrame | None = None, *, keys=("flow_id", "topic"),
                         pos: str = "turn") -> DataFrame:
     """Each dialogue's topics (features, accessories, the product) with the
     turn at which they were first asked about: a topic is open at turn t iff
     ``asked_turn`` is NULL or later than t.  One row per (dialogue, topic)
-    says it for all turns."""
-    first = asked.groupBy(*keys).agg(F.min(pos).alias("asked_turn"))
-    return candidates.join(first, list(keys), "left")
+    says it for all turns.
+
+    ``mentions`` has a row or more per (dialogue, topic).  With ``asked`` the
+    questions (keys and ``pos``) are a table of their own, else a mention that is
+    a question has its turn as ``pos``, and the others NULL.  One grouping, no
+    join: mentions that are dealt out by dialogue stay where they are."""
+    keys = list(keys)
+    if asked is None:
+        rows = mentions.select(*keys, pos, F.lit(True).alias("_said"))
+    else:
+        rows = mentions.select(*keys, F.lit(None).cast(asked.schema[pos].dataType).alias(pos), F.lit(True).alias("_said")
+                               ).unionByName(asked.select(*keys, pos, F.lit(False).alias("_said")))
+    named = F.lit(True)
+    for k in keys:   # a question without a dialogue or a topic asks about none
+        named = named & F.col(k).isNotNull()
+    return rows.groupBy(*keys).agg(F.min(F.when(named, F.col(pos))).alias("asked_turn"), F.max("_said").alias("_said")).where(
+        "_said").drop("_said")
 
 
 # ---- FIXED VALUES: buyer actions allowed in a negotiation state ----------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.hashing import sql_md5_int
+from ..functions.joins import small
 from ..labels import REPLY_INTENTS, TEMPLATE_ALIASES, TEMPLATES, label_rows, reply_intent_table, sql_values, template_table
 from ..operators import bundle as B
 from ..operators import extract as E
@@ -188,14 +189,22 @@ SELECT t.flow_id, t.topic, min(b.turn) AS asked_turn
 FROM topics t LEFT JOIN basket b ON b.flow_id = t.flow_id AND b.item = t.topic AND b.action = 'ask'
 GROUP BY t.flow_id, t.topic""")
 def q_open_clarifications(spark, sf_dir):
-    """Topics of a flow: its items, its products and their features."""
-    bk = X.basket(spark, sf_dir).select("flow_id", "turn", "item", "product", "action")
+    """Topics of a flow: its items, its products and their features.  A turn is
+    many mentions, so flows are dealt out to as many tasks as there are
+    ``TASK_TURNS`` turns: what a task holds doesn't grow with the table."""
+    tasks = X.table(spark, sf_dir, "lineitem").count() // TASK_TURNS + 1
+    bk = X.basket(spark, sf_dir).select("flow_id", "turn", "item", "product", "action").repartition(tasks, "flow_id")
     feats = X.catalog_products(spark, sf_dir).select("product", F.split("features", ",").alias("f"))
-    seen = bk.select("flow_id", "product", "item").distinct().join(feats, "product", "left")
-    topics = seen.select("flow_id", F.explode(F.concat(F.array("item", "product"), F.coalesce(
-        "f", F.array().cast("array<string>")))).alias("topic")).distinct()
-    asked = bk.filter(F.col("action") == "ask").select("flow_id", F.col("item").alias("topic"), "turn")
-    return B.open_clarifications(topics, asked)
+    no_turn = F.lit(None).cast("int")
+    said = lambda topic: F.struct(topic.alias("topic"), no_turn.alias("turn"))
+    item = F.struct(F.col("item").alias("topic"), F.when(F.col("action") == "ask", F.col("turn")).otherwise(no_turn).alias("turn"))
+    mentions = bk.join(small(feats), "product", "left").select("flow_id", F.inline(F.concat(
+        F.array(item, said(F.col("product"))), F.coalesce(F.transform("f", said), F.array().cast(
+            "array<struct<topic:string,turn:int>>")))))
+    return B.open_clarifications(mentions)
+
+
+TASK_TURNS = 1 << 16   # turns of a task, where each becomes some dozens of rows
 
 
 def _legal_case() -> str:

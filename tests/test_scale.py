@@ -45,3 +45,11 @@ def test_many_short_series_share_folders(spark, tmp_path, monkeypatch):
     write(again)   # a series is replaced wherever it lies
     new = {(r[0], r[2]) for r in again}
     assert read() == sorted(again + [r for r in first if (r[0], r[2]) not in new], key=str)
+
+
+def test_mentions_with_their_questions(spark):
+    rows = [(1, "a", None), (1, "a", 3), (1, "a", 2), (1, "b", None), (2, "a", None), (1, None, 4), (1, None, None)]
+    df = spark.createDataFrame(rows, "flow_id long, topic string, turn int")
+    out = B.open_clarifications(df.repartition(3, "flow_id"))
+    assert plan_of(out).count("Exchange hashpartitioning") == 1   # the one by dialogue
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", 2), (1, "b", None), (2, "a", None), (1, None, None)], key=str)
