@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scan
 from ..functions.hashing import md5_int
+from ..functions.joins import small
+from ..session import checkpointed
 
 # ---- FIXED VALUES: simulator constants -----------------------------------
 DELIVERY = 500
@@ -286,27 +288,29 @@ def entity_describe(entities: DataFrame, acc_variants: DataFrame, prod_variants:
     """One description per (flow, entity): ``A <entity> called <name>.<text>``
     with a variant drawn (md5) from the product's accessories of that type,
     or, where the entity is not one of its accessory types, ``A <product>
-    called ...`` from the product's own descriptions.
-
-    Variants are numbered once; a flow draws a number and meets its one
-    variant by an equi-join, never all of them."""
-    ent = entities.select(flow, product, entity).distinct()
-    av = _numbered(acc_variants.select(product, F.col("acc_type").alias(entity), "name", "text"), [product, entity])
-    pv = _numbered(prod_variants.select(product, "name", "text"), [product])
-    sizes_a = av.select(product, entity, F.col("_n").alias("_na")).distinct()
-    sizes_p = pv.select(product, F.col("_n").alias("_np")).distinct()
+    called ...`` from the product's own descriptions; NULL where a key is NULL.
+
+    Variants are numbered once; a row draws a number and meets its one
+    variant by an equi-join, never all of them.  The draw depends on flow, entity
+    and product alone, so rows are described where they are: they are not
+    shuffled unless the catalog is too large for a broadcast."""
+    av = checkpointed(_numbered(acc_variants.select(product, F.col("acc_type").alias(entity), "name", "text"), [product, entity]))
+    pv = checkpointed(_numbered(prod_variants.select(product, "name", "text"), [product]))
+    sizes_a = small(av.select(product, entity, F.col("_n").alias("_na")).distinct())
+    sizes_p = small(pv.select(product, F.col("_n").alias("_np")).distinct())
     draw = md5_int(seed, flow, entity, product)
-    ent = ent.join(sizes_a, [product, entity], "left").join(sizes_p, product, "left").withColumns({
-        "_ia": F.pmod(draw, F.col("_na")) + 1, "_ip": F.when(F.col("_na").isNull(), F.pmod(draw, F.col("_np")) + 1)})
-    av = av.select(product, entity, F.col("_i").alias("_ia"), F.struct("name", "text").alias("_va"))
-    pv = pv.select(product, F.col("_i").alias("_ip"), F.struct("name", "text").alias("_vp"))
+    ent = entities.join(sizes_a, [product, entity], "left").join(sizes_p, product, "left").withColumn("_draw", draw).withColumns({
+        "_ia": F.pmod("_draw", F.col("_na")) + 1, "_ip": F.when(F.col("_na").isNull(), F.pmod("_draw", F.col("_np")) + 1)})
+    av = small(av.select(product, entity, F.col("_i").alias("_ia"), F.struct("name", "text").alias("_va")))
+    pv = small(pv.select(product, F.col("_i").alias("_ip"), F.struct("name", "text").alias("_vp")))
     pick = ent.join(av, [product, entity, "_ia"], "left").join(pv, [product, "_ip"], "left")
     a0, a1, a2 = DESCRIBE_FORMAT
     what = F.when(F.col("_va").isNotNull(), F.col(entity)).otherwise(F.col(product))
     v = F.coalesce("_va", "_vp")
-    desc = pick.select(flow, product, entity, F.concat(F.lit(a0), what, F.lit(a1), v["name"], F.lit(a2), v["text"])
-                       .alias("described"))
-    return entities.join(desc, [flow, product, entity], "left")
+    named = F.col(flow).isNotNull() & F.col(product).isNotNull() & F.col(entity).isNotNull()
+    first = [flow, product, entity]
+    return pick.select(*first, *[c for c in entities.columns if c not in first], F.when(named, F.concat(
+        F.lit(a0), what, F.lit(a1), v["name"], F.lit(a2), v["text"])).alias("described"))
 
 
 def flatten_nested(df: DataFrame, *, col: str = "nested", out: str = "flat") -> DataFrame:

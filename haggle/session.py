@@ -43,6 +43,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df kept in the shared checkpoint folder: a plan that reads it several times computes it once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only a local test session
     without one gets a fresh scratch folder."""

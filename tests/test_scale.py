@@ -53,3 +53,14 @@ def test_mentions_with_their_questions(spark):
     out = B.open_clarifications(df.repartition(3, "flow_id"))
     assert plan_of(out).count("Exchange hashpartitioning") == 1   # the one by dialogue
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a", 2), (1, "b", None), (2, "a", None), (1, None, None)], key=str)
+
+
+def test_rows_are_described_where_they_are(spark, no_estimates):
+    ents = spark.createDataFrame([(1, "p", "case", 1), (1, "p", "case", 2), (None, "p", "case", 3), (3, "p", None, 4)],
+                                 "flow_id long, product string, entity string, turn int")
+    acc = spark.createDataFrame([("p", "case", f"c{i}", "t") for i in range(5)], "product string, acc_type string, name string, text string")
+    prod = spark.createDataFrame([("p", "P1", "x")], "product string, name string, text string")
+    out = B.entity_describe(ents, acc, prod)
+    assert "SortMergeJoin" not in plan_of(out) and "ShuffledHashJoin" not in plan_of(out)
+    got = {r.turn: r.described for r in out.collect()}
+    assert got[1] == got[2] and got[1].startswith("A case called c") and got[3] is None and got[4] is None
