@@ -42,7 +42,7 @@ def word_buckets(text, buckets: int = BUCKETS) -> Column:
     """Sorted distinct buckets of a text's distinct lower-case words; an empty
     list for a NULL text."""
     one = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
-    return F.coalesce(F.array_sort(F.array_distinct(F.transform(words_of(text), one))), F.array().cast("array<int>"))
+    return F.coalesce(F.sort_array(F.array_distinct(F.transform(words_of(text), one))), F.array().cast("array<int>"))
 
 
 # -- models

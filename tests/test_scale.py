@@ -64,3 +64,14 @@ def test_rows_are_described_where_they_are(spark, no_estimates):
     assert "SortMergeJoin" not in plan_of(out) and "ShuffledHashJoin" not in plan_of(out)
     got = {r.turn: r.described for r in out.collect()}
     assert got[1] == got[2] and got[1].startswith("A case called c") and got[3] is None and got[4] is None
+
+
+def test_cosines_of_a_batch():
+    kind = pa.list_(pa.string())
+    a = pa.array([["a", "b", "a"], [""], None, ["x"], ["é"], ["q"]], kind)
+    b = pa.array([["a"], ["", "y"], ["a"], None, ["é"], ["r"]], kind)
+    got = S._word_cosines.func(a, b).to_pylist()
+    want = [2 / math.sqrt(5), 1 / math.sqrt(2), None, None, 1.0, 0.0]
+    assert all(g == w or abs(g - w) < 1e-12 for g, w in zip(got, want))
+    assert S._word_cosines.func(a.slice(4), b.slice(4)).to_pylist() == [1.0, 0.0]
+    assert S._word_cosines.func(a.slice(0, 0), b.slice(0, 0)).to_pylist() == []
