@@ -129,7 +129,7 @@ def q_concession_curve(spark, sf_dir):
 
 def basket_deltas(spark, sf_dir):
     bk = X.basket(spark, sf_dir)
-    d = bk.join(costs(spark, sf_dir).withColumnRenamed("accessory", "item"), "item", "left")
+    d = bk.join(small(costs(spark, sf_dir).withColumnRenamed("accessory", "item")), "item", "left")
     return d.withColumn("delta", (F.when(F.col("action") == "add", F.col("cost"))
                                   .when(F.col("action") == "remove", -F.col("cost")).otherwise(F.lit(0))
                                   + F.when((F.col("turn") == 1) & F.col("drop_delivery"), F.lit(-B.DELIVERY))
@@ -235,7 +235,8 @@ def q_legal_actions(spark, sf_dir):
     turn, the seller's reply to the previous turn (an answer after a
     question, a quoted or an asked price after a removal), and a deal when
     the running offer is within the tolerance of the buyer's price."""
-    bk = io.written(basket_deltas(spark, sf_dir), "basket")
+    bk = io.written(basket_deltas(spark, sf_dir).select(
+        "flow_id", "turn", "item", "action", "opening", "discount", "quoted", "delta"), "basket")
     d = B.bundle_state(bk, previous=("action", "quoted"), running=[("delta", "sum", "_moved", True)])
     n = F.col("before_n_selected") + F.col("before_n_removed")
     offer = F.col("opening") + F.coalesce("_moved", F.lit(0))

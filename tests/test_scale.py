@@ -66,6 +66,12 @@ def test_rows_are_described_where_they_are(spark, no_estimates):
     assert got[1] == got[2] and got[1].startswith("A case called c") and got[3] is None and got[4] is None
 
 
+def test_costs_are_met_without_a_shuffle_by_item(spark, no_estimates):
+    from haggle.plans.q_bundle import basket_deltas
+    from tests.tables import SF_SMALL
+    assert "hashpartitioning(item" not in plan_of(basket_deltas(spark, SF_SMALL))
+
+
 def test_cosines_of_a_batch():
     kind = pa.list_(pa.string())
     a = pa.array([["a", "b", "a"], [""], None, ["x"], ["é"], ["q"]], kind)
