@@ -16,7 +16,9 @@ is shuffled once (by that struct); the summary is aggregated on the already
 partitioned window output, so both uses of the window share one exchange
 (reused at run time) and only the small summary moves again.  A struct key
 is never NULL, so the optimizer infers no extra filter that would make the
-two branches differ and defeat the reuse.  Results equal the plain
+two branches differ and defeat the reuse.  Where most keys have a single chunk
+the summary is nearly as large as the data; ``by_chunks`` and ``by_size`` take
+those keys apart, which need one window only.  Results equal the plain
 single-window scan; ``pos`` must be an integer position that orders rows
 within the key (gaps allowed).
 """
@@ -53,6 +55,38 @@ def _join_back(d: DataFrame, carry: DataFrame) -> DataFrame:
     return d.join(carry, _K, "left")
 
 
+FEW_KEYS = 200_000   # so many keys with several chunks may be broadcast
+
+
+def by_chunks(df: DataFrame, keys, chunk: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the keys that have chunk 0 only, rows of the other keys or None
+    if there are none).  The first need no second level: one window per key does.
+    The other keys are looked for first, in a pass over keys and chunks alone."""
+    keys = _as_list(keys)
+    return _apart(df, keys, df.where(~chunk.eqNullSafe(F.lit(0))).select(*keys).distinct())
+
+
+def by_size(df: DataFrame, keys, of: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`by_chunks` for chunks of no fixed size, as days: (rows of the keys
+    with at most ``chunk_rows`` rows, rows of the others or None).  ``of``: where to
+    count the keys, if there is something cheaper than df."""
+    keys = _as_list(keys)
+    sizes = (df if of is None else of).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return _apart(df, keys, sizes.where(F.col("_n") > chunk_rows).select(*keys))
+
+
+def _apart(df: DataFrame, keys: list[str], several: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    several = several.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+    n = several.limit(FEW_KEYS + 1).count()
+    if not n:
+        return df, None
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    several = F.broadcast(several) if n <= FEW_KEYS else several
+    return df.join(several, same, "left_anti"), df.join(several, same, "left_semi")
+
+
 def ffill(df: DataFrame, keys, pos: str, value, out=None, *,
           exclusive: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Last non-null value at or (``exclusive``) strictly before each row.
@@ -118,7 +152,7 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
                nxt: list[str] | None = None, prv: list[str] | None = None, next_prefix: str = "next_",
                prev_prefix: str = "prev_", prv_two: bool = False, running: list | None = None,
                order: list | None = None, chunk: Column | None = None, totals: list | None = None,
-               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               chunk_rows: int = CHUNK_ROWS, one_chunk: bool = False) -> DataFrame:
     """Several ordered scans over the same key and order in one pass: forward
     fills (``fill`` = {value: out}), the next row's columns (``nxt``), the
     previous row's columns (``prv``; with ``prv_two`` also those of the row
@@ -130,12 +164,15 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
 
     Instead of an integer ``pos`` the order may be given by ``order`` columns
     and a coarse, order-compatible ``chunk`` (e.g. timestamp, id and the
-    day): a running sum of ones then numbers the rows in the same pass."""
+    day): a running sum of ones then numbers the rows in the same pass.
+
+    ``one_chunk`` says that every key has a single chunk (:func:`by_chunks`
+    finds those): the window runs per key, without summary and join back."""
     keys = _as_list(keys)
     fill, nxt, prv = dict(fill or {}), list(nxt or []), list(prv or [])
     running, totals = list(running or []), list(totals or [])
-    d = _keyed(df, keys, _pos_chunk(pos, chunk_rows) if chunk is None else chunk)
-    w = Window.partitionBy(_K).orderBy(*(order or [pos]))
+    d = df if one_chunk else _keyed(df, keys, _pos_chunk(pos, chunk_rows) if chunk is None else chunk)
+    w = Window.partitionBy(*(keys if one_chunk else [_K])).orderBy(*(order or [pos]))
     cols, aggs, carry_cols = {}, [], []
     if order or nxt or prv:
         cols["_ms_rn"] = F.row_number().over(w)
@@ -164,6 +201,18 @@ def multi_scan(df: DataFrame, keys, pos: str, *, fill: dict | None = None, fill_
         if prv_two:
             cols["_ms_pl2"] = F.lag(st_p, 2).over(w)
             aggs.append(F.max_by("_ms_pl", F.col("_ms_rn")).alias("_ms_second"))
+    if one_chunk:
+        cols.update({f"_ms_ta{i}": fns[how](v).over(w.rowsBetween(UNB, Window.unboundedFollowing))
+                     for i, (v, how, _) in enumerate(totals)})
+        out = {o: F.col(f"_ms_ta{i}") for i, (_, _, o) in enumerate(totals)}
+        out.update({fill[v]: F.col(loc if fill_exclusive else inc) for v, (inc, loc, _, _) in fnames.items()})
+        out.update({o: F.col(f"_ms_rl{i}" if excl else f"_ms_ri{i}") for i, (_, _, o, excl) in enumerate(running)})
+        out.update({next_prefix + c: F.col("_ms_nl")[c] for c in nxt})
+        out.update({prev_prefix + c: F.col("_ms_pl")[c] for c in prv})
+        if prv_two:
+            out.update({f"{prev_prefix}2_{c}": F.col("_ms_pl2")[c] for c in prv})
+        d = d.withColumns(cols).withColumns(out)
+        return d.drop(*[c for c in d.columns if c.startswith("_ms_")])
     d = d.withColumns(cols)
     summ = d.groupBy(_K).agg(*aggs)
     cw_before, cw = _carry_window(keys, -1), _carry_window(keys, None)
@@ -214,12 +263,19 @@ def shift(df: DataFrame, keys, pos: str, cols: list[str], *, direction: int = 1,
     return multi_scan(df, keys, pos, prv=cols, prev_prefix=prefix, chunk_rows=chunk_rows)
 
 
-def row_number(df: DataFrame, keys, order: list, chunk: Column, out: str) -> DataFrame:
+def row_number(df: DataFrame, keys, order: list, chunk: Column, out: str, *, few_chunks: bool = False,
+               sizes: DataFrame | None = None) -> DataFrame:
     """1-based row number within ``keys`` by ``order`` where ``chunk`` is a
     coarse, order-compatible bucket (e.g. the day of a timestamp): rows are
     numbered inside each (key, chunk) and offset by the row counts of the
-    earlier chunks of the key."""
+    earlier chunks of the key.  ``few_chunks``: most keys have chunk 0 only, and
+    are numbered by one window per key (:func:`by_chunks`); ``sizes`` (a table with
+    the keys, row by row): so are those with few rows there (:func:`by_size`)."""
     keys = _as_list(keys)
+    if few_chunks or sizes is not None:
+        df, several = by_chunks(df, keys, chunk) if few_chunks else by_size(df, keys, sizes)
+        one = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int"))
+        return one if several is None else one.unionByName(row_number(several, keys, order, chunk, out))
     d = _keyed(df, keys, chunk)
     d = d.withColumn("_scan_local", F.row_number().over(Window.partitionBy(_K).orderBy(*order)))
     summ = d.groupBy(_K).agg(F.max("_scan_local").alias("_scan_n"))

@@ -101,6 +101,11 @@ def day_of(ts: str):
     return F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long")
 
 
+def _users(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The user of each event, as ``name``: users with few events need no chunks."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias(name))
+
+
 NEGO_COLS = ["conv_id", "turn_no", "speaker", "event_id", "utterance", "intent", "price", "items", "background_data"]
 
 
@@ -125,7 +130,8 @@ def _nego_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nego(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan.row_number(_nego_rows(spark, sf_dir), "conv_id", ["ts", "event_id"], day_of("ts"), "turn_no")
+    rows = scan.row_number(_nego_rows(spark, sf_dir), "conv_id", ["ts", "event_id"], day_of("ts"), "turn_no",
+                           sizes=_users(spark, sf_dir, "conv_id"))
     return rows.select(NEGO_COLS)
 
 
@@ -148,9 +154,11 @@ def nego_scanned(spark: SparkSession, sf_dir: str, *, lead: bool = False, previo
         side.update({"_bu": F.when(F.col("speaker") == 0, F.col("utterance")),
                      "_su": F.when(F.col("speaker") == 1, F.col("utterance"))})
         fill.update({"_bu": "_buf", "_su": "_suf"})
-    d = scan.multi_scan(rows.withColumns(side), "conv_id", "_one", fill=fill, fill_exclusive=counterpart, nxt=nxt,
-                        next_prefix="_lead_", prv=prv, prev_prefix="prev_", prv_two=previous,
-                        running=[("_one", "sum", "turn_no", False)], order=["ts", "event_id"], chunk=day_of("ts"))
+    how = dict(fill=fill, fill_exclusive=counterpart, nxt=nxt, next_prefix="_lead_", prv=prv, prev_prefix="prev_",
+               prv_two=previous, running=[("_one", "sum", "turn_no", False)], order=["ts", "event_id"], chunk=day_of("ts"))
+    few, many = scan.by_size(rows.withColumns(side), "conv_id", _users(spark, sf_dir, "conv_id"))
+    d = scan.multi_scan(few, "conv_id", "_one", one_chunk=True, **how)
+    d = d if many is None else d.unionByName(scan.multi_scan(many, "conv_id", "_one", **how))
     own = F.when(F.col("speaker") == 0, F.col("_bpf")).otherwise(F.col("_spf"))
     new = {"turn_no": F.col("turn_no").cast("int"),
            "price_filled": F.coalesce(F.col("price"), own) if counterpart else own}
@@ -321,7 +329,7 @@ SELECT l_orderkey AS buffer, l_linenumber - 1 AS idx, -l_discount AS old_logp, -
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    e = scan.row_number(e, "user_id", ["ts", "event_id"], day_of("ts"), "step")
+    e = scan.row_number(e, "user_id", ["ts", "event_id"], day_of("ts"), "step", sizes=_users(spark, sf_dir, "user_id"))
     return e.select(F.col("user_id").alias("run"), "step", "value")
 
 

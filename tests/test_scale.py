@@ -72,6 +72,23 @@ def test_costs_are_met_without_a_shuffle_by_item(spark, no_estimates):
     assert "hashpartitioning(item" not in plan_of(basket_deltas(spark, SF_SMALL))
 
 
+def test_one_window_equals_two_levels(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(6), rnd.randrange(50), i, rnd.choice([None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, ts long, id int, v int").withColumn("one", F.lit(1))
+    how = dict(fill={"v": "f"}, nxt=["id"], prv=["v"], prv_two=True, order=["ts", "id"], chunk=F.floor(F.col("ts") / 7),
+               running=[("one", "sum", "n", False), ("v", "min", "low", True)], totals=[("v", "sum", "all")])
+    two = scan.multi_scan(df, "k", "one", **how)
+    few, many = scan.by_size(df, "k", chunk_rows=30)
+    assert many.count() > 0 and few.count() + many.count() == 200
+    one = scan.multi_scan(df, "k", "one", one_chunk=True, **how).select(two.columns)
+    assert [f.dataType for f in one.schema] == [f.dataType for f in two.schema]
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    numbered = [sorted(map(str, scan.row_number(df, "k", ["ts", "id"], F.floor(F.col("ts") / 7), "r", **x).collect()))
+                for x in ({}, {"sizes": df}, {"few_chunks": True})]
+    assert numbered[0] == numbered[1] == numbered[2]
+
+
 def test_cosines_of_a_batch():
     kind = pa.list_(pa.string())
     a = pa.array([["a", "b", "a"], [""], None, ["x"], ["é"], ["q"]], kind)
