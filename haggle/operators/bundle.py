@@ -149,14 +149,25 @@ def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", po
     status is not ``removed``.
 
     ``previous`` (columns of the turn before, as ``prev_<col>``) and ``running``
-    ((value, how, out, exclusive), see :func:`..functions.scan.multi_scan`) ride on the pass per flow."""
+    ((value, how, out, exclusive), see :func:`..functions.scan.multi_scan`) ride on the pass per flow.
+
+    Flows of one chunk of turns are dealt out by flow once, for both passes; only
+    flows with more turns take the two-level scans.  ``events`` is read more than
+    once: a written table is best."""
     keys = list(keys)
+    one, several = scan.by_chunks(events, keys, F.floor(F.col(pos) / F.lit(scan.CHUNK_ROWS)))
+    own = dict(keys=keys, item=item, pos=pos, action=action, previous=list(previous), running=list(running))
+    out = _bundle_scans(one.repartition(*keys), one_chunk=True, **own)
+    return out if several is None else out.unionByName(_bundle_scans(several, one_chunk=False, **own))
+
+
+def _bundle_scans(events: DataFrame, *, keys, item, pos, action, previous, running, one_chunk: bool) -> DataFrame:
     act = F.col(action)
     d = events.withColumns({
         "_c": F.when(act.isin("add", "remove"), act), "_rm": F.when(act == "remove", 1).otherwise(0),
         "_ng": F.when(act == "remove", 1).when(act == "ask", 0), "_f": F.struct(F.col(pos).alias("p"), act.alias("a"))})
     d = scan.multi_scan(d, [*keys, item], pos, fill={"_c": "_prev", "_ng": "_neg"}, fill_exclusive=True,
-                        running=[("_rm", "max", "_ever", True), ("_f", "min", "_first", False)])
+                        one_chunk=one_chunk, running=[("_rm", "max", "_ever", True), ("_f", "min", "_first", False)])
     first_add = F.col("_first.a") == "add"
     back = F.when(F.coalesce(F.col("_ever"), F.lit(0)) == 1, "back").when(first_add, "new").otherwise("initial")
     before = (F.when(F.col("_prev") == "remove", "removed").when(F.col("_prev") == "add", back)
@@ -171,7 +182,7 @@ def bundle_state(events: DataFrame, *, keys=("flow_id",), item: str = "item", po
     negotiable = F.coalesce(F.col("_ng"), F.col("_neg"), F.lit(0)) - F.coalesce(F.col("_neg"), F.lit(0))
     d = d.withColumns({"_ds": step(sel), "_dr": step(rem), "_db": step(bck), "_dn": negotiable,
                        "_i": ((F.col("_first.p") == F.col(pos)) & ~first_add).cast("int")})
-    d = scan.multi_scan(d, keys, pos, prv=list(previous), prev_prefix="prev_", totals=[("_i", "sum", "_n0")], running=[
+    d = scan.multi_scan(d, keys, pos, one_chunk=one_chunk, prv=previous, prev_prefix="prev_", totals=[("_i", "sum", "_n0")], running=[
         ("_ds", "sum", "n_selected", False), ("_dr", "sum", "n_removed", False), ("_db", "sum", "n_back", False),
         ("_dn", "sum", "n_negotiable", False), *running])
     d = d.withColumn("n_selected", F.col("n_selected") + F.col("_n0"))

@@ -176,7 +176,8 @@ WINDOW w AS (PARTITION BY flow_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"""
 SELECT flow_id, turn, item, action, status, CAST(n_selected AS BIGINT) AS n_selected, CAST(n_removed AS BIGINT) AS n_removed,
        CAST(n_negotiable AS BIGINT) AS n_negotiable FROM bstate""")
 def q_bundle_state(spark, sf_dir):
-    return B.bundle_state(io.written(X.basket(spark, sf_dir), "basket")).select(
+    bk = X.basket(spark, sf_dir).select("flow_id", "turn", "item", "action")
+    return B.bundle_state(io.written(bk, "basket")).select(
         "flow_id", "turn", "item", "action", "status", *(F.col(c).cast("long").alias(c) for c in (
             "n_selected", "n_removed", "n_negotiable")))
 

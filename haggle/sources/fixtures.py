@@ -396,12 +396,13 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                                  "l_returnflag", "l_discount", "l_quantity")
     # line numbers repeat within an order: number the lines by (line, part,
-    # supplier), in blocks of line numbers so a huge order still spreads out
+    # supplier), in blocks of line numbers so a huge order still spreads out; the
+    # lines then lie by order, and meet the orders before the parts
     li = scan.row_number(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"],
-                         F.floor(F.col("l_linenumber") / F.lit(1024)).cast("long"), "turn")
+                         F.floor(F.col("l_linenumber") / F.lit(1024)).cast("long"), "turn", few_chunks=True)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return (li.join(p, li.l_partkey == p.p_partkey, "inner").join(o, li.l_orderkey == o.o_orderkey, "inner")
+    return (li.join(o, li.l_orderkey == o.o_orderkey, "inner").join(p, li.l_partkey == p.p_partkey, "inner")
             .select(F.col("l_orderkey").alias("flow_id"), "turn",
                     F.col("p_type").alias("item"), F.col("p_brand").alias("product"),
                     F.when(F.col("l_returnflag") == "R", "remove").when(F.col("l_returnflag") == "A", "add")

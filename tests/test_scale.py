@@ -72,6 +72,18 @@ def test_costs_are_met_without_a_shuffle_by_item(spark, no_estimates):
     assert "hashpartitioning(item" not in plan_of(basket_deltas(spark, SF_SMALL))
 
 
+def test_flows_of_one_chunk_are_shuffled_once(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(f, t, rnd.choice("abc"), rnd.choice(["add", "remove", "ask"])) for f in range(30) for t in range(1, rnd.randint(2, 30))]
+    df = spark.createDataFrame(rows + [(None, 1, "a", "add"), (None, 2, "a", "remove")], "flow_id long, turn int, item string, action string")
+    whole = B.bundle_state(df)
+    assert plan_of(whole).count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 8)   # longer flows take the other way
+    one, several = scan.by_chunks(df, "flow_id", F.floor(F.col("turn") / 8))
+    assert 0 < several.count() and one.count() + several.count() == df.count()
+    assert sorted(map(str, B.bundle_state(df).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_one_window_equals_two_levels(spark):
     rnd = random.Random(6)
     rows = [(rnd.randrange(6), rnd.randrange(50), i, rnd.choice([None, i])) for i in range(200)]
