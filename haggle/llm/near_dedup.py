@@ -7,11 +7,15 @@ Scale.  Documents with equal shingle sets become one class first, so exact
 copies never meet in a bucket.  One row per class and band is shuffled (a key
 and an id), never text.  In a bucket every member is first paired with the
 bucket's least member only; after those links are joined to components, only
-buckets that still hold several components are compared further, in blocks of
+buckets that still hold several components are compared further, first each
+member's likeliest pair, then all pairs of what is still apart, in blocks of
 bounded size, and a pair leaves its block once (in the first band it shares)
-and only if its 1024 signature coordinates don't rule out the threshold.  So a
-group of thousands of copies gives about as many pairs as members, and no link
-that could join two components is left untested.
+and only if its 1024 signature coordinates don't rule out the threshold.  Of the
+bands' least members a class first meets the one it shares most buckets with;
+of its pairs with the others, only the likeliest between two components that are
+still apart are tested.  So a group of thousands of copies gives
+about as many pairs as members, and no link that could join two components is
+left untested.
 """
 
 from __future__ import annotations
@@ -92,16 +96,32 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, text: str, doc_id: st
 
 
 def _likeness(pairs: DataFrame) -> DataFrame:
-    """(a, b, likeness) from the two sketches of each pair."""
+    """(a, b, x, y, likeness) from the two sketches of each pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH_BYTES)
                            for c in ("sketch_a", "sketch_b"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(agreement(left, right), pa.float64())],
-                ["a", "b", "likeness"])
+                [*(batch.column(c) for c in "abxy"), pa.array(agreement(left, right), pa.float64())], [*"abxy", "likeness"])
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, likeness double")
+    return pairs.select(*"abxy", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, x long, y long, likeness double")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, x, y): the pairs whose ends lie in different components, x < y."""
+    a = found.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    b = found.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    named = pairs.join(a, "a", "left").join(b, "b", "left").select(
+        "a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    return named.where("x <> y").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _likeliest(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
+    """(a, b): of the pairs (a, b, x, y) of each x and y the likeliest, if its likeness reaches floor."""
+    a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"))
+    b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
+    return _likeness(pairs.join(b, "b").join(a, "a")).where(F.col("likeness") >= floor).groupBy("x", "y").agg(
+        F.max_by(F.struct("a", "b"), F.struct("likeness", "a", "b")).alias("pair")).select("pair.a", "pair.b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -122,9 +142,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, floor: float) -> DataFrame:
+def _cross_pairs(members: DataFrame, floor: float, nearest: bool = False) -> DataFrame:
     """Distinct pairs of different components in a bucket whose likeness
-    reaches floor.  members: (key, size, rep, component, sketch)."""
+    reaches floor, or with ``nearest`` only the likeliest of each member in a
+    block.  members: (key, size, rep, component, sketch)."""
     blocks = checkpoint(members.withColumn(
         "block", F.expr(f"pmod(xxhash64(rep, 11), ceil(size / {BLOCK}))")).groupBy("key", "block").agg(
         F.collect_list(F.struct("rep", "component", "sketch")).alias("rows")))
@@ -149,7 +170,10 @@ def _cross_pairs(members: DataFrame, floor: float) -> DataFrame:
                 for j in range(len(ids)):
                     begin = j + 1 if same[i] else 0
                     others = np.flatnonzero(comps2[begin:] != comps[j]) + begin
-                    others = others[agreement(sketches2[others], sketches[j]) >= floor]
+                    alike = agreement(sketches2[others], sketches[j])
+                    if nearest and len(others):
+                        others, alike = others[[alike.argmax()]], alike[[alike.argmax()]]
+                    others = others[alike >= floor]
                     if len(others):
                         shared = (sketches2[others, :WIDE] == sketches[j, :WIDE]).reshape(-1, BANDS, ROWS).all(axis=2)
                         others = others[shared.any(axis=1) & (shared.argmax(axis=1) == key_band)]
@@ -202,22 +226,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5,
                       .agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles"))
     sketches = checkpoint(classes.select(F.col("rep").alias("doc_id"), "sketch").join(ids, "doc_id"))
 
-    stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
-    likely = _likeness(stars.join(b, "b").join(a, "a")).where(F.col("likeness") >= floor).groupBy("b").agg(
-        F.max_by("a", F.struct("likeness", "a")).alias("a"))
-    links = checkpoint(verified(likely, sets, percent))
-    found = components(links)
-
-    named = checkpoint(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "size", "rep", F.coalesce("component", "rep").alias("component")))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
-        "x <> y").select("key")
-    rest = named.join(checkpoint(open_keys), "key").join(sketches.withColumnRenamed("doc_id", "rep"), "rep")
-    more = checkpoint(verified(_cross_pairs(rest, floor), sets, percent))
-
-    links = links.unionAll(more)
+    stars = checkpoint(members.where("rep <> centre").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(
+        F.count("*").alias("n")))
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    links = checkpoint(verified(_likeliest(nearest.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")),
+                                           sketches, floor), sets, percent))
+    others = checkpoint(_apart(stars, components(links)))
+    links = links.unionAll(checkpoint(verified(_likeliest(others, sketches, floor), sets, percent)))
+
+    for nearest in (True, False):  # what the likeliest pairs join needs no further comparing
+        named = checkpoint(members.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "size", "rep", F.coalesce("component", "rep").alias("component")))
+        open_keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(
+            "x <> y").select("key")
+        rest = named.join(checkpoint(open_keys), "key")
+        pairs = _cross_pairs(rest.join(sketches.withColumnRenamed("doc_id", "rep"), "rep"), floor, nearest)
+        links = links.unionAll(checkpoint(verified(pairs, sets, percent)))
+        members = rest.select("key", "size", "rep")
     # rows that repeat a doc_id with another text tie their classes together
     repeats = checkpoint(table.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(
         F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y").select("doc_id"))
