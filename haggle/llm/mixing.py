@@ -13,7 +13,10 @@ documents of that one bin are sorted.  The gap that the cut leaves (less than on
 document) is filled by size classes, large ones first: of each class only the
 smallest documents that could fill the gap are looked at, found by the same kind of cut.  The number
 of Spark jobs doesn't depend on the input.  Texts are never shuffled, and a
-source that holds a third of all rows is summed map-side like any other.
+source that holds a third of all rows is summed map-side like any other.  Where
+patterns are few, as single sources mostly are, the tables with a row a pattern
+are kept in a few parts: a job on them takes a few tasks, not one for every
+shuffle partition.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from haggle.llm.spark import BROADCAST_ROWS, checkpoint, packed
 STEP = 8         # bits of a bin number looked at together
 BINS = 1 << 2 * STEP
 FEW_PATTERNS = BROADCAST_ROWS // 64  # so many patterns, by up to 64 size classes, may be broadcast
+TINY, TINY_TASKS = 256, 8  # tables of a row a pattern or bin take so many tasks where there are so few patterns
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,10 +109,15 @@ def described(docs: DataFrame, source: str, text: str, doc_id: str, seed: int, *
         F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"))
 
 
-def ranked(sources: DataFrame, key: str) -> DataFrame:
+def _kept(df: DataFrame, tiny: bool) -> DataFrame:
+    """A checkpoint, of a few parts if df is tiny."""
+    return checkpoint(df.coalesce(TINY_TASKS) if tiny else df)
+
+
+def ranked(sources: DataFrame, key: str, tiny: bool = False) -> DataFrame:
     """sources plus rank (0, 1, ...) in the order of key, without one task that sees all rows."""
-    placed = checkpoint(sources.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn(
-        "_at", F.monotonically_increasing_id()))
+    placed = _kept(sources.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn(
+        "_at", F.monotonically_increasing_id()), tiny)
     parts = placed.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
     before = parts.withColumn("_before", F.coalesce(F.sum("_n").over(
         Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
@@ -116,12 +125,13 @@ def ranked(sources: DataFrame, key: str) -> DataFrame:
         "rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_n", "_before")
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...], share: float, total: int, limit: float) -> DataFrame:
+def targets(sources: DataFrame, weights: tuple[float, ...], share: float, total: int, limit: float,
+            tiny: bool = False) -> DataFrame:
     """sources (key, source_size) plus target: ``share`` of all words by weight
     (weights repeat in the order of keys); a target stops at ``limit`` times its
     source's size, and the excess goes to the others by weight until none is above."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    rows = checkpoint(ranked(sources, "key").withColumn("w", weight).withColumn("cap", F.col("source_size") * limit))
+    rows = _kept(ranked(sources, "key", tiny).withColumn("w", weight).withColumn("cap", F.col("source_size") * limit), tiny)
     level, full = None, F.lit(False)
     while True:
         x = rows.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))),
@@ -132,17 +142,17 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, total:
         level = max(share * total - (x[0] or 0.0), 0.0) / x[1] if x[1] else 0.0
         # the level never falls, so a full source stays full
         full = full | (F.col("w") * level > F.col("cap"))
-    return checkpoint(rows.select("key", "source_size", "rank", F.when(full, F.col("cap")).otherwise(
-        F.col("w") * level).alias("target")))
+    return _kept(rows.select("key", "source_size", "rank", F.when(full, F.col("cap")).otherwise(
+        F.col("w") * level).alias("target")), tiny)
 
 
-def wanted(patterns: DataFrame, sources: DataFrame, repeats: int) -> DataFrame:
+def wanted(patterns: DataFrame, sources: DataFrame, repeats: int, tiny: bool = False) -> DataFrame:
     """(pattern, cap, want): the flow's words for each pattern."""
-    member = checkpoint(patterns.select("pattern", "cap", F.explode("pattern").alias("key")).join(
-        sources.select("key", F.col("rank").alias("node"), F.round("target").cast("long").alias("quota")), "key"))
+    member = _kept(patterns.select("pattern", "cap", F.explode("pattern").alias("key")).join(
+        sources.select("key", F.col("rank").alias("node"), F.round("target").cast("long").alias("quota")), "key"), tiny)
     first = member.groupBy("pattern").agg(F.min("node").alias("a"))
-    shared = checkpoint(member.where(F.size("pattern") > 1).join(first, "pattern").where("a <> node").select(
-        "a", F.col("node").alias("b")).distinct())
+    shared = _kept(member.where(F.size("pattern") > 1).join(first, "pattern").where("a <> node").select(
+        "a", F.col("node").alias("b")).distinct(), tiny)
     if shared.isEmpty():
         part = member.withColumn("part", F.col("node"))
     else:
@@ -170,19 +180,19 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _crossed(rows: DataFrame, want: DataFrame, few: bool) -> DataFrame:
+def _crossed(rows: DataFrame, want: DataFrame, few: bool, tiny: bool) -> DataFrame:
     """Per pattern the first bin at which before + the running sum of size
     passes rest, with the sum before that bin.  At most 2 ** STEP bins a pattern."""
     bins = rows.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("bin"))
     base = want.select("pattern", "rest", F.col("before").alias("base"))
     bins = bins.withColumn("upto", upto).join(F.broadcast(base) if few else base, "pattern")
-    return checkpoint(bins.where("base + upto > rest").groupBy("pattern").agg(
+    return _kept(bins.where("base + upto > rest").groupBy("pattern").agg(
         F.min("bin").alias("bin"), F.min(F.col("base") + F.col("upto") - F.col("n")).alias("before"),
-        F.first("rest").alias("rest")))
+        F.first("rest").alias("rest")), tiny)
 
 
-def _cut(rows: DataFrame, want: DataFrame, few: bool, steps: int = 2) -> DataFrame:
+def _cut(rows: DataFrame, want: DataFrame, few: bool, tiny: bool, steps: int = 2) -> DataFrame:
     """pattern, bin, before, rest: where the running sum of size over the bins (numbers of
     steps x STEP bits) passes rest (pattern, rest are given by want), step by step."""
     found = want.withColumn("before", F.lit(0))
@@ -193,7 +203,7 @@ def _cut(rows: DataFrame, want: DataFrame, few: bool, steps: int = 2) -> DataFra
                 F.shiftright("bin", STEP * (step + 1)) == F.col("part"))
         else:
             rows_here = rows
-        found = _crossed(rows_here.withColumn("bin", F.shiftright("bin", STEP * step)), found, few)
+        found = _crossed(rows_here.withColumn("bin", F.shiftright("bin", STEP * step)), found, few, tiny)
     return found
 
 
@@ -214,7 +224,7 @@ def _filled(table: pa.Table) -> pa.Table:
                      "h": pa.array([h for h, _ in taken], pa.int64()), "size": pa.array([x for _, x in taken], pa.int64())})
 
 
-def _fill(fit: DataFrame, few: bool) -> DataFrame:
+def _fill(fit: DataFrame, few: bool, tiny: bool) -> DataFrame:
     """pattern, h, size: documents of fit (pattern, h, size, gap; none larger than its
     pattern's gap) that fill the gap.  A class holds the sizes from a power of 2 to the next.
 
@@ -225,35 +235,35 @@ def _fill(fit: DataFrame, few: bool) -> DataFrame:
     placed = fit.withColumn("level", top.cast("int")).withColumn("group", F.col("pattern")).withColumn(
         "bin", (F.expr("shiftright(size * 256, level)") - 256) * BINS + _hash_bin())
     classed = placed.withColumn("pattern", F.concat("group", F.array(F.col("level").cast("string"))))
-    want = checkpoint(classed.groupBy("pattern").agg(F.max("gap").alias("rest")))
-    cut = _cut(classed.select("pattern", "bin", "size"), want, few, steps=3).select("pattern", F.col("bin").alias("last"))
+    want = _kept(classed.groupBy("pattern").agg(F.max("gap").alias("rest")), tiny)
+    cut = _cut(classed.select("pattern", "bin", "size"), want, few, tiny, steps=3).select("pattern", F.col("bin").alias("last"))
     near = classed.join(F.broadcast(cut) if few else cut, "pattern", "left").where("last is null or bin <= last")
-    return checkpoint(near.select(F.col("group").alias("pattern"), "level", "size", "h", "gap").groupBy("pattern").applyInArrow(
-        _filled, "pattern array<string>, h long, size long"))
+    return _kept(near.select(F.col("group").alias("pattern"), "level", "size", "h", "gap").groupBy("pattern").applyInArrow(
+        _filled, "pattern array<string>, h long, size long"), tiny)
 
 
-def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cuts(slim: DataFrame, want: DataFrame, tiny: bool = False) -> tuple[DataFrame, DataFrame]:
     """(plans, picked).  plans: pattern, copies (of every document), bin: every
     document in a lower bin gets one copy more.  picked: pattern, h of the
     other documents that get one more."""
     rest = F.when(F.col("cap") > 0, F.col("want") - F.floor(F.col("want") / F.col("cap")) * F.col("cap")).otherwise(0)
-    want = checkpoint(want.withColumn("copies", F.when(F.col("cap") > 0, F.floor(F.col("want") / F.col("cap")))
-                                      .otherwise(0).cast("long")).withColumn("rest", rest.cast("long")))
+    want = _kept(want.withColumn("copies", F.when(F.col("cap") > 0, F.floor(F.col("want") / F.col("cap")))
+                                 .otherwise(0).cast("long")).withColumn("rest", rest.cast("long")), tiny)
     few = want.limit(FEW_PATTERNS + 1).count() <= FEW_PATTERNS
-    cut = _cut(slim.withColumn("bin", _hash_bin()), want, few)
-    plans = checkpoint(want.join(cut.drop("rest"), "pattern", "left").select(
+    cut = _cut(slim.withColumn("bin", _hash_bin()), want, few, tiny)
+    plans = _kept(want.join(cut.drop("rest"), "pattern", "left").select(
         "pattern", "copies", F.coalesce("bin", F.lit(BINS)).alias("bin"), F.coalesce("before", F.lit(0)).alias("before"),
-        F.when(F.col("bin").isNull(), 0).otherwise(F.col("rest")).alias("rest")))
+        F.when(F.col("bin").isNull(), 0).otherwise(F.col("rest")).alias("rest")), tiny)
     small = F.broadcast if few else lambda df: df  # tables of a row a pattern
     here = slim.withColumn("b", _hash_bin()).join(small(plans), "pattern")
     order = Window.partitionBy("pattern").orderBy("h")  # rows of equal h (repeats of a document) go together
-    edge = checkpoint(here.where("b = bin").withColumn("upto", F.col("before") + F.sum("size").over(order)))
-    picked = checkpoint(edge.where("upto <= rest").select("pattern", "h", "size"))
+    edge = here.where("b = bin").withColumn("upto", F.col("before") + F.sum("size").over(order))
+    picked = _kept(edge.where("upto <= rest").select("pattern", "h", "size"), tiny)
 
     def gaps_left() -> DataFrame:
         got = picked.groupBy("pattern").agg(F.sum("size").alias("got"))
-        return checkpoint(plans.join(small(got), "pattern", "left").select(
-            "pattern", "bin", (F.col("rest") - F.col("before") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0"))
+        return _kept(plans.join(small(got), "pattern", "left").select(
+            "pattern", "bin", (F.col("rest") - F.col("before") - F.coalesce("got", F.lit(0))).alias("gap")).where("gap > 0"), tiny)
 
     gaps = gaps_left()
     # what may fill the gaps; repeats of a document are one
@@ -268,9 +278,9 @@ def cuts(slim: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
             best = left.groupBy("pattern").agg(F.min(F.struct("size", "h")).alias("x"))
             picked = picked.unionByName(best.select("pattern", "x.h", "x.size"))
             break
-        picked = checkpoint(picked.unionByName(_fill(fit, few)))
+        picked = _kept(picked.unionByName(_fill(fit, few, tiny)), tiny)
         gaps = gaps_left()
-    return plans.select("pattern", "copies", "bin"), checkpoint(picked.select("pattern", "h").distinct())
+    return plans.select("pattern", "copies", "bin"), _kept(picked.select("pattern", "h").distinct(), tiny)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0,
@@ -295,10 +305,12 @@ def _planned(docs, weights, share, limit, repeats, source, text, doc_id, seed, *
     """(more columns, pattern, size, taken of each row; the sources with their targets)."""
     slim = checkpoint(described(docs, source, text, doc_id, seed))
     patterns = checkpoint(slim.groupBy("pattern").agg(F.sum("size").alias("cap")))
+    tiny = patterns.limit(TINY + 1).count() <= TINY
+    patterns = _kept(patterns, tiny) if tiny else patterns
     total = patterns.agg(F.sum("cap")).first()[0] or 0
     sizes = patterns.select(F.explode("pattern").alias("key"), "cap").groupBy("key").agg(F.sum("cap").alias("source_size"))
-    sources = targets(sizes, tuple(weights), share, total, limit)
-    plans, picked = cuts(slim, wanted(patterns, sources, repeats))
+    sources = targets(sizes, tuple(weights), share, total, limit, tiny)
+    plans, picked = cuts(slim, wanted(patterns, sources, repeats, tiny), tiny)
     rows = described(docs, source, text, doc_id, seed, *more) if more else slim
     rows = rows.join(_small(plans), "pattern", "left").join(
         _small(picked.withColumn("picked", F.lit(1))), ["pattern", "h"], "left")

@@ -1,6 +1,9 @@
 """Large groups and many shuffle partitions."""
+import random
+
 import numpy as np
 
+import haggle.llm.mixing as mixing
 import haggle.llm.near_dedup as nd
 
 
@@ -22,3 +25,25 @@ def test_joined_pairs_are_not_tested_again(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "a long, b long")
     found = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, component long")
     assert sorted(map(tuple, nd._apart(pairs, found).collect())) == [(1, 3, 1, 3), (2, 3, 1, 3)]
+
+
+def test_tables_of_few_patterns_take_few_tasks(spark, monkeypatch):
+    sizes, kept = [], mixing.checkpoint
+
+    def counted(df):
+        out = kept(df)
+        sizes.append(out.rdd.getNumPartitions())
+        return out
+
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "w " * rng.randrange(1, 30), rng.choice("abc")) for i in range(200)],
+                                 "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "checkpoint", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        taken = mixing.mix_report(docs).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert taken == 200 and sum(n > mixing.TINY_TASKS for n in sizes) <= 3, sizes  # patterns and units are dealt out
