@@ -85,27 +85,29 @@ def clean(text: str) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-def _tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
-    """(end of the attributes, end of the tag) from the end of its name on.  A quote counts
+def _tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int, bool]:
+    """(end of the attributes, end of the tag, whether a value without quotes goes up to
+    the end: a slash there is the value's) from the end of its name on.  A quote counts
     where a value begins; one that is never closed ends with the tag.  A tag without
     its ``>`` ends at the next ``<``, or with the page."""
+    value = -1
     while m := _STOP.search(page, at):
         if m[0] == ">":
-            return m.start(), m.end()
+            return m.start(), m.end(), value == m.start()
         if m[0] == "<":
-            return m.start(), m.start()
+            return m.start(), m.start(), value == m.start()
         at = m.end()
         if m[1]:
             if last[m[1]] >= at:
                 at = page.index(m[1], at) + 1
             elif last[">"] >= at:
                 at = page.index(">", at)
-                return at, at + 1
+                return at, at + 1, False
             else:
                 break
         else:
-            at = _VALUE.match(page, at).end()
-    return len(page), len(page)
+            at = value = _VALUE.match(page, at).end()
+    return len(page), len(page), False
 
 
 def tokens(page: str) -> Iterator[tuple[int, int, str, str, str, str]]:
@@ -126,8 +128,10 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, str, str, str]]:
             end = page.index(">", at) + 1
         elif m := _NAME.match(page, at):
             slash, tag = m[1], m[2].lower()
-            stop, end = _tag_end(page, m.end(), last)
+            stop, end, of_value = _tag_end(page, m.end(), last)
             attributes = page[m.end(): stop]
+            if of_value and attributes.endswith("/"):
+                attributes += " "  # the tag has no slash of its own
             if tag in _RAW_END and not slash:
                 if tag != "svg" or not attributes.endswith("/"):
                     closing = _RAW_END[tag].search(page, end)
