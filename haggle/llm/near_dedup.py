@@ -146,12 +146,9 @@ def _cross_pairs(members: DataFrame, floor: float, nearest: bool = False) -> Dat
     """Distinct pairs of different components in a bucket whose likeness
     reaches floor, or with ``nearest`` only the likeliest of each member in a
     block.  members: (key, size, rep, component, sketch)."""
-    blocks = checkpoint(members.withColumn(
-        "block", F.expr(f"pmod(xxhash64(rep, 11), ceil(size / {BLOCK}))")).groupBy("key", "block").agg(
-        F.collect_list(F.struct("rep", "component", "sketch")).alias("rows")))
-    pairs = blocks.select("key", F.col("block").alias("left_block"), F.col("rows").alias("left_rows")).join(
-        blocks.select("key", F.col("block").alias("right_block"), F.col("rows").alias("right_rows")), "key").where(
-        "left_block <= right_block")
+    def grouped(some: DataFrame) -> DataFrame:
+        return some.withColumn("block", F.expr(f"pmod(xxhash64(rep, 11), ceil(size / {BLOCK}))")).groupBy(
+            "key", "block").agg(F.collect_list(F.struct("rep", "component", "sketch")).alias("rows"))
 
     def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8)
@@ -160,12 +157,11 @@ def _cross_pairs(members: DataFrame, floor: float, nearest: bool = False) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lefts, rights = batch.column("left_rows"), batch.column("right_rows")
-            same = [x.as_py() == y.as_py() for x, y in zip(batch.column("left_block"), batch.column("right_block"))]
+            lefts, rights, same = batch.column("rows"), batch.column("others"), batch.column("same").to_pylist()
             found_a, found_b = [], []
             for i in range(batch.num_rows):
                 ids, comps, sketches = unpack(lefts[i].values)
-                ids2, comps2, sketches2 = unpack(rights[i].values)
+                ids2, comps2, sketches2 = (ids, comps, sketches) if same[i] else unpack(rights[i].values)
                 key_band = _shared_band(sketches, sketches2, batch.column("key")[i].as_py())
                 for j in range(len(ids)):
                     begin = j + 1 if same[i] else 0
@@ -183,7 +179,15 @@ def _cross_pairs(members: DataFrame, floor: float, nearest: bool = False) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a), pa.int64()),
                                                   pa.array(np.concatenate(found_b), pa.int64())], ["a", "b"])
 
-    # blocks hold up to BLOCK sketches, so few go to Python at once
+    # a bucket of one block, as nearly all are, is compared where it is grouped; only blocks of larger ones are joined
+    columns = ["key", "rows", "others", "same"]
+    pairs = grouped(members.where(f"size <= {BLOCK}")).withColumn("others", F.expr("slice(rows, 1, 0)")).withColumn(
+        "same", F.lit(True)).select(*columns)
+    large = members.where(f"size > {BLOCK}")
+    if not large.isEmpty():
+        blocks = checkpoint(grouped(large))
+        pairs = pairs.unionAll(blocks.join(blocks.select("key", F.col("block").alias("other"), F.col("rows").alias(
+            "others")), "key").where("block <= other").withColumn("same", F.expr("block = other")).select(*columns))
     return pairs.mapInArrow(run, "a long, b long")
 
 

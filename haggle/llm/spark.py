@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000  # a counted side of at most this many short rows may be broadcast
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # older Sparks don't know it and keep the files longer
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +33,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run within deletes its shuffle files when it ends, not
+    when the driver happens to collect its garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage is cut, and the files lie in the shared folder."""
+    """Reliable checkpoint: lineage is cut, and the files lie in the shared
+    folder.  Nothing needs its shuffle files afterwards, so they are deleted."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned anew, so that the setting holds
 
 
 def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
@@ -41,7 +61,8 @@ def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     Unlike a checkpoint, the new table has its true size as statistics, so loops
     that join their own results don't multiply size estimates round by round."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
