@@ -15,8 +15,8 @@ whole.  The store is bounded and only saves time.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from haggle.llm.words import as_bytes, slices
+from haggle.llm.words import slices
 
 STORE = 600_000   # words and as many word parts kept by a worker
 LONG_WORD = 64    # longer ones are not kept
@@ -35,11 +35,14 @@ MARKS = ",.;:!?"  # a mark the pattern always cuts from the letters before it
 PLAIN = 0x250     # letters under it are shown by a table
 ROW_INDEX = 1000  # rows of a row group
 STRIPE_BYTES = 16 << 20
-_LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
 _tokenizers: dict[str, ByteTokenizer] = {}
 
 
+class _LooseSpace(Exception):
+    """A space before white space or the text's end."""
+
+
 class _Store(dict):
     """make(key) for every key, remembered; long keys are made each time."""
 
@@ -68,10 +71,10 @@ class ByteTokenizer:
             and not self.cutter.add_prefix_space \
             and all(t.special for t in self.library.get_added_tokens_decoder().values())
         self.first = _Store(lambda w: self._word("", w))
-        self.rest = _Store(lambda w: self._word(" ", w))
+        self.rest = _Store(self._after_space)
         self.pieces = _Store(self._piece)
         if self.by_word:  # how the library shows a space and the bytes of common letters
-            shown = {c: self.cutter.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, PLAIN) if chr(c).isalpha()}
+            shown = {c: self.cutter.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN) if chr(c).isalpha()}
             self.letters = str.maketrans({chr(c): x for c, x in shown.items()})
             self.space, self.line = (self.cutter.pre_tokenize_str(x)[0][0][0] for x in (" a", "\n"))
 
@@ -83,6 +86,11 @@ class ByteTokenizer:
         ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    def _after_space(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _LooseSpace
+        return self._word(" ", word)
+
     def _word(self, lead: str, word: str) -> bytes:
         """Ids of one word, after a space or not, by the library's merges.  A run
         of letters, with one mark after it or not, and one line feed between
@@ -93,9 +101,9 @@ class ByteTokenizer:
             shown = body if body.isascii() else body.translate(self.letters)
             ids = self.pieces[self.space + shown if lead else shown]
             return ids + self.pieces[mark] if mark else ids
-        left, line, right = word.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            return (self.rest if lead else self.first)[left] + self.pieces[self.line] + self.first[right]
+        head, *lines = word.split("\n")
+        if lines and all(x and not x[0].isspace() and not x[-1].isspace() for x in (head, *lines)):
+            return self.pieces[self.line].join([(self.rest if lead else self.first)[head], *map(self.first.__getitem__, lines)])
         return b"".join([self.pieces[x] for x, _ in self.cutter.pre_tokenize_str(lead + word)])
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -105,17 +113,21 @@ class ByteTokenizer:
                 store.clear()
         out, first, rest = [], self.first, self.rest.__getitem__
         for t in texts:
-            if not self.by_word or _LOOSE_SPACE.search(t):
+            if not self.by_word:
                 out.append(self._whole(t))
-            else:
-                head, *words = t.split(" ")
+                continue
+            head, *words = t.split(" ")
+            try:
                 out.append(first[head] + b"".join(map(rest, words)))
+            except _LooseSpace:
+                out.append(self._whole(t))
         return out
 
 
 def tokenizer(path: str) -> ByteTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = ByteTokenizer(path)
+        gc.freeze()  # else each of Python's garbage collections walks through the stores
     return _tokenizers[path]
 
 
@@ -133,7 +145,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = own.ids([t.decode() for t in as_bytes(part.column("text"))])
+                ids = own.ids([t or "" for t in part.column("text").to_pylist()])
                 sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
                 values = np.frombuffer(b"".join([x + end for x in ids]), "<i4")

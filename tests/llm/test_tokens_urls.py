@@ -47,6 +47,11 @@ def test_store_is_bounded(monkeypatch):
     assert own.by_word and all(len(w) <= 64 for w in [*own.first, *own.rest, *own.pieces])
 
 
+def test_many_lines_without_a_space():
+    texts = ["line\n" * 3000 + "end", "a " + "one,\nTwo\n" * 2000 + "x"]
+    assert ids_of(ByteTokenizer(PATH), texts) == [library_ids(t) for t in texts]
+
+
 def test_files(spark, awkward, small_docs, empty, tmp_path):
     path = str(tmp_path / "a")
     write_token_files(awkward.repartition(7), PATH, path)
