@@ -10,15 +10,19 @@ the ids before a file are the running sum of one row a file.
 Words repeat, so a task encodes a word (with the space before it) once and
 looks it up afterwards: the byte-level pattern always starts a token at a space
 that a non-space follows.  Texts where that can't be told go to the library
-whole.  The store is bounded and only saves time.
+whole.  A new word of common characters is cut by the library's pattern over the
+classes that the library itself puts these characters in, other words by the
+library; the library merges every piece.  The store is bounded and only saves time.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +33,9 @@ from pyspark.sql.types import LongType
 
 from haggle.llm.words import slices
 
-STORE = 600_000   # words and as many word parts kept by a worker
+STORE = 600_000   # words and word parts kept by a worker, with as many from before them
 LONG_WORD = 64    # longer ones are not kept
-MARKS = ",.;:!?"  # a mark the pattern always cuts from the letters before it
-PLAIN = 0x250     # letters under it are shown by a table
+PLAIN = 0x250     # words of characters under it are cut here
 ROW_INDEX = 1000  # rows of a row group
 STRIPE_BYTES = 16 << 20
 
@@ -44,18 +47,35 @@ class _LooseSpace(Exception):
 
 
 class _Store(dict):
-    """make(key) for every key, remembered; long keys are made each time."""
+    """make(key) for every key, remembered; long keys are made each time.  Keys
+    used since the last but one ``age`` are kept, so frequent ones stay."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONG_WORD:
             self[key] = value
         return value
 
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
+def _pattern(cutter) -> re.Pattern:
+    """The byte-level pattern for characters under PLAIN, by the class that the
+    cutter puts each in."""
+    classes = {x: "" for x in ("a", "1", "!", " ")}
+    for c in map(chr, range(PLAIN)):
+        classes[next((x for x in "a1!" if len(cutter.pre_tokenize_str(x + c)) == 1), " ")] += re.escape(c)
+    letter, number, other, space = classes.values()
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[{other}]+|[{space}]+(?![^{space}])|[{space}]+")
+
 
 class ByteTokenizer:
     """A byte-level BPE file of the tokenizers library; special tokens' strings
@@ -66,51 +86,58 @@ class ByteTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.cutter, self.model = self.library.pre_tokenizer, self.library.model
+        self.cutter, self.merge = self.library.pre_tokenizer, self.library.model.tokenize
         self.by_word = self.library.normalizer is None and isinstance(self.cutter, pre_tokenizers.ByteLevel) \
-            and not self.cutter.add_prefix_space \
+            and not self.cutter.add_prefix_space and self.cutter.use_regex \
             and all(t.special for t in self.library.get_added_tokens_decoder().values())
-        self.first = _Store(lambda w: self._word("", w))
+        self.first = _Store(self._at_start)
         self.rest = _Store(self._after_space)
-        self.pieces = _Store(self._piece)
-        if self.by_word:  # how the library shows a space and the bytes of common letters
-            shown = {c: self.cutter.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN) if chr(c).isalpha()}
-            self.letters = str.maketrans({chr(c): x for c, x in shown.items()})
-            self.space, self.line = (self.cutter.pre_tokenize_str(x)[0][0][0] for x in (" a", "\n"))
+        self.pieces = _Store(self._piece)    # as the library shows them
+        self.parts = _Store(lambda x: self._piece(x.translate(self.shown)))  # of plain words
+        if self.by_word:  # how the library cuts and shows common characters
+            self.cut = _pattern(self.cutter).findall
+            self.shown = str.maketrans({chr(c): self.cutter.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN)})
+            self.space = self.shown[ord(" ")]
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}i", *ids)
+        return array("i", [t.id for t in self.merge(piece)]).tobytes()
 
     def _after_space(self, word: str) -> bytes:
+        """A word that is one piece is merged; the first piece of others is looked
+        up as the word that it is alone."""
+        if word.isalpha() and word.isascii():
+            return self._piece(self.space + word)
         if not word or word[0].isspace():
             raise _LooseSpace
-        return self._word(" ", word)
-
-    def _word(self, lead: str, word: str) -> bytes:
-        """Ids of one word, after a space or not, by the library's merges.  A run
-        of letters, with one mark after it or not, and one line feed between
-        words are cut as the pattern cuts them; the library's own cutter takes
-        everything else."""
-        body, mark = (word, "") if word.isalpha() else (word[:-1], word[-1:])
-        if body and (not mark or mark in MARKS and body.isalpha()) and (body.isascii() or max(body) < chr(PLAIN)):
-            shown = body if body.isascii() else body.translate(self.letters)
-            ids = self.pieces[self.space + shown if lead else shown]
-            return ids + self.pieces[mark] if mark else ids
+        if not word.isascii() and max(word) >= chr(PLAIN):
+            return self._other(" ", word)
+        head, *parts = self.cut(" " + word)
+        if not parts:
+            return self._piece(head.translate(self.shown))
+        return self.rest[head[1:]] + b"".join([self.parts[x] for x in parts])
+
+    def _at_start(self, word: str) -> bytes:
+        if not word.isascii() and max(word) >= chr(PLAIN):
+            return self._other("", word)
+        return b"".join([self.parts[x] for x in self.cut(word)])
+
+    def _other(self, lead: str, word: str) -> bytes:
+        """A word with other characters; one line feed between words is a piece of its own."""
         head, *lines = word.split("\n")
         if lines and all(x and not x[0].isspace() and not x[-1].isspace() for x in (head, *lines)):
-            return self.pieces[self.line].join([(self.rest if lead else self.first)[head], *map(self.first.__getitem__, lines)])
+            return self.parts["\n"].join([(self.rest if lead else self.first)[head], *map(self.first.__getitem__, lines)])
         return b"".join([self.pieces[x] for x, _ in self.cutter.pre_tokenize_str(lead + word)])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each text (add_special_tokens=False)."""
-        for store in (self.first, self.rest, self.pieces):
-            if len(store) > STORE:
-                store.clear()
+        stores = self.first, self.rest, self.pieces, self.parts
+        if sum(map(len, stores)) > STORE:
+            for store in stores:
+                store.age()
         out, first, rest = [], self.first, self.rest.__getitem__
         for t in texts:
             if not self.by_word:

@@ -47,6 +47,25 @@ def test_store_is_bounded(monkeypatch):
     assert own.by_word and all(len(w) <= 64 for w in [*own.first, *own.rest, *own.pieces])
 
 
+def test_frequent_words_outlive_the_store(monkeypatch):
+    merged, piece = [], ByteTokenizer._piece
+    monkeypatch.setattr("haggle.llm.token_files.STORE", 40)
+    monkeypatch.setattr(ByteTokenizer, "_piece", lambda self, x: merged.append(x) or piece(self, x))
+    own = ByteTokenizer(PATH)
+    for i in range(30):
+        new = "".join(chr(97 + int(d)) for d in f"{i:02d}")
+        texts = [f"x the end, {' '.join(new + c for c in 'abcdefghij')} the end&&& the"]
+        assert ids_of(own, texts) == [library_ids(t) for t in texts]
+    assert merged.count("\u0120the") == merged.count("\u0120end") == 1
+    assert sum(len(s) + len(s.old) for s in (own.first, own.rest, own.pieces, own.parts)) < 150
+
+
+def test_every_common_character_is_cut_as_the_library_does():
+    marks = [chr(c) for c in range(0x260)]
+    texts = [f"{c}a{d}{c}1{c}!{c} {c}b{c}{c} {d}'s{c}\n{c}'ll 'T{c}'re\t{d}" for c in marks for d in ("", "é", "\x85", "²")]
+    assert ids_of(ByteTokenizer(PATH), texts) == [library_ids(t) for t in texts]
+
+
 def test_many_lines_without_a_space():
     texts = ["line\n" * 3000 + "end", "a " + "one,\nTwo\n" * 2000 + "x"]
     assert ids_of(ByteTokenizer(PATH), texts) == [library_ids(t) for t in texts]
